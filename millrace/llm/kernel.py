@@ -106,10 +106,9 @@ def shingle_hashes(buf: np.ndarray, at: np.ndarray, size: int = 5) -> tuple[np.n
     short = np.flatnonzero((count > 0) & (count < size))
     for d in short:  # one entry each; at most size-1 words
         i = first[d]
-        total[i] = U(int(count[d]))
-        for k in range(int(count[d])):
-            total[i] += h[i + k] * PLACE[k]
-        total[i] = mix(total[i : i + 1])[0]
+        m = int(count[d])
+        own = (h[i : i + m] * PLACE[:m]).sum(keepdims=True)
+        total[i : i + 1] = mix(own + U(m))
         whole[i] = True
     made = np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))
     return mix(total[whole]), np.concatenate(([0], np.cumsum(made)))

@@ -29,3 +29,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.packing import packed
 
     return packed(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op2_minhash")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_repeats")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.repeats import repeated
+
+    return repeated(table(spark, sf_dir, "documents"))

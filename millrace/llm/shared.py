@@ -54,7 +54,7 @@ def bloom(keys: DataFrame, key: str) -> np.ndarray:
     """Bitmap of a fixed 2 MiB over the values of an integer column. Beyond some ten million keys it lets more through, which costs time and no result: an exact join follows every use."""
     h1, h2 = F.xxhash64(F.col(key)), F.xxhash64(F.col(key), F.lit(1))
     bits = F.explode(F.array(*(F.pmod(h, F.lit(BLOOM_WORDS * 64)) for h in (h1, h2)))).alias("bit")
-    rows = keys.select(bits).select((F.col("bit") / 64).cast("int").alias("at"), F.shiftleft(F.lit(1).cast("long"), F.pmod(F.col("bit"), F.lit(64)).cast("int")).alias("mask"))
+    rows = keys.select(bits).selectExpr("cast(bit div 64 as int) as at", "shiftleft(1L, cast(pmod(bit, 64) as int)) as mask")
     got = rows.groupBy("at").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most BLOOM_WORDS rows
     words = np.zeros(BLOOM_WORDS, np.int64)
     words[got["at"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64)
