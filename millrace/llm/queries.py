@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from millrace.llm import mixing, topk
 from millrace.llm.shared import table
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_mixing": mixing.SQL, "op5_topk": topk.SQL}
 
 
 def query(name: str):
@@ -43,3 +45,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.repeats import repeated
 
     return repeated(table(spark, sf_dir, "documents"))
+
+
+@query("op3_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"))
+
+
+@query("op5_topk")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.topk import top_inner
+
+    return top_inner(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
