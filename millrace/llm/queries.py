@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import fingerprints as _fp
 from millrace.llm import mixing, topk
 from millrace.llm.shared import table
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {"op3_mixing": mixing.SQL, "op5_topk": topk.SQL}
+ORACLE: dict[str, str] = {"op3_mixing": mixing.SQL, "op5_topk": topk.SQL, "op7_fingerprints": _fp.SQL}
 
 
 def query(name: str):
@@ -59,3 +60,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.topk import top_inner
 
     return top_inner(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op7_fingerprints")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
