@@ -67,3 +67,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.fingerprints import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op8_brown")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.brown import class_scores
+
+    return class_scores(table(spark, sf_dir, "documents"))
