@@ -74,3 +74,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.brown import class_scores
 
     return class_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op1_language")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.language import identified
+
+    return identified(table(spark, sf_dir, "documents"))
