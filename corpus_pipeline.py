@@ -1,10 +1,64 @@
-"""Corpus preparation: stages that read the documents their predecessor kept."""
+"""Corpus preparation in five stages, each of which works on all that the stage before it kept.
+
+The columns are those of documents up to the last stage; a document that a stage shortens has its n_chars counted anew,
+and one that mixing repeats is there once for each copy. The last stage gives the pieces of training sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm.language import identified
+from millrace.llm.minhash import near_duplicates
+from millrace.llm.mixing import mixed
+from millrace.llm.packing import packed
+from millrace.llm.queries import tokenizer_path
+from millrace.llm.repeats import repeated
+from millrace.llm.shared import Scratch, bloom, may_contain, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labels teach; those without a letter, and those far from all languages, go."""
+    return identified(docs, carry=("text", "lang", "source", "n_chars")).filter("not rejected").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, that of least id. Rows without an id stay."""
+    scratch = Scratch(spark, "dedup")
+    gone = scratch.put(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    docs = docs.select(*COLUMNS).withColumn("maybe", F.coalesce(may_contain(spark, bloom(gone, "gone"), "doc_id"), F.lit(False)))
+    checked = docs.filter("maybe").join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.filter("not maybe").unionByName(checked).select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated passages."""
+    out = repeated(docs, with_text=True, carry=("lang", "source"))
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    out = mixed(docs, carry=("text", "lang", "source", "n_chars"))
+    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens."""
+    return packed(docs, tokenizer_path())
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("repeats", repeats), ("mixing", mixing), ("packing", packing)]
+ORACLE_SQL = None  # character models, induced sorting and byte-pair encoding have no SQL; tests/llm holds a plain version
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = scratch.put(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])
+    return docs

@@ -70,11 +70,11 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         i = j
 
 
-def words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, at: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and each text's first word (one more entry than texts)."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    solid = ~BLANK[buf]
+    solid = ~blank[buf]
     before = np.empty(len(buf), bool)
     before[0], before[1:] = False, solid[:-1]
     inner = at[:-1][at[:-1] < len(buf)]
@@ -87,9 +87,9 @@ def words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, at: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word (A-Z as a-z), and each text's first word."""
-    starts, ends, first = words(buf, at)
+    starts, ends, first = words(buf, at, blank)
     return (spans(prefix(buf, FOLDED), starts, ends) if len(starts) else np.zeros(0, U)), starts, ends, first
 
 

@@ -183,7 +183,7 @@ def _removed(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, gone, runs, digest, kept = [], [], [], [], []
-            for data, parts in zip(batch.column(2), batch.column(3), strict=True):
+            for data, parts in zip(batch.column(1), batch.column(2), strict=True):
                 raw = np.frombuffer(data.as_buffer(), np.uint8) if data.is_valid and data.as_buffer().size else np.zeros(0, np.uint8)
                 edge = np.zeros(len(raw) + 1, np.int64)
                 if parts.is_valid:
@@ -197,12 +197,15 @@ def _removed(length: int, with_text: bool):
                 runs.append(int((np.diff(np.concatenate(([0], out.view(np.int8)))) == 1).sum()))
                 digest.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest.decode("utf-8", "ignore") if with_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], ["id", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            made = [pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())]
+            rest = batch.columns[3:]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *rest], ["id", *_MADE, *[f"c{k}" for k in range(len(rest))]])
 
     return run
 
 
-_OUT = "id long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+_MADE = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+_OUT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
 def _level(found: DataFrame, count: Column) -> DataFrame:
@@ -213,13 +216,13 @@ def _level(found: DataFrame, count: Column) -> DataFrame:
     return hits
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] | None = None, with_text: bool = False, tables: Scratch | None = None) -> DataFrame:
+def repeated(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] | None = None, with_text: bool = False, carry: tuple[str, ...] = (), tables: Scratch | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, without the bytes that a repeated string covers.
 
     A string of `length` bytes counts as repeated if it starts at another place too, in the same document or another,
     judged on the input. All copies go, the first included. Null and empty texts have 0 bytes and the digest of nothing.
     Repeated rows are copies like any others; rows with a null id take part. with_text adds kept_text, in which a
-    character of which a part was removed is left out. Other columns are not read. An empty table gives an empty one.
+    character of which a part was removed is left out; carry names further columns to return. Others are not read. An empty table gives an empty one.
     """
     grams = grams or tuple(min(g, length) for g in GRAMS if g < length) + (length,)
     spark = docs.sparkSession
@@ -257,8 +260,13 @@ def repeated(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] | Non
         found = scratch.put(pieces.mapInArrow(_cut(nxt, length), f"id long, th long, {_SEG}, copies long"), f"segments-{level + 1}")
     marks = scratch.put(spans.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "marks")
     maybe = may_contain(spark, bloom(marks, "id"), "id")
-    flagged = base.withColumn("maybe", maybe)
-    touched = flagged.filter("maybe").drop("maybe").join(marks, ["id", "th"], "left").select("id", "th", "data", "spans").mapInArrow(_removed(length, with_text), _OUT)
-    whole = flagged.filter("not maybe").select("id", "th", F.length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("data", 256).alias("kept_sha256"), (F.decode("data", F.lit("UTF-8")) if with_text else F.lit(None).cast("string")).alias("kept_text"))
+    rest = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]
+    flagged = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(data).alias("th"), data.alias("data"), *rest).withColumn("maybe", maybe)
+    names = [f"c{k}" for k in range(len(carry))]
+    types = "".join(f", {c} {t}" for c, t in flagged.select(*names).dtypes)
+    touched = flagged.filter("maybe").join(marks, ["id", "th"], "left").select("id", "data", "spans", *names).mapInArrow(_removed(length, with_text), _OUT + types)
+    zero = F.lit(0).cast("long")
+    text = F.col("data").cast("string") if with_text else F.lit(None).cast("string")
+    whole = flagged.filter("not maybe").select("id", F.length("data").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("data", 256).alias("kept_sha256"), text.alias("kept_text"), *names)
     out = touched.unionAll(whole)
-    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["th", "kept_text"] if with_text else []))
+    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else []), *(F.col(f"c{k}").alias(c) for k, c in enumerate(carry)))
