@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-PIECE = 1 << 21  # bytes that one kernel call works on, or one text if that is longer
+PIECE = 1 << 20  # bytes that one kernel call works on, or one text if that is longer
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ from millrace.llm import kernel as K
 from millrace.llm.shared import Scratch, bloom, may_contain
 from millrace.llm.suffixes import common_prefixes, suffix_array
 
-LENGTH, GRAMS, SHARD, TEXT = 200, (48, 176, 194, 200), 128, 1 << 20
+LENGTH, GRAMS, SHARD, TEXT = 200, (48, 176, 194, 200), 128, 3 << 19
 NO_ID = -(1 << 63)  # stands for a null id where rows meet
 _SEG = "start int, n int, key long, body long, self boolean"
 
@@ -129,10 +129,10 @@ def repeated_starts(datas: list[bytes], shard: np.ndarray, length: int) -> np.nd
     """For the concatenated segments, whether the string of that length at a position also starts elsewhere in its shard."""
     sizes = np.array([len(x) + 1 for x in datas])
     raw = np.frombuffer(b"\0".join(datas) + b"\0", np.uint8)
-    text = raw.astype(np.int64) + 1
+    text = raw.astype(np.int32) + 1
     ends = np.cumsum(sizes) - 1
     text[ends] = 0
-    owner = np.repeat(shard, sizes)
+    owner = np.repeat(shard.astype(np.int32), sizes)
     sa = suffix_array(text, owner)
     limit = np.repeat(ends, sizes)
     sa = sa[limit[sa] - sa >= length]

@@ -10,16 +10,29 @@ from __future__ import annotations
 
 import numpy as np
 
+SHORT = 4096  # characters of a reduced string; longer ones recurse
+
+
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in ascending order and their positions, equal keys in order: one plain sort of key and position in a word."""
+    bits = int(len(keys)).bit_length()
+    packed = (keys.astype(np.int64) << bits) | np.arange(len(keys))
+    packed.sort()
+    return packed >> bits, packed & ((1 << bits) - 1)
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending keys: where each run of equal ones begins, and the length of each."""
+    begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return begin, np.diff(np.append(begin, len(keys)))
+
 
 def _within(keys: np.ndarray) -> np.ndarray:
     """Running number of each entry among equal keys, in order."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
-    starts = np.flatnonzero(new)
-    run = np.arange(len(k)) - np.repeat(starts, np.diff(np.append(starts, len(k))))
+    k, order = _sorted(keys)
+    begin, length = _runs(k)
     out = np.empty(len(k), np.int64)
-    out[order] = run
+    out[order] = np.arange(len(k)) - np.repeat(begin, length)
     return out
 
 
@@ -28,9 +41,14 @@ class _Buckets:
 
     def __init__(self, text: np.ndarray, owner: np.ndarray):
         width = int(text.max(initial=0)) + 1
-        named, self.of, sizes = np.unique(owner * width + text, return_inverse=True, return_counts=True)
+        keys, at = _sorted(owner.astype(np.int64) * width + text)
+        begin, sizes = _runs(keys)
+        named = keys[begin]
+        self.of = np.empty(len(text), np.int32)
+        self.of[at] = np.repeat(np.arange(len(begin), dtype=np.int32), sizes)
         self.start = np.concatenate(([0], np.cumsum(sizes)))
-        self.rank = _within(named // width)  # of the character within its string
+        first, many = _runs(named // width)
+        self.rank = np.arange(len(named)) - np.repeat(first, many)  # of the character within its string
         order = np.argsort(self.rank, kind="stable")
         self.rounds = np.split(order, np.flatnonzero(np.diff(self.rank[order])) + 1) if len(order) else []
 
@@ -50,7 +68,7 @@ def _slices(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 def _induce(b: _Buckets, small: np.ndarray, first: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """The suffix array induced from leftmost-small suffixes in the given order. small: S-type positions; first: starts of strings."""
     n = len(small)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     count = len(b.start) - 1
     in_s = np.bincount(b.of[small], minlength=count)
     size = np.diff(b.start)
@@ -60,13 +78,14 @@ def _induce(b: _Buckets, small: np.ndarray, first: np.ndarray, lms: np.ndarray)
     sa[b.start[1:][placed] - seeds[placed] + _within(placed)] = lms
     head = b.start[:-1].copy()
 
-    def put_large(source: np.ndarray) -> np.ndarray:
+    def put_large(source: np.ndarray) -> None:
         source = source[~first[source]] - 1
         source = source[~small[source]]
-        to = b.of[source]
-        sa[head[to] + _within(to)] = source
-        np.add.at(head, to, 1)
-        return source
+        to, order = _sorted(b.of[source])
+        begin, length = _runs(to)
+        to = to[begin]
+        sa[np.arange(len(source)) + np.repeat(head[to] - begin, length)] = source[order]
+        head[to] += length
 
     # A last suffix is L-type: what follows it, the end of its string, sorts before all.
     ends = np.flatnonzero(np.append(first[1:], True)) if n else np.zeros(0, np.int64)
@@ -88,9 +107,11 @@ def _induce(b: _Buckets, small: np.ndarray, first: np.ndarray, lms: np.ndarray)
     def put_small(source: np.ndarray) -> None:
         source = source[~first[source]] - 1
         source = source[small[source]]
-        to = b.of[source]
-        sa[tail[to] - 1 - _within(to)] = source
-        np.subtract.at(tail, to, 1)
+        to, order = _sorted(b.of[source])
+        begin, length = _runs(to)
+        to = to[begin]
+        sa[np.repeat(tail[to] - 1 + begin, length) - np.arange(len(source))] = source[order]
+        tail[to] -= length
 
     for now in reversed(b.rounds):
         end = b.start[1:][now].copy()
@@ -153,13 +174,34 @@ def suffix_array(text: np.ndarray, owner: np.ndarray) -> np.ndarray:
     new_string = np.concatenate(([True], red_owner[1:] != red_owner[:-1]))
     dense_owner = np.cumsum(new_string) - 1
     if same.any():
-        base = np.minimum.reduceat(reduced, np.flatnonzero(new_string))
-        order = lms[suffix_array(reduced - base[dense_owner], dense_owner)]
+        heads = np.flatnonzero(new_string)
+        base = np.minimum.reduceat(reduced, heads)
+        short = np.diff(np.append(heads, len(reduced))).max() <= SHORT
+        order = lms[(_short_strings if short else suffix_array)(reduced - base[dense_owner], dense_owner)]
     else:
         order = ranked
     return _induce(b, small, first, order)
 
 
+def _short_strings(text: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Where the recursion ends: suffixes of strings of at most SHORT characters, by sorting twice as many characters each time."""
+    n = len(text)
+    bits = int(text.max(initial=0) + 2).bit_length()
+    keys, sa = _sorted((owner.astype(np.int64) << bits) | text + 1)
+    last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
+    end, k = last[owner], 1
+    while True:
+        new = np.concatenate(([False], keys[1:] != keys[:-1]))
+        rank = np.empty(n, np.int64)
+        rank[sa] = np.cumsum(new) + 1
+        if new.sum() == n - 1:
+            return sa
+        ahead = np.arange(n) + k
+        behind = np.where(ahead <= end, rank[np.minimum(ahead, n - 1)], 0)
+        keys, sa = _sorted((rank << int(n + 1).bit_length()) | behind)
+        k *= 2
+
+
 def _equal_neighbours(text: np.ndarray, owner: np.ndarray, ranked: np.ndarray, size: np.ndarray, to_end: np.ndarray) -> np.ndarray:
     """Whether each substring equals the one before it in order."""
     same = np.zeros(len(ranked), bool)
