@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import fingerprints as _fp
-from millrace.llm import mixing, topk
+from millrace.llm import mixing, topk, urlfilter
 from millrace.llm.shared import table
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {"op3_mixing": mixing.SQL, "op5_topk": topk.SQL, "op7_fingerprints": _fp.SQL}
+ORACLE: dict[str, str] = {"op3_mixing": mixing.SQL, "op5_topk": topk.SQL, "op6_url_lists": urlfilter.SQL, "op7_fingerprints": _fp.SQL}
 
 
 def query(name: str):
@@ -81,3 +81,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.language import identified
 
     return identified(table(spark, sf_dir, "documents"))
+
+
+@query("op4_licenses")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.licenses import license_matches
+
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
+@query("op6_url_lists")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch days and dated lists, which the tables lack, are drawn by rule from the pages' own ids and hosts."""
+    pages = table(spark, sf_dir, "pages")
+    found = urlfilter.as_of(urlfilter.dated(pages), urlfilter.sample_entries(pages))
+    return found.withColumn("fetched_on", F.col("fetched_at").cast("string")).drop("fetched_at")
