@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-PIECE = 1 << 20  # bytes that one kernel call works on, or one text if that is longer
+PIECE = 1 << 18  # bytes that one kernel call works on, or one text if that is longer: its arrays stay in the cache
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,7 +35,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd base, and of its inverse modulo 2 to the 64."""
     if len(_POWERS[0]) < n:
-        size = max(n, PIECE + 1)
+        size = max(n, 1 << 20)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             step = np.full(size, U(base))
             step[0] = 1
@@ -55,8 +55,8 @@ def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts] + (ends - starts).astype(U))
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, bytes, offsets) of runs of texts of about PIECE bytes; a null is an empty text."""
+def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, bytes, offsets) of runs of texts of about `size` bytes; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary()).fill_null(b"")
@@ -65,7 +65,7 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i, n = 0, len(column)
     while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(at, at[i] + PIECE, "right")) - 1))
+        j = min(n, max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1))
         yield i, j - i, data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 

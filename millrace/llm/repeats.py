@@ -22,7 +22,7 @@ from millrace.llm import kernel as K
 from millrace.llm.shared import Scratch, bloom, may_contain
 from millrace.llm.suffixes import common_prefixes, suffix_array
 
-LENGTH, GRAMS, SHARD, TEXT = 200, (48, 176, 194, 200), 128, 3 << 19
+LENGTH, GRAMS, SHARD, TEXT = 200, (48, 176, 194, 200), 128, 1 << 19
 NO_ID = -(1 << 63)  # stands for a null id where rows meet
 _SEG = "start int, n int, key long, body long, self boolean"
 
