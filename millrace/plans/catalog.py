@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from millrace.plans import relational
+from millrace.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "relational"]
