@@ -95,7 +95,7 @@ def norm_asr(c: Column | str) -> Column:
 
 
 def answers(c: Column | str) -> Column:
-    return F.transform(F.regexp_extract_all(_text(c), F.lit(ANSWER_TAG), 1), F.trim)
+    return F.transform(F.regexp_extract_all(_text(c), F.lit(ANSWER_TAG), 1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
 
 
 def last_answer(c: Column | str) -> Column:

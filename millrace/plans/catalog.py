@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import relational
+from millrace.plans import relational, sequence, textual
 from millrace.plans.base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "relational"]
+__all__ = ["ORACLE", "QUERIES", "relational", "sequence", "textual"]
