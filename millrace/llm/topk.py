@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import Scratch
 
 PIVOTS, SAMPLE, QUERY_BLOCK, DATA_BLOCK = 16, 2048, 512, 4096
+TOGETHER, FIRST = 16, 64  # queries whose bounds are computed at once, and candidates evaluated before the first stop
 _BLOCK = "dim int, ids binary, vectors binary, tables binary"
 
 
@@ -63,10 +64,10 @@ def _pack(pivots: dict[int, np.ndarray], rows: int):
     return run
 
 
-def _inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact: in doubles while all sums stay below 2 to the 53, else in 64-bit integers."""
+def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """All inner products of rows, exact: in doubles while all sums stay below 2 to the 53, else in 64-bit integers."""
     top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[-1]
-    return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64) if top < 2**53 else x @ q
+    return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64) if top < 2**53 else q @ x.T
 
 
 class Best:
@@ -80,30 +81,46 @@ class Best:
 
     def offer(self, ids: np.ndarray, x: np.ndarray, table: np.ndarray) -> None:
         square = (x.astype(np.float64) ** 2).sum(axis=1)
-        bound = np.zeros((len(self.ids), len(ids)))
-        for p in range(table.shape[1]):
-            np.maximum(bound, np.abs(self.table[:, p, None] - table[None, :, p]), out=bound)
-        upper = (self.square[:, None] + square[None, :] - bound**2) / 2
-        upper += 1e-6 * (1 + self.square[:, None] + square[None, :])  # rounding of the distances
-        for i, q in enumerate(self.vectors):
-            self._one(i, q, ids, x, upper[i])
-
-    def _one(self, i: int, q: np.ndarray, ids: np.ndarray, x: np.ndarray, upper: np.ndarray) -> None:
-        scores, names = self.found[i]
-        live = np.flatnonzero((upper >= scores[-1]) & (ids != self.ids[i]) if len(scores) == self.k else ids != self.ids[i])
-        live = live[np.argsort(-upper[live], kind="stable")]
-        at, step = 0, 64
-        while at < len(live) and (len(scores) < self.k or upper[live[at]] >= scores[-1]):
-            part = live[at : at + step]
-            if len(scores) == self.k:
-                part = part[upper[part] >= scores[-1]]
-            s = np.concatenate((scores, _inner(q, x[part])))
-            n = np.concatenate((names, ids[part]))
-            order = np.lexsort((n, -s))[: self.k]
-            scores, names = s[order], n[order]
-            self.evaluated += len(part)
-            at, step = at + step, step * 4
-        self.found[i] = scores, names
+        columns = np.ascontiguousarray(table.T)
+        for at in range(0, len(self.ids), TOGETHER):
+            self._offer(slice(at, at + TOGETHER), ids, x, columns, square)
+
+    def _offer(self, part: slice, ids: np.ndarray, x: np.ndarray, columns: np.ndarray, square: np.ndarray) -> None:
+        own, vectors = self.table[part], self.vectors[part]
+        bound, gap = np.zeros((len(own), len(ids))), np.empty((len(own), len(ids)))
+        for p, column in enumerate(columns):
+            np.subtract(own[:, p, None], column[None, :], out=gap)
+            np.abs(gap, out=gap)
+            np.maximum(bound, gap, out=bound)
+        scale = self.square[part, None] + square[None, :]
+        upper = (scale - bound * bound) / 2 + 1e-6 * (1 + scale)  # with room for the rounding of the distances
+        upper[self.ids[part, None] == ids[None, :]] = -np.inf
+        every: np.ndarray | None = None  # the products of all, once most candidates of some query are wanted
+        for i in range(len(own)):
+            j = part.start + i
+            live = np.flatnonzero(upper[i] > -np.inf)
+            step = FIRST
+            while len(live):
+                if len(self.found[j][0]) == self.k:
+                    live = live[upper[i, live] >= self.found[j][0][-1]]
+                if len(live) > step:  # the highest bounds first
+                    order = np.argpartition(-upper[i, live], step)
+                    now, live = live[order[:step]], live[order[step:]]
+                else:
+                    now, live = live, live[:0]
+                if len(now) > FIRST and every is None:
+                    every = _products(vectors, x)
+                self._keep(j, every[i, now] if every is not None else _products(vectors[i : i + 1], x[now])[0], ids[now])
+                step *= 8
+
+    def _keep(self, j: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        self.evaluated += len(ids)
+        s, n = np.concatenate((self.found[j][0], scores)), np.concatenate((self.found[j][1], ids))
+        if len(s) > self.k:
+            keep = s >= np.partition(s, len(s) - self.k)[len(s) - self.k]
+            s, n = s[keep], n[keep]
+        order = np.lexsort((n, -s))[: self.k]
+        self.found[j] = s[order], n[order]
 
     def record(self) -> pa.RecordBatch:
         count = [len(s) for s, _ in self.found]
