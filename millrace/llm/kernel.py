@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,21 @@ U = np.uint64
 PIECE = 1 << 18  # bytes that one kernel call works on, or one text if that is longer: its arrays stay in the cache
 
 
+def trimmed(run: Callable) -> Callable:
+    """The same batches; when a task ends, its worker gives free memory back, for it lives on and serves other tasks."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidy
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (the published splitmix64 constants)."""
     x = x ^ (x >> U(30))
@@ -59,7 +75,9 @@ def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.n
     """(first row, rows, bytes, offsets) of runs of texts of about `size` bytes; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_binary()).fill_null(b"")
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = column.fill_null(b"")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

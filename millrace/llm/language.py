@@ -212,7 +212,7 @@ def _predict(shared):
                 i = j
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score), pa.array(ce, from_pandas=True), pa.array(rejected), *batch.columns[2:]], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected", *[f"c{k}" for k in range(len(batch.columns) - 2)]])
 
-    return run
+    return K.trimmed(run)
 
 
 def _offsets(texts: pa.Array) -> np.ndarray:

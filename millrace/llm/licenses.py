@@ -140,7 +140,7 @@ def _scan(shared, gram: int, window: int, band: int, least: float):
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(9)], names)
 
-    return run
+    return K.trimmed(run)
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, gram: int = GRAM, window: int = WINDOW, band: int = BAND) -> DataFrame:

@@ -67,7 +67,7 @@ def _signatures(size: int):
                 ["doc_id", "n_shingles", "h1", "h2", "bands", "sig"],
             )
 
-    return run
+    return K.trimmed(run)
 
 
 def _rows(values: np.ndarray, has: np.ndarray) -> pa.Array:
@@ -140,7 +140,7 @@ def _compare(size: int, percent: int):
             found = list(links(held))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return run
+    return K.trimmed(run)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, tables: Scratch | None = None) -> DataFrame:

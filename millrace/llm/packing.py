@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import kernel as K
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 CACHE_ENTRIES = 400_000  # distinct chunks of text whose ids a worker keeps
 _SPLIT = re.compile(r" \s")
@@ -115,4 +117,4 @@ def packed(docs: DataFrame, tokenizer_path: str, longest: int = 1024, end_id: in
             yield pa.RecordBatch.from_arrays([*made, pa.array(next_id + np.arange(len(lengths)), pa.int64()), pa.array(np.zeros(len(lengths), np.int64)), pa.array(np.log2(np.maximum(lengths, 1)).astype(np.int32))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"])
             next_id += len(lengths)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.trimmed(run), SCHEMA)

@@ -77,7 +77,7 @@ def _scan(gram: int, length: int):
                     ["id", "th", "start", "n", "key", "body", "self"],
                 )
 
-    return run
+    return K.trimmed(run)
 
 
 def _cut(gram: int, length: int):
@@ -95,7 +95,7 @@ def _cut(gram: int, length: int):
                     ["id", "th", "start", "n", "key", "body", "self", "copies"],
                 )
 
-    return run
+    return K.trimmed(run)
 
 
 def _slice(length: int):
@@ -114,7 +114,7 @@ def _slice(length: int):
                     rows = []
             yield _record(rows)
 
-    return run
+    return K.trimmed(run)
 
 
 _TEXTS = "id long, th long, start int, n int, key long, copies long, data binary"
@@ -174,7 +174,7 @@ def _sort_suffixes(length: int):
         if held:
             yield settle(held)
 
-    return run
+    return K.trimmed(run)
 
 
 def _removed(length: int, with_text: bool):
@@ -201,7 +201,7 @@ def _removed(length: int, with_text: bool):
             rest = batch.columns[3:]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made, *rest], ["id", *_MADE, *[f"c{k}" for k in range(len(rest))]])
 
-    return run
+    return K.trimmed(run)
 
 
 _MADE = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: What separates words: space and the five control characters that follow.
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +31,13 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = conf.get(_BATCH)
+        conf.set(_BATCH, str(BATCH_ROWS))  # whole documents make large Arrow batches, which both sides keep in memory
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(_BATCH, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

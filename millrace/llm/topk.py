@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import kernel as K
 from millrace.llm.shared import Scratch
 
 PIVOTS, SAMPLE, QUERY_BLOCK, DATA_BLOCK = 16, 2048, 512, 4096
@@ -61,7 +62,7 @@ def _pack(pivots: dict[int, np.ndarray], rows: int):
         for dim, (ids, vectors) in held.items():
             yield emit(dim, ids, vectors)
 
-    return run
+    return K.trimmed(run)
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -145,7 +146,7 @@ def _search(k: int):
         if best is not None:
             yield best.record()
 
-    return run
+    return K.trimmed(run)
 
 
 def top_inner(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64, tables: Scratch | None = None) -> DataFrame:
