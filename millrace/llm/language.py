@@ -85,6 +85,13 @@ class Model:
     def char_scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sum of log10 probabilities by text and language, scored characters, letters."""
         codes, first, letters = characters(texts)
+        acc = self.logs(codes, first)
+        acc[first[:-1]] = 0  # the blank before a text is given
+        sums = np.add.reduceat(acc.astype(np.float64), first[:-1]) if len(texts) else np.zeros((0, len(self.languages)))
+        return sums, np.diff(first) - 1, letters
+
+    def logs(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """log10 probability of each character after those before it, by language."""
         g = grams(codes, first, self.order)
         size = len(codes)
         acc = np.zeros((size, len(self.languages)), np.float32)
@@ -97,9 +104,7 @@ class Model:
             at, hit = _find(self.contexts[n], before)
             acc[left[hit]] += self.backoff[n][at[hit]]
         acc[left] += self.logp[0]
-        acc[first[:-1]] = 0  # the blank before a text is given
-        sums = np.add.reduceat(acc.astype(np.float64), first[:-1]) if len(texts) else np.zeros((0, len(self.languages)))
-        return sums, np.diff(first) - 1, letters
+        return acc
 
 
 def train(texts: list[str], labels: list[str], order: int = ORDER) -> Model:
