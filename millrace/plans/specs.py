@@ -29,11 +29,11 @@ def _exact_letter(truth: Column, found: Column) -> Column:
 _SPECS = {
     s.name: s
     for s in (
-        Spec("omnigaia", "predicted_answer", lambda t, o: X.last_real_answer(t), lambda g, p: F.lit(None).cast("boolean"), "id"),
-        Spec("lvomnibench", "predicted_option", X.option_choice, _exact_letter),
-        Spec("socialomni_l1", "predicted_option", lambda t, o: X.choice(t, "ABCD"), _exact_letter),
-        Spec("socialomni_l2", "predicted_option", lambda t, o: X.yes_no(t), _exact_letter),
-        Spec("videozerobench", "level3_answer", lambda t, o: X.lenient_answer(t), lambda g, p: F.when(g.isNotNull(), X.norm_exact(p) == X.norm_exact(g))),
+        Spec("open_answer", "predicted_answer", lambda t, o: X.last_real_answer(t), lambda g, p: F.lit(None).cast("boolean"), "id"),
+        Spec("option_text", "predicted_option", X.option_choice, _exact_letter),
+        Spec("option_letter", "predicted_option", lambda t, o: X.choice(t, "ABCD"), _exact_letter),
+        Spec("yes_no", "predicted_option", lambda t, o: X.yes_no(t), _exact_letter),
+        Spec("exact_answer", "level3_answer", lambda t, o: X.lenient_answer(t), lambda g, p: F.when(g.isNotNull(), X.norm_exact(p) == X.norm_exact(g))),
     )
 }
 

@@ -322,7 +322,7 @@ def _(spark, d):
 @query("rescore_by_spec", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'B' END AS new_prediction, o_orderkey % 2 = 0 AS new_correct FROM orders")
 def _(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "Answer: A").otherwise("<answer>B</answer>").alias("text"), F.lit(None).cast("array<string>").alias("options"), F.lit("a").alias("truth"))
-    return specs.rescored(rows, "socialomni_l1").select("o_orderkey", "new_prediction", "new_correct")
+    return specs.rescored(rows, "option_letter").select("o_orderkey", "new_prediction", "new_correct")
 
 
 @query("data_filter", "SELECT o_orderkey, o_orderkey % 2 = 0 AS passed FROM orders")

@@ -77,12 +77,12 @@ def test_prompt_rows(spark, tmp_path):
 
 
 def test_specs(spark):
-    assert specs.names()[0] == "lvomnibench"
+    assert specs.names()[0] == "exact_answer"
     with pytest.raises(KeyError, match="unknown benchmark"):
         specs.spec("nope")
     rows = spark.createDataFrame([("Final Answer: 8.0", None, "8")], "text string, options array<string>, truth string")
-    assert specs.rescored(rows, "videozerobench").first()["new_correct"]
-    assert specs.rescored(rows, "omnigaia").first()["new_correct"] is None
+    assert specs.rescored(rows, "exact_answer").first()["new_correct"]
+    assert specs.rescored(rows, "open_answer").first()["new_correct"] is None
 
 
 def test_streams_agree_with_batch(spark, tmp_path):
