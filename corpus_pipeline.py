@@ -58,7 +58,9 @@ ORACLE_SQL = None  # character models, induced sorting and byte-pair encoding ha
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        since = len(Scratch.made)
         docs = scratch.put(stage(spark, docs, sf_dir), name)
+        Scratch.release(since)
         if k:
             scratch.drop(STAGES[k - 1][0])
     return docs

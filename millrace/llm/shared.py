@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from typing import ClassVar
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Parquet tables in the shared folder. Written once, so a lost executor costs no recomputation of what led to them."""
 
+    made: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch.made.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path, conf = f"{self.root}/{name}", self.spark.conf
@@ -44,9 +48,16 @@ class Scratch:
         """Deletes tables that no later step reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(conf).delete(path, True)
 
+    @classmethod
+    def release(cls, since: int) -> None:
+        """Deletes all tables of operators that began after the first `since` did, once their results are written elsewhere."""
+        for s in cls.made[since:]:
+            s.drop("")
+        del cls.made[since:]
+
 
 def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
