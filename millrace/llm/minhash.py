@@ -61,9 +61,8 @@ def _signatures(size: int):
                         q = m.reshape(BANDS, -1)
                         bands[i + d] = K.mix((q * K.PLACE[: q.shape[1]]).sum(axis=1)).view(np.int64)
                         sig[i + d] = (K.mix(m.ravel()) >> K.U(56)).astype(np.uint8)
-            has = pa.array(np.repeat(count > 0, 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(count), pa.array(h[:, 0].view(np.int64)), pa.array(h[:, 1].copy().view(np.int64)), _rows(bands, np.asarray(has)), pa.array([x.tobytes() for x in sig], pa.binary())],
+                [batch.column(0), pa.array(count), pa.array(h[:, 0].view(np.int64)), pa.array(h[:, 1].copy().view(np.int64)), _rows(bands, count > 0), pa.array([x.tobytes() for x in sig], pa.binary())],
                 ["doc_id", "n_shingles", "h1", "h2", "bands", "sig"],
             )
 

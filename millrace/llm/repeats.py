@@ -4,7 +4,7 @@ A string of LENGTH bytes that starts in two places holds, in both, the same leas
 corpus is cut into segments, runs of string starts with the same least gram hash, and the hash is the shard. Strings
 that are equal are always in the same shard. Segments that are equal as a whole are settled by counting; of a shard's
 different segments one copy each goes into a suffix array built by induced sorting, and a start is repeated if its
-permuted common prefix with a neighbour reaches LENGTH. Shards with more than SHARD different segments are cut again by
+permuted common prefix with a neighbour reaches LENGTH. Shards whose different segments are more than SHARD bytes are cut again by
 a longer gram, up to the whole string, at which equal shard means equal string; none is left out at any size.
 """
 
@@ -22,7 +22,7 @@ from millrace.llm import kernel as K
 from millrace.llm.shared import Scratch, bloom, may_contain
 from millrace.llm.suffixes import common_prefixes, suffix_array
 
-LENGTH, GRAMS, SHARD, TEXT = 200, (48, 176, 194, 200), 128, 1 << 19
+LENGTH, GRAMS, SHARD, TEXT = 200, (48, 176, 194, 200), 1 << 20, 1 << 19  # SHARD, TEXT: bytes
 NO_ID = -(1 << 63)  # stands for a null id where rows meet
 _SEG = "start int, n int, key long, body long, self boolean"
 
@@ -242,8 +242,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] | Non
         spans = done if spans is None else spans.unionAll(done)
         if not bodies.take(1):
             break
-        sizes = bodies.groupBy("key").agg(F.count("*").alias("m"))
-        parts = bodies.join(sizes, "key").select("key", "copies", "at.*", (F.col("m") > SHARD).alias("large"))
+        sizes = bodies.groupBy("key").agg(F.sum(F.col("at.n") + (length - 1)).alias("bytes"))
+        parts = bodies.join(sizes, "key").select("key", "copies", "at.*", (F.col("bytes") > SHARD).alias("large"))
         parts = parts.groupBy("id", "th").agg(F.collect_list(F.struct("key", "copies", "start", "n", "large")).alias("parts"))
         parts = scratch.put(parts, f"parts-{level}")
         near = base.filter(may_contain(spark, bloom(parts, "id"), "id"))

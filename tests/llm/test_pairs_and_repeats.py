@@ -69,7 +69,7 @@ def test_suffix_arrays(monkeypatch, short):
     assert len(suffixes.suffix_array(np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
 
 
-@pytest.mark.parametrize(("length", "shard"), [(200, 128), (60, 2)])
+@pytest.mark.parametrize(("length", "shard"), [(200, 1 << 20), (60, 300)])
 def test_repeats_equal_brute_force(documents, monkeypatch, length, shard):
     from millrace.llm import repeats
 
