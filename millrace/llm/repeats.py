@@ -233,7 +233,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] | Non
     place = F.struct("id", "th", "start", "n")
     spans = None
     for level in range(len(grams)):
-        hits = scratch.put(_level(found, F.sum("copies")), f"hits-{level}")
+        hits = _level(found, F.sum("copies"))
+        if level == len(grams) - 1:  # a shard is one string: what is in it is repeated, be it by itself
+            hits = hits.withColumn("whole", F.lit(True))
+        hits = scratch.put(hits, f"hits-{level}")
         done = hits.filter("whole and copies = 1").select("id", "th", "start", "n")
         bodies = hits.filter("not whole").groupBy("key", "body").agg(F.sum("copies").alias("copies"), F.min(place).alias("at"))
         bodies = scratch.put(bodies, f"bodies-{level}")
