@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.geometry import credit
-from millrace.operators.metrics import share
 from millrace.operators.select import best_per_key
 
 
@@ -77,5 +76,3 @@ def level_report(rows: DataFrame, key: str | None = None) -> DataFrame:
     g = rows.groupBy(key) if key else rows.groupBy()
     return g.agg(F.count("*").alias("count"), *(pct(F.col(f"l{k}_correct").cast("double")).alias(f"level{k}_accuracy") for k in (3, 4, 5)), pct(F.col("tiou")).alias("mean_tiou_all"), pct(F.when(F.col("has_temporal_gt"), F.col("tiou"))).alias("mean_tiou_annotated"), pct(F.col("viou")).alias("mean_viou_all"), pct(F.when(F.col("has_spatial_gt"), F.col("viou"))).alias("mean_viou_annotated"))
 
-
-__all__ = ["error_ratio", "failures", "filter_summary", "grade_rollup", "inventory", "level_report", "manifest", "share", "snapshot", "transitions", "weighted_score"]
