@@ -4,9 +4,10 @@
    greatest value: 128 values for 64 evaluations. 32 bands of two permutations (four values) each. At a similarity of
    0.75 a band agrees with probability 0.32, so that a pair agrees in none with probability 5e-6.
 2. Rows with equal sets collapse to one representative (pre-aggregated, so a third of all rows being copies is no hot key).
-3. Each band value that several representatives have ties them to the least of them; no pairs within a value are made.
-   Of these ties, those whose 128 values suggest a similarity under 0.55 go (the estimate errs by 0.04; chance ties must
-   not chain families together). A pair of 0.75 or more has some 10 common bands, and so is tied, directly or by a third.
+3. Each band value that several representatives have ties them to the least of them. Of these ties, those whose 128
+   values suggest a similarity under 0.55 go (the estimate errs by 0.04; chance ties must not chain families together).
+   Where a tie went, the members of that value are compared with each other by their 128 values, in blocks of CLOSE, and
+   tied from 0.55 on. So a pair of 0.75 or more, which has some 10 common bands, is tied, directly or by others.
 4. Families (components of the ties) are compared on their full sets, in blocks of BLOCK members dealt out by a hash, so
    that a family of any size is many small tasks. A block gives a spanning forest of its links, not all its pairs.
 5. Components of the links, and back to all rows.
@@ -26,7 +27,7 @@ from millrace.llm import kernel as K
 from millrace.llm.links import components
 from millrace.llm.shared import Scratch, bloom, may_contain
 
-PERMUTATIONS, BANDS, BLOCK, LOOSE = 64, 32, 256, 0.55
+PERMUTATIONS, BANDS, BLOCK, CLOSE, LOOSE = 64, 32, 256, 1024, 0.55
 _RNG = np.random.Generator(np.random.PCG64(77))
 _A = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * K.U(2) + K.U(1)
 _B = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -74,10 +75,32 @@ def _rows(values: np.ndarray, has: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values[has].ravel()))
 
 
-def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+def _bytes(signatures) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, signatures)), np.uint8).reshape(len(signatures), -1)
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Share of equal values, less what 8 bits of each agree by chance."""
-    x = np.frombuffer(b"".join(map(bytes, a)), np.uint8).reshape(len(a), -1) == np.frombuffer(b"".join(map(bytes, b)), np.uint8).reshape(len(b), -1)
-    return pd.Series((x.mean(axis=1) - 1 / 256) / (1 - 1 / 256)) if len(a) else pd.Series([], dtype="float64")
+    return ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+
+
+def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(_alike(_bytes(a), _bytes(b))) if len(a) else pd.Series([], dtype="float64")
+
+
+def close(sig: np.ndarray, left: np.ndarray, right: np.ndarray, tied: np.ndarray, loose: float) -> list[tuple[int, int]]:
+    """As forest, by signatures; members marked tied are joined already."""
+    group, out = np.arange(len(sig)), []
+    group[tied] = len(sig)
+    targets = np.flatnonzero(right)
+    for i in np.flatnonzero(left):
+        todo = targets[group[targets] != group[i]]
+        todo = todo[(todo > i) | ~left[todo] | ~right[i]]
+        for j in todo[_alike(sig[todo], sig[i]) >= loose] if len(todo) else ():
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                out.append((int(i), int(j)))
+    return out
 
 
 def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -112,8 +135,19 @@ def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent:
     return out
 
 
+def _separate(loose: float):
+    """Rows of a bucket: i, j, block, rep, signature, and whether the tie to the bucket's least member stays."""
+
+    def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        block, tied = np.array([r[3] for r in rows]), np.array([r[6] for r in rows])
+        for a, b in close(_bytes([r[5] for r in rows]), block == rows[0][1], block == rows[0][2], tied, loose):
+            yield rows[a][4], rows[b][4]
+
+    return _grouped(links)
+
+
 def _compare(size: int, percent: int):
-    """Rows arrive sorted by family and pair of blocks; a group is at most two blocks of members."""
+    """Rows of a family: i, j, block, node, text."""
 
     def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         (_, i, j), texts = rows[0][:3], pa.array([r[5] for r in rows], pa.string())
@@ -125,6 +159,12 @@ def _compare(size: int, percent: int):
         for a, b in forest(sets, block == i, block == j, percent):
             yield rows[a][4], rows[b][4]
 
+    return _grouped(links)
+
+
+def _grouped(links):
+    """Rows arrive sorted by family or bucket and pair of blocks; a group is at most two blocks of members."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
@@ -142,6 +182,22 @@ def _compare(size: int, percent: int):
     return K.trimmed(run)
 
 
+def _dealt(rows: DataFrame, key: str, node: str, *carry: str) -> DataFrame:
+    """key, i, j, block, node: each row once for each pair of blocks that its own is in. rows has nb, the number of blocks."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(node), F.col("nb")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
+    return rows.select(key, node, "block", *carry, other).select(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", node, *carry)
+
+
+def _among(tied: DataFrame, judged: DataFrame, sig: DataFrame) -> DataFrame:
+    """Ties among the members of buckets in which a tie to the least member went."""
+    rows = tied.join(judged, ["least", "rep"])
+    cut = rows.groupBy("bucket").agg(F.ceil(F.count("*") / CLOSE).cast("int").alias("nb"), F.count("*").alias("n"), F.min("near").alias("whole")).filter("n > 1 and not whole").select("bucket", "nb")
+    rows = _dealt(rows.join(cut, "bucket"), "bucket", "rep", "near").join(sig, "rep").select("bucket", "i", "j", "block", "rep", "sig", "near")
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return rows.mapInArrow(_separate(LOOSE), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, tables: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable by links), kept (whether that is the row's own id).
 
@@ -159,17 +215,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, tables: S
     classes = scratch.put(classes, "classes")
     member = classes.select("rep", F.posexplode("bands").alias("band", "value"))
     bucket = member.groupBy("band", "value").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1").select("band", "value", "least")
-    ties = member.join(bucket, ["band", "value"]).filter("rep <> least").select("least", "rep").distinct()
+    tied = scratch.put(member.join(bucket, ["band", "value"]).filter("rep <> least").select(F.xxhash64("band", "value").alias("bucket"), "least", "rep"), "tied")
     sig = classes.select("rep", "sig")
-    ties = ties.join(sig.withColumnRenamed("sig", "x"), "rep").join(sig.select(F.col("rep").alias("least"), F.col("sig").alias("y")), "least")
+    pairs = tied.select("least", "rep").distinct()
+    pairs = pairs.join(sig.withColumnRenamed("sig", "x"), "rep").join(sig.select(F.col("rep").alias("least"), F.col("sig").alias("y")), "least")
     likeness = F.pandas_udf(_likeness, "double")
-    ties = ties.filter(likeness("x", "y") >= LOOSE).select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    family = components(ties, scratch, "ties")
+    judged = scratch.put(pairs.select("least", "rep", (likeness("x", "y") >= LOOSE).alias("near")), "judged")
+    ties = judged.filter("near").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    family = components(ties.unionAll(_among(tied, judged, sig)), scratch, "ties")
     family = scratch.put(family.select("node", "component").unionAll(family.select(F.col("component").alias("node"), "component").distinct()), "family")
     blocks = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    placed = family.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
-    placed = placed.select("component", "node", "block", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node")
+    placed = _dealt(family.join(blocks, "component"), "component", "node")
     texts = docs.filter(may_contain(spark, bloom(family, "node"), "doc_id")).dropDuplicates(["doc_id"]) if family.take(1) else docs.limit(0)
     grouped = placed.join(texts, placed["node"] == texts["doc_id"]).select("component", "i", "j", "block", "node", "text")
     grouped = grouped.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")

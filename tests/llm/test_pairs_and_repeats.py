@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -95,3 +96,12 @@ def test_repeats_equal_brute_force(documents, monkeypatch, length, shard):
         g = by[r["doc_id"]]
         assert (g["n_bytes"], g["n_removed"], g["n_spans"], g["kept_sha256"]) == (len(b), int(gone.sum()), runs, hashlib.sha256(rest).hexdigest())
     assert repeated(documents.limit(0)).count() == 0
+
+
+def test_near_pair_amid_many_that_share_its_passage(spark):
+    rng = random.Random(1)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = say(300)
+    rows = [(k, passage + " " + say(300)) for k in range(1100)] + [(5000 + k, passage + " " + say(40)) for k in range(2)]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got[5001] == got[5000] == 5000 and all(got[k] == k for k in range(1100))
