@@ -21,13 +21,47 @@ from millrace.llm import kernel as K
 GRAM, WINDOW, BAND, COVERAGE = 3, 2, 12, 0.75
 SCHEMA = "doc_id long, license_id string, coverage double, matched int, words int, word_start int, word_end int, byte_start int, byte_end int"
 
-#: Notices of well-known licenses, as their stewards ask to state them.
-TEMPLATES = {
+
+def _creative_commons() -> dict[str, str]:
+    """Short and long notices of the six licenses in each of their versions, and of the public domain dedication."""
+    out = {"cc0-1.0-line": "Licensed under CC0 1.0 Universal.", "cc0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."}
+    words = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+    for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"):
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            name = f"cc-{kind.lower()}-{version}"
+            title = "-".join(words[x] for x in kind.split("-"))
+            port = {"4.0": " International", "3.0": " Unported"}.get(version, " Generic")
+            out[f"{name}-short"] = f"Licensed under CC {kind} {version}."
+            out[f"{name}-line"] = f"This work is licensed under a Creative Commons {title} {version}{port} License."
+            if version < "4.0":  # these versions wrote two of the words in two
+                spaced = title.replace("NonCommercial", "Non-Commercial").replace("ShareAlike", "Share-Alike").replace("NoDerivatives", "NoDerivs")
+                if spaced != title:
+                    out[f"{name}-line-old"] = f"This work is licensed under a Creative Commons {spaced} {version}{port} License."
+    return out
+
+
+def _gnu() -> dict[str, str]:
+    """Lines and headers of the GNU licenses beside the GPL 3, whose notices are written out below."""
+    out = {}
+    for short, title, versions in (("gpl", "General Public License", ("2",)), ("lgpl", "Lesser General Public License", ("2.1", "3")), ("agpl", "Affero General Public License", ("3",))):
+        for v in versions:
+            name = f"{short}-{v if '.' in v else v + '.0'}"
+            out[f"{name}-line"] = f"This work is licensed under the GNU {title}, version {v}."
+            what = "This library" if (short, v) == ("lgpl", "2.1") else "This program"
+            out[f"{name}-or-later-header"] = f"{what} is free software; you can redistribute it and/or modify it under the terms of the GNU {title} as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version."
+    return out
+
+
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+
+#: Notices of well-known licenses, as their stewards ask to state them; full license texts are not among them.
+TEMPLATES = _creative_commons() | _gnu() | {
+    "mit-warranty": _AS_IS,
+    "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "bsd-line": "Released under the BSD License.",
     "bsd-2-clause-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-or-later-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "isc-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
@@ -118,6 +152,10 @@ def _scan(shared, gram: int, window: int, band: int, least: float):
         found: list[tuple] = []
         for t, shift in index.candidates(prints, at, band):
             template = index.words[t]
+            near = words[max(0, shift - band) : max(0, shift + len(template) + band)]
+            # No alignment has more words than the template has that occur near: most long templates end here.
+            if len(near) < least * len(template) or np.isin(template, near).sum() < least * len(template):
+                continue
             pairs = align(template, words, shift, min(band, max(2, len(template) // 2)))
             if pairs and len(pairs) >= least * len(template):
                 found.append((-len(pairs), -len(pairs) / len(template), pairs[0][1], pairs[-1][1], index.names[t], len(template)))

@@ -132,6 +132,24 @@ def test_licenses(spark):
     assert licenses.license_matches(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_common_licenses(spark):
+    lines = {"Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0-short", "Licensed under CC BY 4.0": "cc-by-4.0-short", "licensed under cc by-sa 3.0": "cc-by-sa-3.0-short", "Licensed under CC BY-NC-ND 2.0": "cc-by-nc-nd-2.0-short"}
+    lines |= {"This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "cc-by-nc-sa-4.0-line", "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by-4.0-line"}
+    lines |= {"This work is licensed under the GNU Affero General Public License, version 3.": "agpl-3.0-line", "This work is licensed under the GNU Lesser General Public License, version 2.1.": "lgpl-2.1-line", "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0-line"}
+    rows = [(k, "some words before " + x + " and after it") for k, x in enumerate(lines)]
+    got = {}
+    for r in licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append(r["license_id"])
+    assert [got.get(k) for k in range(len(lines))] == [[x] for x in lines.values()]
+
+
+def test_every_license_line_of_the_given_documents_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text rlike '(?i)(licensed|released) under'")
+    found = licenses.license_matches(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
+    lines = F.size(F.regexp_extract_all("text", F.lit("(?i)(licensed|released) under"), 0))
+    assert docs.count() and docs.join(found, "doc_id", "left").filter(F.coalesce("n", F.lit(0)) < lines).count() == 0
+
+
 def test_alignment_finds_the_longest_common_subsequence():
     rng = np.random.default_rng(9)
     for _ in range(60):
