@@ -103,3 +103,12 @@ def test_geometry(spark):
     assert one(spark, G.iou_enclosing(F.lit(0), F.lit(0), F.lit(0), F.lit(0))) == 0.0
     assert one(spark, G.angle_between(F.lit(0.0), F.lit(0.0), F.lit(90.0), F.lit(0.0))) == pytest.approx(90.0)
     assert one(spark, G.credit(F.lit(2.0), F.lit(4.0), F.lit(True))) == 0.5
+
+
+def test_wer_and_bleu_read_whole_texts(spark, tmp_path):
+    from millrace.plans.catalog import QUERIES
+
+    words = [f"w{k:05d}" for k in range(1000)]
+    spark.createDataFrame([(1, 0, " ".join(words))], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert QUERIES["wer"](spark, str(tmp_path)).first()["wer"] == pytest.approx(1 / 1000)
+    assert QUERIES["corpus_bleu"](spark, str(tmp_path)).first()["bleu"] == pytest.approx(2.718281828459045 ** (-1 / 999))
