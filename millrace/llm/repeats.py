@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
-from millrace.llm.shared import Scratch, bloom, may_contain
+from millrace.llm.shared import Scratch, marked
 from millrace.llm.suffixes import common_prefixes, suffix_array
 
-LENGTH, GRAMS, SHARD, TEXT = 200, (48, 176, 194, 200), 1 << 20, 1 << 19  # SHARD, TEXT: bytes
-NO_ID = -(1 << 63)  # stands for a null id where rows meet
+LENGTH, GRAMS, SHARD, TEXT, LONG = 200, (48, 176, 194, 200), 1 << 20, 1 << 19, 1 << 20  # SHARD, TEXT, LONG: bytes
+TASK_BYTES, MOST_TASKS = 2 << 20, 1 << 15  # of text that a sorting task gets, and how many tasks there are at most
 _SEG = "start int, n int, key long, body long, self boolean"
 
 
@@ -63,36 +63,32 @@ def segments(buf: np.ndarray, at: np.ndarray, gram: int, length: int) -> tuple[n
     return starts, ends - starts, key[starts].view(np.int64), K.spans(sums, starts, ends + length - 1).view(np.int64), moves[ends - 1] > moves[starts]
 
 
-def _scan(gram: int, length: int):
-    """Segments of whole documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, rows, buf, at in K.pieces(batch.column(2)):
-                s, n, key, body, own = segments(buf, at, gram, length)
-                d = np.searchsorted(at, s, "right") - 1
-                take = pa.array(d + i)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array((s - at[d]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), pa.array(body), pa.array(own)],
-                    ["id", "th", "start", "n", "key", "body", "self"],
-                )
-
-    return K.trimmed(run)
+def _windows(column: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(first row, bytes, offsets, place in the row) of runs of whole texts, and of parts of texts longer than LONG; parts overlap so that each string is in one. A segment that a cut divides is two of its shard."""
+    for i, rows, buf, at in K.pieces(column):
+        if rows > 1 or len(buf) <= LONG:
+            yield i, buf, at, 0
+            continue
+        for begin in range(0, max(1, len(buf) - length + 1), LONG):
+            part = buf[begin : begin + LONG + length - 1]
+            yield i, part, np.array([0, len(part)]), begin
 
 
-def _cut(gram: int, length: int):
-    """Segments of segments; they keep the place of the one they are cut from."""
+def _cut(gram: int, length: int, text: int):
+    """Segments of the bytes in column `text`: a row's columns before it, the start added to the third of them if there is one, and those after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, rows, buf, at in K.pieces(batch.column(4)):
+            for i, buf, at, begin in _windows(batch.column(text), length):
                 s, n, key, body, own = segments(buf, at, gram, length)
                 d = np.searchsorted(at, s, "right") - 1
                 take = pa.array(d + i)
-                start = (np.asarray(batch.column(2).take(take)) + (s - at[d])).astype(np.int32)
+                start = s - at[d] + begin
+                if text > 2:
+                    start = start + np.asarray(batch.column(2).take(take))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(n.astype(np.int32)), pa.array(key), pa.array(body), pa.array(own), batch.column(3).take(take)],
-                    ["id", "th", "start", "n", "key", "body", "self", "copies"],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), pa.array(body), pa.array(own), *(c.take(take) for c in batch.columns[text + 1 :])],
+                    ["id", "th", "start", "n", "key", "body", "self", "copies"][: 7 + len(batch.columns) - text - 1],
                 )
 
     return K.trimmed(run)
@@ -135,8 +131,7 @@ def repeated_starts(datas: list[bytes], shard: np.ndarray, length: int) -> np.nd
     owner = np.repeat(shard.astype(np.int32), sizes)
     sa = suffix_array(text, owner)
     limit = np.repeat(ends, sizes)
-    sa = sa[limit[sa] - sa >= length]
-    plcp = common_prefixes(raw, sa, owner, limit)
+    plcp = common_prefixes(raw, text, sa, owner, limit)
     hit = np.zeros(len(text), bool)
     near = plcp[sa] >= length
     hit[sa[near]] = True
@@ -183,7 +178,7 @@ def _removed(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, gone, runs, digest, kept = [], [], [], [], []
-            for data, parts in zip(batch.column(1), batch.column(2), strict=True):
+            for data, parts in zip(batch.column(0), batch.column(1), strict=True):
                 raw = np.frombuffer(data.as_buffer(), np.uint8) if data.is_valid and data.as_buffer().size else np.zeros(0, np.uint8)
                 edge = np.zeros(len(raw) + 1, np.int64)
                 if parts.is_valid:
@@ -198,14 +193,14 @@ def _removed(length: int, with_text: bool):
                 digest.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest.decode("utf-8", "ignore") if with_text else None)
             made = [pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())]
-            rest = batch.columns[3:]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *rest], ["id", *_MADE, *[f"c{k}" for k in range(len(rest))]])
+            rest = batch.columns[2:]
+            yield pa.RecordBatch.from_arrays([*made, *rest], [*_MADE, *[f"c{k}" for k in range(len(rest))]])
 
     return K.trimmed(run)
 
 
 _MADE = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-_OUT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+_OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
 def _level(found: DataFrame, count: Column) -> DataFrame:
@@ -225,11 +220,12 @@ def repeated(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] | Non
     character of which a part was removed is left out; carry names further columns to return. Others are not read. An empty table gives an empty one.
     """
     grams = grams or tuple(min(g, length) for g in GRAMS if g < length) + (length,)
-    spark = docs.sparkSession
-    scratch = tables or Scratch(spark, "repeats")
+    scratch = tables or Scratch(docs.sparkSession, "repeats")
     data = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(data).alias("th"), data.alias("data"))
-    found = scratch.put(base.mapInArrow(_scan(grams[0], length), f"id long, th long, {_SEG}").withColumn("copies", F.lit(1).cast("long")), "segments")
+    # The id (a hash for a null one) and a hash of the text name what is repeated in it; rows that agree in both share it.
+    named = [F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(data, F.lit(1))).alias("id"), F.xxhash64(data).alias("th"), data.alias("data")]
+    base = docs.select(*named)
+    found = scratch.put(base.mapInArrow(_cut(grams[0], length, 2), f"id long, th long, {_SEG}").withColumn("copies", F.lit(1).cast("long")), "segments")
     place = F.struct("id", "th", "start", "n")
     spans = None
     for level in range(len(grams)):
@@ -237,6 +233,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] | Non
         if level == len(grams) - 1:  # a shard is one string: what is in it is repeated, be it by itself
             hits = hits.withColumn("whole", F.lit(True))
         hits = scratch.put(hits, f"hits-{level}")
+        scratch.drop(f"segments-{level}" if level else "segments")
         done = hits.filter("whole and copies = 1").select("id", "th", "start", "n")
         bodies = hits.filter("not whole").groupBy("key", "body").agg(F.sum("copies").alias("copies"), F.min(place).alias("at"))
         bodies = scratch.put(bodies, f"bodies-{level}")
@@ -247,29 +244,30 @@ def repeated(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] | Non
             break
         sizes = bodies.groupBy("key").agg(F.sum(F.col("at.n") + (length - 1)).alias("bytes"))
         parts = bodies.join(sizes, "key").select("key", "copies", "at.*", (F.col("bytes") > SHARD).alias("large"))
-        parts = parts.groupBy("id", "th").agg(F.collect_list(F.struct("key", "copies", "start", "n", "large")).alias("parts"))
+        parts = parts.groupBy("id", "th").agg(F.collect_list(F.struct("key", "copies", "start", "n", "large")).alias("parts"))  # of one text
         parts = scratch.put(parts, f"parts-{level}")
-        near = base.filter(may_contain(spark, bloom(parts, "id"), "id"))
-        texts = near.join(parts, ["id", "th"])
+        small_bytes, large = parts.select(F.explode("parts").alias("p")).agg(F.sum(F.when(~F.col("p.large"), F.col("p.n") + (length - 1))), F.max("p.large")).first()
+        texts = marked(base, parts, "id").filter("maybe").drop("maybe").join(parts, ["id", "th"]).groupBy("id", "th").agg(F.first("data").alias("data"), F.first("parts").alias("parts"))
         pick = lambda large: F.filter("parts", lambda p: p["large"] == F.lit(large))
         small = texts.select("id", "th", "data", pick(False).alias("parts")).filter(F.size("parts") > 0).mapInArrow(_slice(length), _TEXTS)
-        small = small.repartition("key").sortWithinPartitions("key", "id", "th", "start")
+        tasks = max(1, min(MOST_TASKS, (small_bytes or 0) // TASK_BYTES))
+        small = small.repartition(tasks, "key").sortWithinPartitions("key", "id", "th", "start")
         spans = spans.unionAll(scratch.put(small.mapInArrow(_sort_suffixes(length), "id long, th long, start int, n int"), f"sorted-{level}"))
-        large = texts.select("id", "th", "data", pick(True).alias("parts")).filter(F.size("parts") > 0)
-        if not parts.filter(F.size(pick(True)) > 0).take(1):
+        if not large:
             break
         nxt = grams[level + 1]  # there is one: at the last, a shard has one content
-        pieces = large.mapInArrow(_slice(length), _TEXTS).select("id", "th", "start", "copies", "data")
-        found = scratch.put(pieces.mapInArrow(_cut(nxt, length), f"id long, th long, {_SEG}, copies long"), f"segments-{level + 1}")
-    marks = scratch.put(spans.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "marks")
-    maybe = may_contain(spark, bloom(marks, "id"), "id")
-    rest = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]
-    flagged = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(data).alias("th"), data.alias("data"), *rest).withColumn("maybe", maybe)
-    names = [f"c{k}" for k in range(len(carry))]
+        rest = texts.select("id", "th", "data", pick(True).alias("parts")).filter(F.size("parts") > 0)
+        pieces = rest.mapInArrow(_slice(length), _TEXTS).select("id", "th", "start", "data", "copies")
+        found = scratch.put(pieces.mapInArrow(_cut(nxt, length, 3), f"id long, th long, {_SEG}, copies long"), f"segments-{level + 1}")
+    marks = scratch.put(spans.groupBy("id", "th").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "marks")  # of one text
+    scratch.drop(*(f"{t}-{k}" for t in ("hits", "bodies", "parts", "sorted", "segments") for k in range(len(grams))))
+    names = [f"c{k}" for k in range(len(carry) + 1)]
+    rest = [F.col("doc_id").cast("long").alias("c0"), *(F.col(c).alias(n) for c, n in zip(carry, names[1:], strict=True))]
+    flagged = marked(docs.select(*named, *rest), marks, "id")
     types = "".join(f", {c} {t}" for c, t in flagged.select(*names).dtypes)
-    touched = flagged.filter("maybe").join(marks, ["id", "th"], "left").select("id", "data", "spans", *names).mapInArrow(_removed(length, with_text), _OUT + types)
+    touched = flagged.filter("maybe").join(marks, ["id", "th"], "left").select("data", "spans", *names).mapInArrow(_removed(length, with_text), _OUT + types)
     zero = F.lit(0).cast("long")
     text = F.col("data").cast("string") if with_text else F.lit(None).cast("string")
-    whole = flagged.filter("not maybe").select("id", F.length("data").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("data", 256).alias("kept_sha256"), text.alias("kept_text"), *names)
+    whole = flagged.filter("not maybe").select(F.length("data").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("data", 256).alias("kept_sha256"), text.alias("kept_text"), *names)
     out = touched.unionAll(whole)
-    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else []), *(F.col(f"c{k}").alias(c) for k, c in enumerate(carry)))
+    return out.select(F.col("c0").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else []), *(F.col(n).alias(c) for c, n in zip(carry, names[1:], strict=True)))

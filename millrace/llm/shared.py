@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import threading
 import uuid
 from typing import ClassVar
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words: space and the five control characters that follow.
 WORD = r"[^\x20\x09-\x0D]+"
 _BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+ROW_GROUP = 16 << 20  # bytes that a writer holds before it writes them out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +21,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests, one machine)."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return (found or f"/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
 
 
+class _SmallBatches:
+    """While a session writes tables, Arrow batches of few rows: whole documents make large ones, which both sides keep in memory. The setting comes back when the last of them is written."""
+
+    lock = threading.Lock()
+    writing: ClassVar[dict[int, list]] = {}
+
+    def __init__(self, spark: SparkSession):
+        self.conf, self.key = spark.conf, id(spark)
+
+    def __enter__(self) -> None:
+        with self.lock:
+            held = self.writing.setdefault(self.key, [0, self.conf.get(_BATCH)])
+            held[0] += 1
+            self.conf.set(_BATCH, str(BATCH_ROWS))
+
+    def __exit__(self, *_) -> None:
+        with self.lock:
+            held = self.writing[self.key]
+            held[0] -= 1
+            if not held[0]:
+                self.conf.set(_BATCH, self.writing.pop(self.key)[1])
+
+
 class Scratch:
     """Parquet tables in the shared folder. Written once, so a lost executor costs no recomputation of what led to them."""
 
@@ -35,13 +61,9 @@ class Scratch:
         Scratch.made.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        path, conf = f"{self.root}/{name}", self.spark.conf
-        before = conf.get(_BATCH)
-        conf.set(_BATCH, str(BATCH_ROWS))  # whole documents make large Arrow batches, which both sides keep in memory
-        try:
-            df.write.option("compression", "zstd").parquet(path)
-        finally:
-            conf.set(_BATCH, before)
+        path = f"{self.root}/{name}"
+        with _SmallBatches(self.spark):
+            df.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -63,32 +85,25 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
-BLOOM_WORDS = 1 << 18  # 64-bit words: 2 MiB, whatever the number of keys
-
+BLOOM_WORDS = 1 << 18  # 64-bit words at most: what the filter takes on a worker is bounded, whatever the number of keys
 
-def bloom(keys: DataFrame, key: str) -> np.ndarray:
-    """Bitmap of a fixed 2 MiB over the values of an integer column. Beyond some ten million keys it lets more through, which costs time and no result: an exact join follows every use."""
-    h1, h2 = F.xxhash64(F.col(key)), F.xxhash64(F.col(key), F.lit(1))
-    bits = F.explode(F.array(*(F.pmod(h, F.lit(BLOOM_WORDS * 64)) for h in (h1, h2)))).alias("bit")
-    rows = keys.select(bits).selectExpr("cast(bit div 64 as int) as at", "shiftleft(1L, cast(pmod(bit, 64) as int)) as mask")
-    got = rows.groupBy("at").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most BLOOM_WORDS rows
-    words = np.zeros(BLOOM_WORDS, np.int64)
-    words[got["at"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64)
-    return words
 
+def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows with `maybe`: false only where no row of keys has this value of the column; an exact join follows every use.
 
-def may_contain(spark: SparkSession, words: np.ndarray, key: str) -> Column:
-    """Whether the filter has the key; only two hashes of it go to Python, in Arrow batches."""
-    shared = spark.sparkContext.broadcast(words)
+    A Bloom filter of two bits in one word for each key, as a broadcast table of words, 12 bits for each key up to
+    BLOOM_WORDS words. With so many keys that it would let most through, all rows are marked and none is looked up.
+    """
+    n = keys.count()
+    if n > 12 * BLOOM_WORDS:
+        return rows.withColumn("maybe", F.lit(True))
+    words = min(BLOOM_WORDS, 1 << max(6, (12 * n // 64).bit_length()))
 
-    @F.pandas_udf("boolean")
-    def hit(a: pd.Series, b: pd.Series) -> pd.Series:
-        w, out = shared.value, None
-        for s in (a, b):
-            bit = s.to_numpy(np.int64)
-            x = ((w[bit >> 6] >> (bit & 63)) & 1).astype(bool)
-            out = x if out is None else out & x
-        return pd.Series(out)
+    def place(h: Column) -> tuple[Column, Column]:
+        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, k).bitwiseAND(F.lit(63)).cast("int"))
+        return F.pmod(h, F.lit(words)).cast("int"), bit(40).bitwiseOR(bit(50))
 
-    h1, h2 = F.xxhash64(F.col(key)), F.xxhash64(F.col(key), F.lit(1))
-    return hit(*(F.pmod(h, F.lit(BLOOM_WORDS * 64)) for h in (h1, h2)))
+    at, mask = place(F.xxhash64(F.col(key)))
+    table = keys.select(at.alias("bloom_at"), mask.alias("mask")).groupBy("bloom_at").agg(F.bit_or("mask").alias("bloom_bits"))
+    found = rows.withColumn("bloom_at", at).join(F.broadcast(table), "bloom_at", "left")
+    return found.withColumn("maybe", F.coalesce(F.col("bloom_bits").bitwiseAND(mask) == mask, F.lit(False))).drop("bloom_at", "bloom_bits")

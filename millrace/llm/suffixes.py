@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 SHORT = 4096  # characters of a reduced string; longer ones recurse
+TOGETHER = 64  # steps in which comparisons go on all at once; the few longer ones end one by one
 
 
 def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +67,11 @@ def _slices(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def _induce(b: _Buckets, small: np.ndarray, first: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The suffix array induced from leftmost-small suffixes in the given order. small: S-type positions; first: starts of strings."""
+    """The suffix array induced from leftmost-small suffixes in the given order. small: S-type positions; first: starts of strings.
+
+    What a bucket induces into itself, a run of one character, comes in waves, one for each character of the run; as many
+    waves as all runs of a wave still have characters are written at once.
+    """
     n = len(small)
     sa = np.full(n, -1, np.int32)
     count = len(b.start) - 1
@@ -77,6 +82,8 @@ def _induce(b: _Buckets, small: np.ndarray, first: np.ndarray, lms: np.ndarray)
     seeds = np.bincount(placed, minlength=count)
     sa[b.start[1:][placed] - seeds[placed] + _within(placed)] = lms
     head = b.start[:-1].copy()
+    fresh = np.append(True, b.of[1:] != b.of[:-1])[:n]
+    behind = (np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))).astype(np.int32)  # equal characters before
 
     def put_large(source: np.ndarray) -> None:
         source = source[~first[source]] - 1
@@ -87,6 +94,16 @@ def _induce(b: _Buckets, small: np.ndarray, first: np.ndarray, lms: np.ndarray)
         sa[np.arange(len(source)) + np.repeat(head[to] - begin, length)] = source[order]
         head[to] += length
 
+    def steps(source: np.ndarray, length: np.ndarray, at: np.ndarray, way: int) -> int:
+        """Waves after this one that only continue its runs, written from `at` of each bucket on, up or down."""
+        m = int(behind[source].min())
+        if m:
+            begin = np.cumsum(length) - length
+            place = np.repeat(at - way * begin, length) + way * np.arange(len(source))
+            k = np.arange(m)[:, None]
+            sa[place + way * k * np.repeat(length, length)] = source - 1 - k
+        return m
+
     # A last suffix is L-type: what follows it, the end of its string, sorts before all.
     ends = np.flatnonzero(np.append(first[1:], True)) if n else np.zeros(0, np.int64)
     to = b.of[ends]
@@ -95,12 +112,18 @@ def _induce(b: _Buckets, small: np.ndarray, first: np.ndarray, lms: np.ndarray)
     for now in b.rounds:
         begin = b.start[:-1][now].copy()
         while True:
-            filled = head[now]
-            wave = _slices(begin, filled - begin)
+            length = head[now] - begin
+            wave = _slices(begin, length)
             if not len(wave):
                 break
-            begin = filled.copy()
-            put_large(sa[wave])
+            source = sa[wave]
+            m = steps(source, length, head[now], 1)
+            if m:
+                head[now] += m * length
+                begin = head[now] - length
+            else:
+                begin = head[now].copy()
+                put_large(source)
         put_large(sa[_slices(b.start[1:][now] - seeds[now], seeds[now])])
     tail = b.start[1:].copy()
 
@@ -116,13 +139,18 @@ def _induce(b: _Buckets, small: np.ndarray, first: np.ndarray, lms: np.ndarray)
     for now in reversed(b.rounds):
         end = b.start[1:][now].copy()
         while True:
-            filled = tail[now]
-            wave = _slices(filled, end - filled)
+            length = end - tail[now]
+            wave = _slices(tail[now], length)
             if not len(wave):
                 break
-            back = _backward(wave, end - filled)
-            end = filled.copy()
-            put_small(sa[back])
+            source = sa[_backward(wave, length)]
+            m = steps(source, length, tail[now] - 1, -1)
+            if m:
+                tail[now] -= m * length
+                end = tail[now] + length
+            else:
+                end = tail[now].copy()
+                put_small(source)
         large = split[now] - b.start[:-1][now]
         put_small(sa[_backward(_slices(b.start[:-1][now], large), large)])
     return sa
@@ -210,33 +238,59 @@ def _equal_neighbours(text: np.ndarray, owner: np.ndarray, ranked: np.ndarray, s
     a, b = ranked[1:], ranked[:-1]
     live = np.flatnonzero((owner[a] == owner[b]) & (size[a] == size[b]) & (to_end[a] == to_end[b]))
     k = 0
-    while len(live):
+    while len(live) and k < TOGETHER:
         live = live[text[a[live] + k] == text[b[live] + k]]
         k += 1
         done = size[a[live]] <= k
         same[live[done] + 1] = True
         live = live[~done]
+    for i in live.tolist():  # few: all leftmost-small substrings together are about as long as the text
+        m = int(size[a[i]])
+        same[i + 1] = np.array_equal(text[a[i] + k : a[i] + m], text[b[i] + k : b[i] + m])
     return same
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, owner: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """Permuted: for each position, the bytes shared with the suffix before it in order, at most up to limit (the position where its own segment ends) of either. 0 for the first suffix of a string."""
+def common_prefixes(raw: np.ndarray, text: np.ndarray, sa: np.ndarray, owner: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Permuted: for each position, the bytes shared with the suffix before it in order, at most up to limit (the position where its own segment ends) of either. 0 for the first suffix of a string.
+
+    Where the characters before a suffix and before its neighbour are equal, the positions before are neighbours too and
+    share one character more: such a value is the one before it less 1. Only the others are found by comparison.
+    """
     n = len(text)
     plcp = np.zeros(n, np.int64)
     if n < 2:
         return plcp
-    a, b = sa[1:], sa[:-1]
+    near = owner[sa[1:]] == owner[sa[:-1]]
+    before = np.full(n, -1, np.int64)
+    before[sa[1:][near]] = sa[:-1][near]
+    begins = np.append(True, limit[1:] != limit[:-1])
+    carried = (before > 0) & ~begins
+    at = np.flatnonzero(carried)
+    carried[at] = (text[at - 1] == text[before[at] - 1]) & ~begins[before[at]]
+    a = np.flatnonzero(~carried & (before >= 0))
+    b = before[a]
     room = np.minimum(limit[a] - a, limit[b] - b)
-    room[owner[a] != owner[b]] = 0
-    padded = np.concatenate((text.astype(np.uint8), np.zeros(8, np.uint8)))
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    words = np.ascontiguousarray(eight).view(np.uint64).ravel()
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view(np.uint64).ravel()
     got, live = np.zeros(len(a), np.int64), np.flatnonzero(room > 0)
-    while len(live):
+    for _ in range(TOGETHER):
         diff = words[a[live] + got[live]] ^ words[b[live] + got[live]]
         low = diff & (~diff + np.uint64(1))
         step = np.where(diff == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
         got[live] += step
         live = live[(step == 8) & (got[live] < room[live])]
+        if not len(live):
+            break
+    for i in live.tolist():  # the sum of all compared prefixes is bounded by n log n, so few are long
+        x, y, k, most = int(a[i]), int(b[i]), int(got[i]), int(room[i])
+        while k < most:
+            m = min(4096, most - k)
+            other = np.flatnonzero(raw[x + k : x + k + m] != raw[y + k : y + k + m])
+            if len(other):
+                k += int(other[0])
+                break
+            k += m
+        got[i] = k
     plcp[a] = np.minimum(got, room)
-    return plcp
+    known = np.maximum.accumulate(np.where(carried, 0, np.arange(n)))
+    return np.maximum(plcp[known] - (np.arange(n) - known), 0)
