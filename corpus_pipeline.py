@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.language import identified
-from millrace.llm.minhash import near_duplicates
+from millrace.llm.minhash import one_of_each
 from millrace.llm.mixing import mixed
 from millrace.llm.packing import packed
 from millrace.llm.queries import tokenizer_path
 from millrace.llm.repeats import repeated
-from millrace.llm.shared import Scratch, bloom, may_contain, table
+from millrace.llm.shared import Scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,12 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of least id. Rows without an id stay."""
-    scratch = Scratch(spark, "dedup")
-    gone = scratch.put(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    docs = docs.select(*COLUMNS).withColumn("maybe", F.coalesce(may_contain(spark, bloom(gone, "gone"), "doc_id"), F.lit(False)))
-    checked = docs.filter("maybe").join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    return docs.filter("not maybe").unionByName(checked).select(*COLUMNS)
+    """One row of each group of near-duplicate texts, whatever the ids: that of least id (null last), then of least hash
+    of its text. Rows without a word are in no group and stay; of equal rows one stays. No rows give no rows."""
+    return one_of_each(docs.select(*COLUMNS))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
