@@ -45,18 +45,22 @@ PLACE = _RNG.integers(1, 1 << 63, 8, dtype=np.uint64) * U(2) + U(1)
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
+KEPT = 1 << 21
 _POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base, and of its inverse modulo 2 to the 64."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            step = np.full(size, U(base))
-            step[0] = 1
-            _POWERS[k] = np.multiply.accumulate(step)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    """Powers of the odd base, and of its inverse modulo 2 to the 64. Those for texts beyond KEPT bytes are not kept."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        step = np.full(n if n > KEPT else KEPT, U(base))
+        step[0] = 1
+        made.append(np.multiply.accumulate(step))
+    if n <= KEPT:
+        _POWERS[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def prefix(buf: np.ndarray, values: np.ndarray) -> np.ndarray:

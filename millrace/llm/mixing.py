@@ -39,16 +39,19 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
     """doc_id, size (words), source_size, target, copies, taken (copies * size), and the columns named in carry.
 
     Null and empty texts have size 0 and take 0 words. A null source is a source of its own, after all others. Rows with
-    equal ids are sampled each on their own; a null id is ordered as -1. Same rows give the same result. Columns that
-    are not named are not read, so their names do not matter. An empty table gives an empty result.
+    equal ids are sampled each on their own, in the order of a hash of the text; a null id is last and has the salt of its
+    text. Same rows give the same result. Columns that are not named are not read, so their names do not matter. An empty
+    table gives an empty result.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *([F.struct(*carry).alias("carried")] if carry else []))
+    text, unnamed = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").isNull()
+    drawn = F.when(unnamed, F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), drawn.alias("drawn"), F.xxhash64(text).alias("tie"), *([F.struct(*carry).alias("carried")] if carry else []))
     if not carry:  # the texts are read once
         base = (tables or Scratch(docs.sparkSession, "mix")).put(base, "sizes")
     salts = max(LEAST_SALTS, -(-docs.count() // CELL))
     bits = F.length(F.bin("size"))
-    mixer = F.pmod(F.coalesce("doc_id", F.lit(-1)), F.lit(1 << 31)) * F.lit(1103515245)
+    mixer = F.pmod(F.coalesce("doc_id", "drawn"), F.lit(1 << 31)) * F.lit(1103515245)
     base = base.withColumns({
         "skey": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),
         "stratum": (bits * 16 + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))")).cast("int"),
@@ -62,7 +65,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), "skey")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     share = share.select("skey", "source_size", "target", rate.alias("rate"), offset.alias("offset"))
-    within = F.row_number().over(Window.partitionBy(*cell).orderBy("size", "doc_id"))
+    within = F.row_number().over(Window.partitionBy(*cell).orderBy("size", F.col("doc_id").asc_nulls_last(), "tie"))
     out = base.withColumn("i", within).join(before, cell).join(share, "skey")
     place = F.col("before") + F.col("i")
     copies = F.floor(place * F.col("rate") + F.col("offset")) - F.floor((place - 1) * F.col("rate") + F.col("offset"))
@@ -71,11 +74,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
 
 
 SQL = """
-WITH base AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH base AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(coalesce(text, '')), 1, 8) AS BIGINT) AS drawn FROM documents),
 n AS (SELECT greatest(16, CAST(ceil(count(*) / 65536.0) AS BIGINT)) AS salts FROM documents),
 keyed AS (SELECT base.*, coalesce('s' || source, 'n') AS skey,
   length(bin(size)) * 16 + (size >> CAST(greatest(length(bin(size)) - 4, 0) AS BIGINT)) AS stratum,
-  ((((coalesce(doc_id, -1) % 2147483648) + 2147483648) % 2147483648) * 1103515245 // 65536) % salts AS salt FROM base, n),
+  ((((coalesce(doc_id, drawn) % 2147483648) + 2147483648) % 2147483648) * 1103515245 // 65536) % salts AS salt FROM base, n),
 src AS (SELECT skey, source, CAST(sum(size) AS BIGINT) AS source_size FROM keyed GROUP BY ALL),
 weighed AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS weight FROM src),
 filled AS (SELECT *, 3.0::DOUBLE * source_size / weight AS fill FROM weighed),
@@ -86,7 +90,7 @@ leveled AS (SELECT *, row_number() OVER up AS k,
 rise AS (SELECT arg_min(level, k) AS rise FROM leveled WHERE level <= fill),
 share AS (SELECT skey, source_size, least(3.0::DOUBLE * source_size, rise * weight) AS target,
   CAST('0x' || substr(md5('mix' || skey), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM leveled, rise),
-placed AS (SELECT *, row_number() OVER (PARTITION BY skey ORDER BY stratum, salt, size, doc_id) AS place FROM keyed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY skey ORDER BY stratum, salt, size, doc_id NULLS LAST) AS place FROM keyed),
 copied AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, u, place FROM placed JOIN share USING (skey))
 SELECT doc_id, size, source_size, target,
   CAST(least(3, floor(place * rate + u) - floor((place - 1) * rate + u)) AS BIGINT) AS copies,

@@ -25,36 +25,39 @@ from pyspark.sql import functions as F
 from millrace.llm import kernel as K
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
-CACHE_ENTRIES = 400_000  # distinct chunks of text whose ids a worker keeps
+CACHE_BYTES, CACHE_CHUNK, LONG_BLANKS = 24 << 20, 24, 4096  # bytes of chunks and ids that a worker keeps, characters of such a chunk, and of blanks that the pattern may meet at once
 _SPLIT = re.compile(r" \s")
 #: The published pre-tokenizer of the vocabulary (fixed value).
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Unicode white space (fixed values), as the pattern has it.
+_BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_BLANKS)
 
 
 class Ids(dict):
-    """Little-endian ids of ' ' + chunk, for chunks that a single space precedes. What precedes a lone space never joins what follows, so ids of chunks concatenate to the ids of the text."""
+    """Little-endian ids of ' ' + chunk, for chunks that a single space precedes. What precedes a lone space never joins what follows, so ids of chunks concatenate to the ids of the text. Short chunks are kept up to `room` bytes."""
 
-    def __init__(self, encode, limit: int):
+    def __init__(self, encode, single, room: int):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.single, self.room = encode, single, room
 
     def __missing__(self, chunk: str) -> bytes:
-        out = array("I", self.encode(" " + chunk)).tobytes()
-        if len(self) < self.limit:
+        whole = chunk.isascii() and chunk.isalpha()  # one piece to the pattern
+        out = array("I", self.single(b" " + chunk.encode()) if whole else self.encode(" " + chunk)).tobytes()
+        if len(chunk) <= CACHE_CHUNK and self.room > 0:
+            self.room -= len(chunk) + len(out) + 160  # and the objects that hold them
             self[chunk] = out
         return out
 
 
-def _ranks(path: str) -> dict[bytes, int] | None:
+def _ranks(d: dict) -> dict[bytes, int] | None:
     """Byte ranks of a byte-level BPE file whose ids follow its merges; None for any other file."""
-    with open(path, encoding="utf-8") as f:
-        d = json.load(f)
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-    pre, model = d.get("pre_tokenizer") or {}, d["model"]
+    pre, model, added = d.get("pre_tokenizer") or {}, d["model"], {t["content"] for t in d.get("added_tokens") or ()}
     fits = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not d.get("normalizer") and model["type"] == "BPE" and not model.get("ignore_merges")
+    fits = fits and not any(t.get(k) for t in d.get("added_tokens") or () for k in ("single_word", "lstrip", "rstrip"))
     try:
-        ranks = {bytes(shown[c] for c in token): k for token, k in model["vocab"].items()}
+        ranks = {bytes(shown[c] for c in token): k for token, k in model["vocab"].items() if token not in added}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         fits = fits and all(model["vocab"][a + b] == 256 + k for k, (a, b) in enumerate(merges))
     except KeyError:
@@ -63,21 +66,24 @@ def _ranks(path: str) -> dict[bytes, int] | None:
 
 
 def encoder(path: str):
-    """A function from a text to its ids as little-endian unsigned 32-bit bytes, equal to those of the tokenizers library without special tokens. A special token's string in a text is ordinary text."""
-    ranks = _ranks(path)
+    """A function from a text to its ids as little-endian unsigned 32-bit bytes, equal to those of the tokenizers library without added special tokens: the string of a special token in a text is that token."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    ranks = _ranks(d)
     if ranks is None:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     import tiktoken
 
-    plain = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    cache = Ids(plain, CACHE_ENTRIES)
-    get = cache.__getitem__
+    made = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    plain, single = made.encode_ordinary, made._encode_single_piece
+    special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in d.get("added_tokens") or ()}
+    marks = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+    get = Ids(plain, single, CACHE_BYTES).__getitem__
 
-    def ids(text: str) -> bytes:
+    def words(text: str) -> bytes:
         if _SPLIT.search(text):
             return np.array(plain(text), "<u4").tobytes()
         first, *rest = text.split(" ")
@@ -86,6 +92,20 @@ def encoder(path: str):
             return np.array(plain(first), "<u4").tobytes() + b"".join(map(get, rest)) + np.array(plain(" "), "<u4").tobytes()
         return np.array(plain(first), "<u4").tobytes() + b"".join(map(get, rest))
 
+    def part(text: str) -> bytes:
+        """Long runs of blanks never meet the pattern, which would go back through them: all but the last, or all at the end of a text, are one piece of their own."""
+        out, at = [], 0
+        for run in _BLANKS.finditer(text) if len(text) >= LONG_BLANKS else ():
+            end = run.end() - (run.end() < len(text))
+            out += [words(text[at : run.start()]), np.array(single(text[run.start() : end].encode()), "<u4").tobytes()]
+            at = end
+        return b"".join(out) + words(text[at:])
+
+    def ids(text: str) -> bytes:
+        if marks is None or not marks.search(text):
+            return part(text)
+        return b"".join(special[x] if k % 2 else part(x) for k, x in enumerate(marks.split(text)))
+
     return ids
 
 

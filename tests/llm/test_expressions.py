@@ -69,7 +69,6 @@ def test_packing_round_trip(documents):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     got = {}
     rows = packing.packed(documents, tokenizer_path()).collect()
     for r in rows:
@@ -89,12 +88,14 @@ def test_packing_round_trip(documents):
         packing.packed(documents, tokenizer_path(), 1000)
 
 
-@pytest.mark.parametrize("text", ["", " ", "  ", "a ", " a", "a  b", "a \n b", "a\n b", "it's  x ", "<|endoftext|> hi", "é\x1c b  c", "x  y"])
-def test_encoder_equals_the_tokenizer(text):
+LONG = [" " * 1_000_000, "\n" * 1_000_000, "x" + " " * 5000 + "y", "x" + " \n" * 4000 + "\n!", "\u3000" * 5000 + "a", "a" * 300_000, "ab " * 100_000 + " " * 9000, "x\x1c" * 5000, ("é" + " " * 4096) * 3]
+
+
+@pytest.mark.parametrize("text", [*LONG, "a<|endoftext|>", "<|endoftext|><|endoftext|> <|endof", "a  <|endoftext|>  b " + " " * 5000 + "<|endoftext|>", "", " ", "  ", "a ", " a", "a  b", "a \n b", "a\n b", "it's  x ", "<|endoftext|> hi", "é\x1c b  c", "x  y"])
+def test_encoder_equals_the_tokenizer(text):  # with its defaults
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     assert np.frombuffer(packing.encoder(tokenizer_path())(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
