@@ -1,14 +1,19 @@
 """Language-model scores from Brown classes.
 
-Words are counted over all training texts. The UNITS most frequent words, and SHAPES groups of all others (by length and
-last byte), are the units that exchange clustering puts into CLASSES classes: each unit in turn moves to the class that
-most raises the likelihood of the class bigrams, until a round moves none. A token's probability is the transition from
-the class before it times the word's share of its class, both smoothed by adding HALF a count; a word never seen is one
-more word of its class, which its shape gives. A text starts after an end.
-
-Counts of words, words of a class and class bigrams cover all training texts. What goes to the driver is bounded: unit
-bigrams (UNITS + SHAPES + 1 squared) and at most TABLE frequent words, which also go to the workers; all other words of
-a text meet their counts in a join.
+Exchange clustering puts every training word that occurs MIN_COUNT times or more into one of CLASSES classes: a word moves
+to the class that most raises the likelihood of the class bigrams. It runs in two parts. First the UNITS most frequent
+words and SHAPES groups of all others (by length and last byte) move one by one, in turn, until a round moves none: these
+are the classes to begin with. Then, SWEEPS times, one pass over the training texts counts the classes before and after
+each word, each word's counts meet in a shuffle, and every word moves to its best class, all others as they are. Of the
+assignments before and after each sweep the one of greatest likelihood stays, for moves made at once need not add up.
+Words of fewer occurrences, and those never seen, have the class of their group.
+
+A token's probability is the transition from the class before it times the word's share of its class, both smoothed by
+adding HALF a count; a word never seen is one more word of its class. A text starts after an end.
+
+Counts of words, words of a class, neighbours and class bigrams cover all training texts. What goes to the driver is
+bounded: unit bigrams (UNITS + SHAPES + 1 squared), class bigrams, and at most TABLE frequent words, which also go to the
+workers. Words beyond the table have counts and classes by a join with the words of each text; nothing is left out.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,9 +30,11 @@ from pyspark.sql import functions as F
 from millrace.llm import kernel as K
 from millrace.llm.shared import Scratch, crc_mod
 
-UNITS, SHAPES, CLASSES, TABLE, HALF, ROUNDS = 1024, 64, 48, 1 << 18, 0.5, 8
+UNITS, SHAPES, CLASSES, TABLE, HALF, ROUNDS, SWEEPS, MIN_COUNT = 1024, 64, 48, 1 << 18, 0.5, 8, 2, 4
+PENDING, WORDS = 1 << 21, 512  # neighbours that a task counts at a time, and words that move at a time
 END = np.uint64(0x5E0D5E0D5E0D5E0D)  # stands for the end in place of a word's hash
 END_SHAPE = SHAPES
+UNSET = 255  # in place of a class: that of the shape
 
 
 def tokens(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +128,7 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
             m[a] -= right
             m[:, a] -= left
             m[a, a] -= own
-            rows, cols = m.sum(axis=1), m.sum(axis=0)
+            rows, cols = m.sum(axis=1) + left, m.sum(axis=0) + right  # what meets the word counts there wherever it goes
             # What joining class b adds to the sum of pair counts times their logarithm, and takes in the margins.
             gain = (_xlogx(m + right[None, :]) - _xlogx(m)).sum(axis=1) + (_xlogx(m + left[:, None]) - _xlogx(m)).sum(axis=0)
             d = np.diag(m)
@@ -140,18 +148,230 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
     return of
 
 
-class Model:
-    """What a worker needs: frequent words with counts, classes of units, transitions, and the weight of each class."""
+class Table:
+    """Frequent words with their counts and, by sweep, classes; the class of each shape for all other words."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, units: Units, of: np.ndarray, bigrams: np.ndarray, types: np.ndarray, classes: int):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, classes: np.ndarray, shapes: np.ndarray, size: int):
         order = np.argsort(words)
-        self.words, self.counts, self.units, self.of = words[order], counts[order].astype(np.float64), units, of
-        one = np.eye(classes)[of]
-        m = one.T @ bigrams @ one
-        self.step = np.log10((m + HALF) / (m.sum(axis=1, keepdims=True) + HALF * classes))
-        tokens_of = one.T @ bigrams.sum(axis=0)
-        self.weight = np.log10(tokens_of + HALF * (one.T @ types + 1))
-        self.end_class = int(of[-1])
+        self.words, self.counts, self.classes, self.shapes, self.size = words[order], counts[order], [classes[order]], shapes.astype(np.uint8), size
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.words):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return at, self.words[at] == hashes
+
+    def classes_of(self, at: np.ndarray, found: np.ndarray, shapes: np.ndarray, sweep: int) -> np.ndarray:
+        out = self.shapes[shapes]
+        if len(self.words):
+            own = self.classes[sweep][at]
+            out = np.where(found & (own != UNSET), own, out)
+        return out.astype(np.int64)
+
+
+_CONTEXT = "pair boolean, h long, n long, class byte, codes binary, counts binary"
+
+
+def _neighbours(shared, sweep: int, all_words: bool):
+    """For each word: how often each class comes after it (codes 0 ..), before it (codes `size` ..), and it after itself (code 2 * size); and the class bigrams (pair is true, h is 'before * size + after')."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shared.value
+        size, width = t.size, 2 * t.size + 1
+        total = np.zeros(size * size, np.int64)
+        held: list[tuple] = []
+        pending = 0
+
+        def flush() -> pa.RecordBatch:
+            h, cls, code = (np.concatenate([x[k] for x in held]) for k in range(3))
+            names, index = np.unique(h, return_inverse=True)
+            key, n = np.unique(index * width + code, return_counts=True)
+            word, first = np.unique(key // width, return_index=True)
+            class_of = np.zeros(len(names), np.int8)
+            class_of[index] = cls
+            codes, counts, ends = (key % width).astype(np.uint8).tobytes(), n.astype(np.uint32).tobytes(), [*first[1:].tolist(), len(key)]
+            pairs = list(zip(first.tolist(), ends, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(word), bool)), pa.array(names[word].view(np.int64)), pa.array(np.zeros(len(word), np.int64)), pa.array(class_of[word]), pa.array([codes[x:y] for x, y in pairs], pa.binary()), pa.array([counts[4 * x : 4 * y] for x, y in pairs], pa.binary())], names=_names(_CONTEXT))
+
+        for batch in batches:
+            for _, _, buf, at in K.pieces(batch.column(0)):
+                h, shape, begin = tokens(buf, at)
+                place, found = t.find(h)
+                now = t.classes_of(place, found, shape, sweep)
+                before, start = np.concatenate(([size - 1], now[:-1])), np.zeros(len(h), bool)
+                start[begin[:-1]] = True
+                before[start] = size - 1
+                total += np.bincount(before * size + now, minlength=size * size)
+                itself = np.concatenate(([False], (h[1:] == h[:-1]) & ~start[1:]))
+                moving = shape != END_SHAPE
+                if not all_words and len(t.words):
+                    moving &= found & (t.counts[place] >= MIN_COUNT)
+                here = np.flatnonzero(moving)
+                held.append((h[here], now[here], np.where(itself[here], 2 * size, size + before[here])))
+                ahead = np.flatnonzero(moving[:-1] & ~itself[1:])  # an end comes after every word, so each has a next token
+                held.append((h[ahead], now[ahead], now[ahead + 1]))
+                pending += len(here) + len(ahead)
+                if pending >= PENDING:
+                    yield flush()
+                    held, pending = [], 0
+        if pending:
+            yield flush()
+        code = np.flatnonzero(total)
+        blank = pa.array([b""] * len(code), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(code), bool)), pa.array(code), pa.array(total[code]), pa.array(np.zeros(len(code), np.int8)), blank, blank], names=_names(_CONTEXT))
+
+    return K.trimmed(run)
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def gains(m: np.ndarray, a: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each word, of class a, and each class: the sum of x log x of class bigrams less those of the margins once it is there, up to a constant of the word.
+
+    right and left: counts of the classes after and before the word, without those of itself (own). Only the classes that
+    a word meets change, so the work is as large as its neighbours are many.
+    """
+    words, size = right.shape
+    each = np.arange(words)
+    out = np.zeros((words, size))
+    for mine, other, matrix in ((right, left, m), (left, right, m.T)):
+        w, c = np.nonzero(mine)
+        if not len(w):
+            continue
+        x = matrix.T[c].copy()  # over classes: their count with class c on this side, without the word
+        k = np.arange(len(w))
+        x[k, a[w]] -= mine[w, c]
+        same = np.flatnonzero(c == a[w])
+        x[same] -= other[w[same]]
+        x[same, a[w[same]]] -= own[w[same]]
+        more = _xlogx(x + mine[w, c][:, None]) - _xlogx(x)
+        begin = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        out[w[begin]] += np.add.reduceat(more, begin, axis=0)
+    d = np.repeat(np.diag(m)[None, :], words, axis=0)
+    d[each, a] -= right[each, a] + left[each, a] + own
+    out += _xlogx(d + right + left + own[:, None]) + _xlogx(d) - _xlogx(d + right) - _xlogx(d + left)
+    for mine, margin in ((right, m.sum(axis=1)), (left, m.sum(axis=0))):
+        rest, sum_ = np.repeat(margin[None, :], words, axis=0), mine.sum(axis=1) + own
+        rest[each, a] -= sum_
+        out -= _xlogx(rest + sum_[:, None]) - _xlogx(rest)
+    return out
+
+
+def _moved(m: np.ndarray):
+    """Rows arrive sorted by word; each word of MIN_COUNT tokens or more gets its best class (the last one is the end's alone)."""
+    size = len(m)
+
+    def settle(words: list[int], of: list[int], counts: list[np.ndarray]) -> pa.RecordBatch:
+        v, a = np.array(counts, np.float64).reshape(len(words), 2 * size + 1), np.array(of, np.int64)
+        enough = v[:, size:].sum(axis=1) >= MIN_COUNT  # each token has one before it
+        h, v, a = np.array(words, np.int64)[enough], v[enough], a[enough]
+        gain = gains(m, a, v[:, :size], v[:, size : 2 * size], v[:, -1])[:, : max(1, size - 1)]
+        best = gain.argmax(axis=1)
+        best = np.where(gain[np.arange(len(a)), best] > gain[np.arange(len(a)), a] + 1e-9, best, a)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(best.astype(np.int16))], names=["h", "class"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[int] = []
+        of: list[int] = []
+        counts: list[np.ndarray] = []
+        for batch in batches:
+            for h, cls, codes, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if not words or words[-1] != h:
+                    if len(words) >= WORDS:
+                        yield settle(words, of, counts)
+                        words, of, counts = [], [], []
+                    words.append(h)
+                    of.append(cls)
+                    counts.append(np.zeros(2 * size + 1, np.int64))
+                counts[-1][np.frombuffer(codes.as_buffer(), np.uint8)] += np.frombuffer(n.as_buffer(), np.uint32)
+        if words:
+            yield settle(words, of, counts)
+
+    return K.trimmed(run)
+
+
+class _Known:
+    """Classes by sweep of the words beyond the table that a batch of texts holds."""
+
+    def __init__(self, column: pa.Array):
+        flat = column.flatten()
+        self.h, first = np.unique(np.asarray(flat.field("h"), np.int64).view(np.uint64), return_index=True)
+        self.classes = [np.asarray(x, np.int16)[first] for x in (flat.field(k) for k in range(1, flat.type.num_fields))]
+
+    def apply(self, cls: np.ndarray, hashes: np.ndarray, found: np.ndarray, sweep: int) -> np.ndarray:
+        if sweep and len(self.h):
+            at = np.minimum(np.searchsorted(self.h, hashes), len(self.h) - 1)
+            cls = np.where(~found & (self.h[at] == hashes), self.classes[sweep - 1][at], cls)
+        return cls
+
+
+def _bigrams(shared, sweeps: int):
+    """Class bigrams of every assignment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shared.value
+        total = np.zeros((sweeps, t.size * t.size), np.int64)
+        for batch in batches:
+            known = _Known(batch.column(1))
+            for _, _, buf, at in K.pieces(batch.column(0)):
+                h, shape, begin = tokens(buf, at)
+                place, found = t.find(h)
+                for k in range(sweeps):
+                    now = known.apply(t.classes_of(place, found, shape, k), h, found, k)
+                    before = np.concatenate(([t.size - 1], now[:-1]))
+                    before[begin[:-1]] = t.size - 1
+                    total[k] += np.bincount(before * t.size + now, minlength=t.size * t.size)
+        k, code = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(total[k, code])], names=["sweep", "code", "n"])
+
+    return K.trimmed(run)
+
+
+class Model:
+    """What a worker needs: the table, the assignment that stays, transitions, and the weight of each class."""
+
+    def __init__(self, table: Table, sweep: int, bigrams: np.ndarray, types: np.ndarray):
+        self.table, self.sweep = table, sweep
+        self.step = np.log10((bigrams + HALF) / (bigrams.sum(axis=1, keepdims=True) + HALF * table.size))
+        self.weight = np.log10(bigrams.sum(axis=0) + HALF * (types + 1))
+
+
+def likelihood(m: np.ndarray) -> float:
+    """Of class bigrams, up to what does not depend on the classes."""
+    return float(_xlogx(m).sum() - _xlogx(m.sum(axis=0)).sum() - _xlogx(m.sum(axis=1)).sum())
+
+
+_LISTED = "row long, doc_id long, held_out boolean, text string, rare array<struct<h:long,tf:int>>"
+
+
+def _rare_words(h: np.ndarray, found: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Of each text, the words beyond the table and how often it has each."""
+    rows = len(begin) - 1
+    doc = np.repeat(np.arange(rows), np.diff(begin))
+    rare_doc, rare_h = doc[~found], h[~found]
+    order = np.lexsort((rare_h, rare_doc))
+    rare_doc, rare_h = rare_doc[order], rare_h[order]
+    new = np.concatenate(([True], (rare_doc[1:] != rare_doc[:-1]) | (rare_h[1:] != rare_h[:-1]))) if len(order) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    tf = np.diff(np.append(starts, len(order))).astype(np.int32)
+    offsets = np.searchsorted(rare_doc[starts], np.arange(rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(rare_h[starts].view(np.int64)), pa.array(tf)], ["h", "tf"]))
+
+
+def _list(shared):
+    """Texts with a number and their words beyond the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, row = shared.value, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for i, rows, buf, at in K.pieces(batch.column(2)):
+                h, _, begin = tokens(buf, at)
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(rows)), *(c.slice(i, rows) for c in batch.columns), _rare_words(h, t.find(h)[1], begin)], names=_names("row long, doc_id long, held_out boolean, text string, rare array"))
+                row += rows
+
+    return K.trimmed(run)
 
 
 _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, part double, steps double, rare array<struct<h:long,tf:int>>"
@@ -162,30 +382,19 @@ def _score(model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, row = model.value, TaskContext.get().partitionId() << 40
+        t = m.table
         for batch in batches:
+            known = _Known(batch.column(3))
             for i, rows, buf, at in K.pieces(batch.column(2)):
                 h, shape, begin = tokens(buf, at)
-                cls = m.of[m.units.of(h, shape)]
-                before = np.concatenate(([m.end_class], cls[:-1]))
-                before[begin[:-1]] = m.end_class
+                place, found = t.find(h)
+                cls = known.apply(t.classes_of(place, found, shape, m.sweep), h, found, m.sweep)
+                before = np.concatenate(([t.size - 1], cls[:-1]))
+                before[begin[:-1]] = t.size - 1
                 steps = np.add.reduceat(m.step[before, cls] - m.weight[cls], begin[:-1])
-                if len(m.words):
-                    place = np.minimum(np.searchsorted(m.words, h), len(m.words) - 1)
-                    found = m.words[place] == h
-                    part = np.add.reduceat(np.where(found, np.log10(m.counts[place] + HALF), 0.0), begin[:-1])
-                else:
-                    found, part = np.zeros(len(h), bool), np.zeros(rows)
-                doc = np.repeat(np.arange(rows), np.diff(begin))
-                rare_doc, rare_h = doc[~found], h[~found]
-                order = np.lexsort((rare_h, rare_doc))
-                rare_doc, rare_h = rare_doc[order], rare_h[order]
-                new = np.concatenate(([True], (rare_doc[1:] != rare_doc[:-1]) | (rare_h[1:] != rare_h[:-1]))) if len(order) else np.zeros(0, bool)
-                starts = np.flatnonzero(new)
-                tf = np.diff(np.append(starts, len(order))).astype(np.int32)
-                offsets = np.searchsorted(rare_doc[starts], np.arange(rows + 1)).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(rare_h[starts].view(np.int64)), pa.array(tf)], ["h", "tf"]))
+                part = np.add.reduceat(np.where(found, np.log10(t.counts[place] + HALF), 0.0), begin[:-1]) if len(t.words) else np.zeros(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(rows)), batch.column(0).slice(i, rows), batch.column(1).slice(i, rows), pa.array(np.diff(begin)), pa.array(np.add.reduceat(found.astype(np.int64), begin[:-1])), pa.array(part), pa.array(steps), rare],
+                    [pa.array(row + np.arange(rows)), batch.column(0).slice(i, rows), batch.column(1).slice(i, rows), pa.array(np.diff(begin)), pa.array(np.add.reduceat(found.astype(np.int64), begin[:-1])), pa.array(part), pa.array(steps), _rare_words(h, found, begin)],
                     ["row", "doc_id", "held_out", "n_tokens", "known", "part", "steps", "rare"],
                 )
                 row += rows
@@ -193,6 +402,31 @@ def _score(model):
     return K.trimmed(run)
 
 
+def _matrix(rows, size: int) -> np.ndarray:
+    out = np.zeros(size * size)
+    out[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+    return out.reshape(size, size)
+
+
+def _swept(train: DataFrame, table: Table, counts: DataFrame, least: int, beyond: bool, scratch: Scratch) -> list[DataFrame]:
+    """(h, class) of every word that moves, after each sweep; the table's classes are set too."""
+    spark, out = train.sparkSession, []
+    for k in range(SWEEPS):
+        context = scratch.put(train.mapInArrow(_neighbours(spark.sparkContext.broadcast(table), k, beyond), _CONTEXT), f"context-{k}")
+        pairs = context.filter("pair").groupBy(F.col("h").alias("code")).agg(F.sum("n").alias("n")).toPandas()  # classes squared
+        words = context.filter("not pair").select("h", "class", "codes", "counts").repartition("h").sortWithinPartitions("h")
+        moved = scratch.put(words.mapInArrow(_moved(_matrix(pairs, table.size)), "h long, class short"), f"moved-{k}")
+        scratch.drop(f"context-{k}")
+        frequent = moved.join(counts.filter(F.col("n") >= least).select("h"), "h", "left_semi") if beyond else moved
+        got = frequent.toPandas()  # TABLE rows at most
+        classes = np.full(len(table.words), UNSET, np.uint8)
+        at, found = table.find(got["h"].to_numpy(np.int64).view(np.uint64))
+        classes[at[found]] = got["class"].to_numpy(np.uint8)[found]
+        table.classes.append(classes)
+        out.append(moved)
+    return out
+
+
 def class_scores(docs: DataFrame, folds: int = 5, held: int = 1, tables: Scratch | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10), perplexity of every document.
 
@@ -201,36 +435,46 @@ def class_scores(docs: DataFrame, folds: int = 5, held: int = 1, tables: Scratch
     all words are unknown. Only doc_id and text are read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     scratch = tables or Scratch(spark, "brown")
     out = F.coalesce(crc_mod("doc_id", folds) == held, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     train = docs.filter("not held_out").select("text")
     counts = train.mapInArrow(K.trimmed(_count), "h long, shape byte, n long").groupBy("h").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
     counts = scratch.put(counts, "counts")
-    steps = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toPandas()  # distinct counts: some root of the tokens
-    total, vocabulary = int((steps["n"] * steps["words"]).sum()), int(steps["words"].sum())
-    fits = steps[steps["words"].cumsum() <= TABLE]
+    by_count = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toPandas()  # distinct counts: some root of the tokens
+    total, vocabulary = int((by_count["n"] * by_count["words"]).sum()), int(by_count["words"].sum())
+    fits = by_count[by_count["words"].cumsum() <= TABLE]
     least = int(fits["n"].min()) if len(fits) else 1 << 62
     top = counts.filter(F.col("n") >= least).toPandas().sort_values(["n", "h"], ascending=[False, True])  # TABLE rows at most
+    beyond = bool(((by_count["n"] >= MIN_COUNT) & (by_count["n"] < least)).any())
     words = top["h"].to_numpy(np.int64).view(np.uint64)
-    plain = top[top["h"] != np.int64(END)]["h"].to_numpy(np.int64).view(np.uint64)
-    units = Units(plain[:UNITS])
-    pairs = train.mapInArrow(_pairs(spark.sparkContext.broadcast(units)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    bigrams = np.zeros(units.size * units.size)
-    bigrams[pairs["code"].to_numpy(np.int64)] = pairs["n"].to_numpy(np.float64)
-    bigrams = bigrams.reshape(units.size, units.size)
-    classes = min(CLASSES, units.size)
-    of = exchange(bigrams, classes)
-    kinds = counts.groupBy("shape").agg(F.count("*").alias("types")).toPandas()  # SHAPES + 1 rows at most
-    types = np.ones(units.size)
-    types[len(units.sorted) :] = 0
-    types[len(units.sorted) + kinds["shape"].to_numpy(np.int64)] = kinds["types"].to_numpy(np.float64)
+    units = Units(words[words != END][:UNITS])
+    pairs = train.mapInArrow(_pairs(share(units)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    size = min(CLASSES, units.size)
+    of = exchange(_matrix(pairs, units.size), size)
+    begin = np.full(len(words), UNSET, np.uint8)
     if len(units.sorted):
-        shape_of = top.set_index(top["h"].to_numpy(np.int64).view(np.uint64))["shape"].loc[units.sorted].to_numpy(np.int64)
-        np.subtract.at(types, len(units.sorted) + shape_of, 1)
-    model = Model(words, top["n"].to_numpy(), units, of, bigrams, types, classes)
-    scored = scratch.put(docs.mapInArrow(_score(spark.sparkContext.broadcast(model)), _SCORED), "scored")
-    rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.h", "w.tf").join(counts.select("h", "n"), "h")
+        at = np.minimum(np.searchsorted(units.sorted, words), len(units.sorted) - 1)
+        begin = np.where(units.sorted[at] == words, of[at], UNSET).astype(np.uint8)
+    table = Table(words, top["n"].to_numpy(), begin, of[len(units.sorted) :], size)
+    moved = _swept(train, table, counts, least, beyond, scratch)
+    classes = "array<struct<h:long" + "".join(f",c{k + 1}:short" for k in range(SWEEPS)) + ">>"
+    given = docs.withColumn("known", F.array().cast(classes))
+    if beyond:  # texts meet the classes of their words beyond the table
+        named = counts.filter((F.col("n") < least) & (F.col("n") >= MIN_COUNT)).select("h")
+        for k, m in enumerate(moved):
+            named = named.join(m.select("h", F.col("class").alias(f"c{k + 1}")), "h")
+        listed = scratch.put(docs.mapInArrow(_list(share(table)), _LISTED), "listed")
+        held_words = listed.select("row", F.explode("rare").alias("w")).select("row", "w.h").join(named, "h").groupBy("row").agg(F.collect_list(F.struct("h", *(f"c{k + 1}" for k in range(SWEEPS)))).alias("known"))  # of one text
+        given = scratch.put(listed.drop("rare").join(held_words, "row", "left").select("doc_id", "held_out", "text", F.coalesce("known", F.array().cast(classes)).alias("known")), "given")
+        scratch.drop("listed")
+    bigrams = given.filter("not held_out").select("text", "known").mapInArrow(_bigrams(share(table), SWEEPS + 1), "sweep int, code int, n long").groupBy("sweep", "code").agg(F.sum("n").alias("n")).toPandas()
+    matrices = [_matrix(bigrams[bigrams["sweep"] == k], size) for k in range(SWEEPS + 1)]
+    sweep = int(np.argmax([likelihood(m) for m in matrices]))
+    model = Model(table, sweep, matrices[sweep], _types(counts, table, moved[sweep - 1] if sweep else None, top))
+    scored = scratch.put(given.select("doc_id", "held_out", "text", "known").mapInArrow(_score(share(model)), _SCORED), "scored")
+    rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.h", "w.tf").join(counts.filter(F.col("n") < least).select("h", "n"), "h")
     seen = rare.groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * (F.log10(F.col("n") + HALF) - F.lit(float(np.log10(HALF))))).alias("gain"))
     half = float(np.log10(HALF))
     everything = scored.drop("rare").join(seen, "row", "left")
@@ -241,3 +485,18 @@ def class_scores(docs: DataFrame, folds: int = 5, held: int = 1, tables: Scratch
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * F.lit(mass)).alias("base_score"), (logs + F.col("steps")).alias("score"),
     ).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+
+
+def _types(counts: DataFrame, table: Table, moved: DataFrame | None, top: pd.DataFrame) -> np.ndarray:
+    """Distinct training words of each class. Those of a group are counted in Spark, and words with a class of their own taken from them."""
+    types, group = np.zeros(table.size), table.shapes.astype(np.int64)
+    kinds = counts.groupBy("shape").agg(F.count("*").alias("words")).toPandas()  # a row of each shape
+    np.add.at(types, group[kinds["shape"].to_numpy(np.int64)], kinds["words"].to_numpy(np.float64))
+    if moved is None:
+        own = top.sort_values("h", key=lambda h: h.to_numpy().view(np.uint64)).assign(**{"class": table.classes[0], "words": 1})
+        own = own[own["class"] != UNSET]
+    else:
+        own = moved.join(counts.select("h", "shape"), "h").groupBy("shape", "class").agg(F.count("*").alias("words")).toPandas()  # shapes times classes
+    np.subtract.at(types, group[own["shape"].to_numpy(np.int64)], own["words"].to_numpy(np.float64))
+    np.add.at(types, own["class"].to_numpy(np.int64), own["words"].to_numpy(np.float64))
+    return types

@@ -134,7 +134,7 @@ class Index:
         self.template, self.place = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
 
     def candidates(self, prints: np.ndarray, at: np.ndarray, band: int) -> list[tuple[int, int]]:
-        """(template, place in the text where it would begin): one for each run of hits whose places differ by at most a band."""
+        """(template, place in the text where it would begin), so that each hit is within the template's band of one: the first of the hits that are not yet is the next."""
         low, high = np.searchsorted(self.keys, prints, "left"), np.searchsorted(self.keys, prints, "right")
         hit = np.flatnonzero(high > low)
         if not len(hit):
@@ -142,8 +142,15 @@ class Index:
         count = (high - low)[hit]
         entry = np.repeat(low[hit] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
         found = np.unique(np.stack([self.template[entry], np.repeat(at[hit], count) - self.place[entry]], axis=1), axis=0)
-        new = np.concatenate(([True], (np.diff(found[:, 0]) != 0) | (np.diff(found[:, 1]) > band // 2)))
-        return [(int(t), int(s)) for t, s in found[new]]
+        out: list[tuple[int, int]] = []
+        for t, s in found.tolist():
+            if not out or out[-1][0] != t or s - out[-1][1] > self.band(t, band):
+                out.append((t, s))
+        return out
+
+    def band(self, template: int, most: int) -> int:
+        """At most half a template, so that copies one after the other are candidates apart."""
+        return min(most, max(2, len(self.words[template]) // 2))
 
 
 def _scan(shared, gram: int, window: int, band: int, least: float):
@@ -156,7 +163,7 @@ def _scan(shared, gram: int, window: int, band: int, least: float):
             # No alignment has more words than the template has that occur near: most long templates end here.
             if len(near) < least * len(template) or np.isin(template, near).sum() < least * len(template):
                 continue
-            pairs = align(template, words, shift, min(band, max(2, len(template) // 2)))
+            pairs = align(template, words, shift, index.band(t, band))
             if pairs and len(pairs) >= least * len(template):
                 found.append((-len(pairs), -len(pairs) / len(template), pairs[0][1], pairs[-1][1], index.names[t], len(template)))
         taken: list[tuple[int, int]] = []

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: What separates words: space and the five control characters that follow.
 WORD = r"[^\x20\x09-\x0D]+"
-_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+_SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 ROW_GROUP = 16 << 20  # bytes that a writer holds before it writes them out
 
 
@@ -39,16 +39,18 @@ class _SmallBatches:
 
     def __enter__(self) -> None:
         with self.lock:
-            held = self.writing.setdefault(self.key, [0, self.conf.get(_BATCH)])
+            held = self.writing.setdefault(self.key, [0, {k: self.conf.get(k) for k in _SMALL}])
             held[0] += 1
-            self.conf.set(_BATCH, str(BATCH_ROWS))
+            for k, v in _SMALL.items():
+                self.conf.set(k, v)
 
     def __exit__(self, *_) -> None:
         with self.lock:
             held = self.writing[self.key]
             held[0] -= 1
             if not held[0]:
-                self.conf.set(_BATCH, self.writing.pop(self.key)[1])
+                for k, v in self.writing.pop(self.key)[1].items():
+                    self.conf.set(k, v)
 
 
 class Scratch:

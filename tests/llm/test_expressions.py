@@ -117,6 +117,36 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_inner(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_queries_of_their_own(spark):
+    rows = [(20, [1.0, 0.0], 1), (20, [0.0, 1.0], 1), (20, [0.0, 1.0], 1), (3, [0.5, 0.25], 1)]
+    got = topk.top_inner(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int"), F.col("vec_id") % 20 == 0).collect()
+    want = []
+    for i, (a, x, _) in enumerate(rows[:3]):
+        order = sorted((-sum(int(64 * p) * int(64 * q) for p, q in zip(x, y, strict=True)), b) for j, (b, y, _) in enumerate(rows) if j != i)
+        want += [(a, r + 1, b, -s) for r, (s, b) in enumerate(order)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_bounds_decide_what_is_evaluated():
+    """On vectors in clusters most products are never computed, and the result is that of all products."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(24, 16)) * 400
+    x = np.rint(centres[rng.integers(0, 24, 6000)] + rng.normal(size=(6000, 16)) * 10).astype(np.int64)
+    rows, ids = np.arange(6000), rng.permutation(6000)
+    sample = topk.Sample(rows[::3].tolist(), list(x[::3]), 32)
+    ask = np.arange(0, 6000, 100)
+    best = topk.Best(ids[ask], rows[ask], x[ask], sample.table(x[ask]), sample.least(rows[ask], x[ask], 20), 20)
+    order = np.argsort(sample.table(x).argmin(axis=1), kind="stable")
+    for at in range(0, 6000, 500):
+        part = order[at : at + 500]
+        best.offer(ids[part], rows[part], x[part], sample.table(x[part]))
+    for j, q in enumerate(ask):
+        scores = x @ x[q]
+        want = sorted((-int(scores[r]), int(ids[r])) for r in rows if r != q)[:20]
+        assert [(-int(s), int(n)) for s, n in zip(*best.found[j], strict=True)] == want
+    assert best.evaluated < 0.2 * len(ask) * 6000
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["mit-permission"]
     changed = mit.replace("free of charge", "at no charge at all").replace("sublicense, ", "")
@@ -133,6 +163,46 @@ def test_licenses(spark):
     assert licenses.license_matches(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 6, 40])
+def test_notices_in_a_row_are_all_found(spark, n):
+    lines = {"mit-line": "Released under the MIT License. ", "bsd-line": "Released under the BSD License. ", "apache-2.0-line": "Licensed under the Apache License, Version 2.0. ", "cc-by-4.0-short": "Licensed under CC BY 4.0. "}
+    rows = [(k, x * n, 1) for k, x in enumerate(lines.values())] + [(9, "".join(lines.values()) * n, 1)] + [(k, "Released under the\n" + x * n, 1) for k, x in enumerate(lines.values(), 20)]
+    got = {}
+    for r in licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string, license_id int")).collect():
+        got.setdefault(r["doc_id"], []).append((r["word_start"], r["word_end"], r["license_id"]))
+    for k, name in enumerate(lines):
+        for d in (k, 20 + k):
+            found = sorted(got[d])
+            assert [x[2] for x in found] == [name] * n and all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+    assert sorted(x[2] for x in got[9]) == sorted([*lines] * n)
+
+
+def test_scan_equals_alignment_at_every_place():
+    """Against brute force: no exact copy of a template at any place is without its candidate."""
+    rng = np.random.default_rng(11)
+    templates = {"a": "one two three four five six", "b": "two three four nine ten", "c": "six seven eight nine"}
+    index, words = licenses.Index(templates, 3, 2), [*"one two three four five six seven eight nine ten".split(), "x"]
+    hashes = {w: licenses.K.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0] for w in words}
+    for _ in range(60):
+        text = [words[k] for k in rng.integers(0, len(words), 8)]
+        for _ in range(3):
+            at = rng.integers(0, len(text) + 1)
+            text[at:at] = templates["abc"[rng.integers(0, 3)]].split()
+        h = np.array([hashes[w] for w in text], np.uint64)
+        prints, places = licenses.winnow(h, 3, 2)
+        found = {(t, p[0], p[-1]) for t, s in index.candidates(prints, places, 12) if (p := [y for _, y in licenses.align(index.words[t], h, s, index.band(t, 12))]) and len(p) == len(index.words[t])}
+        for t, w in enumerate(index.words):  # every exact copy is within a whole alignment of its own
+            for at in range(len(h) - len(w) + 1):
+                if (h[at : at + len(w)] == w).all():
+                    assert any(t == u and at - index.band(t, 12) <= a <= at and b >= at + len(w) - 1 for u, a, b in found)
+
+
+@pytest.mark.parametrize("text", ["x " * 300_000 + licenses.TEMPLATES["mit-permission"], licenses.TEMPLATES["mit-line"] + " z" * 300_000])
+def test_license_in_a_very_long_text(spark, text):
+    got = licenses.license_matches(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(got) == 1 and got[0]["coverage"] == 1.0
+
+
 def test_common_licenses(spark):
     lines = {"Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0-short", "Licensed under CC BY 4.0": "cc-by-4.0-short", "licensed under cc by-sa 3.0": "cc-by-sa-3.0-short", "Licensed under CC BY-NC-ND 2.0": "cc-by-nc-nd-2.0-short"}
     lines |= {"This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "cc-by-nc-sa-4.0-line", "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by-4.0-line"}

@@ -49,9 +49,35 @@ def test_exchange_raises_likelihood():
         return f(m) - f(m.sum(0)) - f(m.sum(1))
 
     assert value(of) >= value(np.append(true, 3)) - 1e-6
+    for w in range(24):  # and no word's move raises it further
+        for c in range(3):
+            moved = of.copy()
+            moved[w] = c
+            assert value(moved) <= value(of) + 1e-6
 
 
-@pytest.mark.parametrize("table", [1 << 18, 4])
+def test_gains_are_differences_of_likelihood():
+    rng = np.random.default_rng(3)
+    words, size = 12, 5
+    for _ in range(20):
+        big = rng.integers(0, 5, (words, words)) * (rng.random((words, words)) < 0.6)
+        of = rng.integers(0, size, words)
+        one = np.eye(size)[of]
+        m = one.T @ big @ one
+        own = np.diag(big).astype(float)
+        right, left = big @ one, big.T @ one
+        right[np.arange(words), of] -= own
+        left[np.arange(words), of] -= own
+        gain = brown.gains(m, of, right, left, own)
+        for w in range(words):
+            values = []
+            for c in range(size):
+                there = np.eye(size)[np.where(np.arange(words) == w, c, of)]
+                values.append(brown.likelihood(there.T @ big @ there))
+            assert gain[w] - gain[w, 0] == pytest.approx(np.array(values) - values[0], abs=1e-6)
+
+
+@pytest.mark.parametrize("table", [1 << 18, 40, 4])
 def test_base_scores_equal_brute_force(documents, monkeypatch, table):
     monkeypatch.setattr(brown, "TABLE", table)  # few words in the table send the others through the join
     rows = documents.collect()
@@ -67,3 +93,87 @@ def test_base_scores_equal_brute_force(documents, monkeypatch, table):
         assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (held(d), len(ws), sum(c[w] > 0 for w in ws), total)
         assert g["score"] < 0
     assert class_scores(documents.limit(0)).count() == 0
+
+
+def plain_scores(rows, units, classes, least, sweeps, table):
+    """The model word by word, in Python: the same first classes, then every word to its best class, all others as they are, those beyond the table as their group."""
+    texts = [(d, [*(t or "").encode().lower().split(), None]) for d, t in rows]
+    train = [w for d, w in texts if not (d is not None and zlib.crc32(str(d).encode()) % 5 == 1)]
+    count = Counter(w for ws in train for w in ws)
+
+    def token(w):
+        buf = np.frombuffer(w or b"", np.uint8)
+        h, shape, _ = brown.tokens(buf, np.array([0, len(buf)]))
+        return (brown.END, brown.END_SHAPE) if w is None else (h[0], int(shape[0]))
+
+    known = {w: token(w) for _, ws in texts for w in ws}
+    order = sorted((w for w in count if w is not None), key=lambda w: (-count[w], int(np.uint64(known[w][0]).view(np.int64))))[:units]
+    unit = {w: k for k, w in enumerate(sorted(order, key=lambda w: known[w][0]))}
+    index = lambda w: unit.get(w, len(unit) + known[w][1])
+    n = len(unit) + brown.SHAPES + 1
+    big = np.zeros((n, n))
+    for ws in train:
+        for a, b in zip([None, *ws], ws, strict=False):
+            big[index(a), index(b)] += 1
+    size = min(classes, n)
+    of = exchange(big, size)
+    group = {w: int(of[len(unit) + known[w][1]]) for w in known}
+    now = {w: int(of[index(w)]) for w in known}
+    held, in_table = 0, set()
+    for n in sorted(set(count.values()), reverse=True):
+        level = [w for w in count if count[w] == n]
+        held += len(level)
+        in_table |= set(level) if held <= table else set()
+    after, before = ({w: Counter() for w in count} for _ in range(2))
+    for ws in train:
+        for a, b in zip([None, *ws], ws, strict=False):
+            after[a][b] += 1
+            before[b][a] += 1
+
+    def matrix(of):
+        m = np.zeros((size, size))
+        for a in after:
+            for b, c in after[a].items():
+                m[of[a], of[b]] += c
+        return m
+
+    tried = []
+    for k in range(sweeps + 1):
+        tried.append((brown.likelihood(matrix(now)), dict(now), matrix(now)))
+        now = {w: c if w in in_table else group[w] for w, c in now.items()}
+        m, nxt = matrix(now), dict(group)
+        for w in count:
+            if w is not None and count[w] >= least:
+                right, left = np.zeros((2, 1, size))
+                for v, c in after[w].items():
+                    right[0, now[v]] += c if v != w else 0
+                for v, c in before[w].items():
+                    left[0, now[v]] += c if v != w else 0
+                gain = brown.gains(m, np.array([now[w]]), right, left, np.array([float(after[w][w])]))[0, : size - 1]
+                nxt[w] = int(gain.argmax()) if gain.max() > gain[now[w]] + 1e-9 else now[w]
+        now = nxt
+    best = max(range(sweeps + 1), key=lambda k: (tried[k][0], -k))
+    _, now, m = tried[best]
+    tokens_of, types = m.sum(axis=0), Counter(now[w] for w in count)
+    p = lambda a, b: (m[now[a], now[b]] + 0.5) / (m[now[a]].sum() + 0.5 * size) * (count[b] + 0.5) / (tokens_of[now[b]] + 0.5 * (types[now[b]] + 1))
+    return best, [(d, sum(math.log10(p(a, b)) for a, b in zip([None, *ws], ws, strict=False))) for d, ws in texts], p, count
+
+
+@pytest.mark.parametrize("table", [1 << 18, 60])
+def test_class_scores_equal_a_plain_model(spark, monkeypatch, table):
+    monkeypatch.setattr(brown, "TABLE", table)
+    monkeypatch.setattr(brown, "UNITS", 12)
+    monkeypatch.setattr(brown, "CLASSES", 6)
+    monkeypatch.setattr(brown, "MIN_COUNT", 2)
+    rng = np.random.default_rng(7)
+    names, verbs, rows = [f"n{k}" for k in range(40)], [f"v{k}x" for k in range(40)], []
+    for d in range(70):
+        words = [w for _ in range(rng.integers(1, 12)) for w in (names[min(39, rng.geometric(0.08))], verbs[min(39, rng.geometric(0.08))], *(["very"] * rng.integers(0, 3)))]
+        rows.append((d, " ".join(words)))
+    rows += [(None, "n1 v1x n1"), (200, None), (201, ""), (202, "never seen"), (3, "n1 v1x"), (3, "n1 v1x")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, h long, row long")
+    best, want, p, count = plain_scores(rows, 12, 6, 2, brown.SWEEPS, table)
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, round(r["score"], 6)) for r in class_scores(df).collect()))
+    assert got == sorted((d is None, d or 0, round(s, 6)) for d, s in want)
+    assert best > 0  # the sweeps raised the likelihood
+    assert class_scores(df.filter("text is null")).first()["n_tokens"] == 1
