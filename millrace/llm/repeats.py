@@ -22,11 +22,19 @@ from millrace.llm import kernel as K
 from millrace.llm.shared import Scratch, marked
 from millrace.llm.suffixes import common_prefixes, suffix_array
 
-LENGTH, GRAMS, SHARD, TEXT, LONG = 200, (48, 176, 194, 200), 1 << 20, 1 << 19, 1 << 20  # SHARD, TEXT, LONG: bytes
+LENGTH, GRAM, SHARD, TEXT, LONG = 200, 48, 1 << 20, 1 << 19, 1 << 20  # SHARD, TEXT, LONG: bytes
 TASK_BYTES, MOST_TASKS = 2 << 20, 1 << 15  # of text that a sorting task gets, and how many tasks there are at most
 _SEG = "start int, n int, key long, body long, self boolean"
 
 
+def gram_lengths(length: int, first: int = GRAM) -> tuple[int, ...]:
+    """Each level's grams leave half as much of the string beside them as the level before; at the last a gram is the string. So a shard that a common gram made large falls apart at the first level whose grams go beyond what is common, into segments no shorter than need be."""
+    out = [min(first, length)]
+    while length - out[-1] > 24:
+        out.append(length - (length - out[-1]) // 2)
+    return (*out, length) if out[-1] < length else tuple(out)
+
+
 def segments(buf: np.ndarray, at: np.ndarray, gram: int, length: int) -> tuple[np.ndarray, ...]:
     """Starts, numbers of string starts, shard hashes, content hashes, and whether a segment has two least grams (only then can it repeat within itself). Texts follow each other in buf."""
     m = len(buf) - gram + 1
@@ -219,7 +227,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] | Non
     Repeated rows are copies like any others; rows with a null id take part. with_text adds kept_text, in which a
     character of which a part was removed is left out; carry names further columns to return. Others are not read. An empty table gives an empty one.
     """
-    grams = grams or tuple(min(g, length) for g in GRAMS if g < length) + (length,)
+    grams = grams or gram_lengths(length)
     scratch = tables or Scratch(docs.sparkSession, "repeats")
     data = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
     # The id (a hash for a null one) and a hash of the text name what is repeated in it; rows that agree in both share it.
