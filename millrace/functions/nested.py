@@ -40,6 +40,14 @@ def interval_pairs(c: Column) -> Column:
     return F.filter(pairs, lambda p: p["s"] < p["e"])
 
 
+def interval_items(c: Column) -> Column:
+    """Intervals of a JSON list of objects (start, end) or of pairs, or of a text; only those with start < end."""
+    items = F.from_json(c, "array<string>")
+    number = lambda x, name, at: F.coalesce(F.get_json_object(x, f"$.{name}"), F.get_json_object(x, f"$[{at}]")).try_cast("double")
+    found = F.transform(items, lambda x: F.struct(number(x, "start", 0).alias("s"), number(x, "end", 1).alias("e")))
+    return F.when(F.ltrim(c).startswith("["), F.filter(F.coalesce(found, F.array().cast("array<struct<s:double,e:double>>")), lambda p: p["s"] < p["e"])).otherwise(interval_pairs(c))
+
+
 def embedded_object(c: Column) -> Column:
     """The whole text if it is JSON, else the part from the first to the last brace, if that is."""
     part = F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))

@@ -13,9 +13,17 @@ from pyspark.sql import functions as F
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ANSWER_TAG = r"(?is)<answer>(.*?)</answer>"
 PLACEHOLDERS = ("...", "..", ".", "YOUR_ANSWER", "FINAL_ANSWER", "ANSWER", "TBD", "N/A")
-CUE = r"(?im)(?:final\s+answer|the\s+answer\s+is|answer)\s*(?:is)?\s*[:：]?\s*([^\n]+?)\s*$"
-FILLERS = ("unknown", "n/a", "none", "not sure", "tbd", "unclear")
-HEDGES = ("i ", "we ", "let me", "not ", "unable", "cannot", "could not")
+CUE = (
+    r"(?imd)(?:^|[\.\n,;:]\s*)(?:(?:my|our|so\s+the|therefore\s+the|hence\s+the)\s+)?(?:\*\*)?(?:the\s*answer\s*(?:is|=|:)|final\s*answer|answer)(?:\*\*)?\s*[:=]?\s*(?:\*\*)?"
+    r"`?([^\n`*]{1,80}?)`?(?:\*\*)?\s*[\.,;!\?]?\s*(?:$|\n)"
+)
+FILLERS = ("", "the", "above", "below", "yes", "no", "none", "n/a", "na", "unknown", "unclear", "inconclusive", "indeterminate", "ambiguous", "unable", "uncertain")
+HEDGES = ("unclear", "unknown", "uncertain", "unable", "inconclusive", "indeterminate", "ambiguous", "not ", "i ", "we ", "based ", "somewhere ", "probably ", "possibly ", "likely ")
+OPTION_PHRASE = (
+    r"(?i)\b(?:answer\s+is\s*|answer\s*[:=]\s*|(?:i\s+(?:will\s+)?(?:chose|choose|pick|select)\s+)|final\s+answer\s*[:=]?\s*|correct\s+(?:option|answer)\s+is\s*|option\s+)"
+    r"\(?\*?([A-D])\*?\)?\b"
+)
+OPTION_LINE = r"(?i)^\s*[A-D][\.\)]\s+\S"
 NETWORK = r"(?i)\b(curl|wget|ssh|scp|rsync|nc|telnet)\b|https?://"
 SECRET = r"(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*\S+|\bsk-[A-Za-z0-9]{16,}|AKIA[0-9A-Z]{16}|/(home|Users)/[A-Za-z0-9._-]+/"
 SYNTAX_FAILURE = r"(?i)SyntaxError|invalid syntax|unexpected EOF|parse error|unexpected token|missing operand|unterminated string"
@@ -72,8 +80,8 @@ def numeric_canonical(c: Column) -> Column:
 
 
 def norm_exact(c: Column | str) -> Column:
-    """The evaluator's normalizer without compatibility forms: canonical numbers, else punctuation and symbols as blanks."""
-    t = _text(c)
+    """The evaluator's normalizer: compatibility forms, then canonical numbers, else punctuation and symbols as blanks."""
+    t = nfkc(c)
     return F.coalesce(numeric_canonical(t), collapse(F.regexp_replace(F.lower(F.trim(t)), r"[\p{P}\p{S}]", " ")))
 
 
@@ -118,11 +126,10 @@ def tag_or_text(c: Column | str) -> Column:
 
 
 def lenient_answer(c: Column | str) -> Column:
-    """The last tag, else the last short statement after an answer cue within the last 4000 characters."""
+    """The last tag, else the last short statement after an answer cue within the last 4000 characters that is neither a filler nor begins with a hedge."""
     tail = F.right(_text(c), F.lit(4000))
-    found = F.transform(F.regexp_extract_all(tail, F.lit(CUE), 1), lambda x: F.regexp_replace(F.regexp_replace(x, r"[\s.*\"'`]+$", ""), r"^[\s*\"'`]+", ""))
-    low = lambda x: F.lower(x)
-    fine = F.filter(found, lambda x: (F.length(x) > 0) & (F.length(x) <= 80) & ~low(x).isin(*FILLERS) & ~_starts(low(x), HEDGES))
+    found = F.transform(F.regexp_extract_all(tail, F.lit(CUE), 1), lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"[\s.*`'\":,;!?]+$", ""), r"^[\s*`'\":]+", ""))
+    fine = F.filter(found, lambda x: ~F.lower(x).isin(*FILLERS) & ~_starts(F.lower(x), HEDGES))
     return F.coalesce(last_answer(c), F.try_element_at(fine, F.lit(-1)), F.lit(""))
 
 
@@ -133,6 +140,7 @@ def _starts(c: Column, prefixes: Sequence[str]) -> Column:
     return out
 
 
+# How a letter is labelled, how it stands alone, and what may surround it at the end of a text.
 _LABELED = r"\b(?:OPTION|ANSWER|CHOICE|CORRECT ANSWER)(?:\s+IS)?\s*[:：]?\s*[*(\[]*([%s])(?:[*)\].,:;!?\s]|$)"
 _BARE = r"^[\s*(\[]*([%s])[\s*)\].,:;!?]*$"
 
@@ -160,9 +168,9 @@ def option_choice(c: Column | str, options: Column) -> Column:
     """A to D in four layers: last tag that is a letter, last answer phrase, last free-standing letter outside option lines, the only option whose text occurs."""
     text = F.trim(_text(c))
     tagged = F.filter(F.transform(answers(c), lambda x: F.regexp_extract(F.upper(x), _BARE % "A-D", 1)), lambda x: x != "")
-    phrase = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:answer|choice|option)\s*(?:is|:)?\s*[:*(\[]*\s*([A-D])\b(?![-_])"), 1)
-    free = F.array_join(F.filter(F.split(text, r"\r?\n"), lambda x: ~x.rlike(r"^\s*[*(\[]*[A-D][.):]\s*\S")), "\n")
-    letters = F.regexp_extract_all(free, F.lit(r"(?<![A-Za-z0-9./_-])([A-D])(?![A-Za-z0-9_-])"), 1)
+    phrase = F.regexp_extract_all(text, F.lit(OPTION_PHRASE), 1)
+    free = F.array_join(F.filter(F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]"), lambda x: ~x.rlike(OPTION_LINE)), "\n")
+    letters = F.regexp_extract_all(free, F.lit(r"(?<![\p{L}\p{N}_./-])([A-D])(?![\p{L}\p{N}_-])"), 1)
     said = F.lower(collapse(text))
     parts = F.transform(options, lambda o: F.struct(F.upper(F.regexp_extract(o, r"(?i)^\s*([A-D])\.", 1)).alias("k"), F.lower(F.trim(F.regexp_extract(o, r"(?i)^\s*[A-D]\.\s*(.+?)\s*$", 1))).alias("v")))
     named = F.filter(parts, lambda p: (p["v"] != "") & F.contains(said, p["v"]))
@@ -266,10 +274,9 @@ def mask_paths(c: Column | str) -> Column:
 
 
 def first_difference(a: Column, b: Column) -> Column:
-    """Place (from 0) of the first character in which two texts differ; null if they are equal."""
-    n = F.least(F.length(a), F.length(b))
-    at = F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
-    return F.when(a != b, F.coalesce(at - 1, n))
+    """Place (from 0) of the first character in which two texts differ, also by one's end; null if they are equal."""
+    differ = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
+    return F.when(a != b, F.array_position(differ, True) - 1)
 
 
 def head_tail(c: Column | str, limit: int) -> Column:

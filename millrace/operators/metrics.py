@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,16 +42,23 @@ def run_audit(df: DataFrame, key: str, verdict: str, prediction: str, tokens: Se
     return df.groupBy(key).agg(F.count("*").alias("n"), ok.alias("correct"), bad.alias("incorrect"), F.count_if(F.col(verdict).isNull()).alias("skipped"), F.count_if(F.coalesce(F.col(prediction), F.lit("")) == "").alias("empty_pred"), share(ok, F.count("*")).alias("accuracy_all"), share(ok, ok + bad).alias("accuracy_scored"), *mean)
 
 
-def upper_median(c: Column | str) -> Column:
-    """The entry at place n div 2 (from 0) in order."""
-    values = F.array_sort(F.collect_list(c))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+def order_statistics(df: DataFrame, key: Sequence[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """By key (one row without), the values at the places (from 0, of the number of values) in order; nulls do not count. Values are counted first, so a task orders the distinct values of a key and holds none of them together."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*key)
+    counts = counts.withColumn("_to", F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
+    at = lambda place: (F.col("_to") - F.col("_n") <= place) & (place < F.col("_to"))
+    return counts.groupBy(*key).agg(*(F.max(F.when(at(place(F.col("_all"))), F.col(value))).alias(name) for name, place in places.items()))
 
 
-def nearest_rank(c: Column | str, q: float) -> Column:
-    """The entry at place int(n * q + 0.999) - 1 (from 0) in order."""
-    values = F.array_sort(F.collect_list(c))
-    return F.get(values, F.greatest(F.lit(0), F.floor(F.size(values) * F.lit(q) + 0.999).cast("int") - 1))
+def upper_median(n: Column) -> Column:
+    """Place of the upper median: n div 2."""
+    return F.floor(n / 2)
+
+
+def nearest_rank(q: float) -> Callable[[Column], Column]:
+    """Place int(n * q + 0.999) - 1, at least 0."""
+    return lambda n: F.greatest(F.lit(0), F.floor(n * F.lit(q) + 0.999) - 1)
 
 
 def weighted_mean(value: str, weight: str) -> Column:
@@ -163,8 +171,10 @@ def most_common(df: DataFrame, key: Sequence[str], value: str, ordinal: str) ->
 def speaker_error_rate(truth: DataFrame, found: DataFrame, key: Sequence[str], step: int = 50, collar: int = 250) -> DataFrame:
     """Share of sampled times inside a true turn, away from its edges by the collar, at which the found speaker is another or none.
 
-    Sides: key, s, e, label, ordinal, in milliseconds. A time has the first turn that covers it.
+    Sides: key, s, e, label, ordinal, in milliseconds. A time has the first turn that covers it; a turn without length covers none.
     """
+    covers = F.ceil(F.col("s") / step) <= F.floor((F.col("e") - 1) / step)
+    truth, found = truth.filter(covers), found.filter(covers)
     grid = truth.select(*key, F.col("s").alias("ts"), F.col("e").alias("te"), F.col("label").alias("_true"), F.explode(F.sequence(F.ceil(F.col("s") / step), F.floor((F.col("e") - 1) / step))).alias("_k"))
     grid = grid.withColumn("t", F.col("_k") * step).filter((F.col("t") - F.col("ts") >= collar) & (F.col("te") - F.col("t") >= collar))
     grid = grid.groupBy(*key, "t").agg(F.min("_true").alias("_true"))
@@ -180,6 +190,21 @@ def contingency(df: DataFrame, a: str, b: str, weight: str) -> DataFrame:
     return per.withColumn("i", F.dense_rank().over(Window.partitionBy("key").orderBy(a)) - 1).withColumn("j", F.dense_rank().over(Window.partitionBy("key").orderBy(b)) - 1)
 
 
+# The published 13a tokenization of machine-translation scores, in order.
+_MARKS = (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+_SPLITS = ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 "))
+
+
+def score_tokens(text: str) -> list[str]:
+    """Words and marks of a text as translation scores count them."""
+    for old, new in _MARKS:
+        text = text.replace(old, new)
+    text = f" {text} "
+    for pattern, new in _SPLITS:
+        text = re.sub(pattern, new, text)
+    return text.split()
+
+
 def _ngrams(words: Sequence[str], n: int) -> Counter:
     return Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
 
@@ -188,7 +213,7 @@ def bleu_parts(hypotheses: Iterable[str], references: Iterable[str], order: int
     """Lengths, then matches and totals of each order: they add up over parts of a corpus."""
     out = [0] * (2 + 2 * order)
     for h, r in zip(hypotheses, references, strict=True):
-        x, y = h.split(), r.split()
+        x, y = score_tokens(h), score_tokens(r)
         out[0] += len(x)
         out[1] += len(y)
         for n in range(1, order + 1):

@@ -55,13 +55,15 @@ def failures(rows: DataFrame, key: str, ok: str, error: str) -> DataFrame:
 
 
 def snapshot(rows: DataFrame, elapsed: str, tools: str, error: str) -> DataFrame:
-    from millrace.operators.metrics import upper_median
+    from millrace.operators.metrics import order_statistics, upper_median
 
-    return rows.agg(F.count("*").alias("n_rows"), F.count_if(F.coalesce(F.col(error), F.lit("")) != "").alias("n_errors"), upper_median(elapsed).alias("median_elapsed"), upper_median(tools).alias("median_tools"))
+    median = lambda c: order_statistics(rows, [], c, {f"median_{c}": upper_median})
+    counts = rows.agg(F.count("*").alias("n_rows"), F.count_if(F.coalesce(F.col(error), F.lit("")) != "").alias("n_errors"))
+    return counts.join(median(elapsed).toDF("median_elapsed")).join(median(tools).toDF("median_tools"))  # one row each
 
 
 def manifest(files: DataFrame, path: str, size: str, content: str) -> DataFrame:
-    """By extension: files and bytes, and a digest over the sorted digests of the contents."""
+    """By extension: files and bytes, and a digest over the sorted digests of the contents (32 bytes of each file of an extension meet)."""
     ext = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).alias("ext")
     return files.groupBy(ext).agg(F.count("*").alias("files"), F.sum(size).alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(F.col(content).cast("binary"), 256))), "").cast("binary"), 256).alias("sha256"))
 

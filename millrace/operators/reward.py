@@ -9,7 +9,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import NETWORK, norm_reward
+from millrace.functions.text import NETWORK, SYNTAX_FAILURE, norm_reward
 
 # Fixed values that scores depend on.
 FORMAT_BONUS, FORMAT_PENALTY, MODALITY_PENALTY, BAD_TOOL_WEIGHT = 0.2, -0.2, -0.3, 0.5
@@ -81,12 +81,32 @@ def networked(c: Column) -> Column:
     return F.coalesce(c.rlike(NETWORK), F.lit(False))
 
 
-def call_counts(calls: DataFrame, key: str, name: str, malformed: str, text: str, escape: Column, allowed: Sequence[str] = ALLOWED_TOOLS) -> DataFrame:
-    """By trajectory: calls, and faults by kind. A malformed call counts as such only; others may count in several ways."""
+def tool_summary(calls: DataFrame, replies: DataFrame, key: str, workspace: str, allowed: Sequence[str] = ALLOWED_TOOLS, name: str = "name", malformed: str = "malformed", text: str = "command", role: str = "role", reply: str = "text") -> DataFrame:
+    """By trajectory: n_tool calls, faults by kind, p_bad_tool, and names of tools. A malformed call, or one without a name, counts as such only; others may count in several ways. Replies of tools that tell of a syntax failure count too, whichever call they answer. calls: key, name, malformed, text (its strings); replies: key, role, text."""
     bad = F.coalesce(F.col(malformed), F.lit(False)) | (F.coalesce(F.col(name), F.lit("")) == "")
-    return calls.groupBy(key).agg(
+    c = calls.groupBy(key).agg(
         F.count("*").alias("n_tool"), F.count_if(bad).alias("n_unparseable"),
-        (F.count_if(~bad & ~F.col(name).isin(*allowed)) + F.count_if(~bad & networked(F.col(text)))).alias("n_disallowed"), F.count_if(~bad & escape).alias("n_escape"), F.collect_set(name).alias("names"))
+        (F.count_if(~bad & ~F.col(name).isin(*allowed)) + F.count_if(~bad & networked(F.col(text)))).alias("n_disallowed"), F.count_if(~bad & escapes(F.col(text), workspace)).alias("n_escape"), F.collect_set(name).alias("_names"), F.collect_set(text).alias("_texts"))
+    failed = replies.filter((F.col(role) == "tool") & F.col(reply).rlike(SYNTAX_FAILURE)).groupBy(key).agg(F.count("*").alias("n_syntax_fail"))
+    out = c.join(failed, key, "full").fillna(0, ["n_tool", "n_unparseable", "n_disallowed", "n_escape", "n_syntax_fail"])
+    faults = F.col("n_unparseable") + F.col("n_disallowed") + F.col("n_escape") + F.col("n_syntax_fail")
+    names = F.struct(F.coalesce("_names", F.array().cast("array<string>")).alias("tools"), F.coalesce(F.array_join("_texts", " "), F.lit("")).alias("text"))
+    return out.select(key, "n_tool", "n_unparseable", "n_disallowed", "n_escape", "n_syntax_fail", (faults.cast("double") / (F.col("n_tool") + 1)).alias("p_bad_tool"), names.alias("names"))
+
+
+def rewarded(runs: DataFrame, summary: DataFrame, key: str, video_tools: Sequence[str], audio_tools: Sequence[str], image_tools: Sequence[str], observed: str | None = None) -> DataFrame:
+    """Runs with all components of their reward. runs: key, prediction, exit_reason, truths, videos, audios, and, if named, the observed number of calls, which counts if it is higher than that of the messages. Runs without a summary made no calls."""
+    counts = ["n_tool", "n_unparseable", "n_disallowed", "n_escape", "n_syntax_fail"]
+    r = runs.join(summary.drop("p_bad_tool"), key, "left").fillna(0, counts)
+    if observed:
+        r = r.withColumn("n_tool", F.greatest("n_tool", F.coalesce(observed, F.lit(0))))
+    used = F.array_union(F.coalesce("names.tools", F.array().cast("array<string>")), subtools(F.coalesce("names.text", F.lit("")), [*video_tools, *audio_tools, *image_tools]))
+    mod = modality(F.col("videos"), F.col("audios"), used, video_tools, audio_tools, image_tools)
+    r = r.withColumns({"raw_acc": outcome(F.col("prediction"), F.col("truths")), "_mod": mod, "format": format_value(F.col("exit_reason"), F.col("prediction")), "removed": removed(F.col("exit_reason"), F.col("prediction"))})
+    fail = F.col("n_unparseable") + F.col("n_disallowed") + F.col("n_escape") + F.col("n_syntax_fail")
+    s = score(F.col("raw_acc"), F.col("_mod.ok"), F.col("_mod.has_video") | F.col("_mod.has_audio"), F.col("n_tool"), fail, F.col("n_escape"), F.col("format"), F.col("removed"))
+    r = r.withColumn("_s", s).withColumns({"modality_match": F.col("_mod.ok"), "has_video": F.col("_mod.has_video"), "has_audio": F.col("_mod.has_audio"), "format_error": F.col("format") < 0, "active": ~F.col("removed")})
+    return r.select("*", "_s.*").drop("_s", "_mod", "names")
 
 
 def score(raw: Column, modality_ok: Column, has_media: Column, n_tool: Column, n_fail: Column, n_escape: Column, fmt: Column, gone: Column) -> Column:
@@ -112,7 +132,7 @@ def group_filter(df: DataFrame, group: str, reward: str = "reward", gone: str =
     """keep and reason by group: a removed row, fewer than two rows, or rewards all alike drop it."""
     n, out = F.count_if(~F.col(gone)), F.count_if(F.col(gone))
     flat = F.max(reward) - F.min(reward) <= FLAT
-    why = F.when(out > 0, F.concat(F.lit("removed_"), out.cast("string"))).when(n <= 1, F.concat(F.lit("active_"), n.cast("string"))).when(flat, F.concat(F.lit("zero_std_"), F.min(reward).cast("string")))
+    why = F.when(out > 0, F.concat(F.lit("removed_"), out.cast("string"))).when(n <= 1, F.concat(F.lit("active_"), n.cast("string"))).when(flat, F.concat(F.lit("zero_std_"), F.round(F.min(reward), 3).cast("string")))
     return df.groupBy(group).agg(((out == 0) & (n > 1) & ~flat).alias("keep"), why.alias("reason"))
 
 

@@ -51,6 +51,17 @@ def numeric_first(c: Column) -> list[Column]:
     return [number.isNull(), number, c]
 
 
+def numbered(df: DataFrame, order: Sequence[Column], coarse: Sequence[Column], name: str) -> DataFrame:
+    """Rows with their place (from 1) in the order. `coarse` are columns that do not fall as the order rises: rows are numbered within groups of equal ones, after the number of rows in all groups before, so no task gets the whole table."""
+    keys = {f"_c{k}": c for k, c in enumerate(coarse)}
+    rows = df.withColumns(keys)
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each group
+    before = groups.select(F.struct(*keys).alias("_g"), before.alias("_before"))
+    out = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).withColumn("_g", F.struct(*keys))
+    return out.join(before, "_g").withColumn(name, (F.col("_before") + F.col("_i")).cast("long")).drop(*keys, "_i", "_g", "_before")
+
+
 def tail(values: Column, n: int) -> Column:
     """The last n entries of an array."""
     return F.when(F.size(values) > n, F.slice(values, -n, n)).otherwise(values)
@@ -72,6 +83,11 @@ def first_appearance(df: DataFrame, value: str, ordinal: str) -> DataFrame:
     return df.groupBy(value).agg(F.min(ordinal).alias("first_at"))
 
 
+def first_calls(calls: DataFrame, ids: Sequence[str], ordinal: str) -> DataFrame:
+    """Of calls that repeat an id, the first; the stream form keeps ids for as long as its watermark."""
+    return calls.groupBy(*ids).agg(F.min(ordinal).alias(ordinal))
+
+
 def weighted_rotation(df: DataFrame, name: str, weight: str) -> DataFrame:
     """(slot, name): names in turns by weight. Each name's i-th turn is due at (i - 1/2) / weight; ties by name."""
     turns = df.filter(F.col(weight) >= 1).select(name, weight, F.explode(F.sequence(F.lit(1), F.col(weight).cast("int"))).alias("_i"))

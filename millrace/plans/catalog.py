@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import composite, relational, sequence, textual
+from millrace.plans import composite, relational, runs, sequence, textual
 from millrace.plans.base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "composite", "relational", "sequence", "textual"]
+__all__ = ["ORACLE", "QUERIES", "composite", "relational", "runs", "sequence", "textual"]

@@ -103,6 +103,6 @@ def _(spark, d):
     return s.select("conv_id", "role", "first_place", "last_place", F.md5(F.col("joined").cast("binary")).alias("h"))
 
 
-@query("rms_windows")
+@query("rms_windows", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT vec_id, list_transform(range(0, greatest(len(v) - 16, -1) + 1, 8), lambda i: sqrt(list_sum(list_transform(v[i + 1:i + 16], lambda x: x * x)) / 16)) AS rms FROM v")
 def _(spark, d):
     return table(spark, d, "embeddings").select("vec_id", P.rms_windows(F.transform("embedding", lambda x: x.cast("double")), 16, 8).alias("rms"))

@@ -51,6 +51,26 @@ def question_rows(predictions: DataFrame, scored: DataFrame) -> DataFrame:
     return out.withColumn("eval_error", F.when(~F.col("eval_matched_annotation"), "question_id not found in annotations")).drop("_known")
 
 
+def converted(messages: DataFrame, key: str, place: str, role: str, text: str, reminder: str, checklist: str = "") -> DataFrame:
+    """A run's messages as one training conversation: key, messages (place, role, text in order).
+
+    Blank messages and the harness's own reminders go (user messages after the first that hold the text `reminder`),
+    images that came as user messages join the tool response before them, neighbouring assistant messages become their
+    last, the run's last answer is put beside completion calls that lack it, and a run that ends in an answer without a
+    completion gets one. The order of the steps matters: each works on what the one before left.
+    """
+    from millrace.operators import conversation as C
+
+    m = messages.select(key, F.col(place).cast("double").alias(place), role, text)
+    first = F.min(F.when((F.col(role) == "user") & (F.trim(F.coalesce(text, F.lit(""))) != ""), F.col(place))).over(Window.partitionBy(key))
+    noise = (F.col(role) == "user") & (F.col(place) > F.col("_first")) & F.contains(F.coalesce(text, F.lit("")), F.lit(reminder))
+    kept = m.withColumn("_first", first).filter(~F.coalesce(noise, F.lit(False)) & ((F.trim(F.coalesce(text, F.lit(""))) != "") | F.col(role).isin("tool_call", "tool_response"))).drop("_first")
+    answers = C.last_answer(messages, key, place, role, text, checklist or "\0")
+    turns = C.collapse_assistants(C.folded_images(kept, key, place, role, text, "<image>"), key, place, role)
+    turns = C.with_terminal(C.with_answer_inside(turns, answers, key, place, role, text), key, place, role, text)
+    return C.as_arrays(turns, key, place, [role, text])
+
+
 def parity(left: DataFrame, right: DataFrame, key: str, text: str) -> DataFrame:
     """Four checks of two sets of prompts: keys of one side only, keys that repeat, texts that differ (paths masked), and where the first differs."""
     a, b = left.select(key, X.mask_paths(text).alias("a")), right.select(key, X.mask_paths(text).alias("b"))
@@ -61,9 +81,16 @@ def parity(left: DataFrame, right: DataFrame, key: str, text: str) -> DataFrame:
     return parts.unionAll(both.agg(F.min(X.first_difference(F.col("a"), F.col("b"))).cast("long").alias("n")).select(F.lit("first_difference").alias("check"), "n"))
 
 
+def set_digest(c: Column) -> Column:
+    """Of a set of values, whatever their order: the number of them and the sums, modulo 2 to the 64, of four parts of their digests. An aggregate of fixed size."""
+    h = F.sha2(c.cast("string").cast("binary"), 256)
+    parts = [F.sum(F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]
+    return F.sha2(F.concat_ws("-", F.count(c).cast("string"), *parts).cast("binary"), 256)
+
+
 def subset(items: DataFrame, key: str, ordinal: str, n: int | None, digest: str | None = None) -> DataFrame:
     """The first n items (all without n). Repeated keys, a source of another digest, or fewer than n items raise."""
-    facts = items.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("ids"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(F.col(key).cast("string").cast("binary"), 256))), "").cast("binary"), 256).alias("digest")).first()
+    facts = items.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("ids"), set_digest(F.col(key)).alias("digest")).first()
     if facts["rows"] != facts["ids"]:
         raise ValueError(f"{facts['rows'] - facts['ids']} repeated ids")
     if digest and digest != facts["digest"]:
@@ -97,10 +124,21 @@ def selected(items: DataFrame, ids: Sequence | None = None, categories: Sequence
 def capacity(requests: DataFrame, seconds: str, tokens: str, rank: str, queue: str) -> DataFrame:
     """requests, tokens, mean and nearest-rank 90 and 99 percent of the seconds, longest queue, and requests by rank."""
     hist = requests.groupBy(rank).agg(F.count("*").alias("n"))
-    stats = requests.agg(F.count("*").alias("requests"), F.sum(tokens).alias("tokens"), F.avg(seconds).alias("mean"), M.nearest_rank(seconds, 0.9).alias("p90"), M.nearest_rank(seconds, 0.99).alias("p99"), F.max(queue).alias("longest_queue"))
+    stats = requests.agg(F.count("*").alias("requests"), F.sum(tokens).alias("tokens"), F.avg(seconds).alias("mean"), F.max(queue).alias("longest_queue"))
+    stats = stats.join(M.order_statistics(requests, [], seconds, {"p90": M.nearest_rank(0.9), "p99": M.nearest_rank(0.99)}))  # one row each
     return stats.join(hist.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(rank).cast("string"), "n")))).alias("by_rank")))
 
 
+EFFORTS = ("low", "medium", "high", "xhigh")
+
+
+def effort(key: Column, retries: Column, share: float, levels: Sequence[str] = EFFORTS) -> Column:
+    """Effort of a run: a share of the keys, by hash, begins at the second level; each retry is one level higher, to the highest."""
+    draw = F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 1000
+    at = F.when(draw < int(1000 * share), 1).otherwise(0) + retries.cast("int")
+    return F.get(F.array(*map(F.lit, levels)), F.least(at, F.lit(len(levels) - 1)))
+
+
 def gauge_fold(samples: DataFrame, metric: str, value: str, summed: Sequence[str]) -> DataFrame:
     """One value of each gauge: the sum over its series, or the largest."""
     return samples.groupBy(metric).agg(F.when(F.first(metric).isin(*summed), F.sum(value)).otherwise(F.max(value)).alias("value"))

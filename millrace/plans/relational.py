@@ -87,12 +87,12 @@ def _(spark, d):
     return S.filter_then_limit(table(spark, d, "documents").select("doc_id", "lang"), F.col("lang") == "de", 40, "doc_id")
 
 
-@query("numeric_key_order", "SELECT k, row_number() OVER (ORDER BY try_cast(k AS BIGINT) IS NULL, try_cast(k AS BIGINT), k) AS place FROM (SELECT CASE WHEN c_custkey % 10 = 0 THEN c_name ELSE CAST(c_custkey AS VARCHAR) END AS k FROM customer WHERE c_custkey <= 200)")
+@query("numeric_key_order", "SELECT k, row_number() OVER (ORDER BY try_cast(k AS BIGINT) IS NULL, try_cast(k AS BIGINT), k) AS place FROM (SELECT CASE WHEN c_custkey % 10 = 0 THEN c_name ELSE CAST(c_custkey AS VARCHAR) END AS k FROM customer)")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    k = table(spark, d, "customer").filter("c_custkey <= 200").select(F.when(F.col("c_custkey") % 10 == 0, F.col("c_name")).otherwise(F.col("c_custkey").cast("string")).alias("k"))
-    return k.withColumn("place", F.row_number().over(Window.orderBy(*S.numeric_first(F.col("k")))).cast("long"))
+    k = table(spark, d, "customer").select(F.when(F.col("c_custkey") % 10 == 0, F.col("c_name")).otherwise(F.col("c_custkey").cast("string")).alias("k"))
+    number = F.col("k").try_cast("bigint")
+    coarse = [number.isNull(), F.coalesce(F.floor(number / 1024), F.lit(0)), F.when(number.isNull(), F.left("k", F.lit(15))).otherwise("")]
+    return S.numbered(k, S.numeric_first(F.col("k")), coarse, "place")
 
 
 @query("membership_filter", "SELECT doc_id, source FROM documents WHERE CAST(source AS VARCHAR) IN ('src1', 'src3')")
@@ -222,12 +222,12 @@ def _(spark, d):
 
 @query("upper_median", f"WITH {EV} SELECT event_type, list_sort(list(cents))[count(*) // 2 + 1] AS median_cents FROM ev GROUP BY event_type")
 def _(spark, d):
-    return events(spark, d).groupBy("event_type").agg(M.upper_median("cents").alias("median_cents"))
+    return M.order_statistics(events(spark, d), ["event_type"], "cents", {"median_cents": M.upper_median})
 
 
 @query("nearest_rank_pct", f"WITH {EV} SELECT event_type, list_sort(list(cents))[CAST(floor(count(*) * 0.9::DOUBLE + 0.999) AS BIGINT)] AS p90, list_sort(list(cents))[CAST(floor(count(*) * 0.99::DOUBLE + 0.999) AS BIGINT)] AS p99 FROM ev GROUP BY event_type")
 def _(spark, d):
-    return events(spark, d).groupBy("event_type").agg(M.nearest_rank("cents", 0.9).alias("p90"), M.nearest_rank("cents", 0.99).alias("p99"))
+    return M.order_statistics(events(spark, d), ["event_type"], "cents", {"p90": M.nearest_rank(0.9), "p99": M.nearest_rank(0.99)})
 
 
 @query("mae_mape_rmse_penalty", "WITH e AS (SELECT CAST(l_quantity AS BIGINT) AS t, CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE CAST(l_quantity AS BIGINT) + (l_orderkey % 7) - 3 END AS f, l_returnflag FROM lineitem) SELECT l_returnflag, sum(abs(f - t)) / count(*)::DOUBLE AS mae, sqrt(sum((f - t) * (f - t)) / count(*)::DOUBLE) AS rmse FROM e GROUP BY l_returnflag")
@@ -271,7 +271,7 @@ def _(spark, d):
     return M.class_counts(_labels(spark, d), "t", "f")
 
 
-@query("confusion_f1_macro")
+@query("confusion_f1_macro", f"WITH {_LAB}, c AS (SELECT DISTINCT t AS label FROM l), k AS (SELECT label, (SELECT count(*) FROM l WHERE t = label AND f = label) AS tp, (SELECT count(*) FROM l WHERE f = label AND t <> label) AS fp, (SELECT count(*) FROM l WHERE t = label AND f IS DISTINCT FROM label) AS fn FROM c) SELECT avg(2.0::DOUBLE * tp / (2 * tp + fp + fn)) AS macro_f1, count(*) AS classes FROM k")
 def _(spark, d):
     return M.macro_f1(M.class_counts(_labels(spark, d), "t", "f"))
 
@@ -356,7 +356,7 @@ def _(spark, d):
     return Q.bounds(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount"), "l_discount", 0.02, 0.08).drop("l_discount")
 
 
-@query("secret_scan")
+@query("secret_scan", r"SELECT doc_id, ['text'] AS leaks FROM documents WHERE regexp_matches(text, '(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*\S+|\bsk-[A-Za-z0-9]{16,}|AKIA[0-9A-Z]{16}|/(home|Users)/[A-Za-z0-9._-]+/')")
 def _(spark, d):
     return Q.secrets(table(spark, d, "documents").select("doc_id", "text"), ["text"]).select("doc_id", "leaks")
 

@@ -9,6 +9,7 @@ from millrace.operators import intervals as I  # noqa: E741
 from millrace.operators import joins as J
 from millrace.operators import matching as A
 from millrace.operators import metrics as M
+from millrace.operators import select as S
 from millrace.plans.base import EV, events, query, table
 
 HOUR = 3600
@@ -75,7 +76,13 @@ def _(spark, d):
     return I.temporal_iou(s.filter("event_type in ('click', 'view')"), s.filter("event_type in ('purchase', 'error')"), ["user_id"]).select("user_id", "common", "tiou")
 
 
-@query("tolerant_tiou")
+_WIDE = "g1 AS (SELECT user_id, s - 600 AS s, e + 600 AS e FROM sp WHERE event_type = 'click'), g2 AS (SELECT user_id, s, e FROM sp WHERE event_type = 'click'), f0 AS (SELECT user_id, s, e FROM sp WHERE event_type = 'view')"
+
+
+@query("tolerant_tiou", f"""WITH {EV}, {_SPANS}, {_WIDE}, {_ISL.format(n="w", t="g1")}, {_ISL.format(n="g", t="g2")}, {_ISL.format(n="f", t="f0")},
+x AS (SELECT w.user_id, sum(least(w.e, f.e) - greatest(w.s, f.s)) AS wc FROM w JOIN f ON w.user_id = f.user_id AND w.s < f.e AND f.s < w.e GROUP BY 1), c AS (SELECT g.user_id, sum(least(g.e, f.e) - greatest(g.s, f.s)) AS c FROM g JOIN f ON g.user_id = f.user_id AND g.s < f.e AND f.s < g.e GROUP BY 1),
+l AS (SELECT user_id, sum(e - s) AS gl FROM g GROUP BY 1), m AS (SELECT user_id, sum(e - s) AS fl FROM f GROUP BY 1)
+SELECT l.user_id, coalesce(wc, 0)::BIGINT AS wide_common, least(1.0::DOUBLE, coalesce(coalesce(wc, 0)::DOUBLE / nullif(gl + coalesce(fl, 0) - coalesce(c, 0), 0), 0)) AS tolerant_iou FROM l LEFT JOIN m USING (user_id) LEFT JOIN c USING (user_id) LEFT JOIN x USING (user_id)""")
 def _(spark, d):
     s = _spans(spark, d).select("user_id", "event_type", "s", "e")
     return I.tolerant_iou(s.filter("event_type = 'click'"), s.filter("event_type = 'view'"), ["user_id"], 600)
@@ -97,7 +104,9 @@ def _(spark, d):
     return I.differences(events(spark, d).select("event_id", "user_id", "sec", "cents"), ["user_id"], ["sec", "event_id"], "cents").select("event_id", "diff1", "diff2")
 
 
-@query("linear_interpolation")
+@query("linear_interpolation", f"""WITH {EV}, p AS (SELECT user_id, sec AS t, max(cents)::DOUBLE AS v FROM ev WHERE event_type <> 'error' GROUP BY ALL), w AS (SELECT DISTINCT user_id, sec AS t FROM ev WHERE event_type = 'error'),
+b AS (SELECT w.user_id, w.t, p.t AS bt, p.v AS bv FROM w ASOF LEFT JOIN p ON w.user_id = p.user_id AND w.t >= p.t), a AS (SELECT w.user_id, w.t, p.t AS a_t, p.v AS av FROM w ASOF LEFT JOIN p ON w.user_id = p.user_id AND w.t <= p.t)
+SELECT user_id, t, CASE WHEN bt IS NULL THEN av WHEN a_t IS NULL OR bt = t THEN bv ELSE bv + (av - bv) * ((t - bt)::DOUBLE / (a_t - bt)) END AS interpolated FROM b JOIN a USING (user_id, t)""")
 def _(spark, d):
     e = events(spark, d)
     samples = e.filter("event_type <> 'error'").groupBy("user_id", F.col("sec").alias("t")).agg(F.max("cents").cast("double").alias("v"))
@@ -147,12 +156,14 @@ def _(spark, d):
     return J.radius_nearest(p.filter("_id % 2 = 0"), b, 2.0).select(F.col("_id").alias("id"), F.col("name").alias("other"))
 
 
-@query("time_grid_state", f"""WITH {EV}, {_SPANS}, g AS (SELECT DISTINCT user_id, unnest(range(0, 240)) * 10800 + 1704067200 AS t FROM sp WHERE user_id % 10 = 0),
+@query("time_grid_state", f"""WITH {EV}, {_SPANS}, r AS (SELECT user_id, min(s) // 10800 AS k0, max(e) // 10800 AS k1 FROM sp GROUP BY user_id), g AS (SELECT user_id, unnest(range(k0, k1 + 1)) * 10800 AS t FROM r),
 a AS (SELECT g.user_id, t, arg_min(event_type, event_id) AS x FROM g JOIN sp ON g.user_id = sp.user_id AND s <= t AND t < e AND event_id % 2 = 0 GROUP BY ALL), b AS (SELECT g.user_id, t, arg_min(event_type, event_id) AS y FROM g JOIN sp ON g.user_id = sp.user_id AND s <= t AND t < e AND event_id % 2 = 1 GROUP BY ALL)
 SELECT user_id, count(*) AS steps, count(*) FILTER (WHERE x = y) AS same FROM a FULL JOIN b USING (user_id, t) GROUP BY user_id""")
 def _(spark, d):
+    """Every user's grid goes from its own first to its last time."""
     s = _spans(spark, d)
-    grid = s.filter("user_id % 10 = 0").select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(239))).alias("k")).select("user_id", (F.col("k") * 10800 + 1704067200).cast("long").alias("t"))
+    own = s.groupBy("user_id").agg(F.floor(F.min("s") / 10800).alias("k0"), F.floor(F.max("e") / 10800).alias("k1"))
+    grid = own.select("user_id", F.explode(F.sequence("k0", "k1")).alias("k")).select("user_id", (F.col("k") * 10800).alias("t"))
     side = lambda k: s.filter(f"event_id % 2 = {k}").select("user_id", "s", "e", F.col("event_type").alias("state"), F.col("event_id").alias("ordinal"))
     return J.grid_agreement(side(0), side(1), ["user_id"], grid, 6 * HOUR)
 
@@ -199,7 +210,9 @@ def _(spark, d):
     return c.groupBy("key").agg(F.sum("score").alias("all")).join(hit, "key").select("key", (1 - F.col("hit") / F.col("all")).alias("error_rate"))
 
 
-@query("diarisation_error_rate")
+@query("diarisation_error_rate", f"""WITH {EV}, u AS (SELECT user_id, event_id, event_type AS label, (sec % 86400) * 10 AS s, (sec % 86400) * 10 + cents AS e FROM ev),
+k AS (SELECT *, unnest(range(CAST(ceil(s / 50.0) AS BIGINT), CAST(floor((e - 1) / 50.0) AS BIGINT) + 1)) * 50 AS t FROM u), g AS (SELECT user_id, t, min(label) AS a FROM k WHERE event_id % 2 = 0 AND t - s >= 250 AND e - t >= 250 GROUP BY ALL), f AS (SELECT user_id, t, arg_min(label, event_id) AS b FROM k WHERE event_id % 3 = 0 GROUP BY ALL)
+SELECT user_id, count(*) AS samples, count(*) FILTER (WHERE a IS DISTINCT FROM b) / count(*)::DOUBLE AS error_rate FROM g LEFT JOIN f USING (user_id, t) GROUP BY user_id""")
 def _(spark, d):
     s = events(spark, d).select("user_id", "event_id", "event_type", F.pmod(F.col("sec"), F.lit(86400)).alias("s0"), "cents")
     turn = lambda df: df.select("user_id", (F.col("s0") * 10).alias("s"), (F.col("s0") * 10 + F.col("cents")).alias("e"), F.col("event_type").alias("label"), F.col("event_id").alias("ordinal"))
@@ -216,9 +229,12 @@ def _(spark, d):
 
 @query("dedupe_calls", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
 def _(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    return S.first_calls(table(spark, d, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
 
 
 @query("tumbling_window_counts", f"WITH {EV} SELECT sec // 3600 * 3600 AS hour_start, event_type, count(*) AS n FROM ev GROUP BY ALL")
 def _(spark, d):
-    return events(spark, d).groupBy((F.floor(F.col("sec") / 3600) * 3600).alias("hour_start"), "event_type").agg(F.count("*").alias("n"))
+    from millrace.streaming.live import windowed_counts
+
+    rows = events(spark, d).select(F.timestamp_seconds("sec").alias("at"), "event_type")
+    return windowed_counts(rows, "at", "event_type", "1 hour", "0 seconds").select(F.unix_timestamp("window.start").alias("hour_start"), "event_type", "n")

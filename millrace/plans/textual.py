@@ -10,6 +10,7 @@ from millrace.functions import text as X
 from millrace.operators import conversation as C
 from millrace.operators import metrics as M
 from millrace.operators import reward as W
+from millrace.plans import flows as P
 from millrace.plans import specs
 from millrace.plans.base import events, query, table
 
@@ -79,12 +80,12 @@ def _(spark, d):
     return _answers(spark, d).select("conv_id", "turn", X.last_answer("text").alias("answer"))
 
 
-@query("last_real_answer")
+@query("last_real_answer", rf"WITH x AS (SELECT conv_id, turn, list_transform(regexp_extract_all({_ANSWER}, '(?is)<answer>(.*?)</answer>', 1), lambda a: regexp_replace(a, '^\s+|\s+$', '', 'g')) AS l FROM conversations) SELECT conv_id, turn, coalesce(list_filter(l, lambda a: upper(a) NOT IN ('...', '..', '.', 'YOUR_ANSWER', 'FINAL_ANSWER', 'ANSWER', 'TBD', 'N/A') AND regexp_matches(a, '[\p{{L}}\p{{N}}]'))[-1], l[-1], '') AS answer FROM x")
 def _(spark, d):
     return _answers(spark, d).select("conv_id", "turn", X.last_real_answer("text").alias("answer"))
 
 
-@query("answer_of_conversation")
+@query("answer_of_conversation", rf"WITH x AS (SELECT conv_id, turn, regexp_extract_all({_ANSWER}, '(?is)<answer>(.*?)</answer>', 1) AS l FROM conversations WHERE role <> 'system' AND NOT (role = 'tool' AND contains(text, 'CHECKLIST'))), y AS (SELECT conv_id, turn, unnest(l) AS a, generate_subscripts(l, 1) AS k FROM x), z AS (SELECT conv_id, turn, k, regexp_replace(a, '^\s+|\s+$', '', 'g') AS a FROM y) SELECT conv_id, arg_max(a, turn * 1000 + k) AS answer FROM z WHERE a NOT IN ('', '...', 'X', 'FINAL_ANSWER') GROUP BY conv_id")
 def _(spark, d):
     return C.last_answer(_answers(spark, d), "conv_id", "turn", "role", "text", "CHECKLIST")
 
@@ -96,10 +97,24 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.choice(said, "ABCD").alias("choice"))
 
 
-@query("option_choice_layers", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'D' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'A' ELSE '' END AS choice FROM orders")
+_LETTER = "chr(CAST(65 + o_custkey % 4 AS INTEGER))"
+_OTHER = "chr(CAST(65 + (o_custkey + 1) % 4 AS INTEGER))"
+
+
+@query("option_choice_layers", f"SELECT o_orderkey, CASE WHEN o_orderkey % 12 IN (10, 11) THEN '' ELSE {_LETTER} END AS choice FROM orders")
 def _(spark, d):
-    k = F.col("o_orderkey") % 5
-    said = F.when(k == 0, "<answer>A</answer> no, <answer>D</answer>").when(k == 1, "I think the answer is B").when(k == 2, "so it must be C").when(k == 3, "it was the apple").otherwise("apple or pear; see Disp.A")
+    """One letter is meant, another is said beside it; in the last two forms none can be told."""
+    letter, other = F.chr(F.lit(65) + F.col("o_custkey") % 4), F.chr(F.lit(65) + (F.col("o_custkey") + 1) % 4)
+    names = F.array(*map(F.lit, ("apple", "pear", "plum", "date")))
+    word = F.get(names, (F.col("o_custkey") % 4).cast("int"))
+    forms = (
+        ("<answer>", other, "</answer> no, <answer> (", letter, "). </answer>"), ("I choose ", letter, ", because ", other, " is too short."), ("I will pick ", letter, " rather than ", other), ("The answer = ", letter, ", not ", other),
+        ("Our answer a week ago was wrong; the sound is ", letter, "."), ("Each choice a person makes counts. It is ", letter), ("first option ", other, ", but the correct answer is *", letter, "*"), (other, ". ", word, "\nso it must be ", letter), ("see Disp.", other, " and opt/", other, ", so ", letter),
+        ("it was the ", word), ("apple or pear; see Disp.", letter), ("nothing of a kind", F.lit("")),
+    )
+    said = F.lit("")
+    for k, form in enumerate(forms):
+        said = F.when(F.col("o_orderkey") % len(forms) == k, F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in form))).otherwise(said)
     options = F.array(*map(F.lit, ("A. apple", "B. pear", "C. plum", "D. date")))
     return table(spark, d, "orders").select("o_orderkey", X.option_choice(said, options).alias("choice"))
 
@@ -111,10 +126,18 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.yes_no(said).alias("choice"))
 
 
-@query("lenient_answer")
+@query("lenient_answer", "SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'c' || o_custkey WHEN 1 THEN 'c' || o_custkey WHEN 2 THEN o_orderpriority WHEN 3 THEN '' WHEN 4 THEN '' WHEN 5 THEN 'c' || o_custkey WHEN 6 THEN '' WHEN 7 THEN 'c' || o_custkey ELSE '' END AS answer FROM orders")
 def _(spark, d):
-    said = F.concat("text", F.lit("\nFinal Answer: "), F.left("text", F.lit(9)), F.lit("\n"))
-    return table(spark, d, "conversations").select("conv_id", "turn", X.lenient_answer(said).alias("answer"))
+    """Cues before a table's own values: in bold, after a boundary, before a hedge or a filler, in a tag, and none."""
+    c = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    forms = (
+        ("It is on the sign.\nFinal Answer: ", c, "\n"), ("So, the answer is **", c, "**.\n"), ("Answer: one thing\nlater\nMy final answer = `", F.col("o_orderpriority"), "`"), ("Final answer: probably ", c), ("Final answer: yes",),
+        ("Final answer: no\n<answer>", c, "</answer> Answer: 9"), ("the reanswer ", c), ("Hence the answer: ", c, "!\nfinal answer: unclear from this"), ("The answer is " + "long " * 40,),
+    )
+    said = c
+    for k, form in enumerate(forms):
+        said = F.when(F.col("o_orderkey") % len(forms) == k, F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in form))).otherwise(said)
+    return table(spark, d, "orders").select("o_orderkey", X.lenient_answer(said).alias("answer"))
 
 
 @query("correctness_predicate", "SELECT o_orderkey, o_orderkey % 4 IN (0, 1, 2) AS ok, CASE o_orderkey % 4 WHEN 0 THEN 'exact_match' WHEN 1 THEN 'first_token_match' WHEN 2 THEN 'open_substring(g_in_p=True)' ELSE 'empty_prediction' END AS reason FROM orders")
@@ -146,17 +169,16 @@ def _(spark, d):
     return p.select("doc_id", X.token_jaccard(F.col("w"), F.col("v")).alias("jaccard"))
 
 
-@query("sliding_quote_jaccard")
+@query("sliding_quote_jaccard", r"WITH w AS (SELECT conv_id, turn, string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') AS w FROM conversations), q AS (SELECT *, w[3:8] AS q FROM w) SELECT conv_id, turn, coalesce(list_max(list_transform(range(1, greatest(len(w) - len(q) + 1, 1) + 1), lambda i: len(list_intersect(w[i:i + greatest(len(q), 1) - 1], q)) / nullif(len(list_distinct(list_concat(w[i:i + greatest(len(q), 1) - 1], q))), 0)::DOUBLE)), 0.0) AS best FROM q")
 def _(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", F.split(X.norm_ws("text"), " ").alias("w"))
     return c.select("conv_id", "turn", X.window_jaccard(F.slice("w", 3, 6), F.col("w")).alias("best"))
 
 
-@query("cer", r"WITH t AS (SELECT conv_id, turn, regexp_replace(left(text, 60), '[^\x00-\x7F]', '', 'g') AS a, regexp_replace(substr(text, 4, 60), '[^\x00-\x7F]', '', 'g') AS b FROM conversations) SELECT conv_id, turn, CASE WHEN length(a) = 0 THEN CASE WHEN length(b) > 0 THEN 1.0 ELSE 0.0 END ELSE levenshtein(a, b) / length(a)::DOUBLE END::DOUBLE AS cer FROM t")
+@query("cer", r"WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS a FROM conversations), u AS (SELECT *, translate(a, 'te', 'd') AS b FROM t) SELECT conv_id, turn, CASE WHEN length(a) = 0 THEN CASE WHEN length(b) > 0 THEN 1.0 ELSE 0.0 END ELSE levenshtein(a, b) / length(a)::DOUBLE END::DOUBLE AS cer FROM u")
 def _(spark, d):
-    plain = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "")
-    t = table(spark, d, "conversations").select("conv_id", "turn", plain(F.left("text", F.lit(60))).alias("a"), plain(F.substring("text", 4, 60)).alias("b"))
-    return t.select("conv_id", "turn", X.character_error_rate(F.col("a"), F.col("b")).alias("cer"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("a"))
+    return t.select("conv_id", "turn", X.character_error_rate(F.col("a"), F.translate("a", "te", "d")).alias("cer"))
 
 
 @query("wer")
@@ -191,9 +213,10 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.reports_number(said, k.cast("double"), 5).alias("consistent"))
 
 
-@query("first_divergence", "WITH t AS (SELECT conv_id, turn, left(text, 30) AS a, left(text, 7) || '#' || substr(text, 9, 22) AS b FROM conversations WHERE length(text) > 20) SELECT conv_id, turn, CASE WHEN a <> b THEN 7 END AS at FROM t")
+@query("first_divergence", "WITH t AS (SELECT conv_id, turn, text AS a, left(text, length(text) // 2) || '#' || substr(text, length(text) // 2 + 2) AS b FROM conversations) SELECT conv_id, turn, CASE WHEN a <> b THEN length(a) // 2 END AS at FROM t")
 def _(spark, d):
-    t = table(spark, d, "conversations").filter("length(text) > 20").select("conv_id", "turn", F.left("text", F.lit(30)).alias("a"), F.concat(F.left("text", F.lit(7)), F.lit("#"), F.substring("text", 9, 22)).alias("b"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("a"), F.concat(F.left("text", half), F.lit("#"), F.substring("text", half + 2, F.length("text"))).alias("b"))
     return t.select("conv_id", "turn", X.first_difference(F.col("a"), F.col("b")).alias("at"))
 
 
@@ -277,14 +300,14 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", G.union_area(boxes).alias("area"))
 
 
-@query("frame_box_iou")
+@query("frame_box_iou", "WITH b AS (SELECT p_partkey, p_size / 1000.0::DOUBLE AS x1, 0.1::DOUBLE AS y1, 0.5::DOUBLE AS x2, 0.6::DOUBLE AS y2 FROM part), i AS (SELECT p_partkey, (x2 - x1) * (y2 - y1) AS own, (least(x2, 0.5) - greatest(x1, 0.1)) * (least(y2, 0.5) - greatest(y1, 0.1)) AS i1, (least(x2, 0.9) - greatest(x1, 0.4)) * (least(y2, 0.9) - greatest(y1, 0.4)) AS i2, (least(x2, 0.5) - greatest(x1, 0.4)) * (least(y2, 0.5) - greatest(y1, 0.4)) AS i12 FROM b) SELECT p_partkey, (i1 + i2 - i12) / (0.4 + own - (i1 + i2 - i12)) AS viou FROM i")
 def _(spark, d):
     a = F.array(F.array(F.lit(0.1), F.lit(0.1), F.lit(0.5), F.lit(0.5)), F.array(F.lit(0.4), F.lit(0.4), F.lit(0.9), F.lit(0.9)))
     b = F.array(G.unit_box(F.array(F.col("p_size").cast("double"), F.lit(100.0), F.lit(500.0), F.lit(600.0))))
     return table(spark, d, "part").select("p_partkey", G.union_iou(a, F.filter(b, lambda x: x.isNotNull())).alias("viou"))
 
 
-@query("terminal_synthesis")
+@query("terminal_synthesis", "SELECT conv_id, count(*) + 2 * max((role = 'assistant')::INTEGER) AS messages, max((role = 'assistant')::INTEGER)::BIGINT AS calls FROM conversations GROUP BY conv_id")
 def _(spark, d):
     m = table(spark, d, "conversations").select("conv_id", "turn", "role", F.when(F.col("role") == "assistant", F.concat("text", F.lit(" <answer>x</answer>"))).otherwise(F.col("text")).alias("text"))
     return C.with_terminal(m, "conv_id", "turn", "role", "text").groupBy("conv_id").agg(F.count("*").alias("messages"), F.count_if(F.col("role") == "tool_call").alias("calls"))
@@ -298,25 +321,15 @@ def _(spark, d):
     return a.select("conv_id", F.aggregate(mask, F.lit(0).cast("long"), lambda x, y: x + y).alias("trained"), F.size(mask).cast("long").alias("tokens"))
 
 
-@query("trajectory_reward")
-def _(spark, d):
-    """Scores of made-up trajectories: one call each, with faults and media by rule."""
-    k = F.col("o_orderkey")
-    t = table(spark, d, "orders").select("o_orderkey", F.when(k % 4 != 0, "Paris").alias("prediction"), F.when(k % 5 == 0, "timeout").otherwise("task_complete").alias("exit_reason"), F.array(F.lit("paris")).alias("truths"), F.when(k % 3 == 0, F.array(F.lit("v.mp4"))).alias("videos"), F.when(k % 2 == 0, F.array(F.lit("ffmpeg"))).otherwise(F.array(F.lit("ls"))).alias("names"), (k % 7 == 0).cast("int").alias("n_fail"))
-    mod = W.modality(F.col("videos"), F.lit(None).cast("array<string>"), F.col("names"), ("ffmpeg",), ("sox",), ("identify",))
-    s = W.score(W.outcome(F.col("prediction"), F.col("truths")), mod["ok"], mod["has_video"] | mod["has_audio"], F.lit(1), F.col("n_fail"), F.lit(0), W.format_value(F.col("exit_reason"), F.col("prediction")), W.removed(F.col("exit_reason"), F.col("prediction")))
-    return t.select("o_orderkey", s.alias("s")).select("o_orderkey", "s.*")
-
-
-@query("path_escape_scan")
+@query("path_escape_scan", "SELECT o_orderkey, o_orderkey % 3 <> 1 AS escapes FROM orders")
 def _(spark, d):
     c = F.concat(F.lit("cat "), F.when(F.col("o_orderkey") % 3 == 0, "/etc/passwd").when(F.col("o_orderkey") % 3 == 1, "/tmp/a.txt").otherwise("answer_key.json"))
     return table(spark, d, "orders").select("o_orderkey", W.escapes(c, "/work/job").alias("escapes"))
 
 
-@query("network_scan", "SELECT doc_id, regexp_matches(text, '(?i)https?://') AS networked FROM documents")
+@query("network_scan", r"SELECT doc_id, coalesce(regexp_matches(text, '(?i)\b(curl|wget|ssh|scp|rsync|nc|telnet)\b|https?://'), false) AS networked FROM documents")
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", F.col("text").rlike("(?i)https?://").alias("networked"))
+    return _docs(spark, d).select("doc_id", W.networked(F.col("text")).alias("networked"))
 
 
 @query("rescore_by_spec", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'B' END AS new_prediction, o_orderkey % 2 = 0 AS new_correct FROM orders")
@@ -333,14 +346,12 @@ def _(spark, d):
     return specs.filtered(r, items).select(F.col("id").alias("o_orderkey"), "passed")
 
 
-@query("near_duplicate_group", "SELECT md5(lower(text)) AS h, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1")
+@query("exact_copy_groups", "SELECT md5(lower(text)) AS h, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1")
 def _(spark, d):
     return _docs(spark, d).groupBy(F.md5(F.lower("text").cast("binary")).alias("h")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
 
 
-@query("effort_pick")
+@query("effort_pick", "SELECT event_id, ['low', 'medium', 'high', 'xhigh'][least(CASE WHEN CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 1000 < 200 THEN 1 ELSE 0 END + event_id % 2, 3) + 1] AS effort FROM events")
 def _(spark, d):
     """A fifth of the items, by hash, start at a higher effort; a second attempt is one step higher."""
-    levels = F.array(*map(F.lit, ("low", "medium", "high", "xhigh")))
-    e = events(spark, d).select("event_id", F.when(F.pmod(F.xxhash64("event_id"), F.lit(1000)) < 200, 1).otherwise(0).alias("start"), (F.col("event_id") % 2).cast("int").alias("retry"))
-    return e.select("event_id", F.get(levels, F.least(F.col("start") + F.col("retry"), F.lit(3))).alias("effort"))
+    return events(spark, d).select("event_id", P.effort(F.col("event_id"), F.col("event_id") % 2, 0.2).alias("effort"))

@@ -27,6 +27,12 @@ def one(spark, column):
         (X.last_real_answer, "none", ""),
         (X.lenient_answer, "So\nFinal Answer: **42**\n", "42"),
         (X.lenient_answer, "the answer is unknown", ""),
+        (X.lenient_answer, "Final answer: probably left", ""),
+        (X.lenient_answer, "Final answer: yes", ""),
+        (X.lenient_answer, "First, the answer = 12\nand so on", "12"),
+        (X.lenient_answer, "an unanswer is nothing", ""),
+        (X.norm_exact, "\uff18", "8"),
+        (X.norm_exact, " \uff21\uff22!c ", "ab c"),
         (X.lenient_answer, "<answer>3</answer> Final Answer: 9", "3"),
         (X.yes_no, "Yes, it is", "A"),
         (X.yes_no, "No, it is not", "B"),
@@ -46,7 +52,8 @@ def test_choice(spark, said, wanted):
     assert one(spark, X.choice(F.lit(said), "ABCD")) == wanted
 
 
-@pytest.mark.parametrize(("said", "wanted"), [("<answer>x</answer><answer>(d)</answer>", "D"), ("A. apple\nB. pear", ""), ("see Disp.A | Volatile", ""), ("opt/A then C", "C"), ("the plum", "C"), ("", "")])
+@pytest.mark.parametrize(("said", "wanted"), [("<answer>x</answer><answer>(d)</answer>", "D"), ("A. apple\nB. pear", ""), ("see Disp.A | Volatile", ""), ("opt/A then C", "C"), ("the plum", "C"), ("", ""),
+    ("I choose D, because A is too short.", "D"), ("I will pick C rather than A", "C"), ("The answer = B, not C", "B"), ("Our answer a week ago was wrong; the sound is D.", "D"), ("Each choice a person makes counts. It is D", "D"), ("I SELECT (b)", "B"), ("option A, correct option is *C*", "C"), ("  b) pear\nD", "D"), ("an A-Class car", "")])
 def test_option_choice(spark, said, wanted):
     options = F.array(*map(F.lit, ("A. apple", "B. pear", "C. plum")))
     assert one(spark, X.option_choice(F.lit(said), options)) == wanted

@@ -57,7 +57,8 @@ def test_modality_of_shared_file(spark):
 
 def test_escapes_and_call_faults(spark):
     calls = spark.createDataFrame([(1, "execute_commands", False, "cat /tmp/a"), (1, "rm", False, "x"), (1, None, True, None), (1, "execute_commands", False, "curl http://x; cat /etc/passwd"), (1, "execute_commands", False, "cat answer_key.json / b")], "t int, name string, bad boolean, text string")
-    got = W.call_counts(calls.withColumn("esc", W.escapes(F.col("text"), "/work")), "t", "name", "bad", "text", F.col("esc")).first()
+    none = spark.createDataFrame([], "t int, role string, text string")
+    got = W.tool_summary(calls, none, "t", "/work", malformed="bad", text="text").first()
     assert (got["n_tool"], got["n_unparseable"], got["n_disallowed"], got["n_escape"]) == (5, 1, 2, 2)
 
 
@@ -95,11 +96,19 @@ def test_zero_rules_of_f1(spark):
 
 def test_medians_and_ranks(spark):
     df = spark.range(1, 5)
-    r = df.agg(M.upper_median("id").alias("m"), M.nearest_rank("id", 0.9).alias("p"), M.variation("id").alias("v")).first()
+    r = M.order_statistics(df, [], "id", {"m": M.upper_median, "p": M.nearest_rank(0.9)}).first()
     assert (r["m"], r["p"]) == (3, 4)
+    repeated = spark.createDataFrame([("a", x) for x in (5, 1, 1, None, 9, 9, 9)] + [("b", 2), ("c", None)], "k string, x int")
+    got = {r["k"]: (r["m"], r["p"]) for r in M.order_statistics(repeated, ["k"], "x", {"m": M.upper_median, "p": M.nearest_rank(0.5)}).collect()}
+    assert got == {"a": (9, 5), "b": (2, 2)}
+    assert M.order_statistics(df.limit(0), [], "id", {"m": M.upper_median}).first()["m"] is None
     assert df.filter("id = 1").agg(M.variation("id").alias("v")).first()["v"] == 100.0
 
 
+def test_score_tokens():
+    assert M.score_tokens('He said: "no, 3.5-4 &amp; more."\n(x-y)') == ["He", "said", ":", '"', "no", ",", "3.5", "-", "4", "&", "more", ".", '"', "(", "x-y", ")"]
+
+
 def test_bleu_is_one_for_equal_texts(spark):
     df = spark.createDataFrame([("the cat sat on the mat", "the cat sat on the mat")], "h string, r string")
     assert M.corpus_bleu(df, "h", "r").first()["bleu"] == pytest.approx(1.0)
