@@ -18,6 +18,62 @@ def test_kneser_ney_sums_to_one():
         assert sum(10.0**x for x in logs) == pytest.approx(1.0, abs=1e-4)
 
 
+def plain_kneser_ney(texts, labels, order):
+    """Interpolated Kneser-Ney by dictionaries of strings: a function from a text to the log10 probability in each language."""
+
+    def clean(t):
+        out = " "
+        for c in t.lower() + " ":
+            out += c if c.isalpha() else " " if out[-1] != " " else ""
+        return out
+
+    cut = lambda s, n: s[len(s) - n :] if len(s) > n else s
+    alphabet, models = set("".join(clean(t) for t in texts)), {}
+    for lang in sorted(set(labels)):
+        tops = Counter()
+        for t, x in zip(texts, labels, strict=True):
+            s = clean(t)
+            tops.update(cut(s[: i + 1], order) for i in range(1, len(s)) if x == lang)
+        levels = {order: tops}
+        for n in range(order - 1, 0, -1):
+            levels[n] = Counter(cut(g, n) for g in levels[n + 1])
+        models[lang] = []
+        for n in range(1, order + 1):
+            mass, kinds = Counter(), Counter()
+            for g, a in levels[n].items():
+                mass[g[:-1]] += a
+                kinds[g[:-1]] += 1
+            once, twice = (sum(a == k for a in levels[n].values()) for k in (1, 2))
+            models[lang].append((levels[n], mass, kinds, min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5))
+
+    def p(lang, n, g):
+        if not n:
+            return 1 / (len(alphabet) + 1)
+        count, mass, kinds, d = models[lang][n - 1]
+        lower = p(lang, n - 1, cut(g, n - 1))
+        return max(count[g] - d, 0) / mass[g[:-1]] + d * kinds[g[:-1]] / mass[g[:-1]] * lower if g[:-1] in mass else lower
+
+    return lambda t: [sum(math.log10(p(lang, order, cut(clean(t)[: i + 1], order))) for i in range(1, len(clean(t)))) for lang in sorted(models)]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_equal_plain_kneser_ney(order):
+    rng = np.random.default_rng(order)
+    texts = ["".join(rng.choice(list("abcdé ,9"), rng.integers(1, 60))) for _ in range(30)] + ["der Hund und die Katze", "the dog and the cat, the end"]
+    labels = [("x", "y")[k % 2] for k in range(len(texts))]
+    plain = plain_kneser_ney(texts, labels, order)
+    asked = [*texts[:6], "a", "", "zzz ab", "the dog und Katze", "É" * 40, "12 34"]
+    sums, _, _ = language.train(texts, labels, order).char_scores(asked)
+    for t, got in zip(asked, sums, strict=True):
+        assert got == pytest.approx(plain(t), abs=1e-3)
+
+
+def test_ties_and_repeated_rows_of_languages(spark):
+    rows = [(k // 2, "one and the same text", ("aa", "bb")[k % 2]) for k in range(80)] + [(None, "one and the same text", None)] * 3
+    got = identified(spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")).collect()
+    assert len(got) == len(rows) and {r["lang_pred"] for r in got} == {"aa"} and not any(r["held_out"] for r in got if r["doc_id"] is None)
+
+
 def test_languages_held_out(spark):
     rng = np.random.default_rng(0)
     kinds = {"aa": list("abcde"), "bb": list("cdefg"), "cc": list("ghijk")}
