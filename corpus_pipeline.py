@@ -21,7 +21,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labels teach; those without a letter, and those far from all languages, go."""
+    """Documents in a language that the labels teach; those without a letter (null and empty texts too), and those far
+    from all languages, go. Rows are judged each on its own, so repeated rows and null ids need no rule; without labels
+    nothing is known and all go."""
     return identified(docs, carry=("text", "lang", "source", "n_chars")).filter("not rejected").select(*COLUMNS)
 
 
@@ -32,19 +34,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated passages."""
+    """Texts without their repeated passages: all copies go, the first included, so a row that occurs twice is left without
+    the text that both hold, and stays as an empty document. A null text becomes an empty one."""
     out = repeated(docs, with_text=True, carry=("lang", "source"))
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it, up to three. Empty documents take no words of the mix but are
+    drawn like others; a null source is one of its own; rows with equal or null ids are drawn each on its own."""
     out = mixed(docs, carry=("text", "lang", "source", "n_chars"))
     return out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens."""
+    """Pieces of sequences of at most 1024 tokens, of every row; a null or empty text is one piece that holds the end."""
     return packed(docs, tokenizer_path())
 
 
