@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 K, SIZE, DIGITS = 128, 5, 16
 BLANKS = r"[\x20\x09-\x0D]+"
-BUCKET_ROWS, MOST_BUCKETS = 256, 4096
+BUCKET_ROWS, MOST_BUCKETS = 256, 1 << 16
 
 
 def sketch(text: Column, k: int = K, size: int = SIZE) -> Column:
@@ -54,7 +54,7 @@ def _bucket(value: Column, bounds: list[int]) -> Column:
     """How many bounds are below the value, by bisection."""
     if not bounds:
         return F.lit(0)
-    table = F.array(*(F.lit(b).cast("long") for b in bounds))
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # one literal, however many bounds
     steps = F.array(*(F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)))
     take = lambda at, s: F.when((at + s <= len(bounds)) & (F.get(table, at + s - 1) < value), at + s).otherwise(at)
     return F.coalesce(F.aggregate(steps, F.lit(0), take), F.lit(0))
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = docs.count()
     parts = max(1, min(MOST_BUCKETS, -(-rows // BUCKET_ROWS)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * MOST_BUCKETS)).first()[0] if parts > 1 else []
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else []
     bounds = sorted({b for b in cuts or []})
     dealt = docs.withColumn("bucket", _bucket(F.col("doc_id"), bounds)).withColumn("extra", F.lit(0))
     heads = dealt.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("head"))
