@@ -68,3 +68,15 @@ def repeated_without(df: DataFrame, other: DataFrame, key: str, least: int = 2)
 def validated(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rows with the names of the rules they break."""
     return df.withColumn("broken", F.array_compact(F.array(*(F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()))))
+
+
+def set_digest(c: Column) -> Column:
+    """Of a set of values, whatever their order: the number of them and the sums, modulo 2 to the 64, of four parts of their digests. An aggregate of fixed size."""
+    h = F.sha2(c.cast("string").cast("binary"), 256)
+    parts = [F.sum(F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]
+    return F.sha2(F.concat_ws("-", F.count(c).cast("string"), *parts).cast("binary"), 256)
+
+
+def disjoint(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Whether no key is on both sides."""
+    return a.join(b, key, "left_semi").agg((F.count("*") == 0).alias("disjoint"))

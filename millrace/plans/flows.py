@@ -12,6 +12,7 @@ from millrace.functions import text as X
 from millrace.operators import intervals as I  # noqa: E741
 from millrace.operators import metrics as M
 from millrace.operators import report as R
+from millrace.operators.quality import set_digest
 
 
 def present(levels: Column, level: int, fields: Sequence[Column]) -> Column:
@@ -81,13 +82,6 @@ def parity(left: DataFrame, right: DataFrame, key: str, text: str) -> DataFrame:
     return parts.unionAll(both.agg(F.min(X.first_difference(F.col("a"), F.col("b"))).cast("long").alias("n")).select(F.lit("first_difference").alias("check"), "n"))
 
 
-def set_digest(c: Column) -> Column:
-    """Of a set of values, whatever their order: the number of them and the sums, modulo 2 to the 64, of four parts of their digests. An aggregate of fixed size."""
-    h = F.sha2(c.cast("string").cast("binary"), 256)
-    parts = [F.sum(F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]
-    return F.sha2(F.concat_ws("-", F.count(c).cast("string"), *parts).cast("binary"), 256)
-
-
 def subset(items: DataFrame, key: str, ordinal: str, n: int | None, digest: str | None = None) -> DataFrame:
     """The first n items (all without n). Repeated keys, a source of another digest, or fewer than n items raise."""
     facts = items.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("ids"), set_digest(F.col(key)).alias("digest")).first()

@@ -36,6 +36,17 @@ def json_items(files: DataFrame, wrappers: Sequence[str] = WRAPPERS, strict: boo
     return out.filter(F.trim(F.col("item")).startswith("{"))
 
 
+def json_any(files: DataFrame, wrappers: Sequence[str] = WRAPPERS) -> DataFrame:
+    """(path, place, item) of JSON files and, by the suffix .jsonl, files of JSON lines, whose blank lines are skipped. An empty file, or a line that is no object, raises."""
+    blank = F.trim(F.coalesce("content", F.lit(""))) == ""
+    files = files.withColumn("content", F.when(blank, F.raise_error(F.concat(F.lit("empty file "), F.col("path"))).cast("string")).otherwise(F.col("content")))
+    cut = F.filter(F.split("content", r"\r?\n"), lambda x: F.trim(x) != "")
+    rows = files.filter(F.lower("path").endswith(".jsonl")).select("path", F.posexplode(cut).alias("place", "item"))
+    good = F.trim("item").startswith("{") & F.try_parse_json("item").isNotNull()
+    rows = rows.withColumn("item", F.when(F.coalesce(good, F.lit(False)), F.col("item")).otherwise(F.raise_error(F.concat(F.lit("bad line in "), F.col("path"))).cast("string")))
+    return json_items(files.filter(~F.lower("path").endswith(".jsonl")), wrappers).unionAll(rows)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, text) with line numbers from 1 in each file. Files are read whole, as line numbers need."""
     cut = F.split(F.regexp_replace("content", r"\r?\n$", ""), r"\r?\n")
