@@ -18,17 +18,31 @@ def _evaluated(spark, d):
     return ann, pred, P.evaluate(ann, pred, span("view"), span("click"), side("view"), side("click"), 2)
 
 
-@query("evaluate_levels")
+#: The evaluation in SQL. All boxes of a time begin at the origin and have one height, so their union is the widest.
+_ISLANDS = """{n} AS (SELECT q, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY q ORDER BY s, e) AS g FROM (SELECT *, max(e) OVER (PARTITION BY q ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM sp WHERE event_type = '{k}' AND s < e)) GROUP BY q, g)"""
+_SCORED = f"""WITH {EV}, sp AS (SELECT user_id AS q, event_type, sec AS s, sec + cents * 20 AS e FROM ev), {_ISLANDS.format(n="g", k="view")}, {_ISLANDS.format(n="f", k="click")},
+c AS (SELECT g.q, sum(least(g.e, f.e) - greatest(g.s, f.s)) AS c FROM g JOIN f ON g.q = f.q AND g.s < f.e AND f.s < g.e GROUP BY 1), l AS (SELECT q, sum(e - s) AS gl FROM g GROUP BY 1), m AS (SELECT q, sum(e - s) AS fl FROM f GROUP BY 1),
+ti AS (SELECT q, coalesce(coalesce(c, 0)::DOUBLE / nullif(gl + coalesce(fl, 0) - coalesce(c, 0), 0), 0) AS tiou FROM l LEFT JOIN m USING (q) LEFT JOIN c USING (q)),
+bx AS (SELECT user_id AS q, event_type, sec // 3600 AS t, max(0.2::DOUBLE + cents / 20000.0::DOUBLE) AS w FROM ev WHERE event_type IN ('view', 'click') GROUP BY ALL),
+nr AS (SELECT a.q, a.t, a.w, b.w AS w2, row_number() OVER (PARTITION BY a.q, a.t ORDER BY abs(a.t - b.t), b.t) AS r FROM bx a LEFT JOIN bx b ON a.q = b.q AND b.event_type = 'click' AND abs(a.t - b.t) <= 2 WHERE a.event_type = 'view'),
+vi AS (SELECT q, avg(coalesce(least(w, w2) / greatest(w, w2) * (w2 IS NOT NULL)::INTEGER, 0)) AS viou FROM nr WHERE r = 1 GROUP BY q),
+qs AS (SELECT user_id AS q, CAST(max(event_id) % 5 AS VARCHAR) AS answer, CAST(min(event_id) % 5 AS VARCHAR) AS prediction, min(event_type) AS category FROM ev GROUP BY 1),
+sc AS (SELECT q, category, prediction, prediction = answer AS l3, ti.q IS NOT NULL AS ht, vi.q IS NOT NULL AS hs, coalesce(tiou, 0) AS tiou, coalesce(viou, 0) AS viou FROM qs LEFT JOIN ti USING (q) LEFT JOIN vi USING (q)),
+z AS (SELECT *, l3 AND tiou > 0.3 AS l4, l3 AND tiou > 0.3 AND viou > 0.3 AS l5 FROM sc)"""
+_LEVELS = "count(*) AS count, avg(l3::INTEGER) * 100 AS level3_accuracy, avg(l4::INTEGER) * 100 AS level4_accuracy, avg(l5::INTEGER) * 100 AS level5_accuracy, avg(tiou) * 100 AS mean_tiou_all, coalesce(avg(tiou) FILTER (WHERE ht) * 100, 0) AS mean_tiou_annotated, avg(viou) * 100 AS mean_viou_all, coalesce(avg(viou) FILTER (WHERE hs) * 100, 0) AS mean_viou_annotated"
+
+
+@query("evaluate_levels", f"{_SCORED} SELECT {_LEVELS} FROM z")
 def _(spark, d):
     return R.level_report(_evaluated(spark, d)[2])
 
 
-@query("evaluate_by_category")
+@query("evaluate_by_category", f"{_SCORED} SELECT category, {_LEVELS} FROM z GROUP BY category")
 def _(spark, d):
     return R.level_report(_evaluated(spark, d)[2], "category")
 
 
-@query("evaluate_questions")
+@query("evaluate_questions", f"{_SCORED} SELECT q AS question_id, prediction, CASE WHEN q % 7 <> 0 THEN l3 END AS l3_correct, CASE WHEN q % 7 <> 0 THEN tiou END AS tiou, CASE WHEN q % 7 <> 0 THEN viou END AS viou, CASE WHEN q % 7 <> 0 THEN l4 END AS l4_correct, CASE WHEN q % 7 <> 0 THEN l5 END AS l5_correct, q % 7 <> 0 AS eval_matched_annotation, CASE WHEN q % 7 = 0 THEN 'question_id not found in annotations' END AS eval_error FROM z")
 def _(spark, d):
     ann, pred, scored = _evaluated(spark, d)
     return P.question_rows(pred, scored.filter("question_id % 7 <> 0"))

@@ -196,8 +196,17 @@ def _match(kind: str):
     return run
 
 
+#: Pairs in a kernel's order, each taken if both its ends are free: the choice as a recursion over their places.
+_CHOICE = """WITH RECURSIVE {ev}, p0 AS (SELECT a.user_id AS key, a.event_id AS i, b.event_id AS j, CAST(7200 - abs(a.sec - b.sec) AS DOUBLE) AS score FROM ev a JOIN ev b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND abs(a.sec - b.sec) < 7200),
+p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {order}) AS r FROM p0),
+s AS (SELECT key, 0::BIGINT AS r, []::BIGINT[] AS li, []::BIGINT[] AS rj, false AS taken FROM (SELECT DISTINCT key FROM p) UNION ALL
+SELECT p.key, p.r, CASE WHEN list_contains(li, p.i) OR list_contains(rj, p.j) THEN li ELSE list_append(li, p.i) END, CASE WHEN list_contains(li, p.i) OR list_contains(rj, p.j) THEN rj ELSE list_append(rj, p.j) END, NOT (list_contains(li, p.i) OR list_contains(rj, p.j)) FROM s JOIN p ON p.key = s.key AND p.r = s.r + 1)
+SELECT key, i, j, score FROM s JOIN p USING (key, r) WHERE taken"""
+_ORDERS = {"ordered": "i, score DESC, j", "first_fit": "i, j", "global": "score DESC, i, j", "global_high": "score DESC, i DESC, j DESC"}
+
 for _kind in A.KERNELS:
-    query({"ordered": "greedy_match_ordered", "first_fit": "greedy_match_first_fit", "global": "greedy_match_global", "global_high": "greedy_match_global_high", "optimal": "hungarian_match"}[_kind])(_match(_kind))
+    _sql = _CHOICE.format(ev=EV, order=_ORDERS[_kind]) if _kind in _ORDERS else None
+    query({"ordered": "greedy_match_ordered", "first_fit": "greedy_match_first_fit", "global": "greedy_match_global", "global_high": "greedy_match_global_high", "optimal": "hungarian_match"}[_kind], _sql)(_match(_kind))
 
 
 @query("label_map_error_rate")
@@ -219,7 +228,10 @@ def _(spark, d):
     return M.speaker_error_rate(turn(s.filter("event_id % 2 = 0")), turn(s.filter("event_id % 3 = 0")), ["user_id"])
 
 
-@query("coalesced_batches")
+@query("coalesced_batches", f"""WITH RECURSIVE {EV}, o AS (SELECT user_id % 8 AS log, event_id, sec, row_number() OVER (PARTITION BY user_id % 8 ORDER BY sec, event_id) AS r FROM ev),
+s AS (SELECT log, event_id, sec, r, 0::BIGINT AS batch, 1 AS n, sec AS began FROM o WHERE r = 1 UNION ALL
+SELECT o.log, o.event_id, o.sec, o.r, batch + CASE WHEN n >= 4 OR o.sec - began >= 3600 THEN 1 ELSE 0 END, CASE WHEN n >= 4 OR o.sec - began >= 3600 THEN 1 ELSE n + 1 END, CASE WHEN n >= 4 OR o.sec - began >= 3600 THEN o.sec ELSE began END FROM s JOIN o ON o.log = s.log AND o.r = s.r + 1)
+SELECT log, event_id, sec, batch FROM s""")
 def _(spark, d):
     from millrace.streaming.live import batches_of
 

@@ -247,9 +247,10 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object(N.repaired(broken), "$.k").cast("long").alias("k"))
 
 
-@query("json_repair")
+@query("json_repair", r"""SELECT conv_id, turn, '{"name": "x", "arguments": {"a": ["' || regexp_replace(text, '["\\\x00-\x1f]', ' ', 'g') || '"]}}' AS fixed FROM conversations""")
 def _(spark, d):
-    cut = F.concat(F.lit('{"name": "x", "arguments": {"a": ["'), F.left("text", F.lit(12)))
+    """Arguments cut off inside a whole turn's text."""
+    cut = F.concat(F.lit('{"name": "x", "arguments": {"a": ["'), F.regexp_replace("text", r'["\\\x00-\x1f]', " "))
     return table(spark, d, "conversations").select("conv_id", "turn", N.closed(cut).alias("fixed"))
 
 
@@ -266,13 +267,16 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.explode(spans).alias("p")).select("event_id", "p.s", "p.e")
 
 
-@query("box_parse")
+@query("box_parse", "SELECT p_partkey, p_size::DOUBLE AS t, 1.0::DOUBLE AS x1, p_size + 3.0::DOUBLE AS x2 FROM part UNION ALL SELECT p_partkey, 0.5::DOUBLE, 4.0::DOUBLE, 6.0::DOUBLE FROM part WHERE p_partkey % 2 = 1")
 def _(spark, d):
-    t = F.concat(F.lit("[{'time': "), F.col("p_size"), F.lit(", 'box': [1, 2, "), F.col("p_size") + 3, F.lit(", 9]}]"))
-    return table(spark, d, "part").select("p_partkey", N.boxes_by_time(t).alias("boxes"))
+    """Python literals with one box, and JSON with a list of them under another name."""
+    one = F.concat(F.lit("[{'time': "), F.col("p_size"), F.lit(", 'box': [1, 2, "), F.col("p_size") + 3, F.lit(", 9]}]"))
+    two = F.concat(F.lit('[{"time": '), F.col("p_size"), F.lit(', "bbox": [1, 2, '), F.col("p_size") + 3, F.lit(', 9]}, 7, {"timestamp": "0.5", "boxes": [[4, 5, 6, 7], [1]]}]'))
+    p = table(spark, d, "part").select("p_partkey", F.explode(N.boxes_by_time(F.when(F.col("p_partkey") % 2 == 0, one).otherwise(two))).alias("b"))
+    return p.select("p_partkey", "b.t", F.get("b.box", 0).alias("x1"), F.get("b.box", 2).alias("x2"))
 
 
-@query("string_leaves")
+@query("string_leaves", "SELECT p_partkey, [p_name, p_brand] AS leaves FROM part")
 def _(spark, d):
     return table(spark, d, "part").select("p_partkey", N.leaves(F.to_json(F.struct("p_name", F.struct("p_brand", "p_size").alias("x")))).alias("leaves"))
 
