@@ -240,3 +240,12 @@ def test_lists_as_of(spark):
     got = {r["page_id"]: (r["decision"], r["active"]) for r in urlfilter.as_of(c, e).collect()}
     assert got == {1: ("none", 0), 2: ("allow", 1), 3: ("block", 2), 4: ("allow", 3), 5: ("allow", 1), 6: ("none", 0), 7: ("none", 0), 8: ("none", 0)}
     assert urlfilter.as_of(c.limit(0), e).count() == 0 and urlfilter.as_of(c, e.limit(0)).count() == 8
+
+
+def test_lists_on_repeated_captures_and_odd_hosts(spark):
+    e = spark.createDataFrame([("l", "host", "a.com", "block", "2024-01-10"), ("m", "host", "a.com", "allow", "2024-01-10"), ("l", "domain", "com", "allow", "2024-01-01"), ("l", "host", "a.com", "allow", "2024-01-20"), ("l", "host", "a.com", "block", "2024-01-20")], "list_id string, scope string, value string, action string, listed_at string").withColumn("listed_at", F.col("listed_at").cast("date"))
+    urls = ["http://a.com/", "http://a.com/", "http://a..com/x", "http://.com", "http://", "http://a.com" + "/d" * 300, "", None]
+    rows = [(7 if k < 2 else k, u, "2024-01-15", "x", 3) for k, u in enumerate(urls)] + [(None, "http://a.com/", "2024-01-15", "x", 3), (8, "http://a.com/", "2024-01-20", "x", 3)]
+    c = spark.createDataFrame(rows, "page_id long, url string, fetched_at string, decision string, active int").withColumn("fetched_at", F.col("fetched_at").cast("date"))
+    got = sorted(((r["page_id"] is None, r["page_id"] or 0, r["decision"], r["active"], r["list_id"]) for r in urlfilter.as_of(c, e).collect()), key=repr)
+    assert got == sorted([(False, 7, "block", 3, "l"), (False, 7, "block", 3, "l"), (False, 2, "allow", 1, "l"), (False, 3, "allow", 1, "l"), (False, 4, "none", 0, None), (False, 5, "block", 3, "l"), (False, 6, "none", 0, None), (False, 7, "none", 0, None), (True, 0, "block", 3, "l"), (False, 8, "block", 3, "l")], key=repr)
