@@ -99,6 +99,42 @@ def tool_use_blocks(events: DataFrame, key: str, event: str) -> DataFrame:
     return events.groupBy(key).agg(F.coalesce(F.sum(F.when(n > 0, n)), F.lit(0)).alias("tool_uses"))
 
 
+def _used(event: Column, at: str) -> Column:
+    """(prompt, completion) tokens of a usage object; cached input counts as input."""
+    n = lambda name: F.coalesce(F.get_json_object(event, f"$.{at}.{name}").try_cast("long"), F.lit(0).cast("long"))
+    return F.struct((n("input_tokens") + n("cache_creation_input_tokens") + n("cache_read_input_tokens")).alias("prompt"), n("output_tokens").alias("completion"))
+
+
+def session_tokens(events: DataFrame, key: str, place: str, event: str) -> DataFrame:
+    """By key, prompt and completion tokens: of the last result event, if it has any; else the sums over assistant messages."""
+    kind, turn = F.get_json_object(event, "$.type"), _used(F.col(event), "message.usage")
+    last = F.max_by(F.when(kind == "result", _used(F.col(event), "usage")), F.when(kind == "result", F.col(place)))
+    total = lambda part: F.coalesce(F.sum(F.when(kind == "assistant", turn[part])), F.lit(0))
+    out = events.groupBy(key).agg(last.alias("_last"), total("prompt").alias("_p"), total("completion").alias("_c"))
+    told = F.coalesce((F.col("_last.prompt") != 0) | (F.col("_last.completion") != 0), F.lit(False))
+    return out.select(key, F.when(told, F.col("_last.prompt")).otherwise(F.col("_p")).alias("prompt_tokens"), F.when(told, F.col("_last.completion")).otherwise(F.col("_c")).alias("completion_tokens"))
+
+
+def turn_tokens(events: DataFrame, key: str, event: str) -> DataFrame:
+    """By key, tokens summed over completed turns; the total is input and output, of which cached input is a part."""
+    done = F.get_json_object(event, "$.type") == "turn.completed"
+    n = lambda name: F.coalesce(F.sum(F.when(done, F.get_json_object(event, f"$.usage.{name}").try_cast("double").cast("long"))), F.lit(0)).alias(name)
+    out = events.groupBy(key).agg(n("input_tokens"), n("output_tokens"), n("cached_input_tokens"))
+    return out.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
+
+
+def distinct_calls(events: DataFrame, key: str, event: str) -> DataFrame:
+    """By key, tool calls: started commands by the id of their item, and events of a tool's type by their own; both share one set of ids, and one without an id counts by itself."""
+    get = lambda path: F.get_json_object(event, path)
+    kind = F.coalesce(get("$.type"), F.lit(""))
+    started = (kind == "item.started") & (F.coalesce(F.nullif(get("$.item.type"), F.lit("")), get("$.item.item_type")) == "command_execution")
+    tool = kind.rlike("exec_command|apply_patch|web_search|tool_call")
+    some = lambda c: F.nullif(c, F.lit(""))
+    ids = F.when(started, some(get("$.item.id"))).otherwise(F.coalesce(some(get("$.call_id")), some(get("$.id"))))
+    calls = F.coalesce(started, F.lit(False)) | tool
+    return events.groupBy(key).agg((F.count_distinct(F.when(calls, ids)) + F.count_if(calls & ids.isNull())).alias("calls"))
+
+
 def both_terms(found: DataFrame, glossary: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Entries of a glossary of which a found row has all terms (trimmed), and their share: `covered`, `total`, `ratio`."""
     f = found.select(*(F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns)).distinct()

@@ -89,7 +89,7 @@ def first_calls(calls: DataFrame, ids: Sequence[str], ordinal: str) -> DataFrame
 
 
 def weighted_rotation(df: DataFrame, name: str, weight: str) -> DataFrame:
-    """(slot, name): names in turns by weight. Each name's i-th turn is due at (i - 1/2) / weight; ties by name."""
+    """(slot, name): names in turns by weight. Each name's i-th turn is due at (i - 1/2) / weight; ties by name. Names are those of a rotation (endpoints, benchmarks), so one window orders them."""
     turns = df.filter(F.col(weight) >= 1).select(name, weight, F.explode(F.sequence(F.lit(1), F.col(weight).cast("int"))).alias("_i"))
     due = (2 * F.col("_i") - 1).cast("double") / (2 * F.col(weight))
     return turns.withColumn("slot", F.row_number().over(Window.orderBy(due, name))).select("slot", name)

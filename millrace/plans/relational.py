@@ -440,14 +440,3 @@ def _(spark, d):
 @query("dispatcher_snapshot", f"WITH {EV} SELECT count(*) AS n_rows, count(*) FILTER (WHERE event_type = 'error') AS n_errors, list_sort(list(cents))[count(*) // 2 + 1] AS median_elapsed, list_sort(list(cents % 9))[count(*) // 2 + 1] AS median_tools FROM ev")
 def _(spark, d):
     return R.snapshot(events(spark, d).select("cents", (F.col("cents") % 9).alias("tools"), F.when(F.col("event_type") == "error", "e").alias("error")), "cents", "tools", "error")
-
-
-@query("token_sums", "SELECT user_id, CASE WHEN sum(CASE WHEN event_type = 'purchase' THEN event_id ELSE 0 END) > 0 THEN sum(CASE WHEN event_type = 'purchase' THEN event_id ELSE 0 END) ELSE sum(CASE WHEN event_type = 'view' THEN event_id ELSE 0 END) END::BIGINT AS tokens FROM events GROUP BY user_id")
-def _(spark, d):
-    part = lambda k: F.sum(F.when(F.col("event_type") == k, F.col("event_id")).otherwise(0))
-    return table(spark, d, "events").groupBy("user_id").agg(F.when(part("purchase") > 0, part("purchase")).otherwise(part("view")).alias("tokens"))
-
-
-@query("distinct_tool_calls", "SELECT conv_id, count(DISTINCT CASE WHEN role = 'assistant' THEN turn // 2 END) + count(*) FILTER (WHERE role = 'system') AS calls FROM conversations GROUP BY conv_id")
-def _(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg((F.count_distinct(F.when(F.col("role") == "assistant", F.floor(F.col("turn") / 2))) + F.count_if(F.col("role") == "system")).alias("calls"))

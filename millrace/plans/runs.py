@@ -70,6 +70,40 @@ def _(spark, d):
     return E.tool_use_blocks(table(spark, d, "events").select("user_id", message.alias("event")), "user_id", "event")
 
 
+_TOKENS = "t AS (SELECT user_id, event_id, event_type, event_id % 40 AS i, user_id % 7 AS c, event_id % 9 AS o, event_id % 3 AS k FROM events)"
+
+
+@query("token_sums", f"""WITH {_TOKENS}, l AS (SELECT user_id, arg_max(CASE WHEN k = 0 THEN 0 ELSE i + c END, event_id) AS lp, arg_max(CASE WHEN k = 0 THEN 0 ELSE o END, event_id) AS lc FROM t WHERE event_type = 'purchase' GROUP BY 1),
+s AS (SELECT user_id, coalesce(sum(i + c) FILTER (WHERE event_type = 'view'), 0)::BIGINT AS p, coalesce(sum(o) FILTER (WHERE event_type = 'view'), 0)::BIGINT AS q FROM t GROUP BY 1)
+SELECT user_id, CASE WHEN coalesce(lp, 0) + coalesce(lc, 0) > 0 THEN lp ELSE p END::BIGINT AS prompt_tokens, CASE WHEN coalesce(lp, 0) + coalesce(lc, 0) > 0 THEN lc ELSE q END::BIGINT AS completion_tokens FROM s LEFT JOIN l USING (user_id)""")
+def _(spark, d):
+    """Purchases are result events, a third of them without usage; views are assistant messages; other events have usage that does not count."""
+    k = F.col("event_id")
+    usage = F.struct((k % 40).alias("input_tokens"), (F.col("user_id") % 7).alias("cache_read_input_tokens"), (k % 9).alias("output_tokens"))
+    kind = F.when(F.col("event_type") == "purchase", "result").when(F.col("event_type") == "view", "assistant").otherwise("user")
+    text = F.when(kind == "result", F.to_json(F.struct(kind.alias("type"), F.when(k % 3 != 0, usage).alias("usage")))).otherwise(F.to_json(F.struct(kind.alias("type"), F.struct(usage.alias("usage")).alias("message"))))
+    return E.session_tokens(table(spark, d, "events").select("user_id", "event_id", text.alias("event")), "user_id", "event_id", "event")
+
+
+@query("turn_token_sums", f"WITH {_TOKENS} SELECT user_id, coalesce(sum(i) FILTER (WHERE event_type = 'click'), 0)::BIGINT AS input_tokens, coalesce(sum(o) FILTER (WHERE event_type = 'click'), 0)::BIGINT AS output_tokens, coalesce(sum(c) FILTER (WHERE event_type = 'click'), 0)::BIGINT AS cached_input_tokens, coalesce(sum(i + o) FILTER (WHERE event_type = 'click'), 0)::BIGINT AS total_tokens FROM t GROUP BY user_id")
+def _(spark, d):
+    k = F.col("event_id")
+    usage = F.struct((k % 40).alias("input_tokens"), (k % 9).alias("output_tokens"), (F.col("user_id") % 7).alias("cached_input_tokens"))
+    text = F.to_json(F.struct(F.when(F.col("event_type") == "click", "turn.completed").otherwise("turn.started").alias("type"), usage.alias("usage")))
+    return E.turn_tokens(table(spark, d, "events").select("user_id", text.alias("event")), "user_id", "event")
+
+
+@query("distinct_tool_calls", "SELECT user_id, count(DISTINCT CASE WHEN event_type IN ('click', 'view') AND event_id % 4 > 0 THEN event_id % 25 END) + count(*) FILTER (WHERE event_type IN ('click', 'view') AND event_id % 4 = 0) AS calls FROM events GROUP BY user_id")
+def _(spark, d):
+    """Clicks are started commands, views are events of a tool's type; a quarter has no id, and ids repeat over both kinds."""
+    k = F.col("event_id")
+    ident = F.when(k % 4 > 0, F.concat(F.lit("c"), (k % 25).cast("string")))
+    started = F.to_json(F.struct(F.lit("item.started").alias("type"), F.struct(F.lit("command_execution").alias("item_type"), ident.alias("id")).alias("item")))
+    other = F.to_json(F.struct(F.lit("mcp_tool_call_begin").alias("type"), ident.alias("call_id")))
+    text = F.when(F.col("event_type") == "click", started).when(F.col("event_type") == "view", other).otherwise(F.to_json(F.struct(F.lit("item.completed").alias("type"), F.struct(ident.alias("id")).alias("item"))))
+    return E.distinct_calls(table(spark, d, "events").select("user_id", text.alias("event")), "user_id", "event")
+
+
 @query("glossary_coverage", "WITH f AS (SELECT DISTINCT p_type, trim(p_brand) AS p_brand FROM part WHERE p_size % 3 = 0), g AS (SELECT DISTINCT p_type, p_brand FROM part WHERE p_size % 2 = 0) SELECT count(DISTINCT p_type) FILTER (WHERE (p_type, p_brand) IN (SELECT (p_type, p_brand) FROM f)) AS covered, count(*) AS total, count(DISTINCT p_type) FILTER (WHERE (p_type, p_brand) IN (SELECT (p_type, p_brand) FROM f)) / greatest(count(*), 1)::DOUBLE AS ratio FROM g")
 def _(spark, d):
     p = table(spark, d, "part")

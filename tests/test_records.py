@@ -100,3 +100,16 @@ def test_conversion(spark):
 def test_set_digest_has_no_order(spark):
     d = lambda df: df.agg(P.set_digest(F.col("id"))).first()[0]
     assert d(spark.range(100)) == d(spark.range(100).orderBy(F.desc("id")).repartition(7)) != d(spark.range(99))
+
+
+def test_session_tokens(spark):
+    use = lambda i, o: '{"input_tokens": %d, "cache_creation_input_tokens": 1, "output_tokens": %d}' % (i, o)
+    turn = lambda i, o: '{"type": "assistant", "message": {"usage": %s}}' % use(i, o)
+    rows = [("a", 0, turn(1, 2)), ("a", 1, '{"type": "result", "usage": %s}' % use(9, 9)), ("a", 2, '{"type": "result"}'), ("b", 0, turn(5, 6)), ("b", 1, '{"type": "result", "usage": %s}' % use(3, 4)), ("b", 2, turn(1, 1)), ("c", 0, '{"type": "user"}'), ("d", 0, "oops")]
+    got = {r["k"]: (r["prompt_tokens"], r["completion_tokens"]) for r in E.session_tokens(spark.createDataFrame(rows, "k string, place int, event string"), "k", "place", "event").collect()}
+    assert got == {"a": (2, 2), "b": (4, 4), "c": (0, 0), "d": (0, 0)}
+
+
+def test_calls_without_an_id_count_by_themselves(spark):
+    rows = [("a", x) for x in ('{"type": "item.started", "item": {"type": "command_execution", "id": "1"}}', '{"type": "exec_command_begin", "call_id": "1"}', '{"type": "web_search"}', '{"type": "web_search", "call_id": ""}', '{"type": "item.completed", "item": {"id": "9"}}', "oops")]
+    assert E.distinct_calls(spark.createDataFrame(rows, "k string, event string"), "k", "event").first()["calls"] == 3
