@@ -57,11 +57,25 @@ def tokens(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and how often they occur, summed over PENDING tokens before they leave the task."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    pending = 0
+
+    def flush() -> pa.RecordBatch:
+        h, shape = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        u, index, n = np.unique(h, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(shape[index].astype(np.int8)), pa.array(n)], ["h", "shape", "n"])
+
     for batch in batches:
-        for _, _, buf, at in K.pieces(batch.column(0), 1 << 20):
+        for _, _, buf, at in K.pieces(batch.column(0)):
             h, shape, _ = tokens(buf, at)
-            u, index, n = np.unique(h, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(shape[index].astype(np.int8)), pa.array(n)], ["h", "shape", "n"])
+            held.append((h, shape.astype(np.int8)))
+            pending += len(h)
+            if pending >= PENDING:
+                yield flush()
+                held, pending = [], 0
+    if pending:
+        yield flush()
 
 
 class Units:
@@ -169,11 +183,29 @@ class Table:
         return out.astype(np.int64)
 
 
-_CONTEXT = "pair boolean, h long, n long, class byte, codes binary, counts binary"
+_CONTEXT = "pair boolean, h long, n long, data binary"
+_ENTRY = np.dtype([("code", np.uint8), ("n", "<u2")])  # of a word's data, after a byte with its class; a greater number is several entries
+
+
+class _Often:
+    """Bitmap of the words beyond the table that occur MIN_COUNT times or more: a few too many pass, none is missing."""
+
+    BITS = 24
 
+    def __init__(self, words: DataFrame):
+        bit = F.col("h").bitwiseAND(F.lit((1 << self.BITS) - 1))
+        rows = words.select(F.shiftright(bit, 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("mask")).groupBy("at").agg(F.bit_or("mask").alias("mask"))
+        got = rows.toPandas()  # 2 ** (BITS - 6) rows at most
+        self.bits = np.zeros(1 << (self.BITS - 6), np.int64)
+        self.bits[got["at"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64)
 
-def _neighbours(shared, sweep: int, all_words: bool):
-    """For each word: how often each class comes after it (codes 0 ..), before it (codes `size` ..), and it after itself (code 2 * size); and the class bigrams (pair is true, h is 'before * size + after')."""
+    def may(self, h: np.ndarray) -> np.ndarray:
+        bit = (h & K.U((1 << self.BITS) - 1)).astype(np.int64)
+        return (self.bits[bit >> 6] >> (bit & 63)) & 1 == 1
+
+
+def _neighbours(shared, sweep: int, often):
+    """For each word that moves: its class, how often each class comes after it (codes 0 ..), before it (codes `size` ..), and it after itself (code 2 * size); and the class bigrams (pair is true, h is 'before * size + after'). often: for words beyond the table, if any of them move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
@@ -183,15 +215,24 @@ def _neighbours(shared, sweep: int, all_words: bool):
         pending = 0
 
         def flush() -> pa.RecordBatch:
-            h, cls, code = (np.concatenate([x[k] for x in held]) for k in range(3))
-            names, index = np.unique(h, return_inverse=True)
+            h, index, cls, code = (np.concatenate([x[k] for x in held]) for k in range(4))
+            out = np.flatnonzero(index < 0)  # words beyond the table are numbered after it
+            more, number = np.unique(h[out], return_inverse=True)
+            index[out] = len(t.words) + number
+            names = np.concatenate((t.words, more))
             key, n = np.unique(index * width + code, return_counts=True)
             word, first = np.unique(key // width, return_index=True)
             class_of = np.zeros(len(names), np.int8)
             class_of[index] = cls
-            codes, counts, ends = (key % width).astype(np.uint8).tobytes(), n.astype(np.uint32).tobytes(), [*first[1:].tolist(), len(key)]
-            pairs = list(zip(first.tolist(), ends, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(word), bool)), pa.array(names[word].view(np.int64)), pa.array(np.zeros(len(word), np.int64)), pa.array(class_of[word]), pa.array([codes[x:y] for x, y in pairs], pa.binary()), pa.array([counts[4 * x : 4 * y] for x, y in pairs], pa.binary())], names=_names(_CONTEXT))
+            times = -(-n // 65535)  # entries that hold the number
+            entries = np.empty(int(times.sum()), _ENTRY)
+            entries["code"] = np.repeat(key % width, times)
+            entries["n"] = 65535
+            last = np.cumsum(times) - 1
+            entries["n"][last] = n - 65535 * (times - 1)
+            raw, edge = entries.tobytes(), np.append(last[first] - times[first] + 1, len(entries)) * _ENTRY.itemsize
+            data = [bytes((c,)) + raw[x:y] for c, x, y in zip(class_of[word].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(word), bool)), pa.array(names[word].view(np.int64)), pa.array(np.zeros(len(word), np.int64)), pa.array(data, pa.binary())], names=_names(_CONTEXT))
 
         for batch in batches:
             for _, _, buf, at in K.pieces(batch.column(0)):
@@ -204,12 +245,13 @@ def _neighbours(shared, sweep: int, all_words: bool):
                 total += np.bincount(before * size + now, minlength=size * size)
                 itself = np.concatenate(([False], (h[1:] == h[:-1]) & ~start[1:]))
                 moving = shape != END_SHAPE
-                if not all_words and len(t.words):
-                    moving &= found & (t.counts[place] >= MIN_COUNT)
+                if len(t.words):
+                    moving &= np.where(found, t.counts[place] >= MIN_COUNT, often.value.may(h) if often else False)
                 here = np.flatnonzero(moving)
-                held.append((h[here], now[here], np.where(itself[here], 2 * size, size + before[here])))
+                index = np.where(found, place, -1)
+                held.append((h[here], index[here], now[here], np.where(itself[here], 2 * size, size + before[here])))
                 ahead = np.flatnonzero(moving[:-1] & ~itself[1:])  # an end comes after every word, so each has a next token
-                held.append((h[ahead], now[ahead], now[ahead + 1]))
+                held.append((h[ahead], index[ahead], now[ahead], now[ahead + 1]))
                 pending += len(here) + len(ahead)
                 if pending >= PENDING:
                     yield flush()
@@ -217,8 +259,7 @@ def _neighbours(shared, sweep: int, all_words: bool):
         if pending:
             yield flush()
         code = np.flatnonzero(total)
-        blank = pa.array([b""] * len(code), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(code), bool)), pa.array(code), pa.array(total[code]), pa.array(np.zeros(len(code), np.int8)), blank, blank], names=_names(_CONTEXT))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(code), bool)), pa.array(code), pa.array(total[code]), pa.array([b""] * len(code), pa.binary())], names=_names(_CONTEXT))
 
     return K.trimmed(run)
 
@@ -260,34 +301,43 @@ def gains(m: np.ndarray, a: np.ndarray, right: np.ndarray, left: np.ndarray, own
 
 
 def _moved(m: np.ndarray):
-    """Rows arrive sorted by word; each word of MIN_COUNT tokens or more gets its best class (the last one is the end's alone)."""
+    """Rows (h, data) arrive sorted by word; each word of MIN_COUNT tokens or more gets its best class (the last one is the end's alone)."""
     size = len(m)
+    width = 2 * size + 1
 
-    def settle(words: list[int], of: list[int], counts: list[np.ndarray]) -> pa.RecordBatch:
-        v, a = np.array(counts, np.float64).reshape(len(words), 2 * size + 1), np.array(of, np.int64)
+    def settle(h: np.ndarray, a: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         enough = v[:, size:].sum(axis=1) >= MIN_COUNT  # each token has one before it
-        h, v, a = np.array(words, np.int64)[enough], v[enough], a[enough]
+        h, v, a = h[enough], v[enough].astype(np.float64), a[enough]
         gain = gains(m, a, v[:, :size], v[:, size : 2 * size], v[:, -1])[:, : max(1, size - 1)]
         best = gain.argmax(axis=1)
         best = np.where(gain[np.arange(len(a)), best] > gain[np.arange(len(a)), a] + 1e-9, best, a)
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(best.astype(np.int16))], names=["h", "class"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[int] = []
-        of: list[int] = []
-        counts: list[np.ndarray] = []
+        h, a, v = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width), np.int64)  # the last word is not yet complete
         for batch in batches:
-            for h, cls, codes, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if not words or words[-1] != h:
-                    if len(words) >= WORDS:
-                        yield settle(words, of, counts)
-                        words, of, counts = [], [], []
-                    words.append(h)
-                    of.append(cls)
-                    counts.append(np.zeros(2 * size + 1, np.int64))
-                counts[-1][np.frombuffer(codes.as_buffer(), np.uint8)] += np.frombuffer(n.as_buffer(), np.uint32)
-        if words:
-            yield settle(words, of, counts)
+            if not batch.num_rows:
+                continue
+            keys, column = np.asarray(batch.column(0)), batch.column(1).cast(pa.large_binary())
+            at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            raw = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
+            heads = at[:-1] - at[0]
+            inside = np.ones(len(raw), bool)
+            inside[heads] = False
+            entries = raw[inside].view(_ENTRY)
+            new = np.append(len(h) == 0 or keys[0] != h[-1], keys[1:] != keys[:-1])
+            word = np.cumsum(new) + len(h) - 1
+            begun = np.flatnonzero(new)
+            h, a = np.append(h, keys[begun]), np.append(a, raw[heads[begun]].astype(np.int64))
+            v = np.vstack((v, np.zeros((len(begun), width), np.int64)))
+            low = word[0]
+            place = np.repeat(word - low, (np.diff(at) - 1) // _ENTRY.itemsize) * width + entries["code"]
+            v[low:] += np.bincount(place, entries["n"], (len(h) - low) * width).astype(np.int64).reshape(-1, width)
+            if len(h) > WORDS:
+                yield settle(h[:-1], a[:-1], v[:-1])
+                h, a, v = h[-1:], a[-1:], v[-1:].copy()
+        if len(h):
+            yield settle(h, a, v)
 
     return K.trimmed(run)
 
@@ -300,10 +350,18 @@ class _Known:
         self.h, first = np.unique(np.asarray(flat.field("h"), np.int64).view(np.uint64), return_index=True)
         self.classes = [np.asarray(x, np.int16)[first] for x in (flat.field(k) for k in range(1, flat.type.num_fields))]
 
-    def apply(self, cls: np.ndarray, hashes: np.ndarray, found: np.ndarray, sweep: int) -> np.ndarray:
-        if sweep and len(self.h):
-            at = np.minimum(np.searchsorted(self.h, hashes), len(self.h) - 1)
-            cls = np.where(~found & (self.h[at] == hashes), self.classes[sweep - 1][at], cls)
+    def find(self, hashes: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that are not in the table but known, and the place of each."""
+        out = np.flatnonzero(~found)
+        if not len(self.h):
+            return out[:0], out[:0]
+        at = np.minimum(np.searchsorted(self.h, hashes[out]), len(self.h) - 1)
+        hit = self.h[at] == hashes[out]
+        return out[hit], at[hit]
+
+    def apply(self, cls: np.ndarray, known: tuple[np.ndarray, np.ndarray], sweep: int) -> np.ndarray:
+        if sweep:
+            cls[known[0]] = self.classes[sweep - 1][known[1]]
         return cls
 
 
@@ -318,8 +376,9 @@ def _bigrams(shared, sweeps: int):
             for _, _, buf, at in K.pieces(batch.column(0)):
                 h, shape, begin = tokens(buf, at)
                 place, found = t.find(h)
+                beyond = known.find(h, found)
                 for k in range(sweeps):
-                    now = known.apply(t.classes_of(place, found, shape, k), h, found, k)
+                    now = known.apply(t.classes_of(place, found, shape, k), beyond, k)
                     before = np.concatenate(([t.size - 1], now[:-1]))
                     before[begin[:-1]] = t.size - 1
                     total[k] += np.bincount(before * t.size + now, minlength=t.size * t.size)
@@ -374,28 +433,31 @@ def _list(shared):
     return K.trimmed(run)
 
 
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, part double, steps double, rare array<struct<h:long,tf:int>>"
+_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, part double, steps double, rare array<struct<h:long,tf:int>>, more long, gain double"
 
 
-def _score(model):
-    """Per text: tokens, those in the table, sum of log10(count + 1/2) of these, sum of transitions less class weights, and the other words with their numbers."""
+def _score(model, rare: bool):
+    """Per text: tokens, those in the table, sum of log10(count + 1/2) of these, sum of transitions less class weights, and (rare) the other words with their numbers; what is known of these passes through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, row = model.value, TaskContext.get().partitionId() << 40
         t = m.table
+        logs = np.log10(t.counts + HALF)
         for batch in batches:
             known = _Known(batch.column(3))
             for i, rows, buf, at in K.pieces(batch.column(2)):
                 h, shape, begin = tokens(buf, at)
                 place, found = t.find(h)
-                cls = known.apply(t.classes_of(place, found, shape, m.sweep), h, found, m.sweep)
+                cls = known.apply(t.classes_of(place, found, shape, m.sweep), known.find(h, found), m.sweep)
                 before = np.concatenate(([t.size - 1], cls[:-1]))
                 before[begin[:-1]] = t.size - 1
                 steps = np.add.reduceat(m.step[before, cls] - m.weight[cls], begin[:-1])
-                part = np.add.reduceat(np.where(found, np.log10(t.counts[place] + HALF), 0.0), begin[:-1]) if len(t.words) else np.zeros(rows)
+                part = np.add.reduceat(np.where(found, logs[place], 0.0), begin[:-1]) if len(t.words) else np.zeros(rows)
+                others = _rare_words(h, found | (not rare), begin)
+                cut = [c.slice(i, rows) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(rows)), batch.column(0).slice(i, rows), batch.column(1).slice(i, rows), pa.array(np.diff(begin)), pa.array(np.add.reduceat(found.astype(np.int64), begin[:-1])), pa.array(part), pa.array(steps), _rare_words(h, found, begin)],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "part", "steps", "rare"],
+                    [pa.array(row + np.arange(rows)), cut[0], cut[1], pa.array(np.diff(begin)), pa.array(np.add.reduceat(found.astype(np.int64), begin[:-1])), pa.array(part), pa.array(steps), others, cut[4], cut[5]],
+                    ["row", "doc_id", "held_out", "n_tokens", "known", "part", "steps", "rare", "more", "gain"],
                 )
                 row += rows
 
@@ -411,10 +473,11 @@ def _matrix(rows, size: int) -> np.ndarray:
 def _swept(train: DataFrame, table: Table, counts: DataFrame, least: int, beyond: bool, scratch: Scratch) -> list[DataFrame]:
     """(h, class) of every word that moves, after each sweep; the table's classes are set too."""
     spark, out = train.sparkSession, []
+    often = spark.sparkContext.broadcast(_Often(counts.filter((F.col("n") < least) & (F.col("n") >= MIN_COUNT)))) if beyond else None
     for k in range(SWEEPS):
-        context = scratch.put(train.mapInArrow(_neighbours(spark.sparkContext.broadcast(table), k, beyond), _CONTEXT), f"context-{k}")
+        context = scratch.put(train.mapInArrow(_neighbours(spark.sparkContext.broadcast(table), k, often), _CONTEXT), f"context-{k}")
         pairs = context.filter("pair").groupBy(F.col("h").alias("code")).agg(F.sum("n").alias("n")).toPandas()  # classes squared
-        words = context.filter("not pair").select("h", "class", "codes", "counts").repartition("h").sortWithinPartitions("h")
+        words = context.filter("not pair").select("h", "data").repartition("h").sortWithinPartitions("h")
         moved = scratch.put(words.mapInArrow(_moved(_matrix(pairs, table.size)), "h long, class short"), f"moved-{k}")
         scratch.drop(f"context-{k}")
         frequent = moved.join(counts.filter(F.col("n") >= least).select("h"), "h", "left_semi") if beyond else moved
@@ -447,6 +510,7 @@ def class_scores(docs: DataFrame, folds: int = 5, held: int = 1, tables: Scratch
     fits = by_count[by_count["words"].cumsum() <= TABLE]
     least = int(fits["n"].min()) if len(fits) else 1 << 62
     top = counts.filter(F.col("n") >= least).toPandas().sort_values(["n", "h"], ascending=[False, True])  # TABLE rows at most
+    half = float(np.log10(HALF))
     beyond = bool(((by_count["n"] >= MIN_COUNT) & (by_count["n"] < least)).any())
     words = top["h"].to_numpy(np.int64).view(np.uint64)
     units = Units(words[words != END][:UNITS])
@@ -460,24 +524,27 @@ def class_scores(docs: DataFrame, folds: int = 5, held: int = 1, tables: Scratch
     table = Table(words, top["n"].to_numpy(), begin, of[len(units.sorted) :], size)
     moved = _swept(train, table, counts, least, beyond, scratch)
     classes = "array<struct<h:long" + "".join(f",c{k + 1}:short" for k in range(SWEEPS)) + ">>"
-    given = docs.withColumn("known", F.array().cast(classes))
-    if beyond:  # texts meet the classes of their words beyond the table
-        named = counts.filter((F.col("n") < least) & (F.col("n") >= MIN_COUNT)).select("h")
+    rest = counts.filter(F.col("n") < least).select("h", "n")
+    gained = (F.sum("tf").alias("more"), F.sum(F.col("tf") * (F.log10(F.col("n") + HALF) - F.lit(half))).alias("gain"))
+    given = docs.select("doc_id", "held_out", "text", F.array().cast(classes).alias("known"), F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("gain"))
+    if beyond:  # texts meet the counts and classes of their words beyond the table
         for k, m in enumerate(moved):
-            named = named.join(m.select("h", F.col("class").alias(f"c{k + 1}")), "h")
+            rest = rest.join(m.select("h", F.col("class").alias(f"c{k + 1}")), "h", "left")
         listed = scratch.put(docs.mapInArrow(_list(share(table)), _LISTED), "listed")
-        held_words = listed.select("row", F.explode("rare").alias("w")).select("row", "w.h").join(named, "h").groupBy("row").agg(F.collect_list(F.struct("h", *(f"c{k + 1}" for k in range(SWEEPS)))).alias("known"))  # of one text
-        given = scratch.put(listed.drop("rare").join(held_words, "row", "left").select("doc_id", "held_out", "text", F.coalesce("known", F.array().cast(classes)).alias("known")), "given")
+        own = F.collect_list(F.when(F.col("c1").isNotNull(), F.struct("h", *(f"c{k + 1}" for k in range(SWEEPS)))))  # of one text
+        met = listed.select("row", F.explode("rare").alias("w")).select("row", "w.h", "w.tf").join(rest, "h").groupBy("row").agg(own.alias("known"), *gained)
+        met = listed.drop("rare").join(met, "row", "left")
+        given = scratch.put(met.select("doc_id", "held_out", "text", F.coalesce("known", F.array().cast(classes)).alias("known"), F.coalesce("more", F.lit(0)).cast("long").alias("more"), F.coalesce("gain", F.lit(0.0)).alias("gain")), "given")
         scratch.drop("listed")
     bigrams = given.filter("not held_out").select("text", "known").mapInArrow(_bigrams(share(table), SWEEPS + 1), "sweep int, code int, n long").groupBy("sweep", "code").agg(F.sum("n").alias("n")).toPandas()
     matrices = [_matrix(bigrams[bigrams["sweep"] == k], size) for k in range(SWEEPS + 1)]
     sweep = int(np.argmax([likelihood(m) for m in matrices]))
     model = Model(table, sweep, matrices[sweep], _types(counts, table, moved[sweep - 1] if sweep else None, top))
-    scored = scratch.put(given.select("doc_id", "held_out", "text", "known").mapInArrow(_score(share(model)), _SCORED), "scored")
-    rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.h", "w.tf").join(counts.filter(F.col("n") < least).select("h", "n"), "h")
-    seen = rare.groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * (F.log10(F.col("n") + HALF) - F.lit(float(np.log10(HALF))))).alias("gain"))
-    half = float(np.log10(HALF))
-    everything = scored.drop("rare").join(seen, "row", "left")
+    scored = scratch.put(given.mapInArrow(_score(share(model), not beyond), _SCORED), "scored")
+    everything = scored
+    if not beyond:
+        seen = scored.select("row", F.explode("rare").alias("w")).select("row", "w.h", "w.tf").join(rest, "h").groupBy("row").agg(*gained)
+        everything = scored.drop("rare", "more", "gain").join(seen, "row", "left")
     # Words in neither table nor join have a count of 0, so log10(1/2) each.
     logs = F.col("part") + (F.col("n_tokens") - F.col("known")) * F.lit(half) + F.coalesce("gain", F.lit(0.0))
     mass = float(np.log10(total + HALF * (vocabulary + 1)))
