@@ -359,3 +359,82 @@ def _(spark, d):
 def _(spark, d):
     """A fifth of the items, by hash, start at a higher effort; a second attempt is one step higher."""
     return events(spark, d).select("event_id", P.effort(F.col("event_id"), F.col("event_id") % 2, 0.2).alias("effort"))
+
+
+@query("norm_ws", r"SELECT conv_id, turn, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS h FROM conversations")
+def _(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(X.norm_ws("text").cast("binary")).alias("h"))
+
+
+@query("safe_name", "SELECT page_id, regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM pages")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", X.safe_name("url").alias("name"))
+
+
+@query("tag_or_text", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN trim(left(trim(text), 5)) ELSE trim(text) END AS answer FROM conversations WHERE NOT contains(text, '<')")
+def _(spark, d):
+    c = table(spark, d, "conversations").filter("not contains(text, '<')")
+    said = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("so <answer>"), F.left(F.trim("text"), F.lit(5)), F.lit("</answer>"))).otherwise(F.concat(F.lit(" "), "text"))
+    return c.select("conv_id", "turn", X.tag_or_text(said).alias("answer"))
+
+
+@query("allowed_letters", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'ABCD' WHEN 1 THEN 'AC' ELSE 'ABCDE' END AS letters FROM part")
+def _(spark, d):
+    options = F.when(F.col("p_partkey") % 3 == 0, F.array("p_name", "p_type")).when(F.col("p_partkey") % 3 == 1, F.array(F.concat(F.lit("c. "), "p_name"), F.concat(F.lit("A) "), "p_type"), F.col("p_brand"))).otherwise(F.array(*(F.concat(F.lit(f" {x}: "), F.col("p_name")) for x in "EBADC")))
+    return table(spark, d, "part").select("p_partkey", X.allowed_letters(options).alias("letters"))
+
+
+@query("keyword_proximity", r"SELECT doc_id, regexp_matches(text, '(?i)the[\s\S]{0,40}license|license[\s\S]{0,40}the') AS near FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    return _docs(spark, d).filter("text is not null").select("doc_id", X.keyword_near(F.col("text"), "the", "license", 40).alias("near"))
+
+
+@query("message_truncation", "SELECT conv_id, turn, CASE WHEN length(text) <= 100 THEN text ELSE left(text, 50) || ' ... ' || right(text, 50) END AS text FROM conversations")
+def _(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", X.head_tail("text", 100).alias("text"))
+
+
+@query("tail_characters", "SELECT doc_id, md5(right(text, 4000)) AS h FROM documents")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(F.right("text", F.lit(4000)).cast("binary")).alias("h"))
+
+
+@query("box_containment", f"WITH {_BOX} SELECT l_orderkey, l_linenumber, greatest(0, least(x2, 40) - greatest(x1, 20)) * greatest(0, least(y2, 8) - greatest(y1, 3)) / ((x2 - x1) * (y2 - y1)) AS share FROM b")
+def _(spark, d):
+    a = F.array(F.col("l_quantity"), F.col("l_linenumber").cast("double"), F.col("l_quantity") + 10, F.col("l_linenumber") + F.lit(5.0))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", G.contained(a, F.array(*map(F.lit, (20.0, 3.0, 40.0, 8.0)))).alias("share"))
+
+
+@query("box_normalise", "SELECT p_partkey, least(1.0, p_size / 40.0)::DOUBLE AS x1, 1.0::DOUBLE AS x2 FROM part WHERE p_size < 40 UNION ALL SELECT p_partkey, 0.1::DOUBLE, 0.1 + p_size / 1000.0::DOUBLE FROM part WHERE p_size > 0")
+def _(spark, d):
+    """Sides out of order and beyond 1, and thousandths; boxes without area are null."""
+    p, n = table(spark, d, "part"), F.col("p_size").cast("double")
+    a = G.unit_box(F.array(F.lit(1.25), F.lit(0.9), n / 40, F.lit(0.2)))
+    b = G.unit_box(F.array(F.lit(100.0), F.lit(200.0), n + 100, F.lit(900.0)))
+    rows = p.filter("p_size <= 60").select("p_partkey", F.explode(F.array(a, b)).alias("b")).filter("b is not null")
+    return rows.select("p_partkey", F.get("b", 0).alias("x1"), F.get("b", 2).alias("x2"))
+
+
+@query("angular_separation", "SELECT p_partkey, degrees(acos(greatest(-1.0, least(1.0, sin(radians(p_size)) * sin(radians(30.0)) + cos(radians(p_size)) * cos(radians(30.0)) * cos(radians(p_partkey % 360 - 90.0)))))) AS angle FROM part")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", G.angle_between((F.col("p_partkey") % 360).cast("double"), F.col("p_size").cast("double"), F.lit(90.0), F.lit(30.0)).alias("angle"))
+
+
+@query("error_count_ratio", "SELECT l_orderkey, greatest(0.0, 1 - sum((l_returnflag = 'R')::INTEGER) / 3.0)::DOUBLE AS ratio FROM lineitem GROUP BY l_orderkey")
+def _(spark, d):
+    from millrace.operators.report import error_ratio
+
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("n"))
+    return g.select("l_orderkey", error_ratio(F.col("n"), 3).alias("ratio"))
+
+
+@query("variation_coefficient", "SELECT o_custkey, CASE WHEN count(*) < 2 THEN 100.0 ELSE stddev_pop(o_totalprice) / avg(o_totalprice) END::DOUBLE AS variation FROM orders GROUP BY o_custkey")
+def _(spark, d):
+    return table(spark, d, "orders").groupBy("o_custkey").agg(M.variation("o_totalprice").alias("variation"))
+
+
+@query("unordered_pair_f1", "WITH a AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS x, greatest(l_partkey, l_suppkey) AS y FROM lineitem WHERE l_quantity < 25), b AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS x, greatest(l_partkey, l_suppkey) AS y FROM lineitem WHERE l_quantity >= 20), n AS (SELECT (SELECT count(*) FROM a) AS n_truth, (SELECT count(*) FROM b) AS n_found, (SELECT count(*) FROM a JOIN b USING (x, y)) AS n_both) SELECT *, 2.0::DOUBLE * n_both / (n_truth + n_found) AS f1 FROM n")
+def _(spark, d):
+    li = table(spark, d, "lineitem").withColumn("pair", M.unordered("l_partkey", "l_suppkey"))
+    swapped = li.withColumn("pair", M.unordered("l_suppkey", "l_partkey"))
+    return M.set_f1(li.filter("l_quantity < 25"), swapped.filter("l_quantity >= 20"), ["pair"])
