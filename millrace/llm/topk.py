@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from millrace.llm import kernel as K
 from millrace.llm.shared import Scratch
 
-PIVOTS, SAMPLE, QUERY_BLOCK, DATA_BLOCK = 64, 2048, 512, 2048
-TOGETHER, FIRST = 16, 64  # queries whose bounds are computed at once, and candidates evaluated before the first stop
+PIVOTS, SAMPLE, QUERY_BLOCK, DATA_BLOCK = 64, 2048, 512, 4096
+TOGETHER, FIRST, MORE = 8, 64, 64  # queries whose bounds are computed at once, candidates evaluated before the first stop, and how many times as many before each next
 _BLOCK = "dim int, ids binary, rows binary, vectors binary, tables binary, least binary"
 
 
@@ -58,7 +58,7 @@ class Sample:
     def table(self, x: np.ndarray) -> np.ndarray:
         """Distances to the pivots of this length; to the origin, if the sample had none of it."""
         f = x.astype(np.float64)
-        return np.stack([np.linalg.norm(f - q, axis=1) for q in self.pivots.get(x.shape[1], np.zeros((1, x.shape[1])))], axis=1)
+        return np.stack([np.linalg.norm(f - q, axis=1) for q in self.pivots.get(x.shape[1], np.zeros((1, x.shape[1])))], axis=1).astype(np.float32)
 
     def least(self, rows: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
         """Each row's k-th score among the sample without itself: its k-th among all is no lower. The least integer if the sample has fewer."""
@@ -119,46 +119,48 @@ class Best:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, table: np.ndarray, least: np.ndarray, k: int):
         self.ids, self.rows, self.vectors, self.table, self.k = ids, rows, vectors, table, k
-        self.square = (vectors.astype(np.float64) ** 2).sum(axis=1)
+        self.plain = vectors.astype(np.float64)
+        self.square, self.top = (self.plain**2).sum(axis=1), float(np.abs(self.plain).max(initial=0))
         self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
         self.least = least.astype(np.int64)  # no lower score is among the k best
         self.evaluated = 0
 
     def offer(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray, table: np.ndarray) -> None:
-        square = (x.astype(np.float64) ** 2).sum(axis=1)
+        plain = x.astype(np.float64)
+        square = (plain**2).sum(axis=1)
+        exact = self.top * float(np.abs(plain).max(initial=0)) * x.shape[1] < 2**53  # all sums are whole in doubles
         columns = np.ascontiguousarray(table.T)
         # What the block as a whole allows: no distance outside its range to each pivot, no vector longer than its longest.
-        gap = np.maximum(np.maximum(self.table - table.max(axis=0), table.min(axis=0) - self.table).max(axis=1), 0)
+        gap = np.maximum(np.maximum(self.table - table.max(axis=0), table.min(axis=0) - self.table).max(axis=1), 0).astype(np.float64)
         wanted = np.flatnonzero(self._upper(self.square, square.max(), gap) >= self.least)
         for at in range(0, len(wanted), TOGETHER):
-            self._offer(wanted[at : at + TOGETHER], ids, rows, x, columns, square)
+            self._offer(wanted[at : at + TOGETHER], ids, rows, plain if exact else x, columns, square)
 
     @staticmethod
     def _upper(a, b, bound):
-        return (a + b - bound * bound) / 2 + 1e-6 * (1 + a + b)  # with room for the rounding of the distances
+        return (a + b - bound * bound) / 2 + 4e-6 * (1 + a + b)  # with room for the rounding of the distances
 
     def _offer(self, part: np.ndarray, ids: np.ndarray, rows: np.ndarray, x: np.ndarray, columns: np.ndarray, square: np.ndarray) -> None:
         own = self.table[part]
-        bound, gap = np.zeros((len(own), len(ids))), np.empty((len(own), len(ids)))
+        bound, gap = np.zeros((len(own), len(ids)), np.float32), np.empty((len(own), len(ids)), np.float32)
         for p, column in enumerate(columns):
             np.subtract(own[:, p, None], column[None, :], out=gap)
             np.abs(gap, out=gap)
             np.maximum(bound, gap, out=bound)
-        upper = self._upper(self.square[part, None], square[None, :], bound)
+        upper = self._upper(self.square[part, None], square[None, :], bound.astype(np.float64))
         upper[self.rows[part, None] == rows[None, :]] = -np.inf
+        vectors = self.plain if x.dtype == np.float64 else self.vectors
         for i, j in enumerate(part):
-            live, step = np.flatnonzero(upper[i] > -np.inf), FIRST
-            while True:
-                live = live[upper[i, live] >= self.least[j]]
-                if not len(live):
-                    break
+            live, step = np.flatnonzero(upper[i] >= max(float(self.least[j]), -1e300)), FIRST
+            while len(live):
                 if len(live) > step:  # the highest bounds first
                     order = np.argpartition(-upper[i, live], step)
                     now, live = live[order[:step]], live[order[step:]]
                 else:
                     now, live = live, live[:0]
-                self._keep(j, _products(self.vectors[j : j + 1], x[now])[0], ids[now])
-                step *= 8
+                self._keep(j, (x[now] @ vectors[j]).astype(np.int64), ids[now])
+                live = live[upper[i, live] >= self.least[j]]
+                step *= MORE
 
     def _keep(self, j: int, scores: np.ndarray, ids: np.ndarray) -> None:
         self.evaluated += len(ids)
@@ -188,10 +190,10 @@ def _search(k: int):
                     if best is not None:
                         yield best.record()
                     now = (dim, row["qrows"])
-                    best = Best(whole("qids"), q, whole("qvectors").reshape(len(q), dim), np.frombuffer(row["qtables"]).reshape(len(q), -1), whole("qleast"), k)
+                    best = Best(whole("qids"), q, whole("qvectors").reshape(len(q), dim), np.frombuffer(row["qtables"], np.float32).reshape(len(q), -1), whole("qleast"), k)
                 if row["dim"] == dim:
                     ids = whole("ids")
-                    best.offer(ids, whole("rows"), whole("vectors").reshape(len(ids), dim), np.frombuffer(row["tables"]).reshape(len(ids), -1))
+                    best.offer(ids, whole("rows"), whole("vectors").reshape(len(ids), dim), np.frombuffer(row["tables"], np.float32).reshape(len(ids), -1))
         if best is not None:
             yield best.record()
 
