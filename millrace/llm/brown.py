@@ -221,7 +221,9 @@ def _neighbours(shared, sweep: int, often):
             index[out] = len(t.words) + number
             names = np.concatenate((t.words, more))
             key, n = np.unique(index * width + code, return_counts=True)
-            word, first = np.unique(key // width, return_index=True)
+            of = key // width
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            word = of[first]
             class_of = np.zeros(len(names), np.int8)
             class_of[index] = cls
             times = -(-n // 65535)  # entries that hold the number
@@ -230,9 +232,13 @@ def _neighbours(shared, sweep: int, often):
             entries["n"] = 65535
             last = np.cumsum(times) - 1
             entries["n"][last] = n - 65535 * (times - 1)
-            raw, edge = entries.tobytes(), np.append(last[first] - times[first] + 1, len(entries)) * _ENTRY.itemsize
-            data = [bytes((c,)) + raw[x:y] for c, x, y in zip(class_of[word].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(word), bool)), pa.array(names[word].view(np.int64)), pa.array(np.zeros(len(word), np.int64)), pa.array(data, pa.binary())], names=_names(_CONTEXT))
+            size_of = np.diff(np.append(last[first] - times[first] + 1, len(entries))) * _ENTRY.itemsize + 1
+            edge = np.concatenate(([0], np.cumsum(size_of)))
+            data, inside = np.empty(edge[-1], np.uint8), np.ones(edge[-1], bool)
+            inside[edge[:-1]] = False
+            data[edge[:-1]], data[inside] = class_of[word], entries.view(np.uint8)
+            packed = pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(data)])
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(word), bool)), pa.array(names[word].view(np.int64)), pa.array(np.zeros(len(word), np.int64)), packed], names=_names(_CONTEXT))
 
         for batch in batches:
             for _, _, buf, at in K.pieces(batch.column(0)):
@@ -470,15 +476,17 @@ def _matrix(rows, size: int) -> np.ndarray:
     return out.reshape(size, size)
 
 
-def _swept(train: DataFrame, table: Table, counts: DataFrame, least: int, beyond: bool, scratch: Scratch) -> list[DataFrame]:
-    """(h, class) of every word that moves, after each sweep; the table's classes are set too."""
+def _swept(train: DataFrame, table: Table, begin: np.ndarray, counts: DataFrame, least: int, beyond: bool, scratch: Scratch) -> list[DataFrame]:
+    """(h, class) of every word that moves, after each sweep; the table's classes are set too. begin: class bigrams before the first, which need no counting."""
     spark, out = train.sparkSession, []
     often = spark.sparkContext.broadcast(_Often(counts.filter((F.col("n") < least) & (F.col("n") >= MIN_COUNT)))) if beyond else None
     for k in range(SWEEPS):
-        context = scratch.put(train.mapInArrow(_neighbours(spark.sparkContext.broadcast(table), k, often), _CONTEXT), f"context-{k}")
-        pairs = context.filter("pair").groupBy(F.col("h").alias("code")).agg(F.sum("n").alias("n")).toPandas()  # classes squared
+        context, m = train.mapInArrow(_neighbours(spark.sparkContext.broadcast(table), k, often), _CONTEXT), begin
+        if k:
+            context = scratch.put(context, f"context-{k}")
+            m = _matrix(context.filter("pair").groupBy(F.col("h").alias("code")).agg(F.sum("n").alias("n")).toPandas(), table.size)  # classes squared
         words = context.filter("not pair").select("h", "data").repartition("h").sortWithinPartitions("h")
-        moved = scratch.put(words.mapInArrow(_moved(_matrix(pairs, table.size)), "h long, class short"), f"moved-{k}")
+        moved = scratch.put(words.mapInArrow(_moved(m), "h long, class short"), f"moved-{k}")
         scratch.drop(f"context-{k}")
         frequent = moved.join(counts.filter(F.col("n") >= least).select("h"), "h", "left_semi") if beyond else moved
         got = frequent.toPandas()  # TABLE rows at most
@@ -516,13 +524,14 @@ def class_scores(docs: DataFrame, folds: int = 5, held: int = 1, tables: Scratch
     units = Units(words[words != END][:UNITS])
     pairs = train.mapInArrow(_pairs(share(units)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     size = min(CLASSES, units.size)
-    of = exchange(_matrix(pairs, units.size), size)
+    bigrams = _matrix(pairs, units.size)
+    of = exchange(bigrams, size)
     begin = np.full(len(words), UNSET, np.uint8)
     if len(units.sorted):
         at = np.minimum(np.searchsorted(units.sorted, words), len(units.sorted) - 1)
         begin = np.where(units.sorted[at] == words, of[at], UNSET).astype(np.uint8)
     table = Table(words, top["n"].to_numpy(), begin, of[len(units.sorted) :], size)
-    moved = _swept(train, table, counts, least, beyond, scratch)
+    moved = _swept(train, table, np.eye(size)[of].T @ bigrams @ np.eye(size)[of], counts, least, beyond, scratch)
     classes = "array<struct<h:long" + "".join(f",c{k + 1}:short" for k in range(SWEEPS)) + ">>"
     rest = counts.filter(F.col("n") < least).select("h", "n")
     gained = (F.sum("tf").alias("more"), F.sum(F.col("tf") * (F.log10(F.col("n") + HALF) - F.lit(half))).alias("gain"))
