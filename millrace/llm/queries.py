@@ -96,3 +96,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = urlfilter.as_of(urlfilter.dated(pages), urlfilter.sample_entries(pages))
     return found.withColumn("fetched_on", F.col("fetched_at").cast("string")).drop("fetched_at")
+
+
+@query("op11_importance")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.importance import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

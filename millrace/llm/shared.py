@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 import threading
 import uuid
+from collections.abc import Iterator
 from typing import ClassVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words: space and the five control characters that follow.
@@ -83,6 +87,29 @@ class Scratch:
         del cls.made[since:]
 
 
+def _counted(name: str):
+    """Rows of a sorted partition with its number and their running number in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            at = pa.array(np.arange(n + 1, n + 1 + batch.num_rows))
+            n += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), at], [*batch.schema.names, "_part", name])
+
+    return run
+
+
+def ordinal(rows: DataFrame, order: list[Column], name: str, scratch: Scratch) -> DataFrame:
+    """Rows with their place (from 1) in a total order of all rows, without one task that sees all: ranges are sorted and numbered each on its own, written, and the rows of the ranges before are added. A number for each range comes together."""
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    put = scratch.put(sorted_rows.mapInArrow(_counted(name), f"{kinds}, _part int, `{name}` long"), f"ranges-{name}")
+    sizes = put.groupBy("_part").agg(F.max(name).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return put.join(before, "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
 def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
