@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import fingerprints as _fp
-from millrace.llm import mixing, topk, urlfilter
+from millrace.llm import mixing, neighbours, topk, urlfilter
 from millrace.llm.shared import table
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {"op3_mixing": mixing.SQL, "op5_topk": topk.SQL, "op6_url_lists": urlfilter.SQL, "op7_fingerprints": _fp.SQL}
+ORACLE: dict[str, str] = {"op3_mixing": mixing.SQL, "op5_topk": topk.SQL, "op6_url_lists": urlfilter.SQL, "op7_fingerprints": _fp.SQL, "op12_neighbours": neighbours.SQL}
 
 
 def query(name: str):
@@ -103,3 +103,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.importance import resampled
 
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_neighbours")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, sf_dir, "embeddings"))
