@@ -108,3 +108,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_neighbours")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_conversations")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.conversations import damaged, repaired_conversations
+
+    return repaired_conversations(damaged(table(spark, sf_dir, "conversations")))
