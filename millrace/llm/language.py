@@ -5,8 +5,9 @@ n-grams of any language, so that one search of a sorted array of hashes serves a
 weights for contexts. The language of the lowest cross-entropy per character wins. Calibration on sampled texts that did
 not train gives, for each language, the mean and spread of the cross-entropy, by which a text can be rejected.
 
-Bound of the fit (a documented parameter): PER_LANGUAGE whole labelled texts of each language, those of least hash, each
-of LONGEST characters at most. Every text is scored whole.
+Bound of the fit (a documented parameter): PER_LANGUAGE labelled texts of each language, those of least hash of id and
+text; of a text longer than LONGEST characters the sample holds the first LONGEST, and such texts come after all others.
+Every text is scored whole, a very long one in parts with the characters before them that the model looks back to.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
 from millrace.llm.shared import crc_mod
 
 ORDER, PER_LANGUAGE, LONGEST, REJECT_AT, SHORT = 4, 320, 200_000, 16.0, 60
+PART = 1 << 20  # characters of a long text that are scored at once
 UNKNOWN = "und"
 _ALPHA: list[np.ndarray] = []
 
@@ -82,8 +84,24 @@ class Model:
         self.backoff: list[np.ndarray] = [np.zeros((0, len(languages)), np.float32)]
         self.mean, self.spread, self.per_char = (np.zeros(len(languages)) for _ in range(3))
 
+    def long_scores(self, text: str) -> tuple[np.ndarray, int, int]:
+        """The same of one text, a part at a time."""
+        total, count, letters, before = np.zeros(len(self.languages)), 0, 0, ""
+        for begin in range(0, len(text), PART):
+            end = begin + PART
+            codes, first, n = characters([before + text[begin:end]])
+            known, _, had = characters([before])
+            skip = 1 if not begin else len(known) - (before[-1] != " ")  # a blank is added after a letter that a cut parts from the next
+            stop = len(codes) - (end < len(text) and text[end - 1].isalpha())
+            total += self.logs(codes, first)[skip:stop].sum(axis=0, dtype=np.float64)
+            count, letters = count + max(0, stop - skip), letters + int(n[0] - had[0])
+            before = codes[max(0, stop - 4 * self.order) : stop].astype("<u4").tobytes().decode("utf-32-le", "replace")
+        return total, count, letters
+
     def char_scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sum of log10 probabilities by text and language, scored characters, letters."""
+        if len(texts) == 1 and len(texts[0]) > PART:
+            return tuple(np.array([x]) for x in self.long_scores(texts[0]))
         codes, first, letters = characters(texts)
         acc = self.logs(codes, first)
         acc[first[:-1]] = 0  # the blank before a text is given
@@ -173,13 +191,15 @@ def calibrate(model: Model, texts: list[str], labels: list[str]) -> None:
 def fit(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int = PER_LANGUAGE, order: int = ORDER) -> Model | None:
     """From a bounded sample of labelled documents whose crc32(doc_id as text) modulo `folds` is not `held`; None if there are none."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(crc_mod("doc_id", folds) != held, F.lit(True)))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row of each language
-    if not counts:
+    drawn = F.struct((F.char_length("text") > LONGEST).alias("long"), F.xxhash64("doc_id", "text", F.lit(5)).alias("h"))
+    first = Window.partitionBy("lang").orderBy("drawn")
+    thin = labelled.select("lang", drawn.alias("drawn")).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language)
+    last = thin.groupBy("lang").agg(F.max("drawn").alias("last"))  # a row of each language
+    near = labelled.select("lang", F.substring("text", 1, LONGEST).alias("text"), drawn.alias("drawn")).join(F.broadcast(last), "lang").filter("drawn <= last")
+    got = near.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language).select("lang", "text", "k").toPandas()  # per_language rows of each
+    if not len(got):
         return None
-    shares = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 20, int((1 << 20) * (1.5 * per_language + 20) / n) + 1))))
-    order_of = F.xxhash64("doc_id", F.lit(5))
-    picked = labelled.filter((F.pmod(order_of, F.lit(1 << 20)) < shares[F.col("lang")]) & (F.char_length("text") <= LONGEST))
-    got = picked.select("lang", "text", F.pmod(order_of, F.lit(1 << 20)).alias("o")).toPandas().sort_values(["lang", "o", "text"]).groupby("lang").head(per_language)
+    got = got.sort_values(["lang", "k"])
     test = np.arange(len(got)) % 5 == 4
     if test.sum() < 20 or got["lang"][~test].nunique() < got["lang"].nunique():
         test[:] = False
@@ -232,7 +252,8 @@ def identified(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int
     cross_entropy and are rejected. score: the winner's share if each language's likelihood of up to SHORT characters at
     its rate counts. Ties go to the language first in code-point order. rejected: the text's rate is farther from what
     the language's own texts showed than REJECT_AT times the spread at its length. A null id is not held out. Labels,
-    sources and ids are no inputs of a prediction; other columns are not read. Nothing to learn from: all are `und`.
+    sources and ids are no inputs of a prediction; other columns are not read. Nothing to learn from: all are `und`. The
+    sample is bounded whatever the ids: of rows that share id and text as many are drawn as there is room for.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(docs, folds, held, per_language, order))

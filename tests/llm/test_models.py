@@ -68,6 +68,34 @@ def test_scores_equal_plain_kneser_ney(order):
         assert got == pytest.approx(plain(t), abs=1e-3)
 
 
+@pytest.mark.parametrize("part", [7, 50, 333])
+def test_parts_of_a_long_text_add_up(monkeypatch, part):
+    rng = np.random.default_rng(part)
+    texts = ["".join(rng.choice(list("abcdé ,9Z.."), 900)) for _ in range(20)]
+    model = language.train(texts, [("x", "y")[k % 2] for k in range(20)], 4)
+    asked = [*texts[:5], "9" * 400 + "ab cd" + "." * 300 + "dé", "a" * 500, "." * 500, "Ab" * 260]
+    want = [model.char_scores([t]) for t in asked]
+    monkeypatch.setattr(language, "PART", part)
+    for t, (sums, n, letters) in zip(asked, want, strict=True):
+        got = model.char_scores([t])
+        assert got[0][0] == pytest.approx(sums[0], abs=1e-2) and (int(got[1][0]), int(got[2][0])) == (int(n[0]), int(letters[0]))
+
+
+@pytest.mark.parametrize("ids", ["own", "one", "none"])
+def test_sample_of_long_texts_and_of_one_id(spark, monkeypatch, ids):
+    """Labelled texts all longer than the sample takes, or one language's; rows that share an id, or have none."""
+    monkeypatch.setattr(language, "LONGEST", 300)
+    rng = np.random.default_rng(8)
+    say = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+    rows = [({"own": k, "one": 8, "none": None}[ids], say(*(("abcd", 120) if k % 2 else ("efgh", 9))), ("aa", "bb")[k % 2 == 0]) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = identified(df, per_language=40, carry=("lang",)).collect()
+    assert len(got) == 400 and all(r["lang_pred"] == r["lang"] for r in got)
+    model = language.fit(df.filter("lang = 'aa'"), per_language=40)
+    assert model.languages == ["aa"]
+    assert language.fit(df.filter("lang = 'zz'")) is None
+
+
 def test_ties_and_repeated_rows_of_languages(spark):
     rows = [(k // 2, "one and the same text", ("aa", "bb")[k % 2]) for k in range(80)] + [(None, "one and the same text", None)] * 3
     got = identified(spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")).collect()
