@@ -24,6 +24,8 @@ from millrace.llm.shared import Scratch
 
 PIVOTS, SAMPLE, QUERY_BLOCK, DATA_BLOCK = 64, 2048, 512, 4096
 TOGETHER, FIRST, MORE = 8, 64, 64  # queries whose bounds are computed at once, candidates evaluated before the first stop, and how many times as many before each next
+#: Distances are kept in single precision. One counts as so much less and more than kept, whatever it is a distance to: a far pivot bounds little, but never too much.
+BELOW, ABOVE = np.float32(1 - 2.0**-21), np.float32(1 + 2.0**-21)
 _BLOCK = "dim int, ids binary, rows binary, vectors binary, tables binary, least binary"
 
 
@@ -131,7 +133,8 @@ class Best:
         exact = self.top * float(np.abs(plain).max(initial=0)) * x.shape[1] < 2**53  # all sums are whole in doubles
         columns = np.ascontiguousarray(table.T)
         # What the block as a whole allows: no distance outside its range to each pivot, no vector longer than its longest.
-        gap = np.maximum(np.maximum(self.table - table.max(axis=0), table.min(axis=0) - self.table).max(axis=1), 0).astype(np.float64)
+        gap = np.maximum(self.table * BELOW - table.max(axis=0) * ABOVE, table.min(axis=0) * BELOW - self.table * ABOVE).max(axis=1)
+        gap = np.maximum(gap, 0).astype(np.float64)
         wanted = np.flatnonzero(self._upper(self.square, square.max(), gap) >= self.least)
         for at in range(0, len(wanted), TOGETHER):
             self._offer(wanted[at : at + TOGETHER], ids, rows, plain if exact else x, columns, square)
@@ -141,12 +144,12 @@ class Best:
         return (a + b - bound * bound) / 2 + 4e-6 * (1 + a + b)  # with room for the rounding of the distances
 
     def _offer(self, part: np.ndarray, ids: np.ndarray, rows: np.ndarray, x: np.ndarray, columns: np.ndarray, square: np.ndarray) -> None:
-        own = self.table[part]
-        bound, gap = np.zeros((len(own), len(ids)), np.float32), np.empty((len(own), len(ids)), np.float32)
+        low, high = self.table[part] * BELOW, self.table[part] * ABOVE
+        bound, gap = np.zeros((len(low), len(ids)), np.float32), np.empty((len(low), len(ids)), np.float32)
         for p, column in enumerate(columns):
-            np.subtract(own[:, p, None], column[None, :], out=gap)
-            np.abs(gap, out=gap)
-            np.maximum(bound, gap, out=bound)
+            for a, b in ((low[:, p, None], column * ABOVE), (column * BELOW, high[:, p, None])):
+                np.subtract(a, b, out=gap)
+                np.maximum(bound, gap, out=bound)
         upper = self._upper(self.square[part, None], square[None, :], bound.astype(np.float64))
         upper[self.rows[part, None] == rows[None, :]] = -np.inf
         vectors = self.plain if x.dtype == np.float64 else self.vectors

@@ -117,6 +117,22 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_inner(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("dim", [1, 2, 8, 64])
+@pytest.mark.parametrize("far", [1e3, 1e5, 1e7])
+def test_top_k_with_an_outlier(spark, monkeypatch, dim, far):
+    """A vector far from all others is always a pivot; distances to it have few digits left for the others."""
+    monkeypatch.setattr(topk, "DATA_BLOCK", 128)
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(500, dim))
+    x[7] = far * rng.normal(size=dim)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    whole = np.floor(64 * x).astype(np.int64)
+    got = topk.top_inner(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, k=6).collect()
+    scores = whole @ whole.T
+    want = {(q, rank + 1, int(j), int(scores[q, j])) for q in range(0, 500, 5) for rank, j in enumerate([j for j in np.lexsort((np.arange(500), -scores[q])) if j != q][:6])}
+    assert {tuple(r) for r in got} == want
+
+
 def test_rows_that_repeat_an_id_are_queries_of_their_own(spark):
     rows = [(20, [1.0, 0.0], 1), (20, [0.0, 1.0], 1), (20, [0.0, 1.0], 1), (3, [0.5, 0.25], 1)]
     got = topk.top_inner(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int"), F.col("vec_id") % 20 == 0).collect()
