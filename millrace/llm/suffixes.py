@@ -1,16 +1,16 @@
 """Suffix arrays of many short byte strings at once, by induced sorting, and their permuted common prefixes.
 
 The usual scans of induced sorting go through one suffix array from end to end. Here the strings of a shard are
-independent, so every step handles one character of all strings together: the bucket of that character in each string
-is final when its turn comes, and what it induces goes, in order, to later buckets. Work stays linear in the text, and
-array operations replace a loop over positions.
+independent, so every step handles some buckets of all strings together: those of a run of characters that induce nothing
+among themselves, so that they are final when their turn comes, and what they induce goes, in order, to later buckets.
+Array operations replace a loop over positions, and the steps are few both for bytes, of which there are few, and for the
+reduced strings of the recursion, in which nearly every character is another.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SHORT = 4096  # characters of a reduced string; longer ones recurse
 TOGETHER = 64  # steps in which comparisons go on all at once; the few longer ones end one by one
 
 
@@ -38,20 +38,17 @@ def _within(keys: np.ndarray) -> np.ndarray:
 
 
 class _Buckets:
-    """Buckets of (string, character), numbered in that order, and for each round the ones of every string's r-th character."""
+    """Buckets of (string, character), numbered in that order; a string's buckets are those from first[s] up to last[s]."""
 
     def __init__(self, text: np.ndarray, owner: np.ndarray):
         width = int(text.max(initial=0)) + 1
         keys, at = _sorted(owner.astype(np.int64) * width + text)
         begin, sizes = _runs(keys)
-        named = keys[begin]
         self.of = np.empty(len(text), np.int32)
         self.of[at] = np.repeat(np.arange(len(begin), dtype=np.int32), sizes)
         self.start = np.concatenate(([0], np.cumsum(sizes)))
-        first, many = _runs(named // width)
-        self.rank = np.arange(len(named)) - np.repeat(first, many)  # of the character within its string
-        order = np.argsort(self.rank, kind="stable")
-        self.rounds = np.split(order, np.flatnonzero(np.diff(self.rank[order])) + 1) if len(order) else []
+        self.first, many = _runs(keys[begin] // width)
+        self.last = self.first + many
 
 
 def _slices(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -109,7 +106,8 @@ def _induce(b: _Buckets, small: np.ndarray, first: np.ndarray, lms: np.ndarray)
     to = b.of[ends]
     sa[head[to]] = ends
     head[to] += 1
-    for now in b.rounds:
+
+    def large_alone(now: np.ndarray) -> None:
         begin = b.start[:-1][now].copy()
         while True:
             length = head[now] - begin
@@ -125,6 +123,15 @@ def _induce(b: _Buckets, small: np.ndarray, first: np.ndarray, lms: np.ndarray)
                 begin = head[now].copy()
                 put_large(source)
         put_large(sa[_slices(b.start[1:][now] - seeds[now], seeds[now])])
+
+    def large_in(now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _slices(*_pairwise(b.start[:-1][now], b.start[1:][now] - seeds[now], head[now] - b.start[:-1][now], seeds[now])), head[now] - b.start[:-1][now] + seeds[now]
+
+    def large_to(source: np.ndarray) -> np.ndarray:
+        before = source - 1
+        return np.where(first[source] | small[before], count, b.of[before])
+
+    _scan(b.first, b.last, sa, large_in, large_to, put_large, large_alone)
     tail = b.start[1:].copy()
 
     def put_small(source: np.ndarray) -> None:
@@ -136,7 +143,8 @@ def _induce(b: _Buckets, small: np.ndarray, first: np.ndarray, lms: np.ndarray)
         sa[np.repeat(tail[to] - 1 + begin, length) - np.arange(len(source))] = source[order]
         tail[to] -= length
 
-    for now in reversed(b.rounds):
+    def small_alone(now: np.ndarray) -> None:
+        now = count - 1 - now
         end = b.start[1:][now].copy()
         while True:
             length = end - tail[now]
@@ -153,9 +161,62 @@ def _induce(b: _Buckets, small: np.ndarray, first: np.ndarray, lms: np.ndarray)
                 put_small(source)
         large = split[now] - b.start[:-1][now]
         put_small(sa[_backward(_slices(b.start[:-1][now], large), large)])
+
+    def small_in(now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        now = count - 1 - now
+        done, large = b.start[1:][now] - tail[now], split[now] - b.start[:-1][now]
+        begin, length = _pairwise(tail[now], b.start[:-1][now], done, large)
+        return _backward(_slices(begin, length), length), done + large
+
+    def small_to(source: np.ndarray) -> np.ndarray:
+        before = source - 1
+        return np.where(first[source] | ~small[before], count, count - 1 - b.of[before])
+
+    # Backwards: buckets are numbered from the last.
+    _scan(count - b.last[::-1], count - b.first[::-1], sa, small_in, small_to, put_small, small_alone)
     return sa
 
 
+def _pairwise(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of two ranges of each bucket, one after the other."""
+    return np.stack((a, b), axis=1).ravel(), np.stack((n, m), axis=1).ravel()
+
+
+def _scan(first: np.ndarray, last: np.ndarray, sa: np.ndarray, entries, target, put, alone) -> None:
+    """Every string's buckets in order, first[s] up to last[s]: as many at once as hold no suffix that induces one into a bucket among them. So what is known of them is all there is, and what they induce falls behind them in order.
+
+    Of k buckets of random characters about k * k / (buckets left) entries induce into the run, so runs are about as
+    long as the root of the buckets left. A bucket that induces into itself goes alone.
+    """
+    at, width = first.copy(), np.full(len(first), 4)
+    live = np.flatnonzero(at < last)
+    far = np.int64(1) << 40
+    while len(live):
+        most = np.minimum(width[live], last[live] - at[live])
+        now = _slices(at[live], most)
+        place, size = entries(now)
+        source = sa[place]
+        to = target(source).astype(np.int64)
+        nearest = np.full(len(now), far)
+        some = size > 0
+        if len(to):
+            nearest[some] = np.minimum.reduceat(to, (np.cumsum(size) - size)[some])
+        # The nearest target of a bucket and those before it in its string: strings far apart, so that none sees another's.
+        which = np.repeat(np.arange(len(live)), most)
+        nearest = np.minimum.accumulate(nearest - which * (far + far)) + which * (far + far)
+        good = nearest > now
+        taken = np.add.reduceat(good.astype(np.int64), np.cumsum(most) - most)
+        one = taken == 0
+        keep = np.repeat(good, size)
+        if keep.any():
+            put(source if keep.all() else source[keep])
+        if one.any():
+            alone(at[live[one]])
+        at[live] += np.maximum(taken, 1)
+        width[live] = np.maximum(4, 2 * taken)
+        live = live[at[live] < last[live]]
+
+
 def _backward(wave: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The same ranges, each from its end to its start."""
     length = length[length > 0]
@@ -204,32 +265,12 @@ def suffix_array(text: np.ndarray, owner: np.ndarray) -> np.ndarray:
     if same.any():
         heads = np.flatnonzero(new_string)
         base = np.minimum.reduceat(reduced, heads)
-        short = np.diff(np.append(heads, len(reduced))).max() <= SHORT
-        order = lms[(_short_strings if short else suffix_array)(reduced - base[dense_owner], dense_owner)]
+        order = lms[suffix_array(reduced - base[dense_owner], dense_owner)]
     else:
         order = ranked
     return _induce(b, small, first, order)
 
 
-def _short_strings(text: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Where the recursion ends: suffixes of strings of at most SHORT characters, by sorting twice as many characters each time."""
-    n = len(text)
-    bits = int(text.max(initial=0) + 2).bit_length()
-    keys, sa = _sorted((owner.astype(np.int64) << bits) | text + 1)
-    last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
-    end, k = last[owner], 1
-    while True:
-        new = np.concatenate(([False], keys[1:] != keys[:-1]))
-        rank = np.empty(n, np.int64)
-        rank[sa] = np.cumsum(new) + 1
-        if new.sum() == n - 1:
-            return sa
-        ahead = np.arange(n) + k
-        behind = np.where(ahead <= end, rank[np.minimum(ahead, n - 1)], 0)
-        keys, sa = _sorted((rank << int(n + 1).bit_length()) | behind)
-        k *= 2
-
-
 def _equal_neighbours(text: np.ndarray, owner: np.ndarray, ranked: np.ndarray, size: np.ndarray, to_end: np.ndarray) -> np.ndarray:
     """Whether each substring equals the one before it in order."""
     same = np.zeros(len(ranked), bool)

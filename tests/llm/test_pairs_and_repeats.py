@@ -118,12 +118,13 @@ def test_blocks_join_what_is_linked():
     assert all(left[a] and not left[b] for a, b in forest(sets, left, ~left, 75))
 
 
-@pytest.mark.parametrize("short", [1, 4, 4096])
-def test_suffix_arrays(monkeypatch, short):
-    monkeypatch.setattr(suffixes, "SHORT", short)
-    rng = np.random.default_rng(2)
-    for _ in range(80):
-        strings = [rng.integers(0, rng.integers(2, 5), rng.integers(1, 40)) for _ in range(rng.integers(1, 5))]
+@pytest.mark.parametrize("letters", [1, 2, 4, 16, 300])
+def test_suffix_arrays(letters):
+    rng = np.random.default_rng(letters)
+    for k in range(120):
+        strings = [rng.integers(0, letters, rng.integers(1, 90)) for _ in range(rng.integers(1, 5))]
+        if k % 3 == 0:
+            strings = [np.tile(s[:5], 20)[: len(s)] for s in strings]
         text, owner = np.concatenate(strings), np.repeat(np.arange(len(strings)), [len(s) for s in strings])
         ends = np.cumsum([len(s) for s in strings])
         want = sorted(range(len(text)), key=lambda p: (owner[p], tuple(text[p : ends[owner[p]]])))
@@ -138,6 +139,25 @@ def test_suffix_arrays(monkeypatch, short):
     assert len(suffixes.suffix_array(np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
 
 
+@pytest.mark.parametrize("letters", [2, 4, 16, 0])
+def test_a_full_shard_goes_through_the_recursion(letters):
+    """1 MiB in one shard, of random letters or (0) of words: reduced strings have tens of thousands of characters, nearly all different."""
+    from millrace.llm.repeats import repeated_starts
+
+    rng = np.random.default_rng(letters)
+    if letters:
+        data = rng.integers(97, 97 + letters, 1 << 20, dtype=np.uint8).tobytes()
+    else:
+        words = [bytes(rng.integers(97, 123, rng.integers(2, 9), dtype=np.uint8)) for _ in range(4000)]
+        data = b" ".join(words[k] for k in (rng.zipf(1.3, 300_000) % 4000).tolist())[: 1 << 20]
+    copy = data[:400] + b"!" + data[-400:]
+    segments = [data[i : i + 350] for i in range(0, len(data), 350)] + [copy]
+    began = time.perf_counter()
+    hit = repeated_starts(segments, np.zeros(len(segments), int), 200)
+    assert time.perf_counter() - began < 20  # about 4 on a machine that does nothing else
+    assert hit[-802:].sum() == sum(any(copy[p : p + 200] in s for s in segments[:-1]) for p in range(602))
+
+
 @pytest.mark.parametrize("unit", [b"a", b"abcdefgh\n", b"ab", b"aaab"])
 def test_periodic_text_takes_no_square(unit):
     from millrace.llm.repeats import repeated_starts
