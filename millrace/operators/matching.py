@@ -1,96 +1,132 @@
-"""One-to-one matching within a key. The pairs of a key that qualify are found by the caller's condition; only the sequential choice among them runs in Arrow batches, a key at a time."""
+"""One-to-one matching within a key, of pairs (key, i, j, score) that a condition of the caller's has found.
 
-from __future__ import annotations
+Greedy rules take pairs in a total order, each if both its ends are free. A pair that comes first among those of its left
+end and among those of its right end is taken whatever else there is; so rounds take all such pairs of all keys at once and
+drop what they block, with partial minima and joins: no key is gathered. Rules that go row by row can leave chains, in
+which a round takes little. As soon as a round drops less than half of the pairs, what is left passes in order, and only the ends
+that are taken are remembered.
 
-from collections.abc import Callable
+An optimal assignment falls apart into connected components of the pairs; each is solved on its own, over the listed pairs.
+"""
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 
-def greedy_ordered(pairs: pd.DataFrame) -> list[int]:
-    """Left rows in order of i; each takes its best free partner (highest score, then lowest j)."""
-    out, used = [], set()
-    for _, rows in pairs.sort_values(["i", "score", "j"], ascending=[True, False, True], kind="stable").groupby("i", sort=True):
-        for at, j in zip(rows.index, rows["j"], strict=True):
-            if j not in used:
-                used.add(j)
-                out.append(at)
-                break
-    return out
-
-
-def first_fit(pairs: pd.DataFrame) -> list[int]:
-    """Left rows in order of i; each takes the first free partner in order of j."""
-    out, used, taken = [], set(), set()
-    for at, i, j in pairs.sort_values(["i", "j"], kind="stable")[["i", "j"]].itertuples():
-        if i not in taken and j not in used:
-            taken.add(i)
-            used.add(j)
-            out.append(at)
-    return out
-
-
-def greedy_global(pairs: pd.DataFrame, low_ties: bool = True) -> list[int]:
-    """All pairs by falling score, a pair taken if both are free. Ties: lower (i, j) first, or higher first."""
-    out, left, right = [], set(), set()
-    order = pairs.sort_values(["score", "i", "j"], ascending=[False, low_ties, low_ties], kind="stable")
-    for at, i, j in order[["i", "j"]].itertuples():
-        if i not in left and j not in right:
-            left.add(i)
-            right.add(j)
-            out.append(at)
-    return out
-
-
-def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Least total cost with every row (or every column, if fewer) assigned: shortest augmenting paths with potentials."""
-    if not cost.size:
-        return []
-    if cost.shape[0] > cost.shape[1]:
-        return sorted((i, j) for j, i in assignment(cost.T))
-    n, m = cost.shape
-    u, v, row_of = np.zeros(n), np.zeros(m), np.full(m, -1)
-    for start in range(n):
-        far, came, seen = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
-        row, at = start, -1
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from millrace.operators.stepwise import Steps, components
+
+
+def _order(kind: str) -> Column:
+    """A key of the order in which pairs are tried; a missing score comes last, and the pair itself stands behind all."""
+    i, j, high = F.col("i"), F.col("j"), -F.coalesce(F.col("score"), F.lit(float("nan")))
+    keys = {"ordered": (i, high, j), "first_fit": (i, j, high), "global": (high, i, j), "global_high": (high, -i, -j)}[kind]
+    return F.struct(*(k.alias(f"o{n}") for n, k in enumerate(keys)), i.alias("i"), j.alias("j"), F.col("score").alias("score"))
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs arrive by key and order: those whose ends are free go out."""
+    now, left, right = None, set(), set()
+    for batch in batches:
+        take = []
+        for n, (key, i, j) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+            if key != now:
+                now, left, right = key, set(), set()
+            if i not in left and j not in right:
+                left.add(i)
+                right.add(j)
+                take.append(n)
+        yield batch.take(pa.array(take, pa.int64()))
+
+
+def greedy(pairs: DataFrame, kind: str) -> DataFrame:
+    """The pairs that are taken in order `ordered` (left rows in turn, each its best partner), `first_fit` (each its first), `global` or `global_high` (falling score, ties by low or by high i and j). Pairs without a key or an end take no part; of equal pairs one."""
+    steps = Steps(pairs.sparkSession, "matching")
+    now = steps.put(pairs.dropna(subset=["key", "i", "j"]).select("key", "i", "j", _order(kind).alias("o")), "pairs-0")
+    many, k, out = now.count(), 0, None
+    while many:
+        first = now.groupBy("key", "i").agg(F.min("o").alias("o")).join(now.groupBy("key", "j").agg(F.min("o").alias("o")), ["key", "o"])
+        taken = steps.put(first.select("key", "o.i", "o.j", "o.score"), f"taken-{k}")
+        out = taken if out is None else out.unionAll(taken)
+        rest = now.join(taken.select("key", "i"), ["key", "i"], "left_anti").join(taken.select("key", "j"), ["key", "j"], "left_anti")
+        k += 1
+        now = steps.put(rest.select("key", "i", "j", "o"), f"pairs-{k}")
+        steps.drop(f"pairs-{k - 1}")
+        had, many = many, now.count()
+        if 2 * many > had:
+            line = now.repartition("key").sortWithinPartitions("key", "o").select("key", "i", "j", "o.score")
+            return out.unionAll(line.mapInArrow(_in_order, line.schema))
+    return out if out is not None else now.select("key", "i", "j", "o.score")
+
+
+def assigned(costs: list[list[tuple[int, float]]], columns: int) -> list[int]:
+    """A column for each row, of least total cost; costs lists each row's columns, of which every set of rows must have enough. Shortest augmenting paths over the listed entries, with potentials."""
+    u, v, row_of, column_of = [0.0] * len(costs), [0.0] * columns, [-1] * columns, [-1] * len(costs)
+    for start, own in enumerate(costs):
+        u[start] = min(c - v[j] for j, c in own)
+        far: dict[int, float] = {}
+        came: dict[int, int] = {}
+        done: list[int] = []
+        heap: list[tuple[float, int]] = []
+        row, base = start, 0.0
         while True:
-            slack = np.where(seen, np.inf, cost[row] - u[row] - v + (far[at] if at >= 0 else 0.0))
-            better = slack < far
-            far[better], came[better] = slack[better], at
-            at = int(np.where(seen, np.inf, far).argmin())
-            seen[at] = True
+            for j, c in costs[row]:
+                d = base + c - u[row] - v[j]
+                if d < far.get(j, float("inf")) - 1e-15:
+                    far[j], came[j] = d, row
+                    heapq.heappush(heap, (d, j))
+            while True:
+                d, at = heapq.heappop(heap)
+                if d == far[at]:
+                    break
             if row_of[at] < 0:
                 break
-            row = row_of[at]
-        end = far[at]
-        done = seen & (far < end)
-        u[start] += end
-        u[row_of[done]] += end - far[done]
-        v[done] -= end - far[done]
+            done.append(at)
+            row, base = row_of[at], d
+        u[start] += d
+        for j in dict.fromkeys(done):
+            u[row_of[j]] += d - far[j]
+            v[j] -= d - far[j]
         while at >= 0:
-            before = came[at]
-            row_of[at] = row_of[before] if before >= 0 else start
-            at = before
-    return sorted((int(i), j) for j, i in enumerate(row_of) if i >= 0)
+            row = came[at]
+            row_of[at], column_of[row], at = row, at, column_of[row]
+    return column_of
+
+
+def best_pairs(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of greatest total score, one for each end at most; a pair of score 0 is taken rather than none, one below never."""
+    p = pairs[pairs["score"] >= 0].sort_values(["i", "j", "score"], ascending=[True, True, False], kind="stable").drop_duplicates(["i", "j"])
+    if not len(p):
+        return p
+    left, lefts = pd.factorize(p["i"])
+    right, rights = pd.factorize(p["j"], sort=True)
+    costs: list[list[tuple[int, float]]] = [[(len(rights) + k, 1e-9)] for k in range(len(lefts))]  # its own place to stay alone
+    at: dict[tuple[int, int], int] = {}
+    for n, (a, b, s) in enumerate(zip(left.tolist(), right.tolist(), p["score"].tolist(), strict=True)):
+        costs[a].append((b, -s))
+        at[a, b] = n
+    return p.iloc[[at[a, b] for a, b in enumerate(assigned(costs, len(rights) + len(lefts))) if (a, b) in at]]
 
 
-def optimal(pairs: pd.DataFrame) -> list[int]:
-    """Pairs of greatest total score; a pair that is not listed cannot be taken."""
-    left, right = np.unique(pairs["i"]), np.unique(pairs["j"])
-    at = np.full((len(left), len(right)), -1)
-    at[np.searchsorted(left, pairs["i"]), np.searchsorted(right, pairs["j"])] = np.arange(len(pairs))
-    # An unlisted pair costs more than leaving any number of listed ones out.
-    score = np.where(at >= 0, pairs["score"].to_numpy()[at], -1e-9)
-    return [pairs.index[at[i, j]] for i, j in assignment(-score) if at[i, j] >= 0]
+def optimal(pairs: DataFrame) -> DataFrame:
+    """The pairs of greatest total score in each key, a connected component of its pairs at a time: what a task holds is the largest component."""
+    steps = Steps(pairs.sparkSession, "assignment")
+    own = steps.put(pairs.dropna(), "pairs")
+    end = lambda side, c: F.struct(F.col("key"), F.lit(side).alias("side"), F.col(c).alias("id"))
+    label = components(own.select(end(0, "i").alias("a"), end(1, "j").alias("b")), steps)
+    parts = own.withColumn("node", end(0, "i")).join(label, "node").select("key", "i", "j", "score", "component")
+    return parts.groupBy("component").applyInPandas(lambda p: best_pairs(p)[["key", "i", "j", "score"]], own.schema)
 
 
-KERNELS: dict[str, Callable] = {"ordered": greedy_ordered, "first_fit": first_fit, "global": greedy_global, "global_high": lambda p: greedy_global(p, False), "optimal": optimal}
+KINDS = ("ordered", "first_fit", "global", "global_high", "optimal")
 
 
 def match(pairs: DataFrame, key: str, kind: str) -> DataFrame:
-    """Of pairs (key, i, j, score) those that the matching takes. A key's pairs are one group: keys are items, runs or scenes, and bounded."""
-    kernel, names = KERNELS[kind], ["key", "i", "j", "score"]
+    """Of pairs (key, i, j, score) those that the matching takes."""
     pairs = pairs.selectExpr(f"`{key}` as key", "cast(i as long) as i", "cast(j as long) as j", "cast(score as double) as score")
-    return pairs.groupBy("key").applyInPandas(lambda p: p.loc[kernel(p), names], pairs.schema)
+    return optimal(pairs) if kind == "optimal" else greedy(pairs, kind)

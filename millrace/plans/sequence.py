@@ -204,12 +204,16 @@ SELECT p.key, p.r, CASE WHEN list_contains(li, p.i) OR list_contains(rj, p.j) TH
 SELECT key, i, j, score FROM s JOIN p USING (key, r) WHERE taken"""
 _ORDERS = {"ordered": "i, score DESC, j", "first_fit": "i, j", "global": "score DESC, i, j", "global_high": "score DESC, i DESC, j DESC"}
 
-for _kind in A.KERNELS:
+for _kind in A.KINDS:
     _sql = _CHOICE.format(ev=EV, order=_ORDERS[_kind]) if _kind in _ORDERS else None
     query({"ordered": "greedy_match_ordered", "first_fit": "greedy_match_first_fit", "global": "greedy_match_global", "global_high": "greedy_match_global_high", "optimal": "hungarian_match"}[_kind], _sql)(_match(_kind))
 
 
-@query("label_map_error_rate")
+@query("label_map_error_rate", f"""WITH RECURSIVE {EV}, c AS (SELECT user_id AS key, event_type AS a, event_id % 4 AS b, sum(cents) AS s FROM ev GROUP BY ALL),
+o AS (SELECT key, a, b, s FROM c UNION ALL SELECT key, NULL, b, 0 FROM (SELECT DISTINCT key FROM c), (SELECT unnest(range(4)) AS b)),
+m AS (SELECT DISTINCT key, 0::BIGINT AS b, []::VARCHAR[] AS used, 0::HUGEINT AS total FROM c UNION ALL
+SELECT m.key, m.b + 1, CASE WHEN a IS NULL THEN used ELSE list_append(used, a) END, total + s FROM m JOIN o ON m.key = o.key AND m.b = o.b WHERE a IS NULL OR NOT list_contains(used, a))
+SELECT m.key, 1 - max(total)::DOUBLE / any_value(w.s) AS error_rate FROM m JOIN (SELECT key, sum(s)::DOUBLE AS s FROM c GROUP BY key) w ON w.key = m.key GROUP BY m.key""")
 def _(spark, d):
     """Per user: share of time that the best one-to-one map of labels leaves unexplained."""
     s = events(spark, d)

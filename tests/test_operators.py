@@ -1,14 +1,11 @@
-import itertools
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import conversation as C
 from millrace.operators import intervals as I  # noqa: E741
 from millrace.operators import joins as J
-from millrace.operators import matching as A
 from millrace.operators import metrics as M
 from millrace.operators import quality as Q
 from millrace.operators import report as R
@@ -136,34 +133,6 @@ def test_nearest_ties_and_as_of(spark):
     assert J.as_of(a, b, ["k"], "t", "t2", "o", 1).first()["o"] is None
 
 
-@pytest.mark.parametrize("kind", list(A.KERNELS))
-def test_matching_on_empty_and_single(spark, kind):
-    p = spark.createDataFrame([(1, 0, 0, 0.5)], "key int, i int, j int, score double")
-    assert A.match(p, "key", kind).count() == 1
-    assert A.match(p.limit(0), "key", kind).count() == 0
-
-
-def test_tie_rules_of_greedy_matching():
-    p = pd.DataFrame({"key": 1, "i": [0, 0, 1], "j": [0, 1, 0], "score": [0.5, 0.5, 0.5]})
-    pairs = lambda at: sorted(zip(p.loc[at, "i"], p.loc[at, "j"], strict=True))
-    assert pairs(A.greedy_global(p)) == [(0, 0)]
-    assert pairs(A.greedy_global(p, False)) == [(0, 1), (1, 0)]
-    assert pairs(A.greedy_ordered(p)) == [(0, 0)]
-    assert pairs(A.optimal(p)) == [(0, 1), (1, 0)]
-
-
-def test_assignment_against_all_permutations():
-    rng = np.random.default_rng(3)
-    for _ in range(60):
-        n, m = rng.integers(1, 6, 2)
-        c = rng.integers(0, 9, (n, m)).astype(float)
-        got = A.assignment(c)
-        small, big = min(n, m), max(n, m)
-        cost = c if n <= m else c.T
-        best = min(sum(cost[i, p[i]] for i in range(int(small))) for p in itertools.permutations(range(int(big)), int(small)))
-        assert len(got) == small and sum(c[i, j] for i, j in got) == best
-
-
 def test_selection(spark):
     df = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 2, 3)], "k int, attempt int, o int")
     assert S.latest_per_key(df, ["k"], "attempt", "o").first()["o"] == 3
