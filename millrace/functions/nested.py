@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import ast
 import json
-from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -94,24 +93,44 @@ def closed(c: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(close_truncated, na_action="ignore"), "string")(c)
 
 
-def string_leaves(value: Any) -> list[str]:
-    if isinstance(value, str):
-        return [value]
-    if isinstance(value, dict):
-        value = list(value.values())
-    return [leaf for v in value for leaf in string_leaves(v)] if isinstance(value, list) else []
+#: A JSON string and the colon after it, if it is a name.
+JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:?'
 
 
 def leaves(c: Column) -> Column:
-    """All strings of a nested JSON text, in order; empty if it is no JSON."""
-
-    def one(text: str) -> list[str]:
-        try:
-            return string_leaves(json.loads(text))
-        except ValueError:
-            return []
-
-    return F.pandas_udf(lambda s: s.map(one, na_action="ignore"), "array<string>")(c)
+    """All strings of a nested JSON text, at any depth and in order, names left out; empty if it is no JSON. In a JSON text a string is a name if, and only if, a colon follows, so nothing need be descended into."""
+    found = F.transform(F.regexp_extract_all(c, F.lit(JSON_STRING), F.lit(0)), lambda m: F.rtrim(m, F.lit(" \t\r\n")))
+    values = F.filter(found, lambda m: ~m.endswith(":"))
+    text = F.concat(F.lit("["), F.array_join(values, ","), F.lit("]"))
+    return F.when(c.isNotNull(), F.when(F.try_parse_json(c).isNotNull(), F.from_json(text, "array<string>")).otherwise(F.array().cast("array<string>")))
+
+
+def depth(c: Column) -> Column:
+    """How deep the brackets of a JSON text are nested."""
+    marks = F.regexp_replace(F.regexp_replace(c, JSON_STRING, ""), r"[^\[\]{}]", "")
+    step = lambda s, ch: F.struct((s["now"] + F.when(ch.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(ch.isin("[", "{"), 1).otherwise(-1)).alias("most"))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.coalesce(F.aggregate(F.filter(F.split(marks, ""), lambda x: x != ""), start, step)["most"], F.lit(0))
+
+
+def flattened(df: DataFrame, column: str, deepest: int | None = None) -> DataFrame:
+    """A row for each innermost value of a JSON text, with path (`root.a[0].b`), names (all along the path) and value (its text; null for null and for an empty object or list). Texts that are no JSON give no row; other columns stay.
+
+    A level is opened at a time and innermost values pass on, so all levels are one pass over the rows; how many there
+    are is counted before, unless it is told.
+    """
+    if deepest is None:
+        deepest = df.agg(F.max(depth(F.col(column)))).first()[0] or 0
+    keep = [c for c in df.columns if c != column]
+    now = df.withColumn("_v", F.try_parse_json(column)).filter("_v is not null").withColumns({"path": F.lit("root"), "names": F.array().cast("array<string>")})
+    for _ in range(deepest):
+        kind = F.schema_of_variant("_v")
+        opened = F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.col("_v"))
+        now = now.withColumn("_in", opened).lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("_in").outer()))
+        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).when(F.col("pos").isNotNull(), F.concat(F.lit("["), F.col("pos"), F.lit("]"))).otherwise("")
+        empty = F.col("_in").isNotNull() & F.col("pos").isNull()
+        now = now.select(*keep, F.when(F.col("_in").isNull(), F.col("_v")).when(~empty, F.col("value")).alias("_v"), F.concat("path", step).alias("path"), F.when(F.col("key").isNotNull(), F.array_append("names", F.col("key"))).otherwise(F.col("names")).alias("names"))
+    return now.select(*keep, "path", "names", F.try_variant_get("_v", "$", "string").alias("value"))
 
 
 def boxes_by_time(c: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +25,7 @@ OPTION_PHRASE = (
 )
 OPTION_LINE = r"(?i)^\s*[A-D][\.\)]\s+\S"
 NETWORK = r"(?i)\b(curl|wget|ssh|scp|rsync|nc|telnet)\b|https?://"
+SECRET_NAME = r"(?i)(?:api[_-]?key|access[_-]?token|secret|password|credential|cookie)"
 SECRET = r"(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*\S+|\bsk-[A-Za-z0-9]{16,}|AKIA[0-9A-Z]{16}|/(home|Users)/[A-Za-z0-9._-]+/"
 SYNTAX_FAILURE = r"(?i)SyntaxError|invalid syntax|unexpected EOF|parse error|unexpected token|missing operand|unterminated string"
 
@@ -311,18 +312,37 @@ def character_error_rate(truth: Column, found: Column) -> Column:
     return F.when(F.length(truth) == 0, (F.length(found) > 0).cast("double")).otherwise(F.levenshtein(found, truth) / F.length(truth))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often use names it, also within its lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+#: What parts words where words are those between any white space.
+ANY_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+
+
+def split_words(c: Column | str) -> Column:
+    return F.filter(F.split(_text(c), ANY_SPACE), lambda w: w != "")
+
+
+def _symbol(k: Column) -> Column:
+    """A character of its own for each number from 1 on, for a million numbers; no half of a pair."""
+    code = k + 0xFF
+    code = F.when(code < 0xD800, code).otherwise(code + 0x800)
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def word_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two arrays of words: each distinct word of the two becomes one character, and Spark's edit distance of texts does the rest."""
+    spelt = lambda words, known: F.array_join(F.transform(words, lambda w: _symbol(F.array_position(known, w))), "")
+    return let(F.array_distinct(F.concat(a, b)), lambda known: F.levenshtein(spelt(a, known), spelt(b, known)))
+
+
 def word_error_rate(truth: Column, found: Column) -> Column:
-    """The same over words, by Arrow batches: Spark's edit distance has no word form."""
-
-    def distance(a: list[str], b: list[str]) -> float:
-        if not a:
-            return float(bool(b))
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            before, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-        return row[-1] / len(a)
-
-    run = lambda t, f: pd.Series([distance(a.split(), b.split()) for a, b in zip(t, f, strict=True)], dtype="float64")
-    return F.pandas_udf(run, "double")(_text(truth), _text(found))
+    """Edit distance in words over the number of true words; with none of these 0 if none was found, else 1."""
+
+    def rate(p: Column) -> Column:
+        n = F.size(p["a"])
+        return F.when(n == 0, (F.size(p["b"]) > 0).cast("double")).otherwise(word_distance(p["a"], p["b"]) / n)
+
+    return let(F.struct(split_words(truth).alias("a"), split_words(found).alias("b")), rate)

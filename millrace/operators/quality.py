@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import SECRET
+from millrace.functions.nested import flattened
+from millrace.functions.text import SECRET, SECRET_NAME
 
 
 def vocabulary_share(df: DataFrame, column: str, allowed: DataFrame, value: str) -> DataFrame:
@@ -27,6 +28,13 @@ def secrets(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumn("leaks", hits).filter(F.size("leaks") > 0)
 
 
+def nested_secrets(df: DataFrame, column: str, deepest: int | None = None) -> DataFrame:
+    """Where a nested JSON text holds a name like that of a credential, at any level, or a value that is one or a private path: a row for each innermost value, with its path and why."""
+    named = F.exists("names", lambda n: n.rlike(SECRET_NAME))
+    why = F.when(named, "name").when(F.col("value").rlike(SECRET), "value")
+    return flattened(df, column, deepest).withColumn("why", why).filter("why is not null").drop("names", "value")
+
+
 def unique_ids(df: DataFrame, column: str) -> DataFrame:
     n, d = F.count("*"), F.count_distinct(column)
     return df.agg(n.alias("rows"), d.alias("ids"), ((n == d) & (F.count(column) == n)).alias("unique"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import shlex
+import functools
 from collections.abc import Sequence
-from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import NETWORK, SYNTAX_FAILURE, norm_reward
+from millrace.functions.text import NETWORK, SYNTAX_FAILURE, norm_reward, split_words
 
 # Fixed values that scores depend on.
 FORMAT_BONUS, FORMAT_PENALTY, MODALITY_PENALTY, BAD_TOOL_WEIGHT = 0.2, -0.2, -0.3, 0.5
@@ -49,32 +48,40 @@ def subtools(text: Column, tools: Sequence[str]) -> Column:
     return F.filter(F.array(*map(F.lit, sorted(tools))), lambda t: F.contains(F.lower(text), F.lower(t)))
 
 
+#: Words of a command line: runs of plain characters, escaped ones and quoted parts between blanks.
+_PLAIN, _ESCAPED, _SINGLE, _DOUBLE = r"[^ \t\r\n'\"\\]++", r"\\.", r"'[^']*+'", r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_SEGMENT = f"{_PLAIN}|{_ESCAPED}|{_SINGLE}|{_DOUBLE}"
+
+
+def _unquoted(segment: Column) -> Column:
+    inner = F.substring(segment, F.lit(2), F.length(segment) - 2)
+    double = F.regexp_replace(inner, r'(?s)\\(["\\])', "$1")
+    return F.when(segment.startswith("'"), inner).when(segment.startswith('"'), double).when(segment.startswith("\\"), F.substring(segment, F.lit(2), F.lit(1))).otherwise(segment)
+
+
+def shell_words(c: Column) -> Column:
+    """A command line's words as a POSIX shell takes them: quotes group and go, a backslash keeps the next character. With a quote or backslash left open the words are those between white space.
+
+    A scanner of quotes by patterns that never go back: what matches from left to right is what a state machine would
+    consume, and a quote or backslash is left over exactly if it ends within one.
+    """
+    rest = F.regexp_replace(c, f"(?s){_ESCAPED}|{_SINGLE}|{_DOUBLE}", "")
+    words = F.transform(F.regexp_extract_all(c, F.lit(f"(?s)(?:{_SEGMENT})++"), F.lit(0)), lambda w: F.array_join(F.transform(F.regexp_extract_all(w, F.lit(f"(?s){_SEGMENT}"), F.lit(0)), _unquoted), ""))
+    return F.when(rest.rlike(r"""['"\\]"""), split_words(c)).otherwise(words)
+
+
+def normal_path(path: Column) -> Column:
+    """An absolute path without empty, `.` and `..` parts."""
+    step = lambda done, p: F.when(p == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(p.isin("", "."), done).otherwise(F.array_append(done, p))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"))
+
+
 def escapes(c: Column, workspace: str) -> Column:
     """Whether a command names an answer file, or an absolute path outside the workspace, /workspace and /tmp; a lone slash is no path."""
-    import re
-
-    gold, roots = re.compile(GOLD_FILES), [PurePosixPath(p) for p in (workspace, "/workspace", "/tmp")]
-
-    def normal(path: str) -> PurePosixPath:
-        parts: list[str] = []
-        for p in path.split("/"):
-            if p == "..":
-                parts[-1:] = []
-            elif p not in ("", "."):
-                parts.append(p)
-        return PurePosixPath("/" + "/".join(parts))
-
-    def one(text: str) -> bool:
-        if gold.search(text):
-            return True
-        try:
-            tokens = shlex.split(text)
-        except ValueError:
-            tokens = text.split()
-        paths = [normal(t) for t in tokens if t.startswith("/") and t != "/"]
-        return any(not any(p == r or r in p.parents for r in roots) for p in paths)
-
-    return F.pandas_udf(lambda s: s.map(one, na_action="ignore"), "boolean")(c)
+    roots = [F.lit("/" + "/".join(x for x in r.split("/") if x)) for r in (workspace, "/workspace", "/tmp")]
+    inside = lambda p: functools.reduce(lambda x, y: x | y, [(p == r) | p.startswith(F.concat(r, F.lit("/"))) for r in roots])
+    paths = F.transform(F.filter(shell_words(c), lambda w: w.startswith("/") & (w != "/")), normal_path)
+    return F.when(c.isNotNull(), c.rlike(GOLD_FILES) | F.exists(paths, lambda p: ~inside(p)))
 
 
 def networked(c: Column) -> Column:

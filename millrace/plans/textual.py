@@ -9,6 +9,7 @@ from millrace.functions import nested as N
 from millrace.functions import text as X
 from millrace.operators import conversation as C
 from millrace.operators import metrics as M
+from millrace.operators import quality as Q
 from millrace.operators import reward as W
 from millrace.plans import flows as P
 from millrace.plans import specs
@@ -187,6 +188,17 @@ def _(spark, d):
     return t.select("conv_id", "turn", X.word_error_rate(F.col("a"), F.col("b")).alias("wer"))
 
 
+@query("wer_names", r"""WITH RECURSIVE s AS (SELECT p_partkey, string_split(p_name || ' ' || p_type || ' part', ' ') AS a, string_split(lead(p_type || ' ' || p_name || ' ' || p_brand, 1, '') OVER (ORDER BY p_partkey), ' ') AS b FROM part), t AS (SELECT p_partkey, a, list_filter(b, lambda w: w <> '') AS b FROM s),
+d AS (SELECT p_partkey, a, b, 0 AS i, range(len(b) + 1) AS r FROM t UNION ALL SELECT p_partkey, a, b, i + 1,
+  list_transform(range(len(b) + 1), lambda j: j + list_min(list_transform(range(j + 1), lambda k: CASE WHEN k = 0 THEN i + 1 ELSE least(r[k + 1] + 1, r[k] + CASE WHEN a[i + 1] = b[k] THEN 0 ELSE 1 END) - k END))) FROM d WHERE i < len(a))
+SELECT p_partkey, CASE WHEN len(a) = 0 THEN CASE WHEN len(b) > 0 THEN 1.0 ELSE 0.0 END ELSE r[-1] / len(a)::DOUBLE END::DOUBLE AS wer FROM d WHERE i = len(a)""")
+def _(spark, d):
+    """The names and kinds of a part against those of the next one, in another order."""
+    p = table(spark, d, "part")
+    told = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("b"))
+    return p.join(told, "p_partkey", "left").select("p_partkey", X.word_error_rate(F.concat_ws(" ", "p_name", "p_type", F.lit("part")), F.coalesce("b", F.lit(""))).alias("wer"))
+
+
 @query("corpus_bleu")
 def _(spark, d):
     return M.corpus_bleu(table(spark, d, "conversations").select(F.expr("substring(text, 8)").alias("h"), F.col("text").alias("r")), "h", "r")
@@ -276,9 +288,22 @@ def _(spark, d):
     return p.select("p_partkey", "b.t", F.get("b.box", 0).alias("x1"), F.get("b.box", 2).alias("x2"))
 
 
-@query("string_leaves", "SELECT p_partkey, [p_name, p_brand] AS leaves FROM part")
+@query("string_leaves", """SELECT conv_id, turn, [role, text, 'a "b": c', role, text] AS leaves FROM conversations""")
+def _(spark, d):
+    """Four levels, with texts that hold quotes, colons and braces of their own."""
+    deep = F.struct(F.array(F.struct(F.col("text").alias("v:"), F.lit('a "b": c').alias("w"), F.col("turn").alias("n"))).alias("list"), F.struct(F.struct("role", F.array("text").alias("t")).alias("z")).alias("y"))
+    return table(spark, d, "conversations").select("conv_id", "turn", N.leaves(F.to_json(F.struct("role", deep.alias("x")))).alias("leaves"))
+
+
+@query("nested_secret_scan", r"""WITH t AS (SELECT doc_id, coalesce(regexp_matches(text, '(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*\S+|\bsk-[A-Za-z0-9]{16,}|AKIA[0-9A-Z]{16}|/(home|Users)/[A-Za-z0-9._-]+/'), false) AS hit, lang FROM documents)
+SELECT doc_id, 'root.run.notes[1].text' AS path, 'value' AS why FROM t WHERE hit UNION ALL SELECT doc_id, 'root.run.notes[1].copies[0][0]', 'value' FROM t WHERE hit
+UNION ALL SELECT doc_id, 'root.run.api_key_' || lang || '.of', 'name' FROM t WHERE lang IS NOT NULL""")
 def _(spark, d):
-    return table(spark, d, "part").select("p_partkey", N.leaves(F.to_json(F.struct("p_name", F.struct("p_brand", "p_size").alias("x")))).alias("leaves"))
+    """Names from the data, and texts four and five levels down."""
+    notes = F.to_json(F.array(F.struct(F.lit("none").alias("text"), F.array(F.array(F.lit(""))).alias("copies")), F.struct("text", F.array(F.array("text")).alias("copies"))))
+    key = F.when(F.col("lang").isNotNull(), F.concat(F.lit(', "api_key_'), F.col("lang"), F.lit('": {"of": 1}'))).otherwise("")
+    whole = F.concat(F.lit('{"run": {"notes": '), notes, key, F.lit("}}"))
+    return Q.nested_secrets(table(spark, d, "documents").select("doc_id", whole.alias("j")), "j").select("doc_id", "path", "why")
 
 
 _BOX = "b AS (SELECT l_orderkey, l_linenumber, l_quantity AS x1, l_quantity + 10 AS x2, CAST(l_linenumber AS DOUBLE) AS y1, l_linenumber + 5.0::DOUBLE AS y2 FROM lineitem)"
@@ -325,10 +350,15 @@ def _(spark, d):
     return a.select("conv_id", F.aggregate(mask, F.lit(0).cast("long"), lambda x, y: x + y).alias("trained"), F.size(mask).cast("long").alias("tokens"))
 
 
-@query("path_escape_scan", "SELECT o_orderkey, o_orderkey % 3 <> 1 AS escapes FROM orders")
+@query("path_escape_scan", r"""WITH c AS (SELECT conv_id, turn, translate(text, 'tnxq', '/."\') AS c FROM conversations),
+w AS (SELECT *, CASE WHEN regexp_matches(regexp_replace(c, '(?s)\\.|''[^'']*''|"(?:[^"\\]|\\.)*"', '', 'g'), '[''"\\]') THEN list_filter(regexp_split_to_array(c, '\s+'), lambda x: x <> '')
+  ELSE list_transform(regexp_extract_all(c, '(?s)(?:[^ \t\r\n''"\\]|\\.|''[^'']*''|"(?:[^"\\]|\\.)*")+'), lambda t: array_to_string(list_transform(regexp_extract_all(t, '(?s)[^ \t\r\n''"\\]+|\\.|''[^'']*''|"(?:[^"\\]|\\.)*"'),
+    lambda g: CASE WHEN g[1] = '''' THEN g[2:-2] WHEN g[1] = '"' THEN regexp_replace(g[2:-2], '(?s)\\(["\\])', '\1', 'g') WHEN g[1] = '\' THEN g[2:] ELSE g END), '')) END AS words FROM c),
+p AS (SELECT *, list_transform(list_filter(words, lambda x: x[1] = '/' AND x <> '/'), lambda x: '/' || array_to_string(list_reduce(list_transform(string_split(x, '/'), lambda y: [y]), lambda a, y: CASE WHEN y[1] = '..' THEN a[1:-2] WHEN y[1] IN ('', '.') THEN a ELSE list_concat(a, y) END, []::VARCHAR[]), '/')) AS paths FROM w)
+SELECT conv_id, turn, regexp_matches(c, '(?i)ground_truth|answer_key|gold_answer|\.gold|all_final\.jsonl|rl_train\.jsonl|sft_train\.jsonl') OR len(list_filter(paths, lambda x: NOT regexp_matches(x, '^/(work/job|workspace|tmp)(/|$)'))) > 0 AS escapes FROM p""")
 def _(spark, d):
-    c = F.concat(F.lit("cat "), F.when(F.col("o_orderkey") % 3 == 0, "/etc/passwd").when(F.col("o_orderkey") % 3 == 1, "/tmp/a.txt").otherwise("answer_key.json"))
-    return table(spark, d, "orders").select("o_orderkey", W.escapes(c, "/work/job").alias("escapes"))
+    """Texts of which some letters become slashes, dots, quotes and backslashes: quotes close or stay open as it falls out."""
+    return table(spark, d, "conversations").select("conv_id", "turn", W.escapes(F.translate("text", "tnxq", '/."\\'), "/work/job").alias("escapes"))
 
 
 @query("network_scan", r"SELECT doc_id, coalesce(regexp_matches(text, '(?i)\b(curl|wget|ssh|scp|rsync|nc|telnet)\b|https?://'), false) AS networked FROM documents")
