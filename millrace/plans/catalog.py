@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import composite, relational, runs, scans, sequence, textual
+from millrace.plans import composite, relational, runs, scans, sequence, streams, textual
 from millrace.plans.base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "composite", "relational", "runs", "scans", "sequence", "textual"]
+__all__ = ["ORACLE", "QUERIES", "composite", "relational", "runs", "scans", "sequence", "streams", "textual"]

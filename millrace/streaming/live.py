@@ -70,19 +70,26 @@ def upserted(rows: DataFrame, store: str, key: str, order: str, checkpoint: str)
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def hysteresis(readings: DataFrame, key: str, value: str, high: float, low: float) -> DataFrame:
-    """key, readings so far, paused: a switch that goes on at `high` and off below `low`; state is one flag and a count, and ends an hour after the last reading."""
+def newest_version(spark: SparkSession, store: str) -> DataFrame:
+    """The table as the last batch has left it."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(store)
+    names = [s.getPath().getName() for s in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
+    return spark.read.parquet(f"{store}/{max(int(n) for n in names if n.isdigit())}")
+
+
+def hysteresis(readings: DataFrame, key: str, value: str, high: float, low: float, idle: int | None = 3_600_000) -> DataFrame:
+    """key, readings so far, paused: a switch that goes on at `high` and off below `low`; state is one flag and a count, and ends `idle` milliseconds after the last reading. None, for records that end: it stays, for a query that waits for the clock never has all that there is."""
 
     def step(k: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         on, n = state.get if state.exists else (False, 0)
-        for pdf in parts:
-            for v in pdf.sort_values("ordinal")[value]:
-                on, n = (True if v >= high else False if v < low else on), n + 1
+        for v in pd.concat(list(parts)).sort_values("ordinal")[value]:
+            on, n = (True if v >= high else False if v < low else on), n + 1
         state.update((bool(on), int(n)))
-        state.setTimeoutDuration(3_600_000)
+        if idle:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame({key: [k[0]], "readings": [n], "paused": [bool(on)]})
 
-    return readings.groupBy(key).applyInPandasWithState(step, f"{key} string, readings long, paused boolean", "paused boolean, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return readings.groupBy(key).applyInPandasWithState(step, f"{key} string, readings long, paused boolean", "paused boolean, n long", "update", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
