@@ -80,3 +80,24 @@ def level_report(rows: DataFrame, key: str | None = None) -> DataFrame:
     g = rows.groupBy(key) if key else rows.groupBy()
     return g.agg(F.count("*").alias("count"), *(pct(F.col(f"l{k}_correct").cast("double")).alias(f"level{k}_accuracy") for k in (3, 4, 5)), pct(F.col("tiou")).alias("mean_tiou_all"), pct(F.when(F.col("has_temporal_gt"), F.col("tiou"))).alias("mean_tiou_annotated"), pct(F.col("viou")).alias("mean_viou_all"), pct(F.when(F.col("has_spatial_gt"), F.col("viou"))).alias("mean_viou_annotated"))
 
+
+
+def whole_report(rows: DataFrame) -> DataFrame:
+    """The evaluator's overall block in one row, in percent and unrounded: accuracies of five levels (of the first two over the answered rows), mean overlaps, coverage of annotations, and attempted and correct counts."""
+    pct = lambda c: F.coalesce(F.avg(c.cast("double")) * 100, F.lit(0.0))
+    time, space = F.col("has_temporal_gt"), F.col("has_spatial_gt")
+    overlaps = [pct(F.col("tiou")).alias("mean_tiou_all"), pct(F.when(time, F.col("tiou"))).alias("mean_tiou_annotated"), pct(F.col("viou")).alias("mean_viou_all"), pct(F.when(space, F.col("viou"))).alias("mean_viou_annotated")]
+    cover = [pct(time).alias("temporal_annotation_coverage"), pct(space).alias("spatial_annotation_coverage"), pct(time & space).alias("spatio_temporal_annotation_coverage")]
+    levels = [c for k in range(1, 6) for c in (pct(F.col(f"l{k}_correct")).alias(f"level{k}_accuracy"), F.count_if(f"l{k}_attempted").alias(f"level{k}_attempted_count"), F.count_if(F.col(f"l{k}_attempted") & F.coalesce(f"l{k}_correct", F.lit(False))).alias(f"level{k}_correct_count"))]
+    return rows.agg(F.count("*").alias("count"), *levels, *overlaps, *cover)
+
+
+def grouped_reports(rows: DataFrame, keys: Sequence[str] = ("category", "language", "evidence_span"), many: str | None = "capabilities") -> DataFrame:
+    """The evaluator's groupings in one pass: dimension, group (as text), count, accuracies of levels 3 to 5 and mean overlaps; rows count in each of their several values of `many`."""
+    pct = lambda c: F.avg(F.col(c).cast("double")) * 100
+    tag = lambda name, c: F.struct(F.lit(name).alias("dimension"), F.coalesce(c.cast("string"), F.lit("")).alias("group"))
+    tags = F.array(*(tag(k, F.col(k)) for k in keys))
+    if many:
+        tags = F.concat(tags, F.transform(F.coalesce(many, F.array().cast("array<string>")), lambda c: tag(many.removesuffix("ies") + "y" if many.endswith("ies") else many, c)))
+    each = rows.select("l3_correct", "l4_correct", "l5_correct", "tiou", "viou", F.explode(tags).alias("_t")).select("_t.*", "l3_correct", "l4_correct", "l5_correct", "tiou", "viou")
+    return each.groupBy("dimension", "group").agg(F.count("*").alias("count"), *(pct(f"l{k}_correct").alias(f"level{k}_accuracy") for k in (3, 4, 5)), pct("tiou").alias("mean_tiou_all"), pct("viou").alias("mean_viou_all"))

@@ -93,3 +93,10 @@ def weighted_rotation(df: DataFrame, name: str, weight: str) -> DataFrame:
     turns = df.filter(F.col(weight) >= 1).select(name, weight, F.explode(F.sequence(F.lit(1), F.col(weight).cast("int"))).alias("_i"))
     due = (2 * F.col("_i") - 1).cast("double") / (2 * F.col(weight))
     return turns.withColumn("slot", F.row_number().over(Window.orderBy(due, name))).select("slot", name)
+
+
+def archived(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """All rows with their attempt (from 1), the number of attempts of their key, and whether a later one supersedes them: the latest and the archive in one table, as long as the input."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    out = df.withColumns({"attempt": F.row_number().over(w), "attempts": F.count("*").over(Window.partitionBy(*key))})
+    return out.withColumn("superseded", F.col("attempt") < F.col("attempts"))

@@ -45,7 +45,7 @@ def _(spark, d):
     formats.register(spark)
     steps = Steps(spark, "gauge-stream")
     path = _text(_gauge_lines(spark, d).repartition(6), steps, "in")
-    got = spark.readStream.format("prometheus_text").option("maxFilesPerTrigger", "2").load(path)
+    got = spark.readStream.format("prometheus_text").load(path)
     rank0 = got.filter("bad is null").filter(F.coalesce(F.col("labels")["tp_rank"], F.lit("0")) == "0")
     return R.finished(rank0.groupBy("metric").agg(F.sum("value").alias("total"), F.max("value").alias("most")), "complete", steps)
 

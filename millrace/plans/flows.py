@@ -183,3 +183,44 @@ def quotes_found(quotes: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     met = n.join(spans.select(key, "speaker", "first_place", X.norm_ws("joined").alias("_t")), key).filter(F.contains("_t", "_q"))
     won = met.groupBy(key, "quote").agg(F.min_by("speaker", "first_place").alias("speaker"))
     return quotes.join(won, [key, "quote"], "left")
+
+
+_LEVEL_FIELDS = {1: ("level1_answer",), 2: ("level2_answer",), 3: ("level3_answer", "answer", "prediction"), 4: ("level4_temporal", "temporal", "temporal_prediction", "level4_prediction"), 5: ("level5_spatial", "spatial", "spatial_prediction", "level5_prediction")}
+
+
+def leveled(scored: DataFrame, predictions: DataFrame, requested: str = "levels") -> DataFrame:
+    """Scored rows with l1_correct and l2_correct (null without an answer) and, for each of five levels, whether it was attempted: as the request lists it, else if a field of its prediction is there. predictions: question_id and any of those fields."""
+    have = {k: [n for n in names if n in predictions.columns] for k, names in _LEVEL_FIELDS.items()}
+    of = lambda k: [F.col(f"_p.{n}") for n in have[k]]
+    fields = F.struct(*(F.col(c) for c in predictions.columns))
+    rows = scored.join(predictions.select("question_id", fields.alias("_p")), "question_id")
+    levels = F.col(f"_p.{requested}") if requested in predictions.columns else F.lit(None).cast("array<int>")
+    right = lambda k: F.when(F.coalesce(*of(k)).isNotNull(), X.norm_exact(F.coalesce(*of(k))) == X.norm_exact("answer")) if have[k] else F.lit(None).cast("boolean")
+    out = rows.withColumns({"l1_correct": right(1), "l2_correct": right(2)} | {f"l{k}_attempted": present(levels, k, of(k)) for k in _LEVEL_FIELDS})
+    return out.drop("_p")
+
+
+def data_filter(results: DataFrame, items: DataFrame, messages: DataFrame, reminder: str, rescue: bool = True, keep_failed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(report, training rows) of a run's results, a row at a time: what is wrong with one leaves the others as they are.
+
+    results: id, source_index, predicted, exit_reason, error; items: id, answer_type, ground_truth; messages: source_index,
+    content, the JSON list of a run's messages (role, content). Without a prediction the last answer of the run's assistant and tool messages
+    holds. report: id, source_index, predicted, correct, passed, reason; a row whose messages are no list has the reason
+    `row_error:bad_messages` and does not pass, one that passes and has none keeps its reason with `;no_item_dir`. Training rows:
+    source_index, messages, passed; of rows that pass, or of all, that have messages.
+    """
+    from millrace.plans.specs import filtered
+
+    kind = "array<struct<role:string,content:string>>"
+    files = messages.select("source_index", F.from_json("content", kind).alias("_m"), (F.coalesce(F.ltrim("content").startswith("["), F.lit(False)) & F.try_parse_json("content").isNotNull()).alias("_good"))
+    said = F.array_join(F.transform(F.filter("_m", lambda m: m["role"].isin("assistant", "tool")), lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
+    r = results.join(files.withColumn("text", said).withColumn("_has", F.lit(True)), "source_index", "left")
+    judged = filtered(r, items, rescue)
+    broken = F.coalesce(F.col("_has") & ~F.col("_good"), F.lit(False))
+    wanted = (F.col("passed") | F.lit(keep_failed)) & ~broken
+    reason = F.when(broken, "row_error:bad_messages").when(wanted & F.col("_has").isNull(), F.concat(F.coalesce("reason", F.lit("")), F.lit(";no_item_dir"))).otherwise(F.col("reason"))
+    judged = judged.withColumns({"reason": reason, "_take": wanted & F.col("_has").isNotNull(), "passed": F.col("passed") & ~broken})
+    report = judged.select("id", "source_index", "predicted", "correct", "passed", "reason")
+    turns = judged.filter("_take").select("source_index", F.posexplode("_m").alias("place", "m")).select("source_index", "place", F.col("m.role").alias("role"), F.col("m.content").alias("text"))
+    rows = converted(turns, "source_index", "place", "role", "text", reminder).join(judged.filter("_take").select("source_index", "passed"), "source_index")
+    return report, rows

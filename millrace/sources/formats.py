@@ -6,8 +6,8 @@
 `checked_shards`   the schema that is given, with path, error  Parquet or JSON-lines shards, each good as a whole or set apart
 
 A line or block that is none is a row with its text in `bad` and nothing else. Files go to partitions of about
-`partitionBytes` (a larger file is one of its own) and are read line by line. A stream takes what has come to the folder
-since the last trigger, files in order of time and name, `maxFilesPerTrigger` at most; its offset is the last of them. Options: path, glob.
+`partitionBytes` (a larger file is one of its own) and are read line by line. A stream takes all that has come to the
+folder since the last trigger; its offset is the last file by time and name. Options: path, glob, partitionBytes.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ class _Reader:
     def __init__(self, options: dict, parse, schema: StructType):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        self.options, self.parse, self.schema = dict(options), parse, to_arrow_schema(schema)
+        self.options, self.parse, self.schema = {k.lower(): v for k, v in options.items()}, parse, to_arrow_schema(schema)
 
     def _read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(self.options["path"]) if re.match(r"[a-z][a-z0-9+.-]*:", self.options["path"]) else (pafs.LocalFileSystem(), "")
@@ -78,7 +78,7 @@ class _Reader:
 
 class Reader(_Reader, DataSourceReader):
     def partitions(self) -> list[Files]:
-        return _grouped(_found(self.options)[1], int(self.options.get("partitionBytes", 64 << 20))) or [Files([])]
+        return _grouped(_found(self.options)[1], int(self.options.get("partitionbytes", 64 << 20))) or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         return self._read(partition)
@@ -100,7 +100,7 @@ class StreamReader(_Reader, DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         self.now = self.now or self.initialOffset()
-        new = self._after(_found(self.options)[1], self.now)[: int(self.options.get("maxFilesPerTrigger", 1 << 30))]
+        new = self._after(_found(self.options)[1], self.now)
         if new:
             self.now = {"time": new[-1].mtime_ns or 0, "path": new[-1].path}
         return self.now
@@ -108,7 +108,7 @@ class StreamReader(_Reader, DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Files]:
         self.now = max(self.now or end, end, key=lambda o: (o["time"], o["path"]))
         new = [f for f in self._after(_found(self.options)[1], start) if (f.mtime_ns or 0, f.path) <= (end["time"], end["path"])]
-        return _grouped(new, int(self.options.get("partitionBytes", 64 << 20)))
+        return _grouped(new, int(self.options.get("partitionbytes", 64 << 20)))
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         return self._read(partition)

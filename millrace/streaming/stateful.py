@@ -39,7 +39,7 @@ class Coalescer(StatefulProcessor):
         number, n, began = self.open.get() if self.open.exists() else (0, 0, 0)
         before = (n, began)
         held = [tuple(r) for r in self.waiting.get()] if n else []
-        come = _rows(rows).dropna(subset=[self.request, self.arrived]).sort_values([self.arrived, self.request], kind="stable")
+        come = _rows(rows).dropna(subset=[self.request, self.arrived]).astype({self.request: "int64", self.arrived: "int64"}).sort_values([self.arrived, self.request], kind="stable")
         for request, arrived in zip(come[self.request].tolist(), come[self.arrived].tolist(), strict=True):
             if held and arrived - held[0][1] >= self.wait:
                 yield self._batch(key, number, held)
@@ -86,7 +86,7 @@ class Expiring(StatefulProcessor):
         number, since, until, uses = self.entry.get() if self.entry.exists() else (0, 0, 0, 0)
         if uses:
             self.handle.deleteTimer((until + self.ttl) * 1000 + 1)
-        for t in sorted(_rows(rows)[self.used].dropna().tolist()):
+        for t in sorted(_rows(rows)[self.used].dropna().astype("int64").tolist()):
             if uses and t - until > self.ttl:
                 yield self._gone(key, (number, since, until, uses))
                 number, uses = number + 1, 0

@@ -74,7 +74,7 @@ def test_a_stream_reads_each_file_once(known, tmp_path):
     for k in range(5):
         (src / f"{k}.prom").write_text(f"m {k}\n")
         time.sleep(0.01)
-    stream = known.readStream.format("prometheus_text").option("maxFilesPerTrigger", "2").load(str(src))
+    stream = known.readStream.format("prometheus_text").load(str(src))
 
     def run():
         q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
