@@ -28,7 +28,7 @@ SELECT o.log, o.event_id, o.sec, o.r, batch + CASE WHEN n >= 4 OR o.sec - began
 SELECT log, event_id, sec, batch FROM s""")
 def _(spark, d):
     steps, rows = Steps(spark, "coalesced"), _log(spark, d)
-    return R.finished(T.coalesced_batches(R.replayed(rows, "sec", 4, steps, _end(rows)), "log", "event_id", "sec", 4, 3600), "append", steps)
+    return R.finished(T.coalesced_batches(R.replayed(rows, "sec", 2, steps, _end(rows)), "log", "event_id", "sec", 4, 3600), "append", steps)
 
 
 @query("expired_entries", f"""WITH {EV}, g AS (SELECT user_id, sec, CASE WHEN sec - lag(sec) OVER w > 21600 THEN 1 ELSE 0 END AS new FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY sec)),
@@ -39,7 +39,7 @@ def _(spark, d):
     steps = Steps(spark, "expired")
     rows = events(spark, d).select("user_id", "event_id", "sec")
     end = [F.lit(-1).cast("long").alias("user_id"), F.lit(None).cast("long").alias("event_id"), F.lit(rows.agg(F.max("sec")).first()[0] + _LATER).cast("long").alias("sec")]
-    out = R.finished(T.expired_entries(R.replayed(rows, "sec", 4, steps, end), "user_id", "sec", 21_600), "append", steps)
+    out = R.finished(T.expired_entries(R.replayed(rows, "sec", 2, steps, end), "user_id", "sec", 21_600), "append", steps)
     return out.filter("user_id >= 0")
 
 
@@ -48,7 +48,7 @@ def _(spark, d):
     """The report that is written again after each batch, as it stands at the end."""
     steps = Steps(spark, "report")
     rows = events(spark, d).select("event_type", "sec", (F.col("cents") >= 5000).alias("ok"))
-    return R.finished(live.running_report(R.replayed(rows, "sec", 3, steps), "event_type", "ok"), "complete", steps)
+    return R.finished(live.running_report(R.replayed(rows, "sec", 2, steps), "event_type", "ok"), "complete", steps)
 
 
 @query("dedupe_stream", f"WITH {EV} SELECT DISTINCT user_id % 40 AS call_id FROM ev")
@@ -56,7 +56,7 @@ def _(spark, d):
     """Calls that come again within the time that ids are kept for, which here is all time."""
     steps = Steps(spark, "dedupe")
     rows = events(spark, d).select((F.col("user_id") % 40).alias("call_id"), "sec")
-    stream = R.replayed(rows, "sec", 3, steps).withColumn("at", F.timestamp_seconds("sec"))
+    stream = R.replayed(rows, "sec", 2, steps).withColumn("at", F.timestamp_seconds("sec"))
     return R.finished(live.distinct_calls(stream, "at", "call_id", "3650 days"), "append", steps).select("call_id")
 
 
@@ -65,8 +65,8 @@ def _(spark, d):
     """A user's last event, from a table that each batch renews."""
     steps = Steps(spark, "upsert")
     rows = events(spark, d).select("user_id", "event_id", "event_type", "sec", (F.col("sec") * 10_000_000 + F.col("event_id")).alias("version"))
-    stream = R.replayed(rows, "sec", 3, steps)
-    R.ran(lambda s: live.upserted(s, f"{steps.root}/store", "user_id", "version", f"{steps.root}/upserts"), stream)
+    stream = R.replayed(rows, "sec", 2, steps)
+    R.ran(lambda s: live.upserted(s, f"{steps.root}/store", "user_id", "version", f"{steps.root}/upserts"), stream, steps)
     return live.newest_version(spark, f"{steps.root}/store").select("user_id", "event_id", "event_type")
 
 
@@ -75,7 +75,7 @@ def _(spark, d):
     """How the switch of each user stands after the last reading."""
     steps = Steps(spark, "hysteresis")
     rows = events(spark, d).select(F.col("user_id").cast("string").alias("user_id"), "cents", "sec", (F.col("sec") * 10_000_000 + F.col("event_id")).alias("ordinal"))
-    return R.latest(R.finished(live.hysteresis(R.replayed(rows, "sec", 3, steps), "user_id", "cents", 9000, 4000, None), "update", steps), "user_id")
+    return R.latest(R.finished(live.hysteresis(R.replayed(rows, "sec", 2, steps), "user_id", "cents", 9000, 4000, None), "update", steps), "user_id")
 
 
 @query("windowed_stream", f"WITH {EV} SELECT sec // 3600 * 3600 AS hour_start, event_type, count(*) AS n FROM ev GROUP BY ALL")
@@ -84,6 +84,6 @@ def _(spark, d):
     steps = Steps(spark, "windows")
     rows = events(spark, d).select("event_type", F.col("event_id").alias("id"), "sec")
     end = [F.lit("end").alias("event_type"), F.lit(-1).cast("long").alias("id"), F.lit(rows.agg(F.max("sec")).first()[0] + _LATER).cast("long").alias("sec")]
-    stream = R.replayed(rows, "sec", 3, steps, end).withColumn("at", F.timestamp_seconds("sec"))
+    stream = R.replayed(rows, "sec", 2, steps, end).withColumn("at", F.timestamp_seconds("sec"))
     out = R.finished(live.windowed_counts(stream, "at", "event_type", "1 hour", "0 seconds"), "append", steps)
     return out.select(F.unix_timestamp("window.start").alias("hour_start"), "event_type", "n").filter("event_type <> 'end'")

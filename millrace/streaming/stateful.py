@@ -111,7 +111,7 @@ def _stateful(rows: DataFrame, processor: StatefulProcessor, key: str, seconds:
 
 
 def coalesced_batches(requests: DataFrame, key: str, request: str, arrived: str, size: int, wait: int, late: str = "0 seconds") -> DataFrame:
-    """A stream of (key, request, arrived, batch): requests of a log in batches of `size`, or of what came in `wait` seconds of the first. arrived: whole seconds. A request without its number or time is dropped."""
+    """A stream of (key, request, arrived, batch): requests of a log in batches of `size`, or of what came in `wait` seconds of the first. arrived: whole seconds after 1970. A request without its number or time is dropped, and one at or before the watermark is late."""
     return _stateful(requests, Coalescer(key, request, arrived, size, wait), key, arrived, late, f"`{key}` long, `{request}` long, `{arrived}` long, batch long")
 
 

@@ -17,7 +17,7 @@ def end(key):
 def test_coalescer_cuts_a_log_like_the_loop(spark, epochs):
     """Full batches, batches that only a timer ends, equal times, and a batch that goes on over triggers."""
     rng = random.Random(epochs)
-    log = sorted((k, r, t) for k in range(3) for r, t in enumerate(sorted(rng.randrange(3000) for _ in range(60))))
+    log = sorted((k, r, t) for k in range(3) for r, t in enumerate(sorted(rng.randrange(1, 3000) for _ in range(60))))
     want = []
     for k in range(3):
         number, n, began = -1, 9, 0
@@ -33,11 +33,11 @@ def test_coalescer_cuts_a_log_like_the_loop(spark, epochs):
 
 
 def test_entries_expire(spark):
-    uses = [(1, k, t) for k, t in enumerate([0, 10, 20, 200, 200, 900])] + [(2, 0, 5)]
+    uses = [(1, k, t) for k, t in enumerate([1, 10, 20, 200, 200, 900])] + [(2, 0, 5)]
     steps = Steps(spark, "expiry-test")
     rows = spark.createDataFrame(uses, "k long, r long, t long")
     got = R.finished(T.expired_entries(R.replayed(rows, "t", 3, steps, end("k")), "k", "t", 100), "append", steps).filter("k > 0")
-    assert sorted(map(tuple, got.collect())) == [(1, 0, 0, 20, 3), (1, 1, 200, 200, 2), (1, 2, 900, 900, 1), (2, 0, 5, 5, 1)]
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 1, 20, 3), (1, 1, 200, 200, 2), (1, 2, 900, 900, 1), (2, 0, 5, 5, 1)]
 
 
 def test_switch_keeps_its_state_over_triggers(spark):
