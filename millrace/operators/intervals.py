@@ -85,6 +85,20 @@ def tolerant_iou(truth: DataFrame, found: DataFrame, key: Sequence[str], toleran
     return plain.join(common, list(key)).select(*key, "wide_common", F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("wide_common").cast("double"), F.col("_union")), F.lit(0.0))).alias("tolerant_iou"))
 
 
+def clipped_iou(truth: DataFrame, found: DataFrame, key: Sequence[str], tolerance: int, width: int = 3600) -> DataFrame:
+    """Of each true interval (key, _id, s, e) its IoU with all found ones of its key together: the common length with the true one widened on both sides, no more than what was found or the widened length, over the union with the plain one. 0 for a union without length. True intervals of keys that found nothing are left out."""
+    merged_ = merge(found.select(*key, F.col("s").alias("s2"), F.col("e").alias("e2")), key, "s2", "e2")
+    total = merged_.groupBy(*key).agg(F.sum(F.col("e2") - F.col("s2")).alias("_found"))
+    wide = truth.select(*key, "_id", F.col("s").alias("s0"), F.col("e").alias("e0"), (F.col("s") - tolerance).alias("s"), (F.col("e") + tolerance).alias("e"))
+    met = overlap_pairs(wide, merged_, key, width)
+    both = lambda s, e: F.sum(F.greatest(F.lit(0), F.least(e, "e2") - F.greatest(s, "s2")))
+    common = met.groupBy("_id").agg(both("s", "e").alias("_wide"), both("s0", "e0").alias("_common"))
+    out = wide.join(total, list(key)).join(common, "_id", "left").fillna(0, ["_wide", "_common"])
+    union = F.col("_found") + F.col("e0") - F.col("s0") - F.col("_common")
+    clipped = F.least("_wide", "_found", F.col("e") - F.col("s"))
+    return out.select(*key, "_id", F.when(union <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), clipped / union))).alias("clipped_iou"))
+
+
 def around(df: DataFrame, key: Sequence[str], t: str, v: str, at: str) -> DataFrame:
     """Greatest value before, and least value from a key's own time on."""
     return df.groupBy(*key).agg(F.max(F.when(F.col(t) < F.col(at), F.col(v))).alias("max_before"), F.min(F.when(F.col(t) >= F.col(at), F.col(v))).alias("min_after"))

@@ -139,3 +139,23 @@ def close_to_boundary(rows: DataFrame, edges: DataFrame, key: Sequence[str], t:
 def orphans(rows: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
     """Rows whose key no parent has; rows without a key are none."""
     return rows.filter(F.col(key).isNotNull()).join(parents.select(F.col(parent_key).alias(key)), key, "left_anti")
+
+
+def dominant_label(matches: DataFrame, labels: DataFrame, left: str, right: str, label: str, place: str) -> DataFrame:
+    """Of each matched left row, the label that its right row has most often; of equal ones the one seen first. matches: left, right; labels: right, label, place. A right row without labels gives null."""
+    counts = labels.groupBy(right, label).agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
+    top = counts.groupBy(right).agg(F.max_by(label, F.struct("_n", -F.col("_first"))).alias(label))
+    return matches.join(top, right, "left").select(left, right, label)
+
+
+def labelled_pairs(predictions: DataFrame, truths: DataFrame, key: str, predicted: str, label: str, missing: str = "MISSING") -> DataFrame:
+    """Counts of (predicted, true) labels over all predictions; one without a truth counts as of the class `missing`."""
+    both = predictions.select(key, F.col(predicted).alias("predicted")).join(truths.select(key, F.col(label).alias("true")), key, "left")
+    return both.groupBy("predicted", F.coalesce("true", F.lit(missing)).alias("true")).agg(F.count("*").alias("n"))
+
+
+def required_match(rows: DataFrame, matched_column: str = "matched") -> DataFrame:
+    """The counts of a join (loaded, matched, unmatched) in one row; an error if nothing matched."""
+    counts = rows.agg(F.count("*").alias("loaded"), F.count_if(matched_column).alias("matched"))
+    checked = F.when(F.col("matched") > 0, F.col("matched")).otherwise(F.raise_error(F.lit("no key matched")).cast("long"))
+    return counts.select("loaded", checked.alias("matched"), (F.col("loaded") - F.col("matched")).alias("unmatched"))

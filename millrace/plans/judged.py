@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from millrace.functions import nested as N
 from millrace.functions import text as X
 from millrace.operators import conversation as C
+from millrace.operators import intervals as I  # noqa: E741
+from millrace.operators import joins as J
 from millrace.operators import matching as A
 from millrace.operators import report as R
 from millrace.operators import select as S
@@ -158,3 +160,56 @@ def _(spark, d):
     one = specs.prompts(p.filter("p_size % 2 = 0"), "option_text")
     group = specs.prompts(p.filter("p_size % 2 = 1").drop("options"), "exact_answer")
     return one.select(F.lit("option_text").alias("bench"), "id", "prompt").unionAll(group.select(F.lit("exact_answer").alias("bench"), "id", "prompt"))
+
+
+@query("clipped_tiou", f"""WITH {EV}, t AS (SELECT user_id, event_id, sec AS s, sec + 5000 AS e FROM ev WHERE event_type = 'click'), v AS (SELECT user_id, sec AS s, sec + cents AS e FROM ev WHERE event_type = 'view' AND cents > 0),
+a AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM v), i AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e) AS g FROM a),
+f AS (SELECT user_id, min(s) AS s, max(e) AS e FROM i GROUP BY user_id, g), n AS (SELECT user_id, sum(e - s) AS n FROM f GROUP BY user_id),
+c AS (SELECT t.event_id, t.user_id, sum(greatest(0, least(f.e, t.e) - greatest(f.s, t.s))) AS c, sum(greatest(0, least(f.e, t.e + 600) - greatest(f.s, t.s - 600))) AS w FROM t JOIN f ON t.user_id = f.user_id GROUP BY ALL)
+SELECT c.event_id, least(1.0::DOUBLE, least(w, n, 6200) / (n + 5000 - c)::DOUBLE) AS clipped_iou FROM c JOIN n USING (user_id)""")
+def _(spark, d):
+    """Of each click's stretch of time, what the views of its user cover, ten minutes forgiven."""
+    e = events(spark, d)
+    truth = e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("_id"), F.col("sec").alias("s"), (F.col("sec") + 5000).alias("e"))
+    found = e.filter("event_type = 'view'").select("user_id", F.col("sec").alias("s"), (F.col("sec") + F.col("cents")).alias("e"))
+    return I.clipped_iou(truth, found, ["user_id"], 600).select(F.col("_id").alias("event_id"), "clipped_iou")
+
+
+@query("dominant_label", "WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY ALL), t AS (SELECT l_suppkey, arg_max(l_returnflag, {'n': n, 'f': -f}) AS label FROM c GROUP BY l_suppkey) SELECT p_partkey, p_partkey % 97 AS s, label FROM part LEFT JOIN t ON l_suppkey = p_partkey % 97")
+def _(spark, d):
+    """Parts matched to suppliers, and the flag that most of the supplier's lines bear."""
+    matches = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 97).alias("s"))
+    labels = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("label"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"))
+    return J.dominant_label(matches, labels, "p_partkey", "s", "label", "place")
+
+
+@query("missing_side_labels", "SELECT coalesce(lang, '?') AS predicted, coalesce(CAST(quality AS VARCHAR), 'MISSING') AS true, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("?")).alias("lang"))
+    return J.labelled_pairs(docs, table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("q")), "doc_id", "lang", "q")
+
+
+@query("required_match", "SELECT count(*) AS loaded, count(l.doc_id) AS matched, count(*) - count(l.doc_id) AS unmatched FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def _(spark, d):
+    return J.required_match(J.matched(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id"))
+
+
+@query("typed_event_matching", f"""WITH RECURSIVE {EV}, p0 AS (SELECT a.user_id || a.event_type AS key, a.event_id AS i, b.event_id AS j, abs(a.sec - b.sec) AS far FROM ev a JOIN ev b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id % 2 = 0 AND b.event_id % 2 = 1 AND abs(a.sec - b.sec) <= 20000),
+p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY i, far, j) AS r FROM p0),
+s AS (SELECT key, 0::BIGINT AS r, []::BIGINT[] AS li, []::BIGINT[] AS rj, false AS taken FROM (SELECT DISTINCT key FROM p) UNION ALL
+SELECT p.key, p.r, CASE WHEN list_contains(li, p.i) OR list_contains(rj, p.j) THEN li ELSE list_append(li, p.i) END, CASE WHEN list_contains(li, p.i) OR list_contains(rj, p.j) THEN rj ELSE list_append(rj, p.j) END, NOT (list_contains(li, p.i) OR list_contains(rj, p.j)) FROM s JOIN p ON p.key = s.key AND p.r = s.r + 1)
+SELECT i, j FROM s JOIN p USING (key, r) WHERE taken""")
+def _(spark, d):
+    """True events in their order, each with the nearest found one of its user and type that is still free."""
+    e = events(spark, d).withColumn("key", F.concat(F.col("user_id"), "event_type"))
+    a = e.filter("event_id % 2 = 0").select("key", F.col("event_id").alias("i"), F.col("sec").alias("s"), (F.col("sec") + 20_001).alias("e"))
+    b = e.filter("event_id % 2 = 1").select("key", F.col("event_id").alias("j"), F.col("sec").alias("s2"), (F.col("sec") + 20_001).alias("e2"))
+    pairs = I.overlap_pairs(a, b, ["key"], 40_000).select("key", "i", "j", (-F.abs(F.col("s") - F.col("s2"))).cast("double").alias("score"))
+    return A.match(pairs, "key", "ordered").select("i", "j")
+
+
+@query("selected_order", "SELECT row_number() OVER (ORDER BY p_brand, CAST(p_partkey AS VARCHAR)) AS place, p_brand AS benchmark, CAST(p_partkey AS VARCHAR) AS item_id FROM part")
+def _(spark, d):
+    """Selected items in order of benchmark and of the item's id as text, numbered without a task that sees all."""
+    p = table(spark, d, "part").select(F.col("p_brand").alias("benchmark"), F.col("p_partkey").cast("string").alias("item_id"))
+    return S.numbered(p, [F.col("benchmark"), F.col("item_id")], [F.col("benchmark")], "place").select("place", "benchmark", "item_id")

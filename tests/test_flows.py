@@ -54,3 +54,24 @@ def test_items_and_prompts_of_a_benchmark(spark):
     group = {r["id"]: r["prompt"] for r in specs.prompts(rows.filter("video is not null"), "exact_answer").collect()}
     assert group["v"].startswith("1. Where?\n2. When?\n\n")
     assert scan.json_items(files).count() == 3
+
+
+def test_clipping_labels_and_required_matches(spark):
+    import pytest
+
+    from millrace.operators import intervals as I  # noqa: E741
+    from millrace.operators import joins as J
+
+    truth = spark.createDataFrame([("a", 1, 100, 200), ("a", 2, 1000, 1100), ("b", 3, 0, 10)], "k string, _id int, s int, e int")
+    found = spark.createDataFrame([("a", 90, 150), ("a", 140, 215), ("a", 300, 300)], "k string, s int, e int")
+    got = {r["_id"]: r["clipped_iou"] for r in I.clipped_iou(truth, found, ["k"], 10).collect()}
+    assert got == {1: pytest.approx(120 / 125), 2: 0.0}  # of 125 found, 120 in 90 to 210
+    labels = spark.createDataFrame([(1, "x", 3), (1, "y", 1), (1, "x", 5), (1, "y", 2), (2, "z", 0)], "r int, label string, place int")
+    m = spark.createDataFrame([("p", 1), ("q", 2), ("s", 9)], "l string, r int")
+    assert {r["l"]: r["label"] for r in J.dominant_label(m, labels, "l", "r", "label", "place").collect()} == {"p": "y", "q": "z", "s": None}
+    pred = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "k int, p string")
+    true = spark.createDataFrame([(1, "x"), (3, "x")], "k int, t string")
+    assert {tuple(r) for r in J.labelled_pairs(pred, true, "k", "p", "t").collect()} == {("x", "x", 1), ("x", "MISSING", 1), ("y", "x", 1)}
+    assert tuple(J.required_match(J.matched(pred.select("k"), true.select("k"), "k")).first()) == (3, 2, 1)
+    with pytest.raises(Exception, match="no key matched"):
+        J.required_match(J.matched(pred.select("k"), true.filter("k > 5").select("k"), "k")).collect()
