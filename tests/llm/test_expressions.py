@@ -230,6 +230,25 @@ def test_common_licenses(spark):
     assert [got.get(k) for k in range(len(lines))] == [[x] for x in lines.values()]
 
 
+def test_whole_license_texts_with_changed_words(spark):
+    """Each text under another name and year, with one word of twenty replaced, some left out and some put in."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k, (name, text) in enumerate(sorted(licenses.TEXTS.items())):
+        words = text.split()
+        for at in rng.choice(len(words), len(words) // 20, replace=False):
+            words[at] = f"changed{at}"
+        del words[10], words[40]
+        words[30:30] = ["put", "in"]
+        rows.append((k, f"Copyright (c) 20{k} Some Body\n\n" + " ".join(words) + "\nand what comes after it", name))
+    df = spark.createDataFrame(rows, "doc_id long, text string, license_id string")
+    got = {r["doc_id"]: r for r in licenses.license_matches(df).collect()}
+    assert {k: r["license_id"] for k, r in got.items()} == {k: name for k, _, name in rows}
+    for k, text, _ in rows:
+        raw = text.encode()
+        assert got[k]["coverage"] > 0.9 and raw[: got[k]["byte_start"]].decode().count("\n") == 2 and b"after" not in raw[: got[k]["byte_end"]]
+
+
 def test_every_license_line_of_the_given_documents_is_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text rlike '(?i)(licensed|released) under'")
     found = licenses.license_matches(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
