@@ -16,9 +16,9 @@ def weighted_score(values: DataFrame, dimensions: DataFrame, key: str) -> DataFr
     grid = dimensions.join(values, "dim", "left")
     ok = F.when(F.col("higher"), F.col("value") >= F.col("threshold")).otherwise(F.col("value") <= F.col("threshold"))
     gained = F.coalesce(credit(F.col("value"), F.col("threshold"), F.col("higher")), F.lit(0.0)) * F.when(F.col("value").isNotNull(), F.col("weight")).otherwise(0.0)
-    n = dimensions.count()
+    total = dimensions.agg(F.count("*").alias("_dims"))  # one row
     out = grid.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum(gained).alias("score"), F.bool_and(F.coalesce(ok, F.lit(False))).alias("_all"), F.count("*").alias("_n"))
-    return out.select(key, "score", (F.col("_all") & (F.col("_n") == n)).alias("passed"))
+    return out.join(F.broadcast(total)).select(key, "score", (F.col("_all") & (F.col("_n") == F.col("_dims"))).alias("passed"))
 
 
 def grade_rollup(grades: DataFrame) -> DataFrame:
