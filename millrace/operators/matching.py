@@ -119,8 +119,14 @@ def optimal(pairs: DataFrame) -> DataFrame:
     own = steps.put(pairs.dropna(), "pairs")
     end = lambda side, c: F.struct(F.col("key"), F.lit(side).alias("side"), F.col(c).alias("id"))
     label = components(own.select(end(0, "i").alias("a"), end(1, "j").alias("b")), steps)
-    parts = own.withColumn("node", end(0, "i")).join(label, "node").select("key", "i", "j", "score", "component")
-    return parts.groupBy("component").applyInPandas(lambda p: best_pairs(p)[["key", "i", "j", "score"]], own.schema)
+    parts = steps.put(own.withColumn("node", end(0, "i")).join(label, "node").select("key", "i", "j", "score", F.xxhash64("component").alias("component")), "parts")
+    # Where all pairs share an end the best one is the answer; what is left needs the solver.
+    one = (F.min("i") == F.max("i")) | (F.min("j") == F.max("j"))
+    best = F.max_by(F.struct("i", "j", "score"), F.struct(F.col("score"), -F.col("i"), -F.col("j")))
+    stars = parts.groupBy("key", "component").agg(one.alias("one"), best.alias("p"))
+    taken = stars.filter("one").select("key", "p.*").filter("score >= 0")
+    rest = parts.join(stars.filter("not one"), ["key", "component"], "left_semi")
+    return taken.unionAll(rest.groupBy("key", "component").applyInPandas(lambda p: best_pairs(p)[["key", "i", "j", "score"]], own.schema))
 
 
 KINDS = ("ordered", "first_fit", "global", "global_high", "optimal")

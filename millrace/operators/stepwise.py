@@ -46,10 +46,10 @@ def components(edges: DataFrame, steps: Steps) -> DataFrame:
         seen, k = found, k + 1
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        now = steps.put(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), f"large-{k}")
-        least = now.groupBy("a").agg(F.min("b").alias("m"))
-        moved = now.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         now = steps.put(moved.filter("a <> b").distinct(), f"edges-{k}")
-        steps.drop(f"large-{k}", f"edges-{k - 1}")
+        steps.drop(f"edges-{k - 1}")
     tops = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(tops)
