@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 

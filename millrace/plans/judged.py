@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.functions import nested as N
 from millrace.functions import text as X
 from millrace.operators import conversation as C
 from millrace.operators import intervals as I  # noqa: E741
