@@ -9,7 +9,10 @@ coverage; the first and last of them give the span.
 
 from __future__ import annotations
 
+import pkgutil
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +57,7 @@ def _gnu() -> dict[str, str]:
 
 _AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 
-#: Notices of well-known licenses, as their stewards ask to state them. Of the long licenses (Apache, MPL, GPL) the full texts are not among them.
+#: Notices of well-known licenses, as their stewards ask to state them.
 TEMPLATES = _creative_commons() | _gnu() | {
     "mit-warranty": _AS_IS,
     "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
@@ -85,6 +88,19 @@ TEXTS = {
     "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
 }
 TEMPLATES |= TEXTS
+
+
+def long_texts() -> dict[str, str]:
+    """Terms of the long licenses, from the files beside this module; what follows their terms (how to apply them) is left out."""
+    out = {}
+    for name in ("Apache-2.0", "CC0-1.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0"):
+        text = pkgutil.get_data("millrace.llm", f"texts/{name}.txt").decode()
+        for end in ("END OF TERMS AND CONDITIONS", "Exhibit A - Source Code Form"):
+            text = text.split(end)[0]
+        out[f"{name.lower()}-text" if "." in name else f"{name.lower()}.0-text"] = text
+    return out
+
+
 _BLANK = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 
 
@@ -145,6 +161,9 @@ class Index:
             f, at = winnow(h, gram, window)
             rows += [(int(x), t, int(p)) for x, p in zip(f, at, strict=True)]
         rows.sort()
+        #: Distinct words of all templates, and how often each template has each.
+        self.vocabulary = np.unique(np.concatenate([*self.words, np.zeros(0, K.U)]))
+        self.counts = [np.bincount(np.searchsorted(self.vocabulary, w), minlength=len(self.vocabulary)) for w in self.words]
         self.keys = np.array([r[0] for r in rows], K.U)
         self.template, self.place = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
 
@@ -156,31 +175,56 @@ class Index:
             return []
         count = (high - low)[hit]
         entry = np.repeat(low[hit] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        found = np.unique(np.stack([self.template[entry], np.repeat(at[hit], count) - self.place[entry]], axis=1), axis=0)
+        far = 1 << 40  # beyond the words of any text
+        found = np.unique(self.template[entry] * (2 * far) + np.repeat(at[hit], count) - self.place[entry] + far)
+        template, shift = found // (2 * far), found % (2 * far) - far
+        bounds = np.flatnonzero(np.diff(template, prepend=-1)).tolist() + [len(found)]
         out: list[tuple[int, int]] = []
-        for t, s in found.tolist():
-            if not out or out[-1][0] != t or s - out[-1][1] > self.band(t, band):
-                out.append((t, s))
+        for i, j in pairwise(bounds):
+            t, shifts, k = int(template[i]), shift[i:j].tolist(), 0
+            while k < len(shifts):
+                out.append((t, shifts[k]))
+                k = bisect_right(shifts, shifts[k] + self.band(t, band), k)
         return out
 
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """Places in the vocabulary, its length for other words."""
+        at = np.searchsorted(self.vocabulary, words)
+        return np.where(np.append(self.vocabulary, K.U(0))[at] == words, at, len(self.vocabulary))
+
     def band(self, template: int, most: int) -> int:
-        """At most half a template, so that copies one after the other are candidates apart."""
-        return min(most, max(2, len(self.words[template]) // 2))
+        """At most half a template, so that copies one after the other are candidates apart; at least a fiftieth of a long one."""
+        n = len(self.words[template])
+        return max(min(most, max(2, n // 2)), n // 50)
 
 
 def _scan(shared, gram: int, window: int, band: int, least: float):
     def one(index: Index, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
         prints, at = winnow(words, gram, window)
         found: list[tuple] = []
+        places: dict[int, list[int]] = {}
         for t, shift in index.candidates(prints, at, band):
-            template = index.words[t]
-            near = words[max(0, shift - band) : max(0, shift + len(template) + band)]
-            # No alignment has more words than the template has that occur near: most long templates end here.
-            if len(near) < least * len(template) or np.isin(template, near).sum() < least * len(template):
-                continue
-            pairs = align(template, words, shift, index.band(t, band))
-            if pairs and len(pairs) >= least * len(template):
-                found.append((-len(pairs), -len(pairs) / len(template), pairs[0][1], pairs[-1][1], index.names[t], len(template)))
+            places.setdefault(t, []).append(shift)
+        numbers = index.numbers(words) if places else words
+        for t, shifts in places.items():
+            template, count, room = index.words[t], index.counts[t], index.band(t, band)
+            n, need, s = len(template), least * len(template), np.array(shifts)
+            low, high = np.clip(s - room, 0, len(words)), np.clip(s + n + room, 0, len(words))
+            known = np.concatenate(([0], np.cumsum(np.append(count, 0)[numbers] > 0)))
+            aligned: list[tuple[int, int]] = []
+            tried = []
+            # No alignment has more words than stand near and are the template's, nor more of a word than both have.
+            for k in np.flatnonzero((known[high] - known[low] >= need) & (high - low >= need)).tolist():
+                near = np.bincount(numbers[low[k] : high[k]], minlength=len(count) + 1)[:-1]
+                tried.append((-int(np.minimum(near, count).sum()), shifts[k]))
+            for most, shift in sorted(tried):
+                # Places closer than this share words; of those the one that matches most is the match.
+                if -most < need or any(-most < m and abs(shift - x) < n // 2 - 2 * room for m, x in aligned):
+                    continue
+                pairs = align(template, words, shift, room)
+                if pairs and len(pairs) >= need:
+                    aligned.append((len(pairs), shift))
+                    found.append((-len(pairs), -len(pairs) / n, pairs[0][1], pairs[-1][1], index.names[t], n))
         taken: list[tuple[int, int]] = []
         for n, share, a, b, name, size in sorted(found):
             if all(b < x or a > y for x, y in taken):
@@ -209,8 +253,9 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
     Spans do not overlap: of overlapping ones that of most matched words stays, then of greater coverage, then the first,
     then by name. Null and empty texts match nothing. Repeated rows are reported each on their own,
     and a null id stays null. Words that stand between those of a template shift what follows; the shifts of one match may
-    not differ by more than `band` words, and half a short template. Only doc_id and text are read. The templates are few and go to every worker. An empty table,
+    not differ by more than `band` words or a fiftieth of the template, and half a short one. Of places of one template that
+    share half of it, only that of most matched words counts. Only doc_id and text are read. The templates are few and go to every worker. An empty table,
     or no templates, gives an empty result.
     """
-    index = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates, gram, window))
+    index = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES | long_texts() if templates is None else templates, gram, window))
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan(index, gram, window, band, coverage), SCHEMA)

@@ -249,6 +249,29 @@ def test_whole_license_texts_with_changed_words(spark):
         assert got[k]["coverage"] > 0.9 and raw[: got[k]["byte_start"]].decode().count("\n") == 2 and b"after" not in raw[: got[k]["byte_end"]]
 
 
+def test_long_licenses(spark):
+    """Whole, with one word of twenty replaced and a paragraph put in, twice in one text; half a text is no match."""
+    rng, texts = np.random.default_rng(5), licenses.long_texts()
+    rows, whole = [], {}
+    for k, (name, text) in enumerate(sorted(texts.items())):
+        words = text.split()
+        whole[k] = len(words)
+        for at in rng.choice(len(words), len(words) // 20, replace=False):
+            words[at] = f"changed{at}"
+        words[len(words) // 3 : len(words) // 3] = ["put", "in"] * 5
+        rows += [(k, "before it " + " ".join(words)), (k + 10, text), (k + 20, " ".join(text.split()[: len(text.split()) // 2]))]
+    rows.append((30, texts["apache-2.0-text"] + " and between them " + texts["apache-2.0-text"]))
+    got: dict = {}
+    for r in licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    for k, name in enumerate(sorted(texts)):
+        (changed,), (same,) = got[k], got[k + 10]
+        assert changed["license_id"] == same["license_id"] == name and same["coverage"] == 1 and 0.9 < changed["coverage"] < 1
+        assert abs(changed["word_end"] - changed["word_start"] - same["words"]) < 0.02 * whole[k] + 40
+        assert not any(r["license_id"] == name for r in got.get(k + 20, []))
+    assert [r["license_id"] for r in got[30]] == ["apache-2.0-text"] * 2 and all(r["coverage"] == 1 for r in got[30])
+
+
 def test_every_license_line_of_the_given_documents_is_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text rlike '(?i)(licensed|released) under'")
     found = licenses.license_matches(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
