@@ -161,18 +161,32 @@ def boxes_by_time(c: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda x: [{"t": t, "box": b} for t, b in one(x)], na_action="ignore"), kind)(c)
 
 
-def commands(c: Column) -> Column:
-    """Command texts of tool arguments in any of their forms: an object with `commands` (objects, texts, or one text) or with one `keystrokes`."""
+def tolerant(c: Column) -> Column:
+    """VARIANT of a JSON text in which line ends and tabs may stand bare inside strings; null if it is none."""
+    return F.from_json(F.trim(c, F.lit(" \t\r\n")), "variant", {"allowUnquotedControlChars": "true"})
 
-    def one(text: str) -> list[str]:
-        try:
-            v = json.loads(text, strict=False)
-        except ValueError:
-            return []
-        if isinstance(v, dict):
-            v = v.get("commands", [v] if "keystrokes" in v else [])
-        if isinstance(v, str):
-            v = [v]
-        return [x if isinstance(x, str) else str(x["keystrokes"]) for x in v or [] if isinstance(x, str) or (isinstance(x, dict) and x.get("keystrokes") is not None)]
-
-    return F.pandas_udf(lambda s: s.map(one, na_action="ignore"), "array<string>")(c)
+
+def commands(c: Column) -> Column:
+    """Command texts of tool arguments in any of their forms: an object with `commands` (objects, texts, or one text) or with one `keystrokes`, or a list or text of its own. Keystrokes that are no text come as their JSON text; null ones, and entries of other kinds, are left out; text that is no JSON has none."""
+    v = tolerant(c)
+    at = lambda x, path, kind: F.try_variant_get(x, path, kind)
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("NULL"))
+    given = F.json_object_keys(F.to_json(v))
+    whole = F.when(kind(v).startswith("OBJECT"), F.when(F.array_contains(given, "commands"), at(v, "$.commands", "variant")).when(F.array_contains(given, "keystrokes"), v)).otherwise(v)
+    one = F.when((kind(whole) == "STRING") | kind(whole).startswith("OBJECT"), F.array(whole))
+    listed = F.coalesce(F.when(kind(whole).startswith("ARRAY"), at(whole, "$", "array<variant>")), one, F.array().cast("array<variant>"))
+    text = lambda x: F.when(kind(x) == "STRING", at(x, "$", "string")).when(kind(x).startswith("OBJECT"), at(x, "$.keystrokes", "string"))
+    return F.when(c.isNotNull(), F.filter(F.transform(listed, text), lambda x: x.isNotNull()))
+
+
+def argument_map(c: Column) -> Column:
+    """Arguments of a call as a map of names to texts (the JSON text of what is no string): empty for empty text, for text that is no JSON, and for JSON that is no object."""
+    return F.coalesce(F.when(is_object(c), F.from_json(c, "map<string,string>")), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+
+
+def as_number(c: Column) -> Column:
+    """The number that a whole text is, blanks around it and single underscores between digits allowed, `inf` and `nan` in any case too; else null. Spark's own cast would also take a suffix letter."""
+    t = F.lower(F.trim(c.cast("string"), F.lit(" \t\r\n\f\x0b")))
+    digits = r"[0-9](?:_?[0-9])*"
+    ok = t.rlike(rf"^[-+]?(?:(?:{digits}\.?(?:{digits})?|\.{digits})(?:e[-+]?{digits})?|inf(?:inity)?|nan)$")
+    return F.when(ok, F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))

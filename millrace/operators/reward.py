@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,12 +135,30 @@ def length_shaped(df: DataFrame, group: str) -> DataFrame:
     return out.withColumn("score", F.col("score") * F.col("length_factor")).drop("_least")
 
 
-def group_filter(df: DataFrame, group: str, reward: str = "reward", gone: str = "removed") -> DataFrame:
-    """keep and reason by group: a removed row, fewer than two rows, or rewards all alike drop it."""
+def group_rules(reward: str = "reward", gone: str = "removed") -> list[tuple[Column, Column]]:
+    """The usual reasons to drop a group, as (condition, reason) over its rows: a removed row, fewer than two rows, rewards all alike."""
     n, out = F.count_if(~F.col(gone)), F.count_if(F.col(gone))
-    flat = F.max(reward) - F.min(reward) <= FLAT
-    why = F.when(out > 0, F.concat(F.lit("removed_"), out.cast("string"))).when(n <= 1, F.concat(F.lit("active_"), n.cast("string"))).when(flat, F.concat(F.lit("zero_std_"), F.round(F.min(reward), 3).cast("string")))
-    return df.groupBy(group).agg(((out == 0) & (n > 1) & ~flat).alias("keep"), why.alias("reason"))
+    return [
+        (out > 0, F.concat(F.lit("removed_"), out.cast("string"))),
+        (n <= 1, F.concat(F.lit("active_"), n.cast("string"))),
+        (F.max(reward) - F.min(reward) <= FLAT, F.concat(F.lit("zero_std_"), F.round(F.min(reward), 3).cast("string"))),
+    ]
+
+
+def group_filter(df: DataFrame, group: str, reward: str = "reward", gone: str = "removed", rules: Sequence[tuple[Column, Column]] | None = None) -> DataFrame:
+    """keep and reason by group: the first of the rules whose condition holds drops it. Rules are aggregates, so all of them are one pass."""
+    rules = group_rules(reward, gone) if rules is None else rules
+    why = F.lit(None).cast("string")
+    for holds, reason in reversed(rules):
+        why = F.when(holds, reason).otherwise(why)
+    dropped = functools.reduce(lambda a, b: a | b, (holds for holds, _ in rules), F.lit(False))
+    return df.groupBy(group).agg((~dropped).alias("keep"), why.alias("reason"))
+
+
+def trained_on(df: DataFrame, group: str, rules: Sequence[tuple[Column, Column]] | None = None, post: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """Rows of the groups that the rules keep, after a hook (df, group) -> df: rewards centred in their group unless another is given."""
+    kept = group_filter(df, group, rules=rules).filter("keep").select(group)
+    return (post or centred)(df.join(kept, group, "left_semi"), group)
 
 
 def centred(df: DataFrame, group: str, reward: str = "reward", gone: str = "removed", scale: bool = False) -> DataFrame:

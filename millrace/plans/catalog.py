@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import composite, files, judged, relational, runs, scans, sequence, streams, textual
+from millrace.plans import composite, decoded, files, judged, relational, runs, scans, sequence, streams, textual
 from millrace.plans.base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "composite", "files", "judged", "relational", "runs", "scans", "sequence", "streams", "textual"]
+__all__ = ["ORACLE", "QUERIES", "composite", "decoded", "files", "judged", "relational", "runs", "scans", "sequence", "streams", "textual"]

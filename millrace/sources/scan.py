@@ -98,6 +98,24 @@ def resolve(names: Sequence[str], wanted: str, text_family: Sequence[str] = (".t
     return next((n for tier in tiers for n in sorted(names) if tier(n)), None)
 
 
+def resolved(wanted: DataFrame, files: DataFrame, by: Sequence[str] = (), text_family: Sequence[str] = (".txt", ".md", ".json", ".csv")) -> DataFrame:
+    """`resolve` for tables: (by, wanted, name) of each distinct wanted name, with the file of its folder (the columns `by`) that
+    it means, null without one. Each name is a key of up to three tiers, so tiers are one equality join; of several files
+    in the best tier the least name holds. A name without a dot has an empty stem. Null names mean nothing."""
+
+    def keyed(df: DataFrame, column: str) -> DataFrame:
+        c = F.col(column)
+        stem = F.regexp_replace(F.lower(F.regexp_extract(c, r"(?s)^(.*)\.", 1)), "[^a-z0-9]", "")
+        ext = F.concat(F.lit("."), F.lower(F.substring_index(c, ".", -1)))
+        tiers = F.array(F.struct(F.lit(0).alias("tier"), c.alias("key")), F.struct(F.lit(1).alias("tier"), F.concat(stem, ext).alias("key")), F.struct(F.lit(2).alias("tier"), F.when(ext.isin(*text_family), stem).alias("key")))
+        return df.select(*by, column, F.inline(tiers))
+
+    known = keyed(files, "name").groupBy(*by, "tier", "key").agg(F.min("name").alias("name"))
+    met = keyed(wanted, "wanted").join(known, [*by, "tier", "key"], "left")
+    best = F.min(F.when(F.col("name").isNotNull(), F.struct("tier", "name")))
+    return met.groupBy(*by, "wanted").agg(best.alias("best")).select(*by, "wanted", F.col("best.name").alias("name"))
+
+
 def artifacts(files: DataFrame, least: int = 3) -> DataFrame:
     """path, filled (at least so many bytes), parses (content is JSON)."""
     return files.select("path", (F.col("length") >= least).alias("filled"), F.try_parse_json("content").isNotNull().alias("parses"))

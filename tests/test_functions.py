@@ -119,3 +119,33 @@ def test_wer_and_bleu_read_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, 0, " ".join(words))], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert QUERIES["wer"](spark, str(tmp_path)).first()["wer"] == pytest.approx(1 / 1000)
     assert QUERIES["corpus_bleu"](spark, str(tmp_path)).first()["bleu"] == pytest.approx(2.718281828459045 ** (-1 / 999))
+
+
+def test_commands_of_all_forms(spark):
+    import json
+
+    given = {
+        '{"commands": [{"keystrokes": "ls"}, "pwd", {"x": 1}, 3, null, {"keystrokes": null}]}': ["ls", "pwd"],
+        '{"commands": "ls\\n"}': ["ls\n"], '{"commands": "a\tb\nc"}': ["a\tb\nc"], '{"commands": null, "keystrokes": "x"}': [],
+        '{"keystrokes": "x", "wait": 1}': ["x"], '["a", {"keystrokes": "b"}]': ["a", "b"], '"a"': ["a"], "3": [], "null": [], "{}": [], "": [], "ls": [], '{"commands": [': [],
+        json.dumps({"commands": [{"keystrokes": 'say "hé" \u2028'}]}): ['say "hé" \u2028'], '{"commands": []}': [], '{"commands": {"keystrokes": "x"}}': ["x"],
+    }
+    df = spark.createDataFrame([(t, f) for t, f in given.items()] + [(None, None)], "t string, f array<string>")
+    for r in df.select("t", "f", N.commands(F.col("t")).alias("got")).collect():
+        assert r["got"] == r["f"], r["t"]
+
+
+def test_argument_maps(spark):
+    rows = [('{"a": "x", "b": [1, {"c": 2}], "d": null}', {"a": "x", "b": '[1,{"c":2}]', "d": None}), ("", {}), ("[1]", {}), ("no", {}), ('"x"', {}), (None, {})]
+    for r in spark.createDataFrame([(t,) for t, _ in rows], "t string").select("t", N.argument_map(F.col("t")).alias("m")).collect():
+        assert r["m"] == dict(rows)[r["t"]], r["t"]
+
+
+def test_numbers_are_those_that_python_reads(spark):
+    texts = ["1", " -2.5\n", "+3.", ".5", "1e3", "1E-2", "1_000", "1__0", "_1", "1_", "1d", "2f", "0x10", "inf", "-Infinity", "NaN", "nanx", "", " ", ".", "e5", "1e", "1,5", "12 %", "--1", "1_0.2_5e1_0"]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", N.as_number(F.col("t")).alias("v")).collect():
+        try:
+            want = float(r["t"])
+        except ValueError:
+            want = None
+        assert repr(r["v"]) == repr(want), r["t"]

@@ -174,3 +174,13 @@ def test_speaker_errors(spark):
     found = spark.createDataFrame([(1, 0, 1000, "a", 0), (1, 1000, 2000, "b", 1)], "k int, s int, e int, label string, ordinal int")
     r = M.speaker_error_rate(truth, found, ["k"]).first()
     assert r["error_rate"] == pytest.approx(16 / 31)
+
+
+def test_groups_by_rules_of_ones_own(spark):
+    rows = [("a", 1.0, False), ("a", 0.0, False), ("b", 1.0, False), ("b", 1.0, False), ("c", 1.0, True), ("c", 0.0, False), ("d", 1.0, False), ("e", 1.0, False), ("e", 0.0, False), ("e", 0.5, False)]
+    df = spark.createDataFrame(rows, "g string, reward double, removed boolean")
+    rules = [*W.group_rules(), (F.count("*") > 2, F.lit("large"))]
+    got = {r["g"]: (r["keep"], r["reason"]) for r in W.group_filter(df, "g", rules=rules).collect()}
+    assert got == {"a": (True, None), "b": (False, "zero_std_1.0"), "c": (False, "removed_1"), "d": (False, "active_1"), "e": (False, "large")}
+    assert sorted(r["advantage"] for r in W.trained_on(df, "g", rules).collect()) == [-0.5, 0.5]
+    assert W.trained_on(df, "g", [], lambda d, g: d.filter("reward > 0")).count() == 7

@@ -105,3 +105,15 @@ def test_coalescer_batches(spark):
     got = live.batches_of(log, 2, "o", "t", 10)
     assert [r["batch"] for r in got.orderBy("o").collect()] == [0, 0, 1, 1, 2]
     assert got.filter(F.col("batch") > 2).count() == 0
+
+
+def test_resolution_by_join_equals_the_plain_one(spark):
+    names = ["My-Report.md", "my_report.TXT", "b.csv", "b.CSV", "a.bin", "noext", "x.y.json", ".md", "Ünder.txt"]
+    asked = ["my_report.txt", "My-Report.md", "MYREPORT.json", "b.Csv", "B.bin", "a.md", "A.BIN", "noext", "other", "xy.md", "x-y.json", "", "nder.csv", None]
+    files = spark.createDataFrame([(n, 1) for n in names] + [("b.csv", 2)], "name string, place int")
+    wanted = spark.createDataFrame([(a, k) for a in asked for k in (1, 2, 3)] * 2, "wanted string, place int")
+    got = {(r["place"], r["wanted"]): r["name"] for r in scan.resolved(wanted, files, ["place"]).collect()}
+    assert len(got) == 3 * len(asked)
+    for k, there in ((1, names), (2, ["b.csv"]), (3, [])):
+        for a in asked:
+            assert got[k, a] == (None if a is None else scan.resolve(there, a)), (k, a)
