@@ -98,6 +98,13 @@ def test_nested(spark):
     assert one(spark, N.boxes_by_time(F.lit("[{'time': 1, 'bbox': [[1,2,3,4],[5,6,7,8]]}]")))[1]["box"] == [5.0, 6.0, 7.0, 8.0]
 
 
+def test_union_of_boxes_computes_its_boxes_a_few_times_only(spark):
+    made = F.array(G.unit_box(F.array(F.col("size"), F.lit(0.1), F.lit(0.5), F.lit(0.6))))
+    df = spark.createDataFrame([(0.1,), (None,)], "size double").select(G.union_iou(F.array(F.array(*map(F.lit, (0.1, 0.1, 0.5, 0.6)))), F.filter(made, lambda x: x.isNotNull())).alias("v"))
+    assert df._jdf.queryExecution().analyzed().toString().count("size#") < 10
+    assert [r["v"] for r in df.collect()] == [pytest.approx(1.0), 0.0]
+
+
 def test_geometry(spark):
     box = lambda *v: F.array(*(F.lit(float(x)) for x in v))
     assert one(spark, G.box_iou(box(0, 0, 2, 2), box(1, 1, 3, 3))) == pytest.approx(1 / 7)
