@@ -98,6 +98,12 @@ def test_nested(spark):
     assert one(spark, N.boxes_by_time(F.lit("[{'time': 1, 'bbox': [[1,2,3,4],[5,6,7,8]]}]")))[1]["box"] == [5.0, 6.0, 7.0, 8.0]
 
 
+def test_answers_are_stripped_as_python_does_or_as_sql_does(spark):
+    said = F.lit("<answer> \u00a0Le\u00e9. \n</answer>")
+    assert one(spark, X.last_answer(said)) == "\u00a0Le\u00e9."
+    assert one(spark, X.last_answer(said, X.SPACES)) == "Le\u00e9. \n"
+
+
 def test_union_of_boxes_computes_its_boxes_a_few_times_only(spark):
     made = F.array(G.unit_box(F.array(F.col("size"), F.lit(0.1), F.lit(0.5), F.lit(0.6))))
     df = spark.createDataFrame([(0.1,), (None,)], "size double").select(G.union_iou(F.array(F.array(*map(F.lit, (0.1, 0.1, 0.5, 0.6)))), F.filter(made, lambda x: x.isNotNull())).alias("v"))
