@@ -104,6 +104,19 @@ def test_answers_are_stripped_as_python_does_or_as_sql_does(spark):
     assert one(spark, X.last_answer(said, X.SPACES)) == "Le\u00e9. \n"
 
 
+def test_queries_of_answers_keep_line_ends_as_their_sql_does(spark, tmp_path):
+    from millrace.plans.catalog import ORACLE, QUERIES
+
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(1, k, "user", t) for k, t in enumerate(["Le\u00e9.\nx", " Ita.\n more", "\u00a0 As\u00ed.\n\n", "\tab ", "Pa\u00ea \n", "\n\n\n\n\n", ""])]
+    rows += [(2, k + 1, r, t) for _, k, r, t in rows]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("last_answer", "tag_or_text"):
+        assert sorted(map(str, map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))) == sorted(map(str, duckdb.sql(ORACLE[name]).fetchall()))
+    assert one(spark, X.tag_or_text(F.lit(" \tB\n"))) == "B"
+
+
 def test_union_of_boxes_computes_its_boxes_a_few_times_only(spark):
     made = F.array(G.unit_box(F.array(F.col("size"), F.lit(0.1), F.lit(0.5), F.lit(0.6))))
     df = spark.createDataFrame([(0.1,), (None,)], "size double").select(G.union_iou(F.array(F.array(*map(F.lit, (0.1, 0.1, 0.5, 0.6)))), F.filter(made, lambda x: x.isNotNull())).alias("v"))
