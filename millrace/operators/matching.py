@@ -7,12 +7,13 @@ which a round takes little. As soon as a round drops less than half of the pairs
 that are taken are remembered.
 
 An optimal assignment falls apart into connected components of the pairs; each is solved on its own, over the listed pairs.
+Keys of up to WHOLE pairs are split into components where they are solved, larger ones by joins.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators.stepwise import Steps, components
 
+WHOLE = 4096  # so many pairs of a key a task holds at once
+
 
 def _order(kind: str) -> Column:
     """A key of the order in which pairs are tried; a missing score comes last, and the pair itself stands behind all."""
@@ -98,35 +101,102 @@ def assigned(costs: list[list[tuple[int, float]]], columns: int) -> list[int]:
     return column_of
 
 
-def best_pairs(pairs: pd.DataFrame) -> pd.DataFrame:
+Pair = tuple[int, int, float]
+
+
+def _solved(pairs: list[Pair]) -> list[Pair]:
     """The pairs of greatest total score, one for each end at most; a pair of score 0 is taken rather than none, one below never."""
-    p = pairs[pairs["score"] >= 0].sort_values(["i", "j", "score"], ascending=[True, True, False], kind="stable").drop_duplicates(["i", "j"])
-    if not len(p):
-        return p
-    left, lefts = pd.factorize(p["i"])
-    right, rights = pd.factorize(p["j"], sort=True)
+    best: dict[tuple[int, int], float] = {}
+    for i, j, s in pairs:
+        if s >= 0 and s > best.get((i, j), -1.0):
+            best[i, j] = s
+    lefts = {i: k for k, i in enumerate(sorted({i for i, _ in best}))}
+    rights = sorted({j for _, j in best})
+    place = {j: k for k, j in enumerate(rights)}
     costs: list[list[tuple[int, float]]] = [[(len(rights) + k, 1e-9)] for k in range(len(lefts))]  # its own place to stay alone
-    at: dict[tuple[int, int], int] = {}
-    for n, (a, b, s) in enumerate(zip(left.tolist(), right.tolist(), p["score"].tolist(), strict=True)):
-        costs[a].append((b, -s))
-        at[a, b] = n
-    return p.iloc[[at[a, b] for a, b in enumerate(assigned(costs, len(rights) + len(lefts))) if (a, b) in at]]
+    for i, j in sorted(best):
+        costs[lefts[i]].append((place[j], -best[i, j]))
+    columns = assigned(costs, len(rights) + len(lefts))
+    return [(i, rights[b], best[i, rights[b]]) for i, b in zip(lefts, columns, strict=True) if b < len(rights)]
 
 
-def optimal(pairs: DataFrame) -> DataFrame:
-    """The pairs of greatest total score in each key, a connected component of its pairs at a time: what a task holds is the largest component."""
-    steps = Steps(pairs.sparkSession, "assignment")
-    own = steps.put(pairs.dropna(), "pairs")
+def _parts(pairs: list[Pair]) -> Iterable[list[Pair]]:
+    """Connected components of pairs."""
+    up: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def root(x: tuple[int, int]) -> tuple[int, int]:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for i, j, _ in pairs:
+        up[root((0, i))] = root((1, j))
+    out: dict[tuple[int, int], list[Pair]] = {}
+    for p in pairs:
+        out.setdefault(root((0, p[0])), []).append(p)
+    return out.values()
+
+
+def _settled(pairs: list[Pair]) -> Iterator[Pair]:
+    """Of a key's pairs those that are taken. Where all pairs of a component share an end the best one is the answer."""
+    for part in _parts(pairs):
+        if len({i for i, _, _ in part}) == 1 or len({j for _, j, _ in part}) == 1:
+            i, j, s = max(part, key=lambda p: (p[2], -p[0], -p[1]))
+            if s >= 0:
+                yield i, j, s
+        else:
+            yield from _solved(part)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (key, component, i, j, score) arrive by key and component: what is taken of each."""
+    now, held, out, kind = None, [], [], None
+
+    def shown() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * 4, kind, strict=True)], schema=kind)
+
+    for batch in batches:
+        kind = pa.schema([batch.schema.field(n) for n in (0, 2, 3, 4)])
+        for key, part, *pair in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, part) != now:
+                out += [(now[0], *p) for p in _settled(held)] if now else []
+                now, held = (key, part), []
+            held.append(tuple(pair))
+        if len(out) > 10_000:
+            yield shown()
+            out = []
+    if now:
+        out += [(now[0], *p) for p in _settled(held)]
+        yield shown()
+
+
+def best_pairs(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The same of a frame."""
+    return pd.DataFrame(_solved(list(pairs[["i", "j", "score"]].itertuples(index=False, name=None))), columns=["i", "j", "score"])
+
+
+def _components(own: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """Of large keys: what is taken of components whose pairs share an end, and the pairs of the other components."""
     end = lambda side, c: F.struct(F.col("key"), F.lit(side).alias("side"), F.col(c).alias("id"))
     label = components(own.select(end(0, "i").alias("a"), end(1, "j").alias("b")), steps)
-    parts = steps.put(own.withColumn("node", end(0, "i")).join(label, "node").select("key", "i", "j", "score", F.xxhash64("component").alias("component")), "parts")
-    # Where all pairs share an end the best one is the answer; what is left needs the solver.
+    parts = steps.put(own.withColumn("node", end(0, "i")).join(label, "node").select("key", F.xxhash64("component").alias("component"), "i", "j", "score"), "parts")
     one = (F.min("i") == F.max("i")) | (F.min("j") == F.max("j"))
     best = F.max_by(F.struct("i", "j", "score"), F.struct(F.col("score"), -F.col("i"), -F.col("j")))
     stars = parts.groupBy("key", "component").agg(one.alias("one"), best.alias("p"))
-    taken = stars.filter("one").select("key", "p.*").filter("score >= 0")
-    rest = parts.join(stars.filter("not one"), ["key", "component"], "left_semi")
-    return taken.unionAll(rest.groupBy("key", "component").applyInPandas(lambda p: best_pairs(p)[["key", "i", "j", "score"]], own.schema))
+    return stars.filter("one").select("key", "p.*").filter("score >= 0"), parts.join(stars.filter("not one"), ["key", "component"], "left_semi")
+
+
+def optimal(pairs: DataFrame) -> DataFrame:
+    """The pairs of greatest total score in each key: what a task holds is a key of at most WHOLE pairs, or a connected component of a larger one."""
+    steps = Steps(pairs.sparkSession, "assignment")
+    own = steps.put(pairs.dropna(), "pairs")
+    large = own.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > WHOLE).select("key")
+    rows, taken = own.select("key", F.lit(0).cast("long").alias("component"), "i", "j", "score"), None
+    if not large.isEmpty():
+        taken, rest = _components(steps.put(own.join(large, "key", "left_semi"), "large"), steps)
+        rows = rows.join(large, "key", "left_anti").unionAll(rest.select(*rows.columns))
+    out = rows.repartition("key", "component").sortWithinPartitions("key", "component").mapInArrow(_by_key, own.schema)
+    return out if taken is None else out.unionAll(taken)
 
 
 KINDS = ("ordered", "first_fit", "global", "global_high", "optimal")

@@ -85,6 +85,16 @@ def test_optimal_against_all_choices(spark):
     assert total == best
 
 
+def test_small_keys_are_solved_without_rounds_of_joins(spark, monkeypatch):
+    rng = random.Random(11)
+    pairs = [(k, i, j, float(rng.randrange(-1, 4))) for k in range(50) for i in range(5) for j in range(5) if rng.random() < 0.4]
+    monkeypatch.setattr(A, "WHOLE", 3)
+    by_joins = run(spark, pairs, "optimal")
+    monkeypatch.undo()
+    monkeypatch.setattr(A, "components", lambda *_: pytest.fail("rounds"))
+    assert run(spark, pairs, "optimal") == by_joins
+
+
 def test_sparse_assignment_of_a_large_component():
     """A chain of 3,000 rows in one component: the listed entries are all that is held."""
     n = 3000
