@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +37,7 @@ GOLD_FIELDS = {"open_answer": ("answer", "annotated_solution", "sources"), "exac
 RUN_FIELDS = ("is_correct", "raw_model_output", "tool_call_num", "return_code", "timed_out", "stdout_text", "stderr_text")
 NOTE = r"^N(\d{3,5})(?:-N(\d{3,5}))?$"
 DEFAULT_WAIT, LONGEST_WAIT = 1.0, 60.0
+CHOICES = 20  # of rare words, for a set and a size of partners
 
 
 def _keys(c: Column) -> Column:
@@ -161,13 +163,57 @@ def overlapping_enough(left: DataFrame, right: DataFrame, keys: Sequence[str], l
     return left.join(good, "_id", "left_semi")
 
 
+def _subsets(words: Column, n: Column) -> Column:
+    """All choices of n of the words, in their order."""
+    longer = lambda sets, x: F.concat(sets, F.transform(F.filter(sets, lambda c: F.size(c) < n), lambda c: F.array_append(c, x)))
+    return F.filter(F.aggregate(words, F.array(F.array().cast("array<string>")), longer), lambda c: F.size(c) == n)
+
+
+def _near_sets(sets: DataFrame, least: float, g: list[str]) -> DataFrame:
+    """(x, y, jaccard): pairs of different sets (g, x, w) that are similar, by common choices of rare words.
+
+    Sets of n and m words must share o of them. Of their rarest n - o + k and m - o + k words they then share k, so rows
+    meet by choices of k words, k as large as leaves no row more than CHOICES of them for a size of partners.
+    """
+    each = sets.select(*g, "x", F.explode("w").alias("word"))
+    counts = each.groupBy(*g, "word").agg(F.count("*").alias("df"))
+    ordered = each.join(counts, [*g, "word"]).groupBy(*g, "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda r: r["word"]).alias("w"))
+    ordered = ordered.withColumn("n", F.size("w"))
+    lo, hi = F.least("n", "m"), F.greatest("n", "m")
+    sized = ordered.join(F.broadcast(ordered.select(F.col("n").alias("m")).distinct()), lo >= F.lit(least) * hi - 1e-9)  # sizes of sets are few
+    sized = sized.select(*g, "x", "w", "n", lo.alias("lo"), hi.alias("hi"), F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("m")) - 1e-9).cast("int").alias("o"))
+    spare, k = F.col("hi") - F.col("o"), F.lit(1)
+    for n in range(2, 5):
+        ways = F.lit(1)
+        for i in range(n):
+            ways = ways * (spare + n - i)
+        k = F.when((F.col("o") >= n) & (ways <= CHOICES * math.factorial(n)), n).otherwise(k)
+    sized = sized.withColumn("k", k)
+    rare = F.slice("w", F.lit(1), F.col("n") - F.col("o") + F.col("k"))
+    met = sized.select(*g, "x", "n", "lo", "hi", F.explode(_subsets(rare, F.col("k"))).alias("c")).withColumn("c", F.xxhash64("c"))
+    one, two = met.filter("n = lo").select(*g, "lo", "hi", "c", "x"), met.filter("n = hi").select(*g, "lo", "hi", "c", F.col("x").alias("y"))
+    pairs = one.join(two, [*g, "lo", "hi", "c"]).filter("lo < hi or x < y").select(*g, "x", "y").distinct()
+    pairs = pairs.join(sets.select(*g, "x", F.col("w").alias("v")), [*g, "x"]).join(sets.select(*g, F.col("x").alias("y"), F.col("w").alias("u")), [*g, "y"])
+    both = F.size(F.array_intersect("v", "u"))
+    return pairs.select(*g, "x", "y", (both.cast("double") / (F.size("v") + F.size("u") - both)).alias("jaccard")).filter(F.col("jaccard") >= least)
+
+
 def similar_pairs(rows: DataFrame, key: str, words: str, least: float, group: str | None = None) -> DataFrame:
     """(a, b, jaccard) of all pairs of rows (of one group, if named) whose sets of words reach the similarity; empty sets are in none.
 
-    Prefix filter: words are ordered from the rarest on. Sets of n words that reach a similarity t share one of each
-    other's first n - ceil(t * n) + 1 words, so only rows that meet in a rare word are compared, by their sizes and sets.
+    From half of the words on, equal sets are compared once, by choices of rare words, and pairs of their rows come at the
+    end. Below that a prefix filter: words are ordered from the rarest on. Sets of n words that reach a similarity t share
+    one of each other's first n - ceil(t * n) + 1 words, so only rows that meet in a rare word are compared, by their sizes and sets.
     """
     g = [group] if group else []
+    if least >= 0.5:
+        own = rows.select(*g, key, F.array_sort(F.array_distinct(F.array_compact(words))).alias("w")).filter(F.size("w") > 0)
+        sets = own.groupBy(*g, "w").agg(F.min(key).alias("x"))
+        member = own.join(sets, [*g, "w"]).select(*g, key, "x")
+        near = _near_sets(sets, least, g)
+        both = near.unionAll(sets.select(*g, "x", F.col("x").alias("y"), F.lit(1.0).alias("jaccard")))
+        both = both.join(member.select(*g, "x", F.col(key).alias("p")), [*g, "x"]).join(member.select(*g, F.col("x").alias("y"), F.col(key).alias("q")), [*g, "y"])
+        return both.filter("x <> y and p <> q or p < q").select(*g, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "jaccard")
     sets = rows.select(*g, key, F.array_distinct(words).alias("w")).filter(F.size("w") > 0)
     each = sets.select(*g, key, F.size("w").alias("n"), F.explode("w").alias("word"))
     counts = each.groupBy(*g, "word").agg(F.count("*").alias("df"))

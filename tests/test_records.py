@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +116,20 @@ def test_session_tokens(spark):
 def test_calls_without_an_id_count_by_themselves(spark):
     rows = [("a", x) for x in ('{"type": "item.started", "item": {"type": "command_execution", "id": "1"}}', '{"type": "exec_command_begin", "call_id": "1"}', '{"type": "web_search"}', '{"type": "web_search", "call_id": ""}', '{"type": "item.completed", "item": {"id": "9"}}', "oops")]
     assert E.distinct_calls(spark.createDataFrame(rows, "k string, event string"), "k", "event").first()["calls"] == 3
+
+
+@pytest.mark.parametrize("least", [0.5, 0.6, 0.85, 1.0])
+def test_similar_pairs_meet_by_choices_of_rare_words(spark, least):
+    """Few words, so single ones say little; many equal sets, of which one is compared."""
+    rng = random.Random(4)
+    rows = [(g, k, [rng.choice("abcdefgh") for _ in range(rng.randrange(8))] + ["same"] * (k % 2)) for g in range(2) for k in range(120)]
+    rows += [(2, k, [f"w{x}" for x in rng.sample(range(40), 30)]) for k in range(60)]
+    want = {}
+    for (g, a, x), (h, b, y) in itertools.permutations(rows, 2):
+        if g == h and a < b and x and y and (j := len({*x} & {*y}) / len({*x} | {*y})) >= least:
+            want[g, a, b] = j
+    df = spark.createDataFrame(rows, "g int, k int, w array<string>")
+    got = E.similar_pairs(df, "k", "w", least, "g").collect()
+    assert {(r["g"], r["a"], r["b"]): r["jaccard"] for r in got} == want and len(got) == len(want)
+    sets = df.select("g", "k", F.array_sort(F.array_distinct("w")).alias("w")).filter(F.size("w") > 0).groupBy("g", "w").agg(F.min("k").alias("x"))
+    assert E._near_sets(sets, least, ["g"]).count() < max(1, len(want))  # equal sets are not among these
