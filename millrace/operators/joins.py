@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.intervals import overlap_pairs
+from millrace.operators.stepwise import Steps
+
+CROWD = 8  # places in a cell that a search for the nearest begins with
 
 
 def left_fallback(rows: DataFrame, build: DataFrame, key: Sequence[str], wanted: str, fallbacks: Sequence[str]) -> DataFrame:
@@ -115,14 +118,32 @@ def grid_agreement(a: DataFrame, b: DataFrame, key: Sequence[str], grid: DataFra
 
 
 def radius_nearest(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """Each row of a (_id, x, y) with the nearest row of b (name, x2, y2) within the radius, not one to one; ties by name. Cells of the radius' size meet by equality."""
+    """Each row of a (_id, x, y) with the nearest row of b (name, x2, y2) within the radius, not one to one; ties by name.
+
+    Equal places are one. Cells meet by equality with their neighbours, from those that hold CROWD places of b on average:
+    what is found nearer than a cell's width is the nearest of all, and other places go on to wider cells, up to the radius.
+    """
+    steps = Steps(a.sparkSession, "nearest")
+    q = steps.put(b.dropna(subset=["x2", "y2"]).groupBy("x2", "y2").agg(F.min("name").alias("name")), "places")
+    rest = steps.put(a.select("x", "y").dropna().distinct(), "points")
+    cell = lambda c, w: F.floor(F.col(c) / w)
+    widths = [radius / 4**k for k in range(8)]
+    n, *cells = q.agg(F.count("*"), *(F.approx_count_distinct(F.struct(cell("x2", w), cell("y2", w))) for w in widths)).first()
+    finest = next((k for k, c in enumerate(cells) if n <= CROWD * c), len(widths) - 1)
     near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    p = a.withColumn("_d", F.explode(near)).withColumn("_cx", F.floor(F.col("x") / radius) + F.col("_d.i")).withColumn("_cy", F.floor(F.col("y") / radius) + F.col("_d.j")).drop("_d")
-    q = b.withColumn("_cx", F.floor(F.col("x2") / radius)).withColumn("_cy", F.floor(F.col("y2") / radius))
     far = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
-    met = p.join(q, ["_cx", "_cy"]).withColumn("_far", far).filter(F.col("_far") <= radius * radius)
-    won = met.groupBy("_id").agg(F.min_by("name", F.struct("_far", "name")).alias("name"), F.min("_far").alias("squared"))
-    return a.join(won, "_id", "left")
+    out = None
+    for k in range(finest, -1, -1):
+        w = widths[k]
+        p = rest.withColumn("_d", F.explode(near)).select("x", "y", (cell("x", w) + F.col("_d.i")).alias("_cx"), (cell("y", w) + F.col("_d.j")).alias("_cy"))
+        met = p.join(q.select("*", cell("x2", w).alias("_cx"), cell("y2", w).alias("_cy")), ["_cx", "_cy"])
+        met = met.withColumn("_far", far).filter(F.col("_far") <= w * w * (1 - 1e-9 if k else 1))  # a place at the very edge goes on
+        won = met.groupBy("x", "y").agg(F.min(F.struct("_far", "name")).alias("m")).select("x", "y", "m.name", F.col("m._far").alias("squared"))
+        won = steps.put(won, f"won-{k}")
+        out = won if out is None else out.unionAll(won)
+        if k:
+            rest = steps.put(rest.join(won, ["x", "y"], "left_anti"), f"points-{k}")
+    return a.join(out, ["x", "y"], "left").select(*a.columns, "name", "squared")
 
 
 def close_to_boundary(rows: DataFrame, edges: DataFrame, key: Sequence[str], t: str, edge: str, tolerance: int) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 
 import numpy as np
 import pytest
@@ -184,3 +186,24 @@ def test_groups_by_rules_of_ones_own(spark):
     assert got == {"a": (True, None), "b": (False, "zero_std_1.0"), "c": (False, "removed_1"), "d": (False, "active_1"), "e": (False, "large")}
     assert sorted(r["advantage"] for r in W.trained_on(df, "g", rules).collect()) == [-0.5, 0.5]
     assert W.trained_on(df, "g", [], lambda d, g: d.filter("reward > 0")).count() == 7
+
+
+def test_nearest_places_equal_all_pairs(spark):
+    """Dense and sparse parts, equal places, ties by name, places at the very radius, and places without a coordinate."""
+    rng = random.Random(9)
+    place = lambda: (rng.choice([0.0, 50.0]) + rng.randrange(40) / 8, rng.randrange(40) / 8) if rng.random() < 0.8 else (rng.uniform(-60, 60), rng.uniform(-60, 60))
+    a = [(k, *place()) for k in range(300)] + [(1000, None, 1.0), (1001, 200.0, 0.0), (1002, 0.0, float("nan"))]
+    b = [(k, *place()) for k in range(900)] + [(1000, 202.0, 0.0), (1001, None, None)]
+    rows = lambda r, names: spark.createDataFrame(r, f"{names[0]} long, {names[1]} double, {names[2]} double")
+    got = {r["_id"]: (r["squared"], r["name"]) for r in J.radius_nearest(rows(a, ("_id", "x", "y")), rows(b, ("name", "x2", "y2")), 2.0).collect()}
+    far = lambda p, q: (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 if None not in p + q else float("inf")
+    for p in a:
+        best = min((far(p, q), q[0]) for q in b) if p[0] != 1002 else (float("inf"), 0)
+        assert got[p[0]] == (best if best[0] <= 4.0 else (None, None))
+
+
+def test_nearest_of_many_equal_places_makes_no_pairs_of_rows(spark):
+    k = F.col("id")
+    a, b = spark.range(300_000).select(k.alias("_id"), (k % 2).cast("double").alias("x"), F.lit(0.0).alias("y")), spark.range(300_000).select(k.alias("name"), (k % 3).cast("double").alias("x2"), F.lit(0.0).alias("y2"))
+    got = J.radius_nearest(a, b, 2.0).groupBy("x", "name", "squared").count().collect()
+    assert sorted(map(tuple, got)) == [(0.0, 0, 0.0, 150_000), (1.0, 1, 0.0, 150_000)]
