@@ -117,6 +117,23 @@ def test_queries_of_answers_keep_line_ends_as_their_sql_does(spark, tmp_path):
     assert one(spark, X.tag_or_text(F.lit(" \tB\n"))) == "B"
 
 
+def test_asr_form_looks_each_character_up_once(monkeypatch):
+    import unicodedata
+
+    def plain(text):
+        t = unicodedata.normalize("NFKC", text).casefold()
+        dense = any(k in unicodedata.name(x, "") for x in t for k in ("CJK", "HIRAGANA", "KATAKANA"))
+        shown = "".join(("" if dense else " ") if unicodedata.category(x)[0] in "PS" else x for x in t)
+        return ("" if dense else " ").join(shown.split())
+
+    said = ["", "Stra\u00dfe, \uff2f\uff2b!\n", "\u4f60\u597d, \u4e16\u754c.", "\u3053\u3093 \u30ab\u30ca\u3002", *("".join(map(chr, range(k, k + 500))) for k in range(0, 0xD000, 500))]
+    assert [X.asr_form(t) for t in said] == [plain(t) for t in said]
+    calls, look = [], unicodedata.category
+    monkeypatch.setattr(X.unicodedata, "category", lambda x: calls.append(x) or look(x))
+    X.asr_form("a\u00e9!" * 1000)
+    assert len(calls) <= 3
+
+
 def test_union_of_boxes_computes_its_boxes_a_few_times_only(spark):
     made = F.array(G.unit_box(F.array(F.col("size"), F.lit(0.1), F.lit(0.5), F.lit(0.6))))
     df = spark.createDataFrame([(0.1,), (None,)], "size double").select(G.union_iou(F.array(F.array(*map(F.lit, (0.1, 0.1, 0.5, 0.6)))), F.filter(made, lambda x: x.isNotNull())).alias("v"))
