@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FRAME = 10_000  # rows that go out at once
 
 
 def _rows(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -32,22 +33,33 @@ class Coalescer(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "request long, arrived long")
         self.open = handle.getValueState("open", "batch long, n int, began long")
 
-    def _batch(self, key: tuple, number: int, held: list[tuple[int, int]]) -> pd.DataFrame:
-        return pd.DataFrame({self.key: key[0], self.request: [r for r, _ in held], self.arrived: [t for _, t in held], "batch": number})
+    def _frame(self, key: tuple, requests: list[int], times: list[int], batches: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({self.key: key[0], self.request: requests, self.arrived: times, "batch": batches})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         number, n, began = self.open.get() if self.open.exists() else (0, 0, 0)
         before = (n, began)
         held = [tuple(r) for r in self.waiting.get()] if n else []
         come = _rows(rows).dropna(subset=[self.request, self.arrived]).astype({self.request: "int64", self.arrived: "int64"}).sort_values([self.arrived, self.request], kind="stable")
+        done: tuple[list[int], list[int], list[int]] = ([], [], [])  # requests, times and batches that go out, many in a frame
+
+        def ends() -> None:
+            for out, values in zip(done, ([r for r, _ in held], [t for _, t in held], [number] * len(held)), strict=True):
+                out.extend(values)
+
         for request, arrived in zip(come[self.request].tolist(), come[self.arrived].tolist(), strict=True):
             if held and arrived - held[0][1] >= self.wait:
-                yield self._batch(key, number, held)
+                ends()
                 number, held = number + 1, []
             held.append((request, arrived))
             if len(held) >= self.size:
-                yield self._batch(key, number, held)
+                ends()
                 number, held = number + 1, []
+            if len(done[0]) >= FRAME:
+                yield self._frame(key, *done)
+                done = ([], [], [])
+        if done[0]:
+            yield self._frame(key, *done)
         if before[0]:
             self.handle.deleteTimer((before[1] + self.wait) * 1000)
         began = held[0][1] if held else 0
@@ -61,7 +73,8 @@ class Coalescer(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         number, n, _ = self.open.get()
         if n:
-            yield self._batch(key, number, [tuple(r) for r in self.waiting.get()])
+            held = [tuple(r) for r in self.waiting.get()]
+            yield self._frame(key, [r for r, _ in held], [t for _, t in held], [number] * n)
             self.waiting.clear()
             self.open.update((number + 1, 0, 0))
 

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,24 @@ def test_coalescer_cuts_a_log_like_the_loop(spark, epochs):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_many_batches_go_out_in_one_frame():
+    class Held:
+        def __init__(self):
+            self.v = None
+
+        get, put, update, exists = lambda self: self.v, lambda self, v: setattr(self, "v", v), lambda self, v: setattr(self, "v", v), lambda self: self.v is not None
+
+    class Handle:
+        getListState = getValueState = lambda self, *_: Held()
+        registerTimer = deleteTimer = lambda self, _: None
+
+    c = T.Coalescer("k", "r", "t", 4, 100)
+    c.init(Handle())
+    frames = list(c.handleInputRows((7,), iter([pd.DataFrame({"k": 7, "r": range(1002), "t": 5})]), None))
+    assert len(frames) == 1 and frames[0]["r"].tolist() == list(range(1000)) and frames[0]["batch"].tolist() == [r // 4 for r in range(1000)]
+    assert c.waiting.get() == [(1000, 5), (1001, 5)]
+
+
 def test_entries_expire(spark):
     uses = [(1, k, t) for k, t in enumerate([1, 10, 20, 200, 200, 900])] + [(2, 0, 5)]
     steps = Steps(spark, "expiry-test")
