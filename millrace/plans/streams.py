@@ -39,8 +39,8 @@ def _(spark, d):
     steps = Steps(spark, "expired")
     rows = events(spark, d).select("user_id", "event_id", "sec")
     end = [F.lit(-1).cast("long").alias("user_id"), F.lit(None).cast("long").alias("event_id"), F.lit(rows.agg(F.max("sec")).first()[0] + _LATER).cast("long").alias("sec")]
-    out = R.finished(T.expired_entries(R.replayed(rows, "sec", 2, steps, end), "user_id", "sec", 21_600), "append", steps)
-    return out.filter("user_id >= 0")
+    out = R.finished(T.ended_entries(R.replayed(rows, "sec", 2, steps, end), "user_id", "sec", 21_600), "append", steps)
+    return T.numbered(out.filter("user_id >= 0"), "user_id")
 
 
 @query("report_stream", f"WITH {EV} SELECT event_type, count(*) AS count, count(*) FILTER (WHERE cents >= 5000) AS correct, coalesce(count(*) FILTER (WHERE cents >= 5000)::DOUBLE / nullif(count(cents >= 5000), 0), 0) AS accuracy FROM ev GROUP BY event_type")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -131,3 +131,16 @@ def coalesced_batches(requests: DataFrame, key: str, request: str, arrived: str,
 def expired_entries(uses: DataFrame, key: str, used: str, ttl: int, late: str = "0 seconds") -> DataFrame:
     """A stream of (key, entry, since, until, uses): entries as they end, when they were not used for more than `ttl` seconds."""
     return _stateful(uses, Expiring(key, used, ttl), key, used, late, f"`{key}` long, entry long, since long, until long, uses long")
+
+
+def ended_entries(uses: DataFrame, key: str, used: str, ttl: int, late: str = "0 seconds") -> DataFrame:
+    """The same as session windows, without Python and without the entry's number: a stream of (key, since, until, uses). used: whole seconds after 1970; uses without one are dropped."""
+    timed = uses.withColumn("_at", F.timestamp_seconds(used)).withWatermark("_at", late)
+    each = timed.groupBy(key, F.session_window("_at", f"{ttl + 1} seconds")).agg(F.min(used).alias("since"), F.max(used).alias("until"), F.count("*").alias("uses"))
+    return each.select(key, "since", "until", "uses")
+
+
+def numbered(entries: DataFrame, key: str) -> DataFrame:
+    """A table of ended entries with their numbers from 0 on, by key."""
+    number = F.row_number().over(Window.partitionBy(key).orderBy("since")).cast("long") - 1
+    return entries.select(key, number.alias("entry"), "since", "until", "uses")

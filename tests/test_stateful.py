@@ -59,6 +59,15 @@ def test_entries_expire(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 0, 1, 20, 3), (1, 1, 200, 200, 2), (1, 2, 900, 900, 1), (2, 0, 5, 5, 1)]
 
 
+def test_sessions_end_like_entries(spark):
+    """Gaps of just the time to live and one second more, equal times, and entries that go on over triggers."""
+    uses = [(1, k, t) for k, t in enumerate([1, 10, 20, 120, 221, 221, 900])] + [(2, 0, 5), (2, 1, None)]
+    steps = Steps(spark, "sessions-test")
+    rows = spark.createDataFrame(uses, "k long, r long, t long")
+    got = T.numbered(R.finished(T.ended_entries(R.replayed(rows, "t", 3, steps, end("k")), "k", "t", 100), "append", steps).filter("k > 0"), "k")
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 1, 120, 4), (1, 1, 221, 221, 2), (1, 2, 900, 900, 1), (2, 0, 5, 5, 1)]
+
+
 def test_switch_keeps_its_state_over_triggers(spark):
     rng = random.Random(4)
     readings = [("ab"[k % 2], rng.randrange(100), k) for k in range(400)]
