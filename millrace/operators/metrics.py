@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+TASK_ROWS = 200_000  # in a task of many sorts
+
 
 def share(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     got = F.try_divide(a.cast("double"), b)
@@ -129,10 +131,13 @@ def kendall_tau(df: DataFrame, key: Sequence[str], a: str, b: str) -> DataFrame:
     Pairs are counted, not made: all pairs, less those tied, less twice those in opposite order. The latter are found at
     the highest binary digit in which the ranks of b differ: among ranks that agree above it, each row with a 0 there
     counts the rows with a 1 that come before it by a. A row takes part once for each digit, n log n in all.
+    All steps go by key in one stage, so its tasks are as many as keep TASK_ROWS rows in each on average.
     """
+    df = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*dict.fromkeys((*key, a, b)))
+    df = df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / TASK_ROWS)), *key)
     pairs = lambda n: n * (n - 1) / 2
     rank = lambda c: F.dense_rank().over(Window.partitionBy(*key).orderBy(c))
-    ranked = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*key, rank(a).alias("ra"), rank(b).alias("rb"))
+    ranked = df.select(*key, rank(a).alias("ra"), rank(b).alias("rb"))
     cells = ranked.groupBy(*key, "ra", "rb").agg(F.count("*").alias("n"))
     tied = lambda by, name: cells.groupBy(*key, by).agg(F.sum("n").alias("n")).groupBy(*key).agg(F.sum(pairs(F.col("n"))).alias(name))
     both = cells.groupBy(*key).agg(F.sum("n").alias("n"), F.sum(pairs(F.col("n"))).alias("tab"), F.max("rb").alias("top"))

@@ -175,3 +175,12 @@ def test_secrets_at_any_level(spark):
     rows = [(1, '{"a": [{"Api-Key": {"x": [1]}}, "fine"]}'), (2, '{"a": {"b": {"c": ["see /home/me/x"]}}}'), (3, '{"a": "ok"}'), (4, '["password = hunter2"]'), (5, '{"cookie": {}}'), (6, None)]
     got = Q.nested_secrets(spark.createDataFrame(rows, "id int, j string"), "j").collect()
     assert sorted(map(tuple, got)) == [(1, "root.a[0].Api-Key.x[0]", "name"), (2, "root.a.b.c[0]", "value"), (4, "root[0]", "value"), (5, "root.cookie", "name")]
+
+
+def test_tau_has_tasks_of_bounded_size(spark, monkeypatch):
+    df = spark.range(2000).select((F.col("id") % 97).alias("k"), F.col("id").alias("a"), (F.col("id") * 7 % 31).alias("b"))
+    want = sorted(map(tuple, M.kendall_tau(df, ["k"], "a", "b").collect()))
+    monkeypatch.setattr(M, "TASK_ROWS", 100)
+    got = M.kendall_tau(df, ["k"], "a", "b")
+    assert "20), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == want
