@@ -108,7 +108,7 @@ def resolved(wanted: DataFrame, files: DataFrame, by: Sequence[str] = (), text_f
         stem = F.regexp_replace(F.lower(F.regexp_extract(c, r"(?s)^(.*)\.", 1)), "[^a-z0-9]", "")
         ext = F.concat(F.lit("."), F.lower(F.substring_index(c, ".", -1)))
         tiers = F.array(F.struct(F.lit(0).alias("tier"), c.alias("key")), F.struct(F.lit(1).alias("tier"), F.concat(stem, ext).alias("key")), F.struct(F.lit(2).alias("tier"), F.when(ext.isin(*text_family), stem).alias("key")))
-        return df.select(*by, column, F.inline(tiers))
+        return df.select(*by, column, F.inline(tiers)).filter("tier = 0 or key is not null")  # else names without a family meet in one task
 
     known = keyed(files, "name").groupBy(*by, "tier", "key").agg(F.min("name").alias("name"))
     met = keyed(wanted, "wanted").join(known, [*by, "tier", "key"], "left")

@@ -117,3 +117,11 @@ def test_resolution_by_join_equals_the_plain_one(spark):
     for k, there in ((1, names), (2, ["b.csv"]), (3, [])):
         for a in asked:
             assert got[k, a] == (None if a is None else scan.resolve(there, a)), (k, a)
+
+
+def test_names_without_a_key_are_not_joined(spark):
+    files = spark.createDataFrame([("d", "a.bin"), ("d", "b.txt")], "folder string, name string")
+    wanted = spark.createDataFrame([("d", "A.bin"), ("d", "x.bin"), ("d", "b.md"), ("d", None)], "folder string, wanted string")
+    got = scan.resolved(wanted, files, ["folder"])
+    assert sorted((r["wanted"] or "", r["name"] or "") for r in got.collect()) == [("", ""), ("A.bin", "a.bin"), ("b.md", "b.txt"), ("x.bin", "")]
+    assert "isnotnull(key" in got._jdf.queryExecution().optimizedPlan().toString() and "(tier#" in got._jdf.queryExecution().optimizedPlan().toString()
