@@ -106,6 +106,19 @@ def test_a_grader_is_a_table_function(spark):
     assert lateral.count() == 12
 
 
+def test_a_case_of_any_size_is_counted_before_python(spark):
+    row = lambda task, kind, a=None, b=None, flag=None, n=None: (task, kind, a, b, flag, n)
+    rows = [row(t, "truth", f"A-{k}", f"B-{k}\u2003", k % 3 == 0 or None) for t in ("x", None) for k in range(400)] + [row("x", "truth", "A-1", "B-1", True)]
+    rows += [row(t, "match", f"A-{k}" + " \t" * (k % 2), f"B-{k}", k % 2 == 0) for t in ("x", None) for k in range(500)] + [row("x", "match", None, "B-1"), row("x", "match", "a-1", "B-1", True)] * 2
+    rows += [row("x", "unmatched", " b\x1f", f"B-{k}") for k in range(490, 600)] + [row("x", "unmatched", "C", None), row("x", "report", n=321), row("x", "report"), row("x", "axis", flag=None), row("x", "axis", flag=True), row("x", None), row("z", "truth")]
+    rows += [row("x", "chart", " 1280", "720"), row("w", "chart", "1", "2"), row("w", "match"), row("w", "report", n=320)]
+    df = spark.createDataFrame(rows, "task string, kind string, a string, b string, flag boolean, n int")
+    few = G.Reconciliation.counted(df, "task")
+    assert max(r["n_rows"] for r in few.groupBy("task").agg(F.count("*").alias("n_rows")).collect()) <= 14
+    plain = G.table_function(G.Reconciliation, "task", "string")(df.asTable().partitionBy("task"))
+    assert sorted(map(repr, G.graded(df, G.Reconciliation, "task").collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_replay_keeps_the_order_of_parts(spark):
     rows = spark.range(0, 1000).select("id", (F.col("id") * 7 % 1000).alias("at"))
     steps = Steps(spark, "replay-test")
