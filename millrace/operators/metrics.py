@@ -191,17 +191,35 @@ def most_common(df: DataFrame, key: Sequence[str], value: str, ordinal: str) ->
 def speaker_error_rate(truth: DataFrame, found: DataFrame, key: Sequence[str], step: int = 50, collar: int = 250) -> DataFrame:
     """Share of sampled times inside a true turn, away from its edges by the collar, at which the found speaker is another or none.
 
-    Sides: key, s, e, label, ordinal, in milliseconds. A time has the first turn that covers it; a turn without length covers none.
+    Sides: key, s, e, label, ordinal, in milliseconds. A time has the first turn that covers it (of true ones the least label); a turn without length covers none.
+    Times are not made one by one: a turn is a mask of 64 times for each bucket of them that it touches, and of each bucket
+    a turn keeps the times that none before it has.
     """
-    covers = F.ceil(F.col("s") / step) <= F.floor((F.col("e") - 1) / step)
-    truth, found = truth.filter(covers), found.filter(covers)
-    grid = truth.select(*key, F.col("s").alias("ts"), F.col("e").alias("te"), F.col("label").alias("_true"), F.explode(F.sequence(F.ceil(F.col("s") / step), F.floor((F.col("e") - 1) / step))).alias("_k"))
-    grid = grid.withColumn("t", F.col("_k") * step).filter((F.col("t") - F.col("ts") >= collar) & (F.col("te") - F.col("t") >= collar))
-    grid = grid.groupBy(*key, "t").agg(F.min("_true").alias("_true"))
-    spread = found.select(*key, F.col("label").alias("_found"), "ordinal", F.explode(F.sequence(F.ceil(F.col("s") / step), F.floor((F.col("e") - 1) / step))).alias("_k"))
-    said = spread.groupBy(*key, (F.col("_k") * step).alias("t")).agg(F.min_by("_found", "ordinal").alias("_found"))
-    both = grid.join(said, [*key, "t"], "left")
-    return both.groupBy(*key).agg(F.count("*").alias("samples"), share(F.count_if(~F.col("_true").eqNullSafe(F.col("_found"))), F.count("*")).alias("error_rate"))
+    at = lambda c, shift=0: (F.col(c) + shift) / step
+    first, last = F.ceil(at("s")), F.floor(at("e", -1))
+    inner = F.greatest(first, F.ceil(at("s", collar))), F.least(last, F.floor(at("e", -collar)))
+
+    def masks(turns: DataFrame, low: Column, high: Column, ordinal: Column, true: bool) -> DataFrame:
+        turns = turns.select(*key, F.col("label").alias("_label"), ordinal.alias("_ordinal"), F.lit(true).alias("_is_true"), low.cast("long").alias("_low"), high.cast("long").alias("_high")).filter("_low <= _high")
+        bucket = lambda c: F.floor(F.col(c) / 64)
+        turns = turns.withColumn("_bucket", F.explode(F.sequence(bucket("_low"), bucket("_high"))))
+        begin = F.greatest(F.col("_low") - F.col("_bucket") * 64, F.lit(0)).cast("int")
+        end = F.least(F.col("_high") - F.col("_bucket") * 64, F.lit(63)).cast("int")
+        ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 63 - end + begin)
+        return turns.select(*key, "_bucket", "_is_true", "_ordinal", "_label", F.call_function("shiftleft", ones, begin).alias("_mask"))
+
+    kind = found.schema["ordinal"].dataType
+    both = masks(truth, *inner, F.lit(None).cast(kind), True).unionAll(masks(found.dropna(subset=[*key, "ordinal"]), first, last, F.col("ordinal"), False))
+    place = [*key, "_bucket"]
+    earlier = Window.partitionBy(*place, "_is_true").orderBy("_ordinal", F.col("_label").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.col("_mask").bitwiseAND(F.bitwise_not(F.coalesce(F.bit_or("_mask").over(earlier), F.lit(0).cast("long"))))
+    side = lambda true: F.coalesce(F.bit_or(F.when(F.col("_is_true") == true, F.col("_own"))), F.lit(0).cast("long"))
+    held = both.withColumn("_own", own).filter("_own <> 0").groupBy(*place, "_label").agg(side(True).alias("_t"), side(False).alias("_f"))
+    named = F.coalesce(F.bit_or(F.when(F.col("_label").isNotNull(), F.col("_f"))).over(Window.partitionBy(*place)), F.lit(0).cast("long"))
+    other = F.when(F.col("_label").isNull(), F.col("_named")).otherwise(F.bitwise_not("_f"))  # who has no name is as good as none
+    held = held.withColumn("_named", named).filter("_t <> 0")
+    sums = held.groupBy(*key).agg(F.sum(F.bit_count("_t")).alias("samples"), F.sum(F.bit_count(F.col("_t").bitwiseAND(other))).alias("_wrong"))
+    return sums.select(*key, "samples", share(F.col("_wrong"), F.col("samples")).alias("error_rate"))
 
 
 def contingency(df: DataFrame, a: str, b: str, weight: str) -> DataFrame:

@@ -178,6 +178,30 @@ def test_speaker_errors(spark):
     assert r["error_rate"] == pytest.approx(16 / 31)
 
 
+def test_speaker_errors_of_long_turns_make_no_row_for_each_time(spark):
+    import random
+
+    rng = random.Random(5)
+    turn = lambda k: (rng.choice([1, 1, 2, None]), s := rng.randrange(-9000, 20000), s + rng.choice([0, 40, 700, rng.randrange(15000)]), rng.choice(["a", "b", "c", None]), k if rng.random() < 0.9 else None)
+    kinds = "k int, s int, e int, label string, ordinal int"
+    rows = [[turn(k) for k in range(60)] for _ in range(2)]
+    truth, found = (spark.createDataFrame(r, kinds) for r in rows)
+    for collar in (0, 250):
+        got = {r["k"]: (r["samples"], r["error_rate"]) for r in M.speaker_error_rate(truth, found, ["k"], collar=collar).collect()}
+        want = {}
+        for key in (1, 2, None):
+            errors = []
+            for t in range(-9000, 36000, 50):
+                true = [x[3] for x in rows[0] if x[0] == key and x[1] <= t < x[2] and t - x[1] >= collar and x[2] - t >= collar]
+                said = [(x[4], x[3]) for x in rows[1] if key is not None and x[0] == key and x[1] <= t < x[2] and x[4] is not None]
+                if true:
+                    errors.append(min((x for x in true if x), default=None) != (min(said)[1] if said else None))
+            want[key] = (len(errors), pytest.approx(sum(errors) / len(errors)))
+        assert got == want
+    long_turn = spark.createDataFrame([(1, 0, 10_000_000_000, "a", 0)], kinds.replace("int", "long"))
+    assert M.speaker_error_rate(long_turn, long_turn, ["k"]).first()[1:] == (199_999_991, 0.0)
+
+
 def test_groups_by_rules_of_ones_own(spark):
     rows = [("a", 1.0, False), ("a", 0.0, False), ("b", 1.0, False), ("b", 1.0, False), ("c", 1.0, True), ("c", 0.0, False), ("d", 1.0, False), ("e", 1.0, False), ("e", 0.0, False), ("e", 0.5, False)]
     df = spark.createDataFrame(rows, "g string, reward double, removed boolean")
