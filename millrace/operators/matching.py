@@ -13,6 +13,7 @@ Keys of up to WHOLE pairs are split into components where they are solved, large
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -67,34 +68,34 @@ def greedy(pairs: DataFrame, kind: str) -> DataFrame:
     return out if out is not None else now.select("key", "i", "j", "o.score")
 
 
-def assigned(costs: list[list[tuple[int, float]]], columns: int) -> list[int]:
-    """A column for each row, of least total cost; costs lists each row's columns, of which every set of rows must have enough. Shortest augmenting paths over the listed entries, with potentials."""
-    u, v, row_of, column_of = [0.0] * len(costs), [0.0] * columns, [-1] * columns, [-1] * len(costs)
+def assigned(costs: list[list[tuple[int, int]]], columns: int) -> list[int]:
+    """A column for each row, of least total cost; costs lists each row's columns, of which every set of rows must have enough. Shortest augmenting paths over the listed entries, with potentials; whole numbers, as rounded potentials make rings of columns that get nearer at each turn, without end."""
+    u, v, row_of, column_of = [0] * len(costs), [0] * columns, [-1] * columns, [-1] * len(costs)
     for start, own in enumerate(costs):
         u[start] = min(c - v[j] for j, c in own)
-        far: dict[int, float] = {}
+        far: dict[int, int] = {}
         came: dict[int, int] = {}
-        done: list[int] = []
-        heap: list[tuple[float, int]] = []
-        row, base = start, 0.0
+        done: dict[int, int] = {}
+        heap: list[tuple[int, int]] = []
+        row, base = start, 0
         while True:
             for j, c in costs[row]:
                 d = base + c - u[row] - v[j]
-                if d < far.get(j, float("inf")) - 1e-15:
+                if j not in done and (j not in far or d < far[j]):
                     far[j], came[j] = d, row
                     heapq.heappush(heap, (d, j))
             while True:
                 d, at = heapq.heappop(heap)
-                if d == far[at]:
+                if at not in done:
                     break
             if row_of[at] < 0:
                 break
-            done.append(at)
+            done[at] = d
             row, base = row_of[at], d
         u[start] += d
-        for j in dict.fromkeys(done):
-            u[row_of[j]] += d - far[j]
-            v[j] -= d - far[j]
+        for j, near in done.items():
+            u[row_of[j]] += d - near
+            v[j] -= d - near
         while at >= 0:
             row = came[at]
             row_of[at], column_of[row], at = row, at, column_of[row]
@@ -104,6 +105,15 @@ def assigned(costs: list[list[tuple[int, float]]], columns: int) -> list[int]:
 Pair = tuple[int, int, float]
 
 
+def _whole(scores: list[float]) -> list[int]:
+    """Scores from 0 on as whole numbers of one unit, exactly; an infinite one is more than all others together."""
+    parts = [s.as_integer_ratio() if s < math.inf else None for s in scores]
+    unit = max((p[1] for p in parts if p), default=1)  # powers of two
+    parts = [p and p[0] * (unit // p[1]) for p in parts]
+    over = sum(p for p in parts if p is not None) + 1
+    return [over if p is None else p for p in parts]
+
+
 def _solved(pairs: list[Pair]) -> list[Pair]:
     """The pairs of greatest total score, one for each end at most; a pair of score 0 is taken rather than none, one below never."""
     best: dict[tuple[int, int], float] = {}
@@ -113,9 +123,10 @@ def _solved(pairs: list[Pair]) -> list[Pair]:
     lefts = {i: k for k, i in enumerate(sorted({i for i, _ in best}))}
     rights = sorted({j for _, j in best})
     place = {j: k for k, j in enumerate(rights)}
-    costs: list[list[tuple[int, float]]] = [[(len(rights) + k, 1e-9)] for k in range(len(lefts))]  # its own place to stay alone
-    for i, j in sorted(best):
-        costs[lefts[i]].append((place[j], -best[i, j]))
+    costs: list[list[tuple[int, int]]] = [[(len(rights) + k, 1)] for k in range(len(lefts))]  # its own place to stay alone
+    ends = sorted(best)
+    for (i, j), s in zip(ends, _whole([best[p] for p in ends]), strict=True):
+        costs[lefts[i]].append((place[j], -s * (len(lefts) + 1)))  # all that stay alone cost less than a unit of score
     columns = assigned(costs, len(rights) + len(lefts))
     return [(i, rights[b], best[i, rights[b]]) for i, b in zip(lefts, columns, strict=True) if b < len(rights)]
 

@@ -1,5 +1,7 @@
 import itertools
 import random
+import signal
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -85,6 +87,30 @@ def test_optimal_against_all_choices(spark):
     assert total == best
 
 
+@pytest.mark.parametrize("top, unit", [(5, 1.0), (100_000, 1.0), (5, 100 / 3), (5, 1e-12), (5, 1e9)])
+def test_more_left_than_right_ends(top, unit):
+    """Rows that stay alone leave potentials that are no sums of scores; rounded, they went round without end."""
+    signal.signal(signal.SIGALRM, lambda *_: pytest.fail("no end"))
+    signal.alarm(60)
+    rng = random.Random(9)
+    try:
+        for _ in range(200):
+            n, m = rng.randrange(3, 7), rng.randrange(1, 4)
+            score = {(i, j): rng.randrange(top) * unit for i in range(n) for j in range(m) if rng.random() < 0.9}
+            choices = [[p for p in zip(rows, range(m), strict=True) if p in score] for rows in itertools.permutations(range(n + m), m)]
+            best = max((sum(Fraction(score[p]) for p in c), len(c)) for c in choices)
+            got = A._solved([(i, j, s) for (i, j), s in score.items()])
+            assert len({i for i, _, _ in got}) == len({j for _, j, _ in got}) == len(got)
+            assert (sum(Fraction(score[i, j]) for i, j, _ in got), len(got)) == best
+    finally:
+        signal.alarm(0)
+
+
+def test_an_infinite_score_is_taken_first():
+    inf = float("inf")
+    assert sorted(A._solved([(0, 0, 9.0), (0, 1, inf), (1, 0, 2.0), (1, 1, inf), (2, 1, 1e300)])) == [(0, 0, 9.0), (1, 1, inf)]
+
+
 def test_small_keys_are_solved_without_rounds_of_joins(spark, monkeypatch):
     rng = random.Random(11)
     pairs = [(k, i, j, float(rng.randrange(-1, 4))) for k in range(50) for i in range(5) for j in range(5) if rng.random() < 0.4]
